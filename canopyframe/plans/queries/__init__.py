@@ -1,3 +1,3 @@
 """Importing this package registers every query."""
 
-from canopyframe.plans.queries import clouds  # noqa: F401
+from canopyframe.plans.queries import clouds, images, trees  # noqa: F401
