@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyframe.functions import geometry
-from canopyframe.runtime import broadcast_if_small, salted_join
+from canopyframe.runtime import broadcast_if_small, cut_lineage, salted_join
 
 #: Side of the coarse grid laid over the points for visibility culling.
 GRID = 32
@@ -36,6 +36,8 @@ def visible(points: DataFrame, cameras: DataFrame, min_depth: float = 1e-3, marg
     first matched with the cells of a coarse grid in front of them, so points
     and cameras meet by an equi-join on the cell.
     """
+    # few rows; cut so that filters on the view do not inline the pose formulas
+    cameras = cut_lineage(cameras)
     ends = points.agg(*[f(a).alias(f"_{n}{a}") for a in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))])
     ends = F.broadcast(ends)  # one row
 

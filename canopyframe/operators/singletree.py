@@ -60,6 +60,7 @@ def gated_fit(slice_points: DataFrame, key: str = "label", rounds: int = 6, min_
     ``x, y, radius_m, fit_rms_m, arc_deg, rounds_done``; trees that never fit
     keep the start position with null figures.
     """
+    slice_points = cut_lineage(slice_points.select(key, "x", "y"))
     total = slice_points.groupBy(key).agg(F.count(F.lit(1)).alias("_all"))
     state = (trunk_center(slice_points, key).join(total.where(F.col("_all") >= min_points), key, "left_semi")
              .select(key, F.col("x").alias("cx"), F.col("y").alias("cy"), F.lit(float(first_gate)).alias("gate"),
@@ -67,7 +68,7 @@ def gated_fit(slice_points: DataFrame, key: str = "label", rounds: int = 6, min_
                      F.lit(None).cast("double").alias("pgate"), F.lit(None).cast("double").alias("radius_m"),
                      F.lit(0).alias("rounds_done"), F.lit(True).alias("active")))
     state = cut_lineage(state)
-    pts = slice_points.select(key, "x", "y")
+    pts = slice_points
     for _ in range(rounds):
         side = broadcast_if_small(state.where("active").select(key, "cx", "cy", "gate"))
         near = salted_join(pts, side, [key]).where(

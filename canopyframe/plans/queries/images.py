@@ -78,7 +78,7 @@ def _(src):
     return px.crop_colour_stats(src("pixels"), ["image_id"])
 
 
-@register("glcm_texture", "image_id:i contrast:6 homogeneity:6 energy:6 entropy:6 correlation:5",
+@register("glcm_texture", "image_id:i contrast:6 homogeneity:6 energy:10 entropy:6 correlation:5",
           f"""with q as (select image_id, row, col, least(floor((r+g+b)/3e0/256*16), 15) as q from pixels where {CROWN}),
               d as (select * from (values (0, 1), (-1, 1), (-1, 0), (-1, -1)) as t(dy, dx)),
               p as (select a.image_id, a.q as i, b.q as j from q a cross join d join q b on b.image_id = a.image_id
@@ -230,9 +230,9 @@ VIEW = """cam as (select camera_id, tx, ty, tz, qw*qw - qz*qz as c, 2*qw*qz as s
 
 @register("pose_to_extrinsics", "camera_id:i ew:6 ex:6 ey:6 ez:6 px:5 py:5 pz:5",
           """with r as (select *, qw*qw - qz*qz as c, 2*qw*qz as s from cameras)
-             select camera_id, 0e0 as ew, abs(qw)*case when qw < 0 then -1 else 1 end*sg as ex, -qz*sg as ey, 0e0 as ez,
-               -(c*tx + s*ty) as px, -(s*tx - c*ty) as py, tz as pz
-             from (select *, case when c > -c and c > -1 then sign(qw) else -sign(qz) end as sg from r)""", "cameras")
+             select camera_id, 0e0 as ew, case when c > 0 then abs(qw) else qw*sign(qz) end as ex,
+               case when c > 0 then qz*sign(qw) else abs(qz) end as ey, 0e0 as ez,
+               -(c*tx + s*ty) as px, -(s*tx - c*ty) as py, tz as pz from r""", "cameras")
 def _(src):
     return cam.pose_to_extrinsics(src("cameras"))
 

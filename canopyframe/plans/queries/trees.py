@@ -22,7 +22,7 @@ def fit_sql(source: str, key: str, out: str) -> str:
   {out} as (select {key}, n_fit, rx + a as fit_x, ry + c as fit_y, sqrt(mw + a*a + c*c) as radius_m from {out}_f)"""
 
 
-@register("single_tree_metrics", "label:i x:5 y:5 base_z:5 height_m:5 dbh_cm:3 leaf_share_pct:5 n_points:i",
+@register("single_tree_metrics", "label:i x:6 y:6 base_z:5 height_m:5 dbh_cm:3 leaf_share_pct:8 n_points:i",
           f"""with {SLICE_SQL}, sl as (select * from rel where rel_z between 1.0e0 and 1.6e0), {fit_sql('sl', 'label', 'fit')},
               res as (select s.label, sqrt(avg(pow(sqrt((x-fit_x)*(x-fit_x) + (y-fit_y)*(y-fit_y)) - radius_m, 2))) as rms
                 from sl s join fit f on f.label = s.label group by 1),
