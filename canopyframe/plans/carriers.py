@@ -88,7 +88,11 @@ CARRIERS = {
           case when o_orderkey % 4 = 0 then null else 7.0e0 + (o_orderkey % 400)/100.0e0 end as geom_lon,
           o_custkey as owner_key
         from orders""",
-    "publish_list": "select c_custkey as publish_key from customer where c_mktsegment = 'BUILDING'",
+    "accounts": """
+        select c_custkey as marker_id, c_custkey as row_idx, c_acctbal as structure from customer where c_custkey % 7 > 0""",
+    "publish_list": """
+        select case when c_custkey % 10 = 0 then c_custkey + 1000000000 else c_custkey end as publish_key
+        from customer where c_mktsegment = 'BUILDING'""",
     "job_events": """
         select event_id, user_id as job_id, ts, value as duration_s, props as params,
           case event_type when 'signup' then 'queued' when 'view' then 'running' when 'click' then 'running'

@@ -1,3 +1,3 @@
 """Importing this package registers every query."""
 
-from canopyframe.plans.queries import clouds, images, landscape, trees  # noqa: F401
+from canopyframe.plans.queries import clouds, images, landscape, records, trees  # noqa: F401

@@ -33,8 +33,8 @@ def components_sql(name: str, nodes: str) -> str:
 
 MASK_SQL = """mask as materialized (select cx*1000000 + cy as id, cx as ix, cy as iy, 0 as scope from cells where value > 1 and value <= 8)"""
 STRIP_SQL = MASK_SQL + ", " + components_sql("strip", "mask") + """,
-  shape as (select s.comp, count(*)*0.25e0 as area_m2, 0.5e0*sum(4 - (select count(*) from strip_e e where e.a = s.id)) as perimeter_m
-    from strip s group by 1)"""
+  shape as (select s.comp, count(*)*0.25e0 as area_m2, 0.5e0*sum(4 - coalesce(k, 0)) as perimeter_m
+    from strip s left join (select a, count(*) as k from strip_e group by 1) e on e.a = s.id group by 1)"""
 HEDGE_SQL = STRIP_SQL + """,
   net as materialized (select m.* from mask m join strip s using (id) join shape h using (comp) where area_m2 >= 60 and area_m2/perimeter_m <= 4),
   corner as (select min(ix) as x0, min(iy) as y0 from net),
@@ -204,7 +204,7 @@ def _segment_values(src):
         "seg_id").agg(F.avg("q").alias("value"))
 
 
-@register("color_ramp", "cx:i cy:i r:4 g:4 b:4",
+@register("color_ramp", "cx:i cy:i r:8 g:8 b:8",
           f"""with t as (select cx, cy, least(greatest((value - 0.5e0)/9, 0), 1)*5 as pos from cells where value is not null),
               k as (select *, least(floor(pos), 4) as lw from t),
               st as (select * from (values {", ".join(f"({i}, {s[0]}e0, {s[1]}e0, {s[2]}e0)" for i, s in enumerate(dims.RAMPS["suit"]))}) as t(i, sr, sg, sb))
@@ -256,7 +256,7 @@ def _(src):
     return px.structural_lai(src("als").withColumn("block", F.floor(F.col("x") / 60.0)), ["block"])
 
 
-@register("relief", "cx:i cy:i elevation_m:5 slope_deg:5 aspect_ref_deg:4 aspect_compass_deg:4",
+@register("relief", "cx:i cy:i elevation_m:7 slope_deg:5 aspect_ref_deg:4 aspect_compass_deg:4",
           """with n as (select c.cx, c.cy, c.value as here, (e.value - w.value)/60 as dzdx, (n.value - s.value)/60 as dzdy from cells c
                join cells n on n.cx = c.cx and n.cy = c.cy + 1 join cells s on s.cx = c.cx and s.cy = c.cy - 1
                join cells e on e.cx = c.cx + 1 and e.cy = c.cy join cells w on w.cx = c.cx - 1 and w.cy = c.cy
