@@ -12,8 +12,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import (DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual,
-                                    LessThan, LessThanOrEqual)
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from canopyframe.sources.files import (BATCH_ROWS, PartWriter, RowRange, box, list_files, merge_boxes, open_read,
                                        row_ranges, tile_name, to_numpy)
@@ -206,35 +205,30 @@ def las_header(path: str) -> dict:
 
 
 class LasReader(DataSourceReader):
+    """Options ``window`` (xmin,ymin,xmax,ymax), ``zrange`` (low,high) and ``classes`` restrict the rows.
+
+    They are options and not pushed filters because Spark keeps pushed filters of
+    a Python source with the relation, so that a second query on the same frame
+    would see the rows of the first.
+    """
+
     def __init__(self, options):
         self.path = options["path"]
-        self.bounds: list[tuple[str, str, float]] = []
-
-    def pushFilters(self, filters):
-        ops = {GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<=", EqualTo: "=="}
-        for f in filters:
-            op = ops.get(type(f))
-            if op and len(f.attribute) == 1 and f.attribute[0] in ("x", "y", "z", "class"):
-                self.bounds.append((f.attribute[0], op, float(f.value)))
-            yield f  # Spark checks again: the pushed part only saves work
+        numbers = lambda key: [float(v) for v in options[key].split(",")] if key in options else None
+        window, zrange, classes = numbers("window"), numbers("zrange"), numbers("classes")
+        self.ranges = {"x": (window[0], window[2]), "y": (window[1], window[3])} if window else {}
+        if zrange:
+            self.ranges["z"] = (zrange[0], zrange[1])
+        self.classes = [int(c) for c in classes] if classes else None
 
     def partitions(self):
         parts = []
         for path, _ in list_files(self.path, (".las",)):
             head = las_header(path)
-            if self._may_match(head):
+            if all(head["max"]["xyz".index(a)] >= lo and head["min"]["xyz".index(a)] <= hi for a, (lo, hi) in self.ranges.items()):
                 parts += row_ranges(path, head["rows"], head["size"])
         return parts or [RowRange(self.path, 0, 0)]
 
-    def _may_match(self, head):
-        for name, op, v in self.bounds:
-            if name in "xyz":
-                k, slack = "xyz".index(name), head["scale"]["xyz".index(name)]
-                lo, hi = head["min"][k] - slack, head["max"][k] + slack
-                if (op in (">", ">=", "==") and hi < v) or (op in ("<", "<=", "==") and lo > v):
-                    return False
-        return True
-
     def read(self, part):
         if part.start == part.stop:
             return
@@ -251,9 +245,10 @@ class LasReader(DataSourceReader):
                 cols = {a: rows[a.upper()] * head["scale"][k] + head["offset"][k] for k, a in enumerate("xyz")}
                 cols["class"] = rows["class"] & 31 if head["format"] < 6 else rows["class"]
                 keep = np.ones(len(rows), bool)
-                for name, op, v in self.bounds:
-                    c = cols[name]
-                    keep &= {">": c > v, ">=": c >= v, "<": c < v, "<=": c <= v, "==": c == v}[op]
+                for axis, (low, high) in self.ranges.items():
+                    keep &= (cols[axis] >= low) & (cols[axis] <= high)
+                if self.classes is not None:
+                    keep &= np.isin(cols["class"], self.classes)
                 n = int(keep.sum())
                 rgb = [pa.array(rows[c][keep].astype(np.int32)) if rgb_at is not None else pa.nulls(n, pa.int32()) for c in ("red", "green", "blue")]
                 yield pa.record_batch(
@@ -299,7 +294,7 @@ class LasWriter(PartWriter):
 
 
 class LasSource(DataSource):
-    """Uncompressed LAS 1.2-1.4. Range filters on x, y, z and class skip files and rows in the reader."""
+    """Uncompressed LAS 1.2-1.4. A window, height range or class list in the options skips files and rows early."""
 
     @classmethod
     def name(cls):
@@ -513,8 +508,7 @@ class PlySource(DataSource):
 
 
 def register_sources(spark: SparkSession) -> None:
-    """Make the formats known to a session and let range filters reach the readers."""
+    """Make the formats known to a session."""
     from canopyframe.sources.e57 import E57ImageSource
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (PcdSource, LabelSource, LasSource, BlockSource, PlySource, E57ImageSource):
         spark.dataSource.register(source)

@@ -69,7 +69,7 @@ def test_labels_join_and_mismatch(spark, points, tmp_path):
         clouds.attach_labels(cloud, spark.read.format("pointlabels").load(str(tmp_path / "s.labels")))
 
 
-def test_las_round_trip_and_pushdown(spark, points, tmp_path):
+def test_las_round_trip_and_window(spark, points, tmp_path):
     path = str(tmp_path / "out")
     src = points.withColumn("intensity", F.col("z") * 10)
     tables.write_las(src, path)
@@ -77,13 +77,13 @@ def test_las_round_trip_and_pushdown(spark, points, tmp_path):
     same_rows(back, points, ["x", "y", "z"])
     ends = back.agg(F.min("intensity"), F.max("intensity"), F.max("red")).first()
     assert (ends[0], ends[1]) == (0, 65535) and ends[2] == 257 * points.agg(F.max("r")).first()[0]
-    cut = back.where("x between 3 and 9 and z > 1")
-    assert cut.count() == back.cache().where("x between 3 and 9 and z > 1").count() > 0
+    cut = spark.read.format("las").options(window="3,-1,9,2", zrange="1,200", classes="0,1").load(path)
+    assert cut.count() == back.where("x between 3 and 9 and y between -1 and 2 and z between 1 and 200 and class in (0, 1)").count() > 0
+    # filters on the frame leave later queries on it alone
     assert back.where("class = 2").count() == points.where("class = 2").count()
-    reader = clouds.LasReader({"path": path})
-    from pyspark.sql.datasource import GreaterThan
-    list(reader.pushFilters([GreaterThan(("x",), 1e6)]))
-    assert all(p.start == p.stop for p in reader.partitions())
+    assert back.count() == points.count()
+    far = clouds.LasReader({"path": path, "window": "1e6,0,2e6,1"})
+    assert all(p.start == p.stop for p in far.partitions())
 
 
 @pytest.mark.parametrize("layout", ["blocks", "segmented", "pcb1"])
