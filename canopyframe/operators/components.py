@@ -7,6 +7,8 @@ border enter the iterative part (alternating large-star and small-star steps).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,37 +18,38 @@ from pyspark.sql import types as T
 from canopyframe.runtime import cut_lineage, salted_join
 
 BLOCK = 128
+#: Rows worked on at once; a block holds at most BLOCK * BLOCK of them.
+_RUN_ROWS = 100_000
 _FORWARD = {8: ((0, 1), (1, -1), (1, 0), (1, 1)), 4: ((0, 1), (1, 0))}
 
 
-def _block_labels(neighbours: int, ix: str, iy: str):
-    steps = _FORWARD[neighbours]
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ix, iy], ignore_index=True)
-        gx, gy = pdf[ix].to_numpy(), pdf[iy].to_numpy()
-        key = (gx - gx.min()) * (4 * BLOCK) + (gy - gy.min()) + BLOCK
-        n = len(key)
-        ends = []
-        for dx, dy in steps:
-            want = key + dx * (4 * BLOCK) + dy
-            pos = np.minimum(np.searchsorted(key, want), n - 1)
-            hit = key[pos] == want
-            ends.append((np.flatnonzero(hit), pos[hit]))
-        a = np.concatenate([e[0] for e in ends])
-        b = np.concatenate([e[1] for e in ends])
-        lab = np.arange(n)
-        while True:
-            low = np.minimum(lab[a], lab[b])
-            new = lab.copy()
-            np.minimum.at(new, lab[a], low)
-            np.minimum.at(new, lab[b], low)
-            new = new[new]
-            if np.array_equal(new, lab):
-                break
-            lab = new
-        return pdf.assign(comp_x=gx[lab], comp_y=gy[lab])
-    return label
+def _label_blocks(pdf: pd.DataFrame, block_cols: list[str], neighbours: int, ix: str, iy: str) -> pd.DataFrame:
+    """Smallest cell of each component, components ending at block borders. Rows are sorted by block and cell."""
+    block = (pdf[block_cols] != pdf[block_cols].shift()).any(axis=1).cumsum().to_numpy()
+    gx, gy = pdf[ix].to_numpy(), pdf[iy].to_numpy()
+    side = 2 * BLOCK
+    key = (block * side + gx % BLOCK) * side + gy % BLOCK + BLOCK // 2
+    n = len(key)
+    ends = []
+    for dx, dy in _FORWARD[neighbours]:
+        want = key + dx * side + dy
+        pos = np.minimum(np.searchsorted(key, want), n - 1)
+        hit = (key[pos] == want) & (block[pos] == block)
+        ends.append((np.flatnonzero(hit), pos[hit]))
+    a = np.concatenate([e[0] for e in ends])
+    b = np.concatenate([e[1] for e in ends])
+    lab = np.arange(n)
+    while True:
+        la, lb = lab[a], lab[b]
+        low = np.minimum(la, lb)
+        new = lab.copy()
+        np.minimum.at(new, la, low)
+        np.minimum.at(new, lb, low)
+        new = new[new]
+        if np.array_equal(new, lab):
+            break
+        lab = new
+    return pdf.assign(comp_x=gx[lab], comp_y=gy[lab])
 
 
 def connected_components(cells: DataFrame, neighbours: int = 8, keys: tuple[str, ...] = ("tile_id",),
@@ -54,16 +57,32 @@ def connected_components(cells: DataFrame, neighbours: int = 8, keys: tuple[str,
     """Add ``comp_x, comp_y``, the smallest cell of each cell's component, to distinct cells."""
     schema = T.StructType([*cells.schema.fields, T.StructField("comp_x", T.LongType()),
                            T.StructField("comp_y", T.LongType())])
-    blocked = cells.withColumn("_bx", F.floor(F.col(ix) / BLOCK)).withColumn("_by", F.floor(F.col(iy) / BLOCK))
-    block_fn = _block_labels(neighbours, ix, iy)
+    block_cols = [*keys, "_bx", "_by"]
     columns = cells.columns
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        return block_fn(pdf[columns])
-
-    local = cut_lineage(blocked.groupBy(*keys, "_bx", "_by").applyInPandas(solve, schema))
-    edges = _border_edges(local, neighbours, keys, ix, iy)
-    edges = cut_lineage(edges)
+    blocked = cells.withColumn("_bx", F.floor(F.col(ix) / BLOCK)).withColumn("_by", F.floor(F.col(iy) / BLOCK))
+    sorted_blocks = blocked.repartition(*block_cols).sortWithinPartitions(*block_cols, ix, iy)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a partition is worked off in runs of complete blocks
+        held: list[pd.DataFrame] = []
+        rows = 0
+        for pdf in batches:
+            held.append(pdf)
+            rows += len(pdf)
+            if rows < _RUN_ROWS:
+                continue
+            run = pd.concat(held, ignore_index=True)
+            open_block = (run[block_cols] == run[block_cols].iloc[-1]).all(axis=1).to_numpy()
+            if not open_block.all():
+                yield _label_blocks(run[~open_block], block_cols, neighbours, ix, iy)[columns + ["comp_x", "comp_y"]]
+                run = run[open_block]
+            held, rows = [run], len(run)
+        if rows:
+            run = pd.concat(held, ignore_index=True)
+            yield _label_blocks(run, block_cols, neighbours, ix, iy)[columns + ["comp_x", "comp_y"]]
+
+    local = cut_lineage(sorted_blocks.mapInPandas(solve, schema))
+    edges = cut_lineage(_border_edges(local, neighbours, keys, ix, iy))
     if not edges.take(1):
         return local
     roots = _stars(edges)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopyframe.ranking import percentiles_by
-from canopyframe.runtime import salted_join
+from canopyframe.runtime import BROADCAST_LIMIT, fits_one_task, salted_join
 from canopyframe.spatial import cell, range_join, spread, with_cells
 
 GROUND_KEYS = ["tile_id", "gx", "gy"]
@@ -86,8 +86,9 @@ def tree_height(points: DataFrame, stems: DataFrame, radius: float = 1.5,
                 keys: tuple[str, ...] = ("tile_id",)) -> DataFrame:
     """Highest point within ``radius`` of each stem: ``stem_id, top_z`` (null when none)."""
     side = stems.select(*keys, "stem_id", F.col("x").alias("_sx"), F.col("y").alias("_sy"))
-    near = range_join(points.select(*keys, "point_idx", "x", "y", "z"), side, radius, ("x", "y"),
-                      ("_sx", "_sy"), on=list(keys))
+    small = fits_one_task(side, [], BROADCAST_LIMIT)
+    near = range_join(points.select(*keys, "point_idx", "x", "y", "z"), F.broadcast(side) if small else side, radius,
+                      ("x", "y"), ("_sx", "_sy"), on=list(keys), salts=1 if small else None)
     tops = near.groupBy("stem_id").agg(F.max("z").alias("top_z"))
     return stems.join(tops, "stem_id", "left")
 

@@ -14,7 +14,7 @@ from canopyframe.operators.ground import (ground_model, height_band, normalize_h
                                           tree_height)
 from canopyframe.operators.selection import suppress_near
 from canopyframe.ranking import percentiles_by, running_total
-from canopyframe.runtime import broadcast_if_small, cut_lineage, salted_join
+from canopyframe.runtime import cut_lineage, salted_join
 from canopyframe.spatial import cell
 
 STEM_CELL = 0.04
@@ -137,7 +137,7 @@ def detect_stems(points: DataFrame, p: InventoryParams = SINGLE_SCAN) -> DataFra
     stems = cut_lineage(stems.withColumn("stem_id", F.struct("tile_id", "comp_x", "comp_y")))
     kept = suppress_near(stems, p.suppress_dist,
                          [-F.col("n_points"), F.col("fit_rms_m"), F.col("comp_x"), F.col("comp_y")], ("tile_id",))
-    return tree_attributes(tree_height(points, broadcast_if_small(cut_lineage(kept))), p)
+    return tree_attributes(tree_height(points, cut_lineage(kept)), p)
 
 
 def stem_inventory(points: DataFrame, p: InventoryParams = SINGLE_SCAN, prefix: str = "Tree ",

@@ -168,9 +168,11 @@ def delete_scenes(scenes: DataFrame, doomed: DataFrame, key: str = "id") -> tupl
     return scenes.join(valid, key, "left_anti"), bad.select(key)
 
 
-def explode_markers(manifests: DataFrame) -> DataFrame:
-    """One row per marker of manifests with a ``markers`` array."""
-    return manifests.select("id", F.posexplode("markers").alias("pos", "m")).select("id", "pos", "m.*")
+def explode_markers(manifests: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """One row per marker of manifests with a ``markers`` array; ``pos`` runs through all parts."""
+    head = F.col("part").cast("bigint") * part_rows if "part" in manifests.columns else F.lit(0).cast("bigint")
+    rows = manifests.select("id", head.alias("_first"), F.posexplode("markers").alias("_pos", "m"))
+    return rows.select("id", (F.col("_first") + F.col("_pos")).alias("pos"), "m.*")
 
 
 def marker_documents(markers: DataFrame, keys: list[str], pos: str = "pos", part_rows: int = PART_ROWS) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canopyframe.ranking import percentiles_by, running_total
 from canopyframe.runtime import SALTS, cut_lineage, fits_one_task, salted_join
 from canopyframe.spatial import range_join, spread, with_cells
 
@@ -78,6 +79,85 @@ def greedy_match(pairs: DataFrame) -> DataFrame:
     return matched
 
 
+#: Pairs per row up to which all pairs within reach are listed at once.
+PAIRS_PER_ROW = 200
+
+
+def match_within(refs: DataFrame, dets: DataFrame, max_dist: float, pairs_per_row: float = PAIRS_PER_ROW) -> DataFrame:
+    """Greedy one-to-one matches of ``ref_id, ref_x, ref_y`` and ``det_id, x, y`` within ``max_dist``.
+
+    The number of pairs is estimated from cell counts first. Crowded data goes
+    through ``_match_crowded``, which gives the same matches.
+    """
+    cells = ("_gx", "_gy")
+    few = with_cells(refs, max_dist, "ref_x", "ref_y", cells).groupBy(*cells).agg(F.count(F.lit(1)).alias("_r"))
+    many = with_cells(dets, max_dist, "x", "y", cells).groupBy(*cells).agg(F.count(F.lit(1)).alias("_d"))
+    meet = spread(few, cells).groupBy(*cells).agg(F.sum("_r").alias("_r")).join(many, list(cells))
+    load = meet.agg(F.sum(F.col("_r").cast("double") * F.col("_d")).alias("p"), F.sum("_r").alias("r"), F.sum("_d").alias("d")).first()
+    if (load.p or 0) <= pairs_per_row * ((load.r or 0) + (load.d or 0)):
+        return greedy_match(candidate_pairs(refs, dets, max_dist))
+    return _match_crowded(refs, dets, max_dist)
+
+
+def _places(df: DataFrame, key: str, x: str, y: str, side: str) -> tuple[DataFrame, DataFrame]:
+    """Copies numbered within their exact position, and one row per position."""
+    copies = cut_lineage(running_total(df.select(key, x, y), [x, y], [F.col(key)], None, "k"))
+    spots = copies.groupBy(x, y).agg(F.min(key).alias(f"{side}_place"), F.count(F.lit(1)).alias(f"{side}_n"))
+    named = salted_join(copies, spots.select(x, y, f"{side}_place"), [x, y]).select(
+        F.col(f"{side}_place"), F.col("k").alias(f"{side}_k"), key)
+    state = spots.select(f"{side}_place", x, y, f"{side}_n", F.lit(0).cast("bigint").alias(f"{side}_used"))
+    return cut_lineage(named), cut_lineage(state)
+
+
+def _match_crowded(refs: DataFrame, dets: DataFrame, max_dist: float, steps: int = 6) -> DataFrame:
+    """Matching for crowded data: growing radii over distinct positions.
+
+    Greedy matching up to a small radius is a prefix of the whole run, and
+    afterwards no free pair is left within that radius; so each step only meets
+    what the smaller ones left over. Copies at one position act as a stack: the
+    closest pair of positions matches as many copies as both hold, in id order,
+    or a single one when another pair is exactly as close.
+    """
+    r_ids, r = _places(refs, "ref_id", "ref_x", "ref_y", "r")
+    d_ids, d = _places(dets, "det_id", "x", "y", "d")
+    blocks = None
+    for k in range(steps - 1, -1, -1):
+        radius = max_dist / 2 ** k
+        free_r, free_d = r.where("r_used < r_n"), d.where("d_used < d_n")
+        pairs = cut_lineage(range_join(free_d, free_r, radius, ("x", "y"), ("ref_x", "ref_y")).select(
+            "r_place", "d_place", "distance_m"))
+        while True:
+            front_r = r.where("r_used < r_n").select("r_place", "r_n", "r_used", (F.col("r_used") + 1).alias("r_k")).join(r_ids, ["r_place", "r_k"])
+            front_d = d.where("d_used < d_n").select("d_place", "d_n", "d_used", (F.col("d_used") + 1).alias("d_k")).join(d_ids, ["d_place", "d_k"])
+            live = cut_lineage(salted_join(salted_join(pairs, front_r, ["r_place"]), front_d, ["d_place"]))
+            if not live.take(1):
+                break
+            order = F.struct("distance_m", "ref_id", "det_id")
+
+            def best(side):
+                # the closest pair of each position and whether it is the only one at that distance
+                two = live.groupBy(f"{side}_place").agg(F.min(order).alias(f"{side}_best"), F.min("distance_m").alias("_d"))
+                ties = salted_join(live, two.select(f"{side}_place", "_d"), [f"{side}_place"]).where("distance_m = _d")
+                return two.drop("_d").join(ties.groupBy(f"{side}_place").agg(F.count(F.lit(1)).alias(f"{side}_ties")), f"{side}_place")
+
+            both = salted_join(salted_join(live, best("r"), ["r_place"]), best("d"), ["d_place"])
+            chosen = both.where((order == F.col("r_best")) & (order == F.col("d_best")))
+            room = F.least(F.col("r_n") - F.col("r_used"), F.col("d_n") - F.col("d_used"))
+            take = F.when((F.col("r_ties") == 1) & (F.col("d_ties") == 1), room).otherwise(F.lit(1).cast("bigint"))
+            block = cut_lineage(chosen.select("r_place", "d_place", "distance_m", "r_used", "d_used", take.alias("m")))
+            r = cut_lineage(r.join(block.select("r_place", F.col("m").alias("_m")), "r_place", "left").withColumn(
+                "r_used", F.col("r_used") + F.coalesce("_m", F.lit(0))).drop("_m"))
+            d = cut_lineage(d.join(block.select("d_place", F.col("m").alias("_m")), "d_place", "left").withColumn(
+                "d_used", F.col("d_used") + F.coalesce("_m", F.lit(0))).drop("_m"))
+            blocks = block if blocks is None else blocks.unionByName(block)
+            pairs = live.select("r_place", "d_place", "distance_m")
+    if blocks is None:
+        return greedy_match(candidate_pairs(refs, dets, max_dist))
+    rows = blocks.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m")))).select(
+        "r_place", "d_place", "distance_m", (F.col("r_used") + F.col("_i")).alias("r_k"), (F.col("d_used") + F.col("_i")).alias("d_k"))
+    return rows.join(r_ids, ["r_place", "r_k"]).join(d_ids, ["d_place", "d_k"]).select("distance_m", "ref_id", "det_id")
+
+
 def match_by_position(left: DataFrame, right: DataFrame, max_dist: float) -> DataFrame:
     """Pair trees of two inventories by place; their running numbers do not correspond.
 
@@ -85,14 +165,14 @@ def match_by_position(left: DataFrame, right: DataFrame, max_dist: float) -> Dat
     """
     refs = left.select(F.col("tree_id").alias("ref_id"), F.col("x").alias("ref_x"), F.col("y").alias("ref_y"))
     dets = right.select(F.col("tree_id").alias("det_id"), "x", "y")
-    return greedy_match(candidate_pairs(refs, dets, max_dist)).select(
+    return match_within(refs, dets, max_dist).select(
         F.col("ref_id").alias("left_id"), F.col("det_id").alias("right_id"), "distance_m")
 
 
 def detection_quality(n_refs: DataFrame, n_dets: DataFrame, matches: DataFrame) -> DataFrame:
     """Hits, misses, false alarms, recall, precision, F1 and position error in metres."""
-    hits = matches.agg(F.count(F.lit(1)).alias("tp"), F.percentile("distance_m", F.lit(0.5)).alias("median_error_m"),
-                       F.avg("distance_m").alias("mean_error_m"), F.max("distance_m").alias("max_error_m"))
+    hits = percentiles_by(matches, [], {"median_error_m": ("distance_m", 0.5)}, [
+        F.count(F.lit(1)).alias("tp"), F.avg("distance_m").alias("mean_error_m"), F.max("distance_m").alias("max_error_m")])
     row = hits.crossJoin(n_refs.agg(F.count(F.lit(1)).alias("_r"))).crossJoin(n_dets.agg(F.count(F.lit(1)).alias("_d")))
     recall = F.coalesce(F.try_divide(F.col("tp"), F.col("_r")), F.lit(0.0))
     precision = F.coalesce(F.try_divide(F.col("tp"), F.col("_d")), F.lit(0.0))

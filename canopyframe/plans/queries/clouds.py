@@ -212,10 +212,6 @@ MATCH_SQL = PAIRS_SQL + """, ordered as (select *, row_number() over (order by d
   matched as (select o.* from ordered o join (select unnest(picked) as rn from walk where i = (select max(i) from walk)) p using (rn))"""
 
 
-def _pairs(src):
-    return selection.candidate_pairs(src("refs"), src("detections"), 0.6)
-
-
 @register("candidate_pairs", "ref_id:i det_id:i distance_m:6", f"with {PAIRS_SQL} select * from pairs", "refs detections")
 def _(src):
     return selection.candidate_pairs(src("refs"), src("detections"), 0.6)
@@ -224,7 +220,7 @@ def _(src):
 @register("greedy_match", "ref_id:i det_id:i distance_m:6", f"with recursive {MATCH_SQL} select ref_id, det_id, distance_m from matched",
           "refs detections")
 def _(src):
-    return selection.greedy_match(_pairs(src))
+    return selection.match_within(src("refs"), src("detections"), 0.6)
 
 
 @register("detection_quality", "tp:i fn:i fp:i recall:6 precision:6 f1:6 median_error_m:6 mean_error_m:6 max_error_m:6",
@@ -235,7 +231,8 @@ def _(src):
                 2*(tp/nr)*(tp/nd)/((tp/nr) + (tp/nd)) as f1, median_error_m, mean_error_m, max_error_m from q""",
           "refs detections")
 def _(src):
-    return selection.detection_quality(src("refs"), src("detections"), selection.greedy_match(_pairs(src)))
+    return selection.detection_quality(src("refs"), src("detections"),
+                                       selection.match_within(src("refs"), src("detections"), 0.6))
 
 
 @register("match_by_position", "left_id:i right_id:i distance_m:6",

@@ -171,10 +171,10 @@ def _(src):
 @register("growth_request", "stand_id:i part:i n_trees:i sum_dbh:4",
           "select stand_id, 0 as part, count(*) as n_trees, sum(dbh_cm) as sum_dbh from trees where height_m is not null group by 1", "trees")
 def _(src):
-    listed = _tree_list(src).join(src("trees").select("tree_id", "stand_id"), "tree_id").withColumn(
-        "pos", F.floor(F.col("tree_id") / 25.0).cast("int") % 1000)
+    listed = _tree_list(src).join(src("trees").select("tree_id", "stand_id"), "tree_id")
+    listed = running_total(listed, ["stand_id"], [F.col("tree_id")], None, "no").withColumn("pos", F.col("no") - 1).drop("no")
     stands = src("trees").select("stand_id").distinct().withColumn("area_ha", F.lit(0.25))
-    req = growth.growth_request(stands, listed, 20, part_rows=10 ** 6)
+    req = growth.growth_request(stands, listed, 20)
     body = F.from_json("request", "trees array<struct<dbh_cm:double>>")
     return req.select("stand_id", "part", F.size(body["trees"]).alias("n_trees"),
                       F.aggregate(body["trees"], F.lit(0.0), lambda a, t: a + t["dbh_cm"]).alias("sum_dbh"))
@@ -343,11 +343,10 @@ def _(src):
 @register("explode_markers", "id pos:i dbh_cm:2 yaw:3",
           "select scene_id as id, row_number() over (partition by scene_id order by pos, marker_key) - 1 as pos, dbh_cm, degrees(atan2(dy, dx)) as yaw from markers", "markers")
 def _(src):
-    m = src("markers").withColumn("yaw", geometry.yaw_deg(F.col("dx"), F.col("dy")))
-    ordered = m.select(F.col("scene_id").alias("id"), F.struct("pos", "marker_key", "dbh_cm", "yaw").alias("m"))
-    docs = ordered.groupBy("id").agg(F.array_sort(F.collect_list("m")).alias("markers"))
-    return scenes.explode_markers(docs.select("id", "markers").withColumn("markers", F.transform(
-        "markers", lambda e: F.struct(e["dbh_cm"].alias("dbh_cm"), e["yaw"].alias("yaw")))))
+    m = src("markers").withColumn("yaw", geometry.yaw_deg(F.col("dx"), F.col("dy"))).withColumnRenamed("scene_id", "id")
+    numbered = running_total(m, ["id"], [F.col("pos"), F.col("marker_key")], None, "no")
+    rows = numbered.select("id", (F.col("no") - 1).alias("pos"), "dbh_cm", "yaw")
+    return scenes.explode_markers(scenes.marker_documents(rows, ["id"]))
 
 
 @register("scene_manifest", "id part:i n_markers:i title cloud_bin lat:4 first_dbh:2",
@@ -355,7 +354,7 @@ def _(src):
              select id, 0 as part, coalesce(n, 0) as n_markers, title, cloud as cloud_bin, gps_lat as lat, first_dbh from scenes left join m using (id)""", "markers scenes")
 def _(src):
     markers = src("markers").select(F.col("scene_id").alias("id"), (F.col("marker_key")).alias("key"), "dbh_cm", "height_m")
-    docs = scenes.scene_manifest(src("scenes"), running_total(markers, ["id"], [F.col("key")], None, "pos").drop("key"))
+    docs = scenes.scene_manifest(src("scenes"), running_total(markers, ["id"], [F.col("key")], None, "pos").withColumn("pos", F.col("pos") - 1).drop("key"))
     body = F.from_json("manifest", "title string, source struct<gps:struct<lat:double>>, pointcloud struct<bin:string>, markers array<struct<dbh_cm:double>>")
     return docs.select("id", "part", body.alias("d")).select(
         "id", "part", F.size("d.markers").alias("n_markers"), "d.title", F.col("d.pointcloud.bin").alias("cloud_bin"), "d.source.gps.lat",

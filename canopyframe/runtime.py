@@ -76,16 +76,17 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
                 salts: int | None = None) -> DataFrame:
     """Equi-join whose hot keys are spread over ``salts`` tasks.
 
-    Rows of ``big`` get a salt from a hash of the whole row, ``small`` is
-    repeated once per salt. ``how`` may be ``inner``, ``left``, ``left_semi``
+    Rows of ``big`` get a salt from a hash of the point number or else of the
+    whole row, ``small`` is repeated once per salt. ``how`` may be ``inner``, ``left``, ``left_semi``
     or ``left_anti``: every row of ``big`` still meets all its partners.
     """
     salts = SALTS if salts is None else salts
+    row_id = ["point_idx"] if "point_idx" in big.columns and "point_idx" not in on else _hashable(big)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join cannot do {how}")
     if salts <= 1:
         return big.join(small, on, how)
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*_hashable(big)), F.lit(salts)))
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*row_id), F.lit(salts)))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 

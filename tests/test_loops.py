@@ -29,19 +29,28 @@ def test_suppression_equals_sequential(spark, seed, spread):
     assert {r.id for r in got.collect()} == _sequential_keep(rows, 0.6)
 
 
-@pytest.mark.parametrize("seed", [4, 5])
-def test_matching_equals_sequential(spark, seed):
-    rng = np.random.default_rng(seed)
-    refs = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 3, (40, 2)))]
-    dets = [(j, float(x), float(y)) for j, (x, y) in enumerate(rng.uniform(0, 3, (60, 2)))]
-    pairs = sorted((math.hypot(a - x, b - y), i, j) for i, a, b in refs for j, x, y in dets if math.hypot(a - x, b - y) <= 0.5)
+def _sequential_match(refs, dets, max_dist):
+    pairs = sorted((math.hypot(a - x, b - y), i, j) for i, a, b in refs for j, x, y in dets if math.hypot(a - x, b - y) <= max_dist)
     used_r, used_d, want = set(), set(), set()
-    for d, i, j in pairs:
+    for _, i, j in pairs:
         if i not in used_r and j not in used_d:
             used_r.add(i), used_d.add(j), want.add((i, j))
-    got = selection.greedy_match(selection.candidate_pairs(
-        spark.createDataFrame(refs, "ref_id int, ref_x double, ref_y double"), spark.createDataFrame(dets, "det_id int, x double, y double"), 0.5))
-    assert {(r.ref_id, r.det_id) for r in got.collect()} == want
+    return want
+
+
+@pytest.mark.parametrize("seed,step", [(4, None), (5, None), (6, 0.25)])
+def test_matching_equals_sequential(spark, seed, step):
+    """With a step the places lie on a coarse grid: many copies and exactly equal distances."""
+    rng = np.random.default_rng(seed)
+    snap = (lambda v: np.round(v / step) * step) if step else (lambda v: v)
+    refs = [(i, float(x), float(y)) for i, (x, y) in enumerate(snap(rng.uniform(0, 1.2, (40, 2))))]
+    dets = [(j, float(x), float(y)) for j, (x, y) in enumerate(snap(rng.uniform(0, 1.2, (60, 2))))]
+    want = _sequential_match(refs, dets, 0.5)
+    r = spark.createDataFrame(refs, "ref_id int, ref_x double, ref_y double")
+    d = spark.createDataFrame(dets, "det_id int, x double, y double")
+    for pairs_per_row in (1e9, 0):
+        got = selection.match_within(r, d, 0.5, pairs_per_row)
+        assert {(m.ref_id, m.det_id) for m in got.collect()} == want
 
 
 def _flood(cells, steps):
