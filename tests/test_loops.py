@@ -38,19 +38,26 @@ def _sequential_match(refs, dets, max_dist):
     return want
 
 
-@pytest.mark.parametrize("seed,step", [(4, None), (5, None), (6, 0.25)])
-def test_matching_equals_sequential(spark, seed, step):
-    """With a step the places lie on a coarse grid: many copies and exactly equal distances."""
-    rng = np.random.default_rng(seed)
-    snap = (lambda v: np.round(v / step) * step) if step else (lambda v: v)
-    refs = [(i, float(x), float(y)) for i, (x, y) in enumerate(snap(rng.uniform(0, 1.2, (40, 2))))]
-    dets = [(j, float(x), float(y)) for j, (x, y) in enumerate(snap(rng.uniform(0, 1.2, (60, 2))))]
-    want = _sequential_match(refs, dets, 0.5)
+def test_matching_equals_sequential(spark):
+    rng = np.random.default_rng(4)
+    refs = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 1.2, (40, 2)))]
+    dets = [(j, float(x), float(y)) for j, (x, y) in enumerate(rng.uniform(0, 1.2, (60, 2)))]
+    r = spark.createDataFrame(refs, "ref_id int, ref_x double, ref_y double")
+    d = spark.createDataFrame(dets, "det_id int, x double, y double")
+    got = {(m.ref_id, m.det_id) for m in selection.match_within(r, d, 0.5).collect()}
+    assert got == _sequential_match(refs, dets, 0.5)
+
+
+def test_crowded_matching_equals_sequential(spark):
+    """Stacks of copies, some exactly as close to a place as others."""
+    spots_r = [(0.0, 0.0)] * 9 + [(0.25, 0.0)] * 2 + [(3.0, 0.0)]
+    spots_d = [(0.125, 0.0)] * 3 + [(0.0, 0.0)] * 5 + [(3.1, 0.0)] * 4
+    refs = [(i, x, y) for i, (x, y) in zip([5, 1, 9, 0, 7, 2, 11, 3, 8, 4, 10, 6], spots_r)]
+    dets = [(j, x, y) for j, (x, y) in enumerate(spots_d)]
     r = spark.createDataFrame(refs, "ref_id int, ref_x double, ref_y double")
     d = spark.createDataFrame(dets, "det_id int, x double, y double")
-    for pairs_per_row in (1e9, 0):
-        got = selection.match_within(r, d, 0.5, pairs_per_row)
-        assert {(m.ref_id, m.det_id) for m in got.collect()} == want
+    got = {(m.ref_id, m.det_id) for m in selection._match_crowded(r, d, 0.5, steps=2).collect()}
+    assert got == _sequential_match(refs, dets, 0.5)
 
 
 def _flood(cells, steps):
