@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopyframe.ranking import percentiles_by
-from canopyframe.runtime import BROADCAST_LIMIT, fits_one_task, salted_join
+from canopyframe.runtime import BROADCAST_LIMIT, cut_lineage, fits_one_task, salted_join
 from canopyframe.spatial import cell, range_join, spread, with_cells
 
 GROUND_KEYS = ["tile_id", "gx", "gy"]
@@ -28,6 +28,8 @@ def normalize_height(points: DataFrame, ground: DataFrame, size: float = 0.5,
     ``default_ground`` uses the median cell ground instead of null, and the
     lowest point of the tile when no cell has a ground at all.
     """
+    if default_ground:
+        ground = cut_lineage(ground)  # cells are read for the join and for the median
     keyed = with_cells(points, size, names=("gx", "gy"))
     out = salted_join(keyed, ground.select(*GROUND_KEYS, "ground"), GROUND_KEYS, "left")
     level = F.col("ground")

@@ -131,6 +131,7 @@ def composite_index(metrics: DataFrame, parts: dict[str, tuple[str, ...]] | None
     """
     parts = parts or SUB_INDICES
     weights = weights or INDEX_WEIGHTS
+    metrics = cut_lineage(metrics)  # one row per segment, read for the percentiles and again for the scores
     have = {n: tuple(m for m in ms if m.lstrip("-") in metrics.columns) for n, ms in parts.items()}
     used = sorted({m.lstrip("-") for ms in have.values() for m in ms})
     specs = {}
