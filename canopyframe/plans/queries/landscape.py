@@ -20,10 +20,9 @@ def _chm(src):
 
 def components_sql(name: str, nodes: str) -> str:
     """Smallest id of each 4-connected component; ``nodes`` has ``id, ix, iy, scope``."""
-    return f"""{name}_e as materialized (select a.id as a, b.id as b from {nodes} a join {nodes} b on a.scope = b.scope and
-      ((b.ix = a.ix + 1 and b.iy = a.iy) or (b.ix = a.ix and b.iy = a.iy + 1))
-      union all select b.id, a.id from {nodes} a join {nodes} b on a.scope = b.scope and
-      ((b.ix = a.ix + 1 and b.iy = a.iy) or (b.ix = a.ix and b.iy = a.iy + 1))),
+    return f"""{name}_e as materialized (select a.id as a, b.id as b from (select n.*, s.dx, s.dy from {nodes} n
+        cross join (values (1, 0), (-1, 0), (0, 1), (0, -1)) as s(dx, dy)) a
+      join {nodes} b on b.scope = a.scope and b.ix = a.ix + a.dx and b.iy = a.iy + a.dy),
     {name}(id, comp) using key (id) as (
       select id, id from {nodes}
       union
