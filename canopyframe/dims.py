@@ -31,7 +31,7 @@ SPECIES_ABBREVIATIONS = {
 }
 
 # fixed values: annotation category -> species of the image training set
-CATEGORY_SPECIES = {"spruce": "spruce", "birch": "birch", "pine": "pine"}
+CATEGORY_SPECIES = {6: "spruce", 7: "birch", 8: "pine"}
 
 # fixed values: cyclic colours for tree labels
 PALETTE = ((230, 100, 90), (90, 200, 120), (95, 160, 240), (240, 190, 80), (200, 120, 230), (90, 210, 210),

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from canopyframe.operators.circles import moments, residuals, solve
 from canopyframe.operators.components import connected_components
-from canopyframe.operators.ground import (ground_model, height_band, normalize_height, stem_ground,
-                                          tree_height)
+from canopyframe.operators.ground import (ground_model, height_band, merge_scans, normalize_height,
+                                          stem_ground, tree_height)
 from canopyframe.operators.selection import suppress_near
 from canopyframe.ranking import percentiles_by, running_total
 from canopyframe.runtime import cut_lineage, salted_join
@@ -223,3 +223,21 @@ def scene_origin(places: DataFrame, keys: list[str]) -> DataFrame:
                                      F.min("foot_z").alias("origin_z"))
 
 
+def plot_center(origins: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Mean position of the scanner set-ups ``tx, ty``."""
+    return origins.groupBy(*(keys or [])).agg(F.avg("tx").alias("center_x"), F.avg("ty").alias("center_y"))
+
+
+def plot_inventory(scans: list[DataFrame], center: tuple[float, float], plot_radius: float = 15.0,
+                   p: InventoryParams = STAND) -> DataFrame:
+    """Stems of a circular plot from several registered scans.
+
+    The clouds are cut with a 3 m margin, stems outside the plot are dropped.
+    """
+    plot = cut_lineage(merge_scans(scans, *center, plot_radius))  # a small cut of the scans that later steps read often
+    stems = detect_stems(plot, p)
+    return stems.where(F.hypot(F.col("x") - center[0], F.col("y") - center[1]) <= plot_radius)
+
+
+def plot_area_ha(plot_radius: float) -> float:
+    return math.pi * plot_radius ** 2 / 10_000

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from canopyframe import dims
-from canopyframe.functions import colour, geometry
+from canopyframe.functions import colour, geometry, species
 from canopyframe.operators import cylinders as cyl
 from canopyframe.operators import growth, jobs, learning, scenes
 from canopyframe.operators import pixels as px
@@ -135,6 +135,16 @@ def _(src):
     return growth.species_code(_named_trees(src), "species_text")
 
 
+@register("species_names", "tree_id:i common_name training_species",
+          """select tree_id, case tree_id % 4 when 0 then 'sessile oak' when 1 then 'European beech' when 2 then 'Scots pine' else 'Xyz' end as common_name,
+               case tree_id % 10 when 6 then 'spruce' when 7 then 'birch' when 8 then 'pine' end as training_species from trees""", "trees")
+def _(src):
+    t = F.col("tree_id")
+    short = F.when(t % 4 == 0, "QuePet").when(t % 4 == 1, "FagSyl").when(t % 4 == 2, "PinSyl").otherwise("Xyz")
+    return src("trees").select("tree_id", species.species_of_tree_key(F.concat(short, F.lit("_BR01_01"))).alias("common_name"),
+                               species.species_of_category((t % 10).cast("int")).alias("training_species"))
+
+
 @register("treelist_export", "tree_id:i species_code:i dbh_cm:4 height_m:4 x:4 y:4",
           f"with {TREELIST_SQL} select tree_id, species_code, dbh_cm, height_m, x, y from tl where height_m is not null", "trees")
 def _(src):
