@@ -338,13 +338,16 @@ def _(src):
     return cam.zenith_fisheye(p.where("row = 0 and col = 0"), p, 8, 8, 8)
 
 
-@register("pano_blend", "pano_id:i out_row:i out_col:i r:3 g:3 b:3",
-          """with k as (select camera_id // 5 as pano_id, camera_id as image_id, qw*qw - qz*qz as c, 2*qw*qz as s from cameras),
+BLEND = """k as (select camera_id // 5 as pano_id, camera_id as image_id, qw*qw - qz*qz as c, 2*qw*qz as s from cameras),
              ray as (select k.*, i // 32 as out_row, i % 32 as out_col, (i % 32 + 0.5e0)/32*2*pi() - pi() as lon, pi()/2 - (i // 32 + 0.5e0)/16*pi() as lat
                from k cross join range(512) as t(i)),
              d as (select *, cos(lat)*cos(lon)*(-s) + cos(lat)*sin(lon)*c as al, cos(lat)*cos(lon)*c + cos(lat)*sin(lon)*s as a, sin(lat) as bb from ray),
              uv as (select *, 4 + 5*(a/al) as u, 4 - 5*(bb/al) as v from d where al > 1e-6),
-             tap as (select *, pow(least(al, 1), 3) as w from uv where u >= 0 and u < 8 and v >= 0 and v < 8)
+             tap as (select *, pow(least(al, 1), 3) as w from uv where u >= 0 and u < 8 and v >= 0 and v < 8)"""
+
+
+@register("pano_blend", "pano_id:i out_row:i out_col:i r:3 g:3 b:3",
+          f"""with {BLEND}
              select pano_id, out_row, out_col, sum(w*r)/sum(w) as r, sum(w*g)/sum(w) as g, sum(w*b)/sum(w) as b
              from tap t join pixels p on p.image_id = t.image_id and p.row = floor(v) and p.col = floor(u)
              where (r + g + b)/3e0 > 8 group by 1, 2, 3""", "pixels cameras")
@@ -357,7 +360,10 @@ def _blend_cameras(src):
                                 F.lit(5.0).alias("fpx"), F.lit(4.0).alias("cx"), F.lit(4.0).alias("cy"), F.lit(8).alias("width"), F.lit(8).alias("height"))
 
 
-@register("pano_coverage", "pano_id:i coverage_pct:4")
+@register("pano_coverage", "pano_id:i coverage_pct:4",
+          f"""with {BLEND} select pano_id, count(distinct (out_row, out_col))*100e0/512 as coverage_pct
+             from tap t join pixels p on p.image_id = t.image_id and p.row = floor(v) and p.col = floor(u)
+             where (r + g + b)/3e0 > 8 group by 1""", "pixels cameras")
 def _(src):
     return cam.coverage(cam.pano_blend(_blend_cameras(src), src("pixels"), 32), ["pano_id"], 32, 16)
 

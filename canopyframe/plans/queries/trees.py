@@ -79,7 +79,17 @@ def _(src):
     return singletree.gated_fit(src("points").where("class <= 1 and z between 1.0 and 1.6"))
 
 
-@register("classified_tree_metrics", "label:i base_z:5 height_m:5 leaf_share_pct:5 n_points:i")
+@register("classified_tree_metrics", "label:i x:5 y:5 base_z:5 height_m:5 dbh_cm:3 leaf_share_pct:7 n_points:i",
+          f"""with {SLICE_SQL}, sl as (select * from rel where rel_z between 1.2e0 and 1.4e0 and class = 0), {_gated_oracle()},
+              q as (select s.label, sqrt(avg(pow(sqrt((x-cx)*(x-cx) + (y-cy)*(y-cy)) - radius_m, 2))) as rms,
+                  count(distinct least(floor((degrees(atan2(y-cy, x-cx)) + 180)/10), 35))*10 as arc
+                from sl join s6 s on s.label = sl.label where sqrt((x-px)*(x-px) + (y-py)*(y-py)) <= pgate group by 1),
+              tot as (select label, max(base_z) as base_z, max(rel_z) as height_m, avg(x) as mx, avg(y) as my, count(*) as n_points,
+                100*avg(case when class = 1 then 1e0 else 0e0 end) as leaf_share_pct from rel group by 1)
+              select t.label, base_z, height_m, n_points, leaf_share_pct, case when radius_m is not null then cx else mx end as x,
+                case when radius_m is not null then cy else my end as y,
+                case when radius_m between 0.02e0 and 1.2e0 and rms <= 0.03e0 and arc >= 180 then radius_m*200 end as dbh_cm
+              from tot t left join s6 s on s.label = t.label left join q on q.label = t.label""", "points")
 def _(src):
     return singletree.classified_tree_metrics(src("points"))
 
