@@ -262,20 +262,20 @@ def _plot_sql() -> str:
         if old not in text:
             raise ValueError(f"oracle fragment changed: {old}")
         text = text.replace(old, new)
-    return "plot as (select * from points where sqrt((x-62.1e0)*(x-62.1e0) + (y-6.1e0)*(y-6.1e0)) <= 18.0e0), " + text
+    return "plot as (select * from points where sqrt((x-18.1e0)*(x-18.1e0) + (y-2.1e0)*(y-2.1e0)) <= 18.0e0), " + text
 
 
 @register("plot_summary", "n_stems:i stems_per_ha:3 basal_area_m2_ha:5 dbh_mean_cm:4 dg_cm:4 height_mean_m:4 stock_m3_ha:4 n_heights:i sdi:2 structure",
           f"""with recursive {_plot_sql()}, s as (select count(*) as n_stems, sum(basal_area_m2) as ba, avg(dbh_cm) as dbh_mean_cm, sqrt(avg(dbh_cm*dbh_cm)) as dg_cm,
                 avg(case when observed > 3 then observed end) as height_mean_m, sum(case when observed > 3 then basal_area_m2*observed*0.5e0 end) as stock,
                 count(case when observed > 3 then 1 end) as n_heights, stddev_pop(dbh_cm) as sd, pi()*225/10000 as ha
-                from final where sqrt((fit_x-62.1e0)*(fit_x-62.1e0) + (fit_y-6.1e0)*(fit_y-6.1e0)) <= 15)
+                from final where sqrt((fit_x-18.1e0)*(fit_x-18.1e0) + (fit_y-2.1e0)*(fit_y-2.1e0)) <= 15 group by tile_id)
               select n_stems, n_stems/ha as stems_per_ha, ba/ha as basal_area_m2_ha, dbh_mean_cm, dg_cm, height_mean_m, stock/ha as stock_m3_ha, n_heights,
                 n_stems/ha*pow(dg_cm/25, 1.605e0) as sdi, case when sd < 10 then 'single-layered' else 'multi-layered' end as structure from s""", "points")
 def _(src):
     pts = src("points")
     scans = [pts.where(F.col("class") == c).select("tile_id", "point_idx", "x", "y", "z") for c in (0, 1, 2)]
-    stems = inventory.plot_inventory(scans, (62.1, 6.1))
+    stems = inventory.plot_inventory(scans, (18.1, 2.1))
     return inventory.stand_summary(stems, inventory.plot_area_ha(15.0), ["tile_id"])
 
 
