@@ -174,20 +174,26 @@ def _tokenise(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], t
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns of ``docs`` (or ``keep``) and ``token_bytes``: ids as little-endian unsigned 32-bit integers.
+    """Columns of ``docs`` (or ``keep``), ``n_tokens`` and ``ids``.
 
     Null and empty texts have no ids. Repeated rows are encoded each, no rows give none.
-    A column of ``docs`` called ``token_bytes`` is replaced.
+    Columns of ``docs`` called ``n_tokens`` or ``ids`` are replaced.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "token_bytes"]
-    return _tokenise(docs, ranks_path, pattern, keep, text_col, "token_bytes binary",
-                     lambda coder, text: (coder.encode(text.decode("utf-8", "replace")),))
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "ids")]
 
+    def ids(coder: Encoder, text: bytes) -> tuple[int, np.ndarray]:
+        found = np.frombuffer(coder.encode(text.decode("utf-8", "replace")), "<i4")
+        return len(found), found
 
-def decode(rows: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_bytes", keep: list[str] | None = None) -> DataFrame:
+    return _tokenise(docs, ranks_path, pattern, keep, text_col, "n_tokens bigint, ids array<int>", ids)
+
+
+def decode(rows: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Columns of ``rows`` and ``decoded``, the bytes that the ids stand for; null ids give none."""
     keep = [c for c in (rows.columns if keep is None else keep) if c not in ("decoded", ids_col)]
-    return _tokenise(rows, ranks_path, pattern, keep, ids_col, "decoded binary", lambda coder, ids: (coder.decode(ids),))
+    packed = rows.withColumn("ids_text", F.array_join(F.col(ids_col), " "))
+    return _tokenise(packed, ranks_path, pattern, keep, "ids_text", "decoded binary",
+                     lambda coder, ids: (coder.decode(np.array(ids.split(), "<u4").tobytes()),))
 
 
 def _digest(coder: Encoder, text: bytes) -> tuple[int, str, str]:

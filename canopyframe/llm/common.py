@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopyframe.runtime import ensure_checkpoint_dir
+
 #: A word is a run of characters other than the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -45,3 +49,21 @@ def binary_batches(batches: Iterator[pa.RecordBatch], column: str, rows: int = 5
             ends = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8)
             raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
             yield batch, raw[ends[0]:ends[-1]], ends - ends[0]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a Parquet table in the checkpoint folder and read it back.
+
+    Like a checkpoint it outlives lost executors and cuts the lineage, but columns
+    are compressed and later reads can skip some. The tables stay until the folder
+    is emptied.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver find shuffles that nothing uses any more, so that executors can delete their files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

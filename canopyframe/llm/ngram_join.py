@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyframe.llm.common import binary_batches
+from canopyframe.llm.common import binary_batches, release, stored
 from canopyframe.llm.links import components
 from canopyframe.llm.shingles import mix, shingle_sets
 from canopyframe.runtime import cut_lineage
@@ -232,12 +232,12 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    measured = cut_lineage(_measure(texts, words))
+    measured = stored(_measure(texts, words))
     order = spark.sparkContext.broadcast(_Order(_frequencies(measured)))  # two numbers per counter
     members = measured.where(F.col("slice").isNull()).select("doc_id", "n", "sid")
     rows = _prefixes(texts.select("_text"), words, percent, order)
     keys = ["tok", "salt"]
-    chained = cut_lineage(_chain(rows.repartition(*keys).sortWithinPartitions(*keys, "n", "sid")))
+    chained = stored(_chain(rows.repartition(*keys).sortWithinPartitions(*keys, "n", "sid")))
     buckets = chained.select("tok", "sid", "n").unionByName(chained.where(F.col("prev") == F.col("head")).select("tok", F.col("head").alias("sid"), F.col("head_n").alias("n")))
     # the heads of a split bucket meet in a chain of their own
     heads = chained.select("tok", F.lit(0).cast("smallint").alias("salt"), F.col("head").alias("sid"), F.col("head_n").cast("int").alias("n")).distinct()
@@ -249,7 +249,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     # one document per set that has company gives the set's n-grams
     company = chained.select("sid").unionByName(chained.select(F.col("head").alias("sid"))).distinct()
     chosen = members.where(F.col("n") > 0).join(company, "sid", "left_semi").groupBy("sid", "n").agg(F.min("doc_id").alias("doc_id"))
-    sets = cut_lineage(_sets(texts.join(chosen.select("doc_id", "sid"), "doc_id").select("sid", "_text"), words, order))
+    release(spark)
+    sets = stored(_sets(texts.join(chosen.select("doc_id", "sid"), "doc_id").select("sid", "_text"), words, order))
+    release(spark)
     # first the partners that most buckets name
     ends = pairs.select(F.explode(F.array("a", "b")).alias("x"), F.struct("times", "a", "b", "na", "nb").alias("p"))
     best = ends.groupBy("x").agg(F.max("p").alias("p1"), F.max_by("p", F.struct(F.xxhash64("p.a", "p.b"))).alias("p2"))

@@ -199,18 +199,17 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     is part of every permutation; without it pseudonyms can't be traced back. Equal
     rows give equal rows. A column of ``docs`` called ``pii`` is replaced.
     """
-    text = F.col(f"`{text_col}`")
-    names = [c for c in docs.columns if c not in ("pii", "_found", "_matches")]
-    hit = text.rlike(ANY)
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.when(hit, F.regexp_extract_all(text, F.lit(ANY), 0)).alias("_matches"))
-    rows = rows.withColumn("_found", F.transform("_matches", lambda m: F.struct(m.alias("m"), _replace(m, key).alias("r"))))
-    pieces = F.split(text, ANY, -1)
-    new = F.concat(F.transform("_found", lambda f: F.coalesce(f["r"]["value"], f["m"])), F.array(F.lit("")))
-    masked = F.when(F.col("_matches").isNull(), text).otherwise(
-        F.array_join(F.zip_with(pieces, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
-    pii = F.coalesce(F.filter(F.transform("_found", lambda f: f["r"]), lambda r: r.isNotNull()),
+    names = [c for c in docs.columns if c != "pii"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    text = F.col("text")
+    rows = rows.withColumn("matches", F.when(text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), 0)))
+    rows = rows.withColumn("found", F.transform("matches", lambda m: F.struct(m.alias("m"), _replace(m, key).alias("r"))))
+    new = F.concat(F.transform("found", lambda f: F.coalesce(f["r"]["value"], f["m"])), F.array(F.lit("")))
+    masked = F.when(F.col("matches").isNull(), text).otherwise(
+        F.array_join(F.zip_with(F.split(text, ANY, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
+    pii = F.coalesce(F.filter(F.transform("found", lambda f: f["r"]), lambda r: r.isNotNull()),
                      F.array().cast("array<struct<kind:string,value:string>>"))
-    return rows.select(*[masked.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], pii.alias("pii"))
+    return rows.select(*[(masked if c == text_col else F.col(f"doc.`{c}`")).alias(c) for c in names], pii.alias("pii"))
 
 
 def op5_feistel_pii(docs: DataFrame, key: str = "canopyframe") -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from canopyframe.llm import byte_bpe, chat, kd_shards, ngram_join, pareto_mix, pii, quality, url_filter
+from canopyframe.llm import byte_bpe, chat, kd_shards, ngram_join, pareto_mix, pii, pivot_index, quality, suffix_dedup, url_filter
 from canopyframe.llm.common import table
 
 
@@ -17,13 +18,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": lambda spark, d: suffix_dedup.op1_suffix_dedup(table(spark, d, "documents")),
     "op2_byte_bpe": op2,
     "op3_ngram_jaccard": lambda spark, d: ngram_join.op3_ngram_jaccard(table(spark, d, "documents")),
     "op4_chat_format": lambda spark, d: chat.op4_chat_format(table(spark, d, "conversations")),
     "op5_feistel_pii": lambda spark, d: pii.op5_feistel_pii(table(spark, d, "documents")),
     "op6_quality_rules": lambda spark, d: quality.op6_quality(table(spark, d, "documents")),
     "op7_url_filter": lambda spark, d: url_filter.op7_url_filter(table(spark, d, "pages")),
+    "op8_pivot_index": lambda spark, d: pivot_index.op8_pivot_index(table(spark, d, "embeddings")),
     "op9_kd_shards": lambda spark, d: kd_shards.op9_kd_shards(table(spark, d, "documents")),
+    "pipeline": corpus_pipeline.run,
     "op10_pareto_mix": lambda spark, d: pareto_mix.mixed_sizes(table(spark, d, "documents")),
 }
 
