@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from canopyframe.llm.common import binary_batches, release, stored
 from canopyframe.llm.shingles import mix
 
-GRAM = 32
+GRAM = 64
 #: Bytes to which multikey quicksort goes; blind tries order what is equal so far.
 SHALLOW = 24
 #: Bytes compared as one symbol.
 SYMBOL = 8
 #: Different surroundings of an anchor that one task sorts; larger buckets are split by window.
-BUCKET = 4000
+BUCKET = 50_000
 #: Bytes of text whose anchors are looked for at a time.
 STRETCH = 1 << 20
 
@@ -37,11 +37,13 @@ _FACTORS = mix(np.arange(301, 341, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes that start at each position."""
+    """Hash of the GRAM bytes that start at each position, put together from halves."""
     h, step, k = _TABLE[data], 1, 0
-    while step < GRAM:
+    while step * 2 <= GRAM:
         h = h[:-step] * _FACTORS[k] + h[step:]
         step, k = step * 2, k + 1
+    if step < GRAM:  # two overlapping halves
+        h = h[:step - GRAM] * _FACTORS[k] + h[GRAM - step:]
     return mix(h) | np.uint64(1)
 
 
@@ -275,7 +277,8 @@ def _cut_texts(texts: DataFrame, at: DataFrame) -> DataFrame:
 
 def _repeated(texts: DataFrame, length: int) -> DataFrame:
     """``h, c, doc_id, crc, at, before, after`` of the anchors whose gram occurs twice or more."""
-    anchors = stored(_find_anchors(texts, length))
+    # the anchors are found twice rather than kept: reading texts costs less than a table of all anchors
+    anchors = _find_anchors(texts, length)
     twice = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("h")
     return stored(anchors.join(twice, "h", "left_semi"))
 
@@ -290,11 +293,12 @@ def _reaches(texts: DataFrame, spots: DataFrame, length: int, bucket: int) -> Da
         (F.col("times") > 1) & (F.col("one.before") + F.col("one.after") >= length)).select(
         "h", "c", F.col("one.before").cast("int").alias("reach_back"), F.col("one.after").cast("int").alias("reach"))
     sortable = around.join(sizes.where(F.col("kinds") > 1), "h").select("h", "c", "times", "one.*")
-    cut = stored(_cut_texts(texts, sortable))
-    release(texts.sparkSession)
-    large = sizes.where(F.col("kinds") > bucket).select("h")
-    small = cut.join(large, "h", "left_anti").repartition("h").sortWithinPartitions("h").select("h", "c", "left", "right", "times")
-    return stored(alone.unionByName(_sort_buckets(small, length)).unionByName(_split_buckets(cut.join(large, "h", "left_semi"), length)))
+    large = stored(sizes.where(F.col("kinds") > bucket).select("h"))
+    small = _cut_texts(texts, sortable.join(large, "h", "left_anti")).repartition("h").sortWithinPartitions("h")
+    found = alone.unionByName(_sort_buckets(small.select("h", "c", "left", "right", "times"), length))
+    if large.take(1):
+        found = found.unionByName(_split_buckets(_cut_texts(texts, sortable.join(large, "h", "left_semi")), length))
+    return stored(found)
 
 
 def _spans(docs: DataFrame, length: int, bucket: int) -> DataFrame:
