@@ -30,8 +30,6 @@ SLICES = 64
 FRAGMENTS = 4
 #: Estimated rows of an n-gram's bucket that one task chains.
 BUCKET = 20_000
-#: Partners per set that are counted in the first round.
-PARTNERS = 2
 
 
 def _signature(tokens: np.ndarray) -> int:
@@ -41,6 +39,14 @@ def _signature(tokens: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+def _bitmap(tokens: np.ndarray) -> bytes:
+    """A bit per n-gram, set by its hash; about two places per n-gram."""
+    width = max(64, 1 << int(2 * len(tokens) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[((tokens >> np.uint64(23)) & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def _groups(rows: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     cuts = np.flatnonzero(np.diff(rows)) + 1
     for part in np.split(np.arange(len(rows)), cuts) if len(rows) else []:
@@ -48,36 +54,36 @@ def _groups(rows: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[int, np.ndar
 
 
 def _measure(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n, sid`` per document and, with null ids, the counters of the sketch in slices."""
+    """``doc_id, n, sid, bits`` per document and, with null ids, the counters of the sketch in slices."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         for batch, data, ends in binary_batches(batches, "_text"):
             rows, tokens = shingle_sets(data, ends, words)
             counts += np.bincount((tokens % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS) if len(tokens) else 0
             n = np.bincount(rows, minlength=batch.num_rows) if len(rows) else np.zeros(batch.num_rows, np.int64)
-            sid = np.zeros(batch.num_rows, np.int64)
+            sid, bits = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
             for r, found in _groups(rows, tokens):
-                sid[r] = _signature(found)
-            blank = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sid), *blank], names=["doc_id", "n", "sid", "slice", "counts"])
+                sid[r], bits[r] = _signature(found), _bitmap(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sid), pa.nulls(batch.num_rows, pa.int32()), pa.array(bits, pa.binary())],
+                                             names=["doc_id", "n", "sid", "slice", "bits"])
         parts = np.minimum(counts, 255).astype(np.uint8).reshape(SLICES, -1)
         used = [i for i in range(SLICES) if parts[i].any()]
         nulls = pa.nulls(len(used), pa.int64())
         yield pa.RecordBatch.from_arrays([nulls, nulls, nulls, pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())],
-                                         names=["doc_id", "n", "sid", "slice", "counts"])
+                                         names=["doc_id", "n", "sid", "slice", "bits"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, sid bigint, slice int, counts binary")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, sid bigint, slice int, bits binary")
 
 
 def _add_slices(table: pa.Table) -> pa.Table:
-    total = sum((np.frombuffer(c.as_py(), np.uint8).astype(np.int64) for c in table.column("counts")), np.zeros(COUNTERS // SLICES, np.int64))
+    total = sum((np.frombuffer(c.as_py(), np.uint8).astype(np.int64) for c in table.column("bits")), np.zeros(COUNTERS // SLICES, np.int64))
     return pa.table({"slice": table.column("slice").slice(0, 1), "total": pa.array([total.tobytes()], pa.binary())})
 
 
 def _frequencies(measured: DataFrame) -> np.ndarray:
     """Estimated documents per counter; COUNTERS numbers, whatever the input."""
     out = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
-    slices = measured.where(F.col("slice").isNotNull()).select("slice", "counts")
+    slices = measured.where(F.col("slice").isNotNull()).select("slice", "bits")
     for r in slices.groupBy("slice").applyInArrow(_add_slices, "slice int, total binary").collect():
         out[r["slice"]] = np.frombuffer(r["total"], np.int64)
     return out.reshape(-1)
@@ -190,12 +196,40 @@ def _pair(x: str, y: str, nx: str, ny: str):
                     F.when(swap, F.col(nx)).otherwise(F.col(ny)).alias("nb"))
 
 
+def _may_link(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose bitmaps differ in no more places than n-grams may differ.
+
+    A place set in one bitmap only is an n-gram of one set only, so no link is lost;
+    of two widths the larger is folded.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, left, right in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+                a, b = int.from_bytes(left, "little"), int.from_bytes(right, "little")
+                wa, wb = len(left) * 8, len(right) * 8
+                while wa > wb:
+                    wa //= 2
+                    a = (a >> wa) | (a & ((1 << wa) - 1))
+                while wb > wa:
+                    wb //= 2
+                    b = (b >> wb) | (b & ((1 << wb) - 1))
+                keep.append((a ^ b).bit_count() * (100 + percent) <= (100 - percent) * (na + nb))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = (bitmaps.select(F.col("sid").alias(k), F.col("bits").alias(f"{k}_bits")) for k in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "a_bits", "b_bits").mapInArrow(
+        run, "a bigint, b bigint, na bigint, nb bigint")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that link: overlaps counted per fragment, then summed."""
     left = sets.select(F.col("sid").alias("a"), "frag", F.col("toks").alias("left"))
     right = sets.select(F.col("sid").alias("b"), "frag", F.col("toks").alias("right"))
     partial = pairs.join(left, "a").join(right, ["b", "frag"]).select(
-        "a", "b", "na", "nb", F.size(F.array_intersect("left", "right")).alias("part"))
+        "a", "b", "na", "nb", "frag", F.size(F.array_intersect("left", "right")).alias("part"))
+    # repeated rows give a set twice: count it once
+    partial = partial.groupBy("a", "b", "na", "nb", "frag").agg(F.max("part").alias("part"))
     both = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
     return both.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
 
@@ -208,6 +242,8 @@ def _sets(docs: DataFrame, words: int, order) -> DataFrame:
             sids = batch.column(0).to_pylist()
             out_sid, out_frag, out = [], [], []
             for r, found in _groups(*shingle_sets(data, ends, words)):
+                if _signature(found) != sids[r]:  # another text with the same id
+                    continue
                 frag = known.fragments(found)
                 for f in range(FRAGMENTS):
                     part = found[frag == f]
@@ -228,13 +264,14 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     Sets hold the distinct shingles of ``words`` words (A-Z lower-cased), the whole
     sequence if there are fewer. Two documents link when 100 * intersection >=
     ``percent`` * union. A null or empty text, or one of blanks, has no shingles and
-    links with nothing. Equal sets, so also repeated rows, are linked. No rows give none.
+    links with nothing. Equal sets, so also repeated rows, are linked. A row without an
+    id links with its equals only, and has their smallest id. No rows give none.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     measured = stored(_measure(texts, words))
     order = spark.sparkContext.broadcast(_Order(_frequencies(measured)))  # two numbers per counter
-    members = measured.where(F.col("slice").isNull()).select("doc_id", "n", "sid")
+    members = measured.where(F.col("slice").isNull()).select("doc_id", "n", "sid", "bits")
     rows = _prefixes(texts.select("_text"), words, percent, order)
     keys = ["tok", "salt"]
     chained = stored(_chain(rows.repartition(*keys).sortWithinPartitions(*keys, "n", "sid")))
@@ -244,35 +281,44 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     split = _chain(heads.repartition(*keys).sortWithinPartitions(*keys, "n", "sid"))
     met = chained.unionByName(split)
     pairs = met.select(F.explode(F.array(_pair("sid", "prev", "n", "prev_n"), _pair("sid", "head", "n", "head_n"))).alias("p")).select("p.*")
-    pairs = pairs.where((F.col("a") != F.col("b")) & _near("na", "nb", percent)).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("times"))
-    pairs = cut_lineage(pairs)
-    # one document per set that has company gives the set's n-grams
-    company = chained.select("sid").unionByName(chained.select(F.col("head").alias("sid"))).distinct()
-    chosen = members.where(F.col("n") > 0).join(company, "sid", "left_semi").groupBy("sid", "n").agg(F.min("doc_id").alias("doc_id"))
+    pairs = pairs.where((F.col("a") != F.col("b")) & _near("na", "nb", percent)).select("a", "b", "na", "nb").distinct()
+    release(spark)
+    bitmaps = stored(members.where(F.col("n") > 0).groupBy("sid").agg(F.min_by("bits", "doc_id").alias("bits"), F.min("doc_id").alias("doc_id")))
+    likely = stored(_may_link(pairs.select("a", "b", "na", "nb"), bitmaps, percent))
+    # first up to three partners of each set
+    ends = likely.select(F.explode(F.array("a", "b")).alias("x"), F.struct(F.xxhash64("a", "b").alias("h"), "a", "b", "na", "nb").alias("p"))
+    best = ends.groupBy("x").agg(F.min("p").alias("p1"), F.max("p").alias("p2"), F.min_by("p", F.struct(F.xxhash64("p.h"))).alias("p3"))
+    first = stored(best.select(F.explode(F.array("p1", "p2", "p3")).alias("p")).select("p.a", "p.b", "p.na", "p.nb").distinct())
     release(spark)
-    sets = stored(_sets(texts.join(chosen.select("doc_id", "sid"), "doc_id").select("sid", "_text"), words, order))
+    sets = stored(_sets(texts.join(_readers(first, bitmaps), "doc_id").select("sid", "_text"), words, order))
     release(spark)
-    # first the partners that most buckets name
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("x"), F.struct("times", "a", "b", "na", "nb").alias("p"))
-    best = ends.groupBy("x").agg(F.max("p").alias("p1"), F.max_by("p", F.struct(F.xxhash64("p.a", "p.b"))).alias("p2"))
-    first = cut_lineage(best.select(F.explode(F.array("p1", "p2")).alias("p")).select("p.a", "p.b", "p.na", "p.nb").distinct())
     links = cut_lineage(_similar(first, sets, percent))
     roots = components(links)
     # then all pairs of a bucket that lie in different components
-    placed = cut_lineage(buckets.distinct().join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("tok", "sid", "n", F.coalesce("root", "sid").alias("root")))
+    placed = stored(buckets.distinct().join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("tok", "sid", "n", F.coalesce("root", "sid").alias("root")))
     mixed = placed.groupBy("tok").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("tok")
     open_rows = placed.join(mixed, "tok")
     x = open_rows.select("tok", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
     y = open_rows.select("tok", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
     rest = (x.join(y, "tok").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _near("na", "nb", percent))
             .select("a", "b", "na", "nb").distinct().join(first, ["a", "b", "na", "nb"], "left_anti"))
-    more = cut_lineage(_similar(cut_lineage(rest), sets, percent))
+    rest = stored(_may_link(rest, bitmaps, percent))
+    release(spark)
+    lacking = _readers(rest, bitmaps).join(sets.select("sid").distinct(), "sid", "left_anti")
+    sets = sets.unionByName(stored(_sets(texts.join(lacking, "doc_id").select("sid", "_text"), words, order)))
+    more = cut_lineage(_similar(rest, sets, percent))
     roots = cut_lineage(components(links.unionByName(more)))
-    named = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
+    named = members.drop("bits").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
         "root", F.when(F.col("n") > 0, F.coalesce("root", "sid")))
     least = named.where(F.col("n") > 0).groupBy("root").agg(F.min("doc_id").alias("least"))
     return named.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def _readers(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """``doc_id, sid``: for each set in ``pairs`` the document to read it from."""
+    sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    return bitmaps.join(sids, "sid", "left_semi").select("doc_id", "sid")
+
+
 def op3_ngram_jaccard(docs: DataFrame) -> DataFrame:
     return jaccard_components(docs)
