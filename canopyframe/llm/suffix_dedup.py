@@ -279,7 +279,9 @@ def _repeated(texts: DataFrame, length: int) -> DataFrame:
     """``h, c, doc_id, crc, at, before, after`` of the anchors whose gram occurs twice or more."""
     # the anchors are found twice rather than kept: reading texts costs less than a table of all anchors
     anchors = _find_anchors(texts, length)
-    twice = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("h")
+    twice = stored(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("h"))
+    release(texts.sparkSession)
+    # a table of its own on the other side lets Spark split the join at a very common anchor
     return stored(anchors.join(twice, "h", "left_semi"))
 
 
