@@ -28,6 +28,8 @@ COUNTERS = 1 << 21
 SLICES = 64
 #: Fragments of the n-gram order.
 FRAGMENTS = 4
+#: Most rounds that join components by single pairs before all remaining pairs are counted.
+ROUNDS = 5
 #: Estimated rows of an n-gram's bucket that one task chains.
 BUCKET = 20_000
 
@@ -40,8 +42,8 @@ def _signature(tokens: np.ndarray) -> int:
 
 
 def _bitmap(tokens: np.ndarray) -> bytes:
-    """A bit per n-gram, set by its hash; about two places per n-gram."""
-    width = max(64, 1 << int(2 * len(tokens) - 1).bit_length())
+    """A bit per n-gram, set by its hash; four to eight places per n-gram."""
+    width = max(64, 1 << int(4 * len(tokens) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[((tokens >> np.uint64(23)) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -293,15 +295,27 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     sets = stored(_sets(texts.join(_readers(first, bitmaps), "doc_id").select("sid", "_text"), words, order))
     release(spark)
     links = cut_lineage(_similar(first, sets, percent))
-    roots = components(links)
+    members_of = stored(buckets.distinct())
+    have = cut_lineage(sets.select("sid").distinct())
+    met_before = first
+    for k in range(ROUNDS):
+        placed = _place(members_of, links)
+        tested = _bridges(placed.join(have, "sid", "left_semi"), k, percent).join(met_before, ["a", "b", "na", "nb"], "left_anti")
+        tested = stored(_may_link(tested, bitmaps, percent))
+        new = cut_lineage(_similar(tested, sets, percent))
+        met_before = met_before.unionByName(tested)
+        if not new.take(1):
+            break
+        links = cut_lineage(links.unionByName(new))
+    release(spark)
     # then all pairs of a bucket that lie in different components
-    placed = stored(buckets.distinct().join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("tok", "sid", "n", F.coalesce("root", "sid").alias("root")))
+    placed = _place(members_of, links)
     mixed = placed.groupBy("tok").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("tok")
     open_rows = placed.join(mixed, "tok")
     x = open_rows.select("tok", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
     y = open_rows.select("tok", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
     rest = (x.join(y, "tok").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _near("na", "nb", percent))
-            .select("a", "b", "na", "nb").distinct().join(first, ["a", "b", "na", "nb"], "left_anti"))
+            .select("a", "b", "na", "nb").distinct().join(met_before, ["a", "b", "na", "nb"], "left_anti"))
     rest = stored(_may_link(rest, bitmaps, percent))
     release(spark)
     lacking = _readers(rest, bitmaps).join(sets.select("sid").distinct(), "sid", "left_anti")
@@ -314,6 +328,22 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     return named.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def _place(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """``tok, sid, n, root``: bucket members with their component so far."""
+    roots = components(links).withColumnRenamed("node", "sid")
+    return stored(buckets.join(roots, "sid", "left").select("tok", "sid", "n", F.coalesce("root", "sid").alias("root")))
+
+
+def _bridges(placed: DataFrame, k: int, percent: int) -> DataFrame:
+    """In each bucket a pair between the largest component and each other one; other members in other rounds and buckets."""
+    parts = placed.groupBy("tok", "root").agg(F.count(F.lit(1)).alias("rows"), F.min_by(F.struct("sid", "n"), F.xxhash64("sid", "tok", F.lit(k))).alias("one"))
+    parts = stored(parts)
+    top = parts.groupBy("tok").agg(F.max(F.struct("rows", "root", "one")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    met = parts.join(top, "tok").where(F.col("root") != F.col("top.root")).select(
+        F.col("one.sid").alias("x"), F.col("one.n").alias("nx"), F.col("top.one.sid").alias("y"), F.col("top.one.n").alias("ny"))
+    return met.select(_pair("x", "y", "nx", "ny").alias("p")).select("p.*").where(_near("na", "nb", percent)).distinct()
+
+
 def _readers(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``doc_id, sid``: for each set in ``pairs`` the document to read it from."""
     sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
