@@ -97,10 +97,10 @@ class _Order:
     def __init__(self, counts: np.ndarray):
         load = counts.mean() + 1
         self.level = np.floor(np.log2(np.maximum(1, counts / load))).astype(np.uint8)
-        self.salts = np.minimum(1 + counts // BUCKET, 1 << 15).astype(np.int16)
+        self.salts = np.minimum(1 + counts // BUCKET, (1 << 15) - 1).astype(np.int16)
         # pivots cut the order into fragments of about equal mass
-        mass = np.bincount(self.level, weights=counts, minlength=64)
-        edges = np.cumsum(mass) / max(1.0, mass.sum())
+        mass = np.bincount(self.level, weights=counts + 1e-9, minlength=64)
+        edges = np.cumsum(mass) / mass.sum()
         self.pivots = []
         for f in range(1, FRAGMENTS):
             share = f / FRAGMENTS
@@ -118,7 +118,10 @@ class _Order:
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, order) -> DataFrame:
-    """``tok, salt, sid, n`` of the prefix of each set; copies met by the same task count once."""
+    """``tok, salt, sid, n`` of the prefix of each set; copies met by the same task count once.
+
+    The salt is -1, or the part of a bucket that is expected to be large.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, met = order.value, set()
         for _, data, ends in binary_batches(batches, "_text"):
@@ -139,7 +142,8 @@ def _prefixes(docs: DataFrame, words: int, percent: int, order) -> DataFrame:
                 tok = np.concatenate([o[0] for o in out])
                 size = [len(o[0]) for o in out]
                 sids = np.repeat(np.array([o[1] for o in out], np.int64), size)
-                salt = sids.view(np.uint64) % known.salts[(tok % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64)
+                parts = known.salts[(tok % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64)
+                salt = np.where(parts > 1, (sids.view(np.uint64) % parts).astype(np.int64), -1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(tok.view(np.int64)), pa.array(salt.astype(np.int16)), pa.array(sids), pa.array(np.repeat(np.array([o[2] for o in out], np.int32), size))],
                     names=["tok", "salt", "sid", "n"])
@@ -150,6 +154,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, order) -> DataFrame:
 def _chain(sorted_rows: DataFrame) -> DataFrame:
     """Members of buckets of two or more, each with the member before it and the first one.
 
+    The first of a part of a split bucket is there too, as its own first, even if it is alone.
     Rows come sorted by ``tok, salt, n, sid``; a task holds one batch and one bucket's head.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,11 +180,15 @@ def _chain(sorted_rows: DataFrame) -> DataFrame:
                 head_sid, head_n = np.where(ours, held["head"], head_sid), np.where(ours, held["head_n"], head_n)
             else:
                 head_sid, head_n = new["sid"][at], new["n"][at]
-            where = np.flatnonzero(same)
+            first = ~same & (new["salt"] >= 0)
+            if held:
+                first[0] = False
+            where = np.flatnonzero(same | first)
             if len(where):
+                before = np.where(first[where], where, where - 1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(new["tok"][where]), pa.array(new["sid"][where]), pa.array(new["n"][where].astype(np.int64)),
-                     pa.array(new["sid"][where - 1]), pa.array(new["n"][where - 1].astype(np.int64)),
+                     pa.array(new["sid"][before]), pa.array(new["n"][before].astype(np.int64)),
                      pa.array(head_sid[where]), pa.array(head_n[where].astype(np.int64))],
                     names=["tok", "sid", "n", "prev", "prev_n", "head", "head_n"])
             held = {k: v[-1] for k, v in new.items()} | {"head": head_sid[-1], "head_n": head_n[-1]}
@@ -278,8 +287,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     keys = ["tok", "salt"]
     chained = stored(_chain(rows.repartition(*keys).sortWithinPartitions(*keys, "n", "sid")))
     buckets = chained.select("tok", "sid", "n").unionByName(chained.where(F.col("prev") == F.col("head")).select("tok", F.col("head").alias("sid"), F.col("head_n").alias("n")))
-    # the heads of a split bucket meet in a chain of their own
-    heads = chained.select("tok", F.lit(0).cast("smallint").alias("salt"), F.col("head").alias("sid"), F.col("head_n").cast("int").alias("n")).distinct()
+    # the first of each part of a split bucket meet in a chain of their own
+    heads = chained.where(F.col("sid") == F.col("head")).select("tok", F.lit(-1).cast("smallint").alias("salt"), "sid", F.col("n").cast("int"))
     split = _chain(heads.repartition(*keys).sortWithinPartitions(*keys, "n", "sid"))
     met = chained.unionByName(split)
     pairs = met.select(F.explode(F.array(_pair("sid", "prev", "n", "prev_n"), _pair("sid", "head", "n", "head_n"))).alias("p")).select("p.*")
