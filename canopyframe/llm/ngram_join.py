@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopyframe.llm.common import binary_batches, release, stored
@@ -28,8 +28,14 @@ COUNTERS = 1 << 21
 SLICES = 64
 #: Fragments of the n-gram order.
 FRAGMENTS = 4
+#: Hashes below this are the first block of the order: more n-grams than the prefix of most sets.
+FIRST_BLOCK = np.uint64(int(0.22 * 2**64))
+#: Numbers of 64 bits in the short bitmap that takes part in the last join.
+FOLD = 8
+#: Distances in a bucket, sorted by size, at which members are paired at first.
+LAGS = (1, 2, 5, 11)
 #: Most rounds that join components by single pairs before all remaining pairs are counted.
-ROUNDS = 5
+ROUNDS = 4
 #: Estimated rows of an n-gram's bucket that one task chains.
 BUCKET = 20_000
 
@@ -41,9 +47,9 @@ def _signature(tokens: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
-def _bitmap(tokens: np.ndarray) -> bytes:
-    """A bit per n-gram, set by its hash; four to eight places per n-gram."""
-    width = max(64, 1 << int(4 * len(tokens) - 1).bit_length())
+def _bitmap(tokens: np.ndarray, width: int = 0) -> bytes:
+    """A bit per n-gram, set by its hash; four to eight places per n-gram if no width is given."""
+    width = width or max(64, 1 << int(4 * len(tokens) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[((tokens >> np.uint64(23)) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -56,25 +62,27 @@ def _groups(rows: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[int, np.ndar
 
 
 def _measure(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n, sid, bits`` per document and, with null ids, the counters of the sketch in slices."""
+    """``doc_id, n, sid, bits, fold`` per document and, with null ids, the counters of the sketch in slices."""
+    names = ["doc_id", "n", "sid", "slice", "bits", "fold"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         for batch, data, ends in binary_batches(batches, "_text"):
             rows, tokens = shingle_sets(data, ends, words)
             counts += np.bincount((tokens % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS) if len(tokens) else 0
             n = np.bincount(rows, minlength=batch.num_rows) if len(rows) else np.zeros(batch.num_rows, np.int64)
-            sid, bits = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+            sid, bits, fold = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows
             for r, found in _groups(rows, tokens):
-                sid[r], bits[r] = _signature(found), _bitmap(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sid), pa.nulls(batch.num_rows, pa.int32()), pa.array(bits, pa.binary())],
-                                             names=["doc_id", "n", "sid", "slice", "bits"])
+                sid[r], bits[r], fold[r] = _signature(found), _bitmap(found), np.frombuffer(_bitmap(found, 64 * FOLD), np.int64)
+            columns = (pa.array(n), pa.array(sid), pa.nulls(batch.num_rows, pa.int32()), pa.array(bits, pa.binary()), pa.array(fold, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
         parts = np.minimum(counts, 255).astype(np.uint8).reshape(SLICES, -1)
         used = [i for i in range(SLICES) if parts[i].any()]
         nulls = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([nulls, nulls, nulls, pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())],
-                                         names=["doc_id", "n", "sid", "slice", "bits"])
+        yield pa.RecordBatch.from_arrays([nulls, nulls, nulls, pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary()),
+                                          pa.nulls(len(used), pa.list_(pa.int64()))], names=names)
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, sid bigint, slice int, bits binary")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, sid bigint, slice int, bits binary, fold array<bigint>")
 
 
 def _add_slices(table: pa.Table) -> pa.Table:
@@ -118,82 +126,95 @@ class _Order:
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, order) -> DataFrame:
-    """``tok, salt, sid, n`` of the prefix of each set; copies met by the same task count once.
+    """``tok, salt, sid, n, p, m``: the ``m`` n-grams from which the prefix of ``p`` of a set is chosen.
 
-    The salt is -1, or the part of a bucket that is expected to be large.
+    These are all of the first block, whose exact frequencies are counted later, or if
+    there are fewer than ``p`` the first ``p`` in the order. Copies met by the same task
+    count once. The salt is -1, or the part of a bucket that is expected to be large.
     """
+    names = ("tok", "salt", "sid", "n", "p", "m")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, met = order.value, set()
         for _, data, ends in binary_batches(batches, "_text"):
-            out: list[tuple[np.ndarray, int, int]] = []
+            out: list[tuple[np.ndarray, int, int, int]] = []
             for _, found in _groups(*shingle_sets(data, ends, words)):
                 sid, n = _signature(found), len(found)
                 if (sid, n) in met:
                     continue
                 met.add((sid, n))
-                keep = n - -(-percent * n // 100) + 1
+                p = n - -(-percent * n // 100) + 1
                 level = known.levels(found)
-                if keep < n:  # hashes are sorted already: take whole levels, then the first of the last one
-                    by = np.argsort(level, kind="stable")[:keep]
-                    out.append((found[by], sid, n))
-                else:
-                    out.append((found, sid, n))
+                block = found[(level == 0) & (found < FIRST_BLOCK)]
+                # hashes are sorted already: whole levels first, then the first of the last one
+                out.append((block if len(block) >= p else found[np.argsort(level, kind="stable")[:p]], sid, n, p))
             if out:
                 tok = np.concatenate([o[0] for o in out])
                 size = [len(o[0]) for o in out]
-                sids = np.repeat(np.array([o[1] for o in out], np.int64), size)
-                parts = known.salts[(tok % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64)
+                sids, n, p = (np.repeat(np.array([o[k] for o in out], np.int64), size) for k in (1, 2, 3))
+                parts = np.where(known.levels(tok) > 0, known.salts[(tok % np.uint64(COUNTERS)).astype(np.int64)], 1).astype(np.uint64)
                 salt = np.where(parts > 1, (sids.view(np.uint64) % parts).astype(np.int64), -1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tok.view(np.int64)), pa.array(salt.astype(np.int16)), pa.array(sids), pa.array(np.repeat(np.array([o[2] for o in out], np.int32), size))],
-                    names=["tok", "salt", "sid", "n"])
+                columns = (tok.view(np.int64), salt.astype(np.int16), sids, n.astype(np.int32), p.astype(np.int32), np.repeat(size, size).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return docs.mapInArrow(run, "tok bigint, salt smallint, sid bigint, n int")
+    return docs.mapInArrow(run, "tok bigint, salt smallint, sid bigint, n int, p int, m int")
 
 
-def _chain(sorted_rows: DataFrame) -> DataFrame:
-    """Members of buckets of two or more, each with the member before it and the first one.
+def _company(sorted_rows: DataFrame) -> DataFrame:
+    """Members of buckets of two or more, copies removed; of a split bucket all.
 
-    The first of a part of a split bucket is there too, as its own first, even if it is alone.
-    Rows come sorted by ``tok, salt, n, sid``; a task holds one batch and one bucket's head.
+    Rows come sorted by ``tok, salt, sid, n``; a task holds one batch and one row.
     """
+    names = ("tok", "salt", "sid", "n", "p", "m")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("tok", "salt", "n", "sid")
-        held = None  # last row of the batch before, and its bucket's head
+        held, together = None, False  # the last row, and whether it is in the bucket of the row before it
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
+            new = {k: batch.column(k).to_numpy() for k in names}
             if held:
-                new = {k: np.concatenate([[held[k]], new[k]]) for k in names}
+                new = {k: np.concatenate([[held[k]], v]) for k, v in new.items()}
             same = np.zeros(len(new["tok"]), bool)
             same[1:] = (new["tok"][1:] == new["tok"][:-1]) & (new["salt"][1:] == new["salt"][:-1])
             copy = same.copy()
             copy[1:] &= (new["sid"][1:] == new["sid"][:-1]) & (new["n"][1:] == new["n"][:-1])
-            if copy.any():
-                keep = ~copy
-                new, same = {k: v[keep] for k, v in new.items()}, same[keep]
-            at = np.maximum.accumulate(np.where(same, -1, np.arange(len(same))))
-            if held and len(same):
-                head_sid, head_n = new["sid"][at], new["n"][at]
-                ours = at == 0
-                head_sid, head_n = np.where(ours, held["head"], head_sid), np.where(ours, held["head_n"], head_n)
-            else:
-                head_sid, head_n = new["sid"][at], new["n"][at]
-            first = ~same & (new["salt"] >= 0)
-            if held:
-                first[0] = False
-            where = np.flatnonzero(same | first)
-            if len(where):
-                before = np.where(first[where], where, where - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(new["tok"][where]), pa.array(new["sid"][where]), pa.array(new["n"][where].astype(np.int64)),
-                     pa.array(new["sid"][before]), pa.array(new["n"][before].astype(np.int64)),
-                     pa.array(head_sid[where]), pa.array(head_n[where].astype(np.int64))],
-                    names=["tok", "sid", "n", "prev", "prev_n", "head", "head_n"])
-            held = {k: v[-1] for k, v in new.items()} | {"head": head_sid[-1], "head_n": head_n[-1]}
+            same[0] = together
+            new, same = {k: v[~copy] for k, v in new.items()}, same[~copy]
+            keep = same | (new["salt"] >= 0)
+            keep[:-1] |= same[1:]
+            where = np.flatnonzero(keep[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(new[k][where]) for k in names], names=names)
+            held, together = {k: v[-1] for k, v in new.items()}, bool(same[-1])
+        if held and (together or held["salt"] >= 0):
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([held[k]])) for k in names], names=names)
 
-    return sorted_rows.mapInArrow(run, "tok bigint, sid bigint, n bigint, prev bigint, prev_n bigint, head bigint, head_n bigint")
+    return sorted_rows.mapInArrow(run, "tok bigint, salt smallint, sid bigint, n int, p int, m int")
+
+
+def _buckets(rows: DataFrame) -> DataFrame:
+    """``tok, salt, sid, n, pos``: the n-grams with company in the prefix of each set and their place in it.
+
+    In the first block n-grams are ordered by exact frequency. Those that a set has
+    alone come first and take up its prefix without being here. Beyond the block
+    the place may be given too low, never too high.
+    """
+    frequency = rows.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    per_set = Window.partitionBy("sid", "n")
+    ranked = rows.join(frequency, "tok").withColumn("met", F.count(F.lit(1)).over(per_set)).withColumn(
+        "place", F.row_number().over(per_set.orderBy("df", "tok")))
+    alone = F.col("m") - F.col("met")
+    pos = F.col("place") + F.when(F.col("m") > F.col("p"), alone).otherwise(0)
+    return ranked.where(F.col("place") <= F.col("p") - alone).select("tok", "salt", "sid", F.col("n").cast("long").alias("n"), pos.cast("long").alias("pos"))
+
+
+def _chain(rows: DataFrame, *keys: str) -> DataFrame:
+    """Pairs of each member of a bucket with some before it and with the first one."""
+    run = Window.partitionBy(*keys).orderBy("n", "sid")
+    one = F.struct("sid", "n")
+    met = rows.select("sid", "n", F.array(F.first(one).over(run), *[F.lag(one, k).over(run) for k in LAGS]).alias("others"))
+    ends = met.select("sid", "n", F.explode("others").alias("o")).where(F.col("o").isNotNull()).select("sid", "n", F.col("o.sid").alias("other"), F.col("o.n").alias("other_n"))
+    return ends.select(_pair("sid", "other", "n", "other_n").alias("p")).select("p.*")
 
 
 def _near(a: str, b: str, percent: int):
@@ -201,6 +222,12 @@ def _near(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _enough_left(percent: int):
+    """If this is the first n-gram that two sets share, what follows it can still hold the overlap they need."""
+    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
+    return rest * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+
+
 def _pair(x: str, y: str, nx: str, ny: str):
     swap = F.col(x) > F.col(y)
     return F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(swap, F.col(ny)).otherwise(F.col(nx)).alias("na"),
@@ -282,19 +309,18 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     measured = stored(_measure(texts, words))
     order = spark.sparkContext.broadcast(_Order(_frequencies(measured)))  # two numbers per counter
-    members = measured.where(F.col("slice").isNull()).select("doc_id", "n", "sid", "bits")
+    members = measured.where(F.col("slice").isNull()).select("doc_id", "n", "sid", "bits", "fold")
     rows = _prefixes(texts.select("_text"), words, percent, order)
     keys = ["tok", "salt"]
-    chained = stored(_chain(rows.repartition(*keys).sortWithinPartitions(*keys, "n", "sid")))
-    buckets = chained.select("tok", "sid", "n").unionByName(chained.where(F.col("prev") == F.col("head")).select("tok", F.col("head").alias("sid"), F.col("head_n").alias("n")))
+    company = stored(_company(rows.repartition(*keys).sortWithinPartitions(*keys, "sid", "n")))
+    release(spark)
+    buckets = stored(_buckets(company))
     # the first of each part of a split bucket meet in a chain of their own
-    heads = chained.where(F.col("sid") == F.col("head")).select("tok", F.lit(-1).cast("smallint").alias("salt"), "sid", F.col("n").cast("int"))
-    split = _chain(heads.repartition(*keys).sortWithinPartitions(*keys, "n", "sid"))
-    met = chained.unionByName(split)
-    pairs = met.select(F.explode(F.array(_pair("sid", "prev", "n", "prev_n"), _pair("sid", "head", "n", "head_n"))).alias("p")).select("p.*")
-    pairs = pairs.where((F.col("a") != F.col("b")) & _near("na", "nb", percent)).select("a", "b", "na", "nb").distinct()
+    heads = buckets.where(F.col("salt") >= 0).groupBy("tok", "salt").agg(F.min(F.struct("n", "sid")).alias("h")).select("tok", "h.n", "h.sid")
+    pairs = _chain(buckets, "tok", "salt").unionByName(_chain(heads, "tok"))
+    pairs = pairs.where((F.col("a") != F.col("b")) & _near("na", "nb", percent)).distinct()
     release(spark)
-    bitmaps = stored(members.where(F.col("n") > 0).groupBy("sid").agg(F.min_by("bits", "doc_id").alias("bits"), F.min("doc_id").alias("doc_id")))
+    bitmaps = stored(members.where(F.col("n") > 0).groupBy("sid").agg(F.min_by("bits", "doc_id").alias("bits"), F.min_by("fold", "doc_id").alias("fold"), F.min("doc_id").alias("doc_id")))
     likely = stored(_may_link(pairs.select("a", "b", "na", "nb"), bitmaps, percent))
     # first up to three partners of each set
     ends = likely.select(F.explode(F.array("a", "b")).alias("x"), F.struct(F.xxhash64("a", "b").alias("h"), "a", "b", "na", "nb").alias("p"))
@@ -304,7 +330,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     sets = stored(_sets(texts.join(_readers(first, bitmaps), "doc_id").select("sid", "_text"), words, order))
     release(spark)
     links = cut_lineage(_similar(first, sets, percent))
-    members_of = stored(buckets.distinct())
+    members_of = buckets.select("tok", "sid", "n", "pos")
     have = cut_lineage(sets.select("sid").distinct())
     met_before = first
     for k in range(ROUNDS):
@@ -320,10 +346,11 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     # then all pairs of a bucket that lie in different components
     placed = _place(members_of, links)
     mixed = placed.groupBy("tok").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("tok")
-    open_rows = placed.join(mixed, "tok")
-    x = open_rows.select("tok", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = open_rows.select("tok", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    rest = (x.join(y, "tok").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _near("na", "nb", percent))
+    open_rows = placed.join(mixed, "tok").join(bitmaps.select("sid", *[F.col("fold")[k].alias(f"f{k}") for k in range(FOLD)]), "sid")
+    x = open_rows.select("tok", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"), *[F.col(f"f{k}").alias(f"a{k}") for k in range(FOLD)])
+    y = open_rows.select("tok", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"), *[F.col(f"f{k}").alias(f"b{k}") for k in range(FOLD)])
+    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(FOLD)), F.lit(0))
+    rest = (x.join(y, "tok").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _near("na", "nb", percent) & _enough_left(percent) & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)))
             .select("a", "b", "na", "nb").distinct().join(met_before, ["a", "b", "na", "nb"], "left_anti"))
     rest = stored(_may_link(rest, bitmaps, percent))
     release(spark)
@@ -331,16 +358,16 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     sets = sets.unionByName(stored(_sets(texts.join(lacking, "doc_id").select("sid", "_text"), words, order)))
     more = cut_lineage(_similar(rest, sets, percent))
     roots = cut_lineage(components(links.unionByName(more)))
-    named = members.drop("bits").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
+    named = members.drop("bits", "fold").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
         "root", F.when(F.col("n") > 0, F.coalesce("root", "sid")))
     least = named.where(F.col("n") > 0).groupBy("root").agg(F.min("doc_id").alias("least"))
     return named.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def _place(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """``tok, sid, n, root``: bucket members with their component so far."""
+    """``tok, sid, n, pos, root``: bucket members with their component so far."""
     roots = components(links).withColumnRenamed("node", "sid")
-    return stored(buckets.join(roots, "sid", "left").select("tok", "sid", "n", F.coalesce("root", "sid").alias("root")))
+    return stored(buckets.join(roots, "sid", "left").select("tok", "sid", "n", "pos", F.coalesce("root", "sid").alias("root")))
 
 
 def _bridges(placed: DataFrame, k: int, percent: int) -> DataFrame:
