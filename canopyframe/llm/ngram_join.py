@@ -35,7 +35,7 @@ FOLD = 8
 #: Distances in a bucket, sorted by size, at which members are paired at first.
 LAGS = (1, 2, 5, 11)
 #: Most rounds that join components by single pairs before all remaining pairs are counted.
-ROUNDS = 4
+ROUNDS = 2
 #: Estimated rows of an n-gram's bucket that one task chains.
 BUCKET = 20_000
 
