@@ -57,7 +57,7 @@ def sample_cap(df: DataFrame, cap: int | Column, ids: list[str], keys: list[str]
 def stratified_cap(df: DataFrame, first: Column, cap: int, ids: list[str], share: float = 0.7,
                    seed: int = 0) -> DataFrame:
     """Fill up to ``share`` of the budget from rows matching ``first``, the rest from the others."""
-    flagged = df.withColumn("_first", first)
+    flagged = df.withColumn("_first", F.coalesce(first, F.lit(False)))
     n_first = int(cap * share)
     counts = flagged.agg(F.count_if("_first").alias("_nf"))
     a = sample_cap(flagged.where("_first"), n_first, ids, seed=seed)

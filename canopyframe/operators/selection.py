@@ -25,7 +25,8 @@ def suppress_near(df: DataFrame, min_dist: float, order: list[Column], keys: tup
     side = min_dist / math.sqrt(2.0)
     names = ("_sx", "_sy")
     cell = [*keys, *names]
-    base = df.withColumn("_rank", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
+    # the keys are part of the rank: equal ranks of two tiles are different rows
+    base = df.withColumn("_rank", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]))
     base = cut_lineage(base)
     left = with_cells(base.select(*keys, "_rank", F.col(x).alias("px"), F.col(y).alias("py")), side, "px", "py", names)
     salts = 1 if fits_one_task(left, cell) else SALTS

@@ -75,11 +75,15 @@ def network_stats(shapes: DataFrame, min_area: float = 60.0, max_half_width: flo
         "n_parts", "area_m2", (F.col("_half") * 2).alias("strip_width_m"))
 
 
-def point_segments(points: DataFrame, cells: DataFrame, size: float = CHM_CELL, top: int = 65535) -> DataFrame:
-    """Segment id of each point by raster cell, 0 outside, clamped to 16 bit."""
+def point_segments(points: DataFrame, cells: DataFrame, size: float = CHM_CELL) -> DataFrame:
+    """Segment id of each point by raster cell, 0 outside."""
     keyed = points.withColumn("ix", cell("x", size)).withColumn("iy", cell("y", size))
     out = salted_join(keyed, cells.select("tile_id", "ix", "iy", "hedge_id"), ["tile_id", "ix", "iy"], "left")
-    return out.withColumn("seg_id", F.least(F.coalesce("hedge_id", F.lit(0)), F.lit(top))).drop("ix", "iy", "hedge_id")
+    return out.withColumn("seg_id", F.coalesce("hedge_id", F.lit(0))).drop("ix", "iy", "hedge_id")
+
+
+def _segment_keys(df: DataFrame, seg: str) -> list[str]:
+    return [k for k in ("tile_id", seg) if k in df.columns]
 
 
 def segment_structure(points: DataFrame, seg: str = "seg_id", layer_m: float = 0.5, canopy_min: float = 1.0,
@@ -90,23 +94,25 @@ def segment_structure(points: DataFrame, seg: str = "seg_id", layer_m: float = 0
     layers up to the top. n_layers: filled layers. strata_evenness: entropy over
     the log of filled layers. understory_openness: share of points under 0.5 m.
     vertical_gap: share of empty layers below the top. canopy_sd and cover_frac
-    come from the highest point of each cell. All logs are natural.
+    come from the highest point of each cell. All logs are natural. Segments are
+    numbered per tile: with a ``tile_id`` the two together are the key.
     """
+    by = _segment_keys(points, seg)
     inside = points.where((F.col(seg) > 0) & (F.col("hag") >= 0))
-    layers = inside.groupBy(seg, F.floor(F.col("hag") / F.lit(layer_m)).cast("int").alias("layer")).agg(
+    layers = inside.groupBy(*by, F.floor(F.col("hag") / F.lit(layer_m)).cast("int").alias("layer")).agg(
         F.count(F.lit(1)).alias("n"))
-    totals = layers.groupBy(seg).agg(F.sum("n").alias("total"), F.max("layer").alias("top"))
+    totals = layers.groupBy(*by).agg(F.sum("n").alias("total"), F.max("layer").alias("top"))
     p = F.col("n") / F.col("total")
-    entropy = layers.join(totals, seg).groupBy(seg, "total", "top").agg(
+    entropy = layers.join(totals, by).groupBy(*by, "total", "top").agg(
         (-F.sum(p * F.log(p))).alias("fhd"), F.count(F.lit(1)).alias("n_layers"))
-    heights = percentiles_by(inside, [seg], {"h_p95": ("hag", 0.95)},
+    heights = percentiles_by(inside, by, {"h_p95": ("hag", 0.95)},
                              [F.max("hag").alias("h_max"), F.avg((F.col("hag") < 0.5).cast("double")).alias("understory_openness")])
-    crowns = (inside.groupBy(seg, cell("x", size).alias("ix"), cell("y", size).alias("iy"))
-              .agg(F.max("hag").alias("h")).groupBy(seg)
+    crowns = (inside.groupBy(*by, cell("x", size).alias("ix"), cell("y", size).alias("iy"))
+              .agg(F.max("hag").alias("h")).groupBy(*by)
               .agg(F.stddev_samp("h").alias("canopy_sd"), F.avg((F.col("h") > canopy_min).cast("double")).alias("cover_frac")))
     n_slots = F.col("top") + 1
-    return (entropy.join(heights, seg).join(crowns, seg)
-            .select(seg, "fhd", F.coalesce(F.try_divide(F.col("fhd"), F.log(n_slots.cast("double"))), F.lit(0.0)).alias("vci"),
+    return (entropy.join(heights, by).join(crowns, by)
+            .select(*by, "fhd", F.coalesce(F.try_divide(F.col("fhd"), F.log(n_slots.cast("double"))), F.lit(0.0)).alias("vci"),
                     "n_layers",
                     F.coalesce(F.try_divide(F.col("fhd"), F.log(F.col("n_layers").cast("double"))), F.lit(0.0)).alias("strata_evenness"),
                     "h_p95", "h_max", "cover_frac", F.coalesce("canopy_sd", F.lit(0.0)).alias("canopy_sd"),
@@ -176,21 +182,23 @@ def suitability(metrics: DataFrame, requirements: DataFrame, seg: str = "seg_id"
     Metrics that are missing in a row drop out of that row and the remaining
     weights are renormalised.
     """
-    names = metric_names or [c for c in metrics.columns if c != seg]
+    by = _segment_keys(metrics, seg)
+    names = metric_names or [c for c in metrics.columns if c not in by]
     pairs = ", ".join(f"'{n}', cast({n} as double)" for n in names)
-    long = metrics.selectExpr(seg, f"stack({len(names)}, {pairs}) as (metric, value)").where(F.col("value").isNotNull())
+    long = metrics.selectExpr(*by, f"stack({len(names)}, {pairs}) as (metric, value)").where(F.col("value").isNotNull())
     joined = long.join(broadcast_if_small(requirements), "metric")
     m = fuzzy_membership(F.col("value"), F.col("curve"), *[F.col(p) for p in ("p1", "p2", "p3", "p4")])
     w = F.col("weight")
-    return joined.withColumn("_m", m).groupBy(seg, "species").agg(
+    return joined.withColumn("_m", m).groupBy(*by, "species").agg(
         F.exp(F.sum(w * F.log(F.greatest("_m", F.lit(1e-6)))) / F.sum(w)).alias("strict"),
         (F.sum(w * F.col("_m")) / F.sum(w)).alias("tolerant"))
 
 
 def best_species(scores: DataFrame, seg: str = "seg_id", value: str = "strict") -> DataFrame:
     """Species with the highest score per segment; ties go to the first name."""
-    return scores.groupBy(seg).agg(F.min(F.struct((-F.col(value)).alias("v"), F.col("species").alias("s"))).alias("b")).select(
-        seg, F.col("b.s").alias("species"), (-F.col("b.v")).alias(value))
+    by = _segment_keys(scores, seg)
+    return scores.groupBy(*by).agg(F.min(F.struct((-F.col(value)).alias("v"), F.col("species").alias("s"))).alias("b")).select(
+        *by, F.col("b.s").alias("species"), (-F.col("b.v")).alias(value))
 
 
 def colouring_options(values: DataFrame, seg: str = "seg_id", chunk: int = 10_000) -> DataFrame:
@@ -200,6 +208,7 @@ def colouring_options(values: DataFrame, seg: str = "seg_id", chunk: int = 10_00
     ``chunk``; small scenes have a single chunk 0.
     """
     part = F.floor(F.col(seg) / chunk).cast("bigint").alias("chunk")
-    return values.groupBy("option", part).agg(
+    tile = [k for k in ("tile_id",) if k in values.columns]
+    return values.groupBy(*tile, "option", part).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(seg).cast("string"), "value")))).alias("values"),
         F.min("value").alias("lo"), F.max("value").alias("hi"))

@@ -79,10 +79,10 @@ def _(src):
 
 
 @register("verdict_order", "marker_id:i left_z:6 verdict",
-          f"with {Z_SQL} select marker_id, left_z, verdict from v order by case when verdict like 'contradiction%' then 0 else 1 end, left_z, marker_id limit 40",
+          f"with {Z_SQL} select marker_id, left_z, verdict from v order by case when verdict like 'contradiction%' then 0 else 1 end, left_z, marker_id",
           "measurements")
 def _(src):
-    return st.verdict_order(_checked(src), 40)
+    return st.verdict_order(_checked(src))
 
 
 @register("species_composition", "species_name n:i pct:i",
@@ -278,9 +278,9 @@ def _(src):
 
 
 @register("scene_order", "id created:t markers:i",
-          f"with {LISTING_SQL} select id, created, markers from ls order by created desc nulls last, id limit 200", "markers scenes")
+          f"with {LISTING_SQL} select id, created, markers from ls order by created desc nulls last, id", "markers scenes")
 def _(src):
-    return scenes.scene_order(_listing(src), 200)
+    return scenes.scene_order(_listing(src))
 
 
 @register("dataset_tags", "id tags n_tags:i",

@@ -15,6 +15,8 @@ from canopyframe.runtime import (BROADCAST_LIMIT, GROUP_LIMIT, cut_lineage, fits
 
 #: Equal-width slices per narrowing step.
 SLICES = 1024
+#: Stands for infinity while a value range is narrowed.
+_MOST = 1.7976931348623157e308
 
 
 def percentiles_by(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, float]],
@@ -22,7 +24,7 @@ def percentiles_by(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, f
     """Linear-interpolated percentiles ``{output: (column, share)}`` per group.
 
     ``extra`` are further aggregate columns computed in the same pass. Missing
-    values are ignored.
+    values and NaN are ignored, infinite ones count as the ends of the order.
     """
     limit = GROUP_LIMIT if limit is None else limit
     extra = extra or []
@@ -39,10 +41,20 @@ def percentiles_by(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, f
 
 
 def _plain(df, keys, specs, extra):
-    aggs = [F.percentile(F.col(c), F.lit(float(p))).alias(name) for name, (c, p) in specs.items()]
+    aggs = [F.percentile(_numbers(c), F.lit(float(p))).alias(name) for name, (c, p) in specs.items()]
     return df.groupBy(*keys).agg(*aggs, *extra)
 
 
+def _numbers(column: str) -> Column:
+    """The column as double without NaN."""
+    return F.when(~F.isnan(F.col(column).cast("double")), F.col(column).cast("double"))
+
+
+def _finite(column: str) -> Column:
+    """The same with the ends of the double range for infinite values."""
+    return F.when(_numbers(column).isNotNull(), F.greatest(F.least(_numbers(column), F.lit(_MOST)), F.lit(-_MOST)))
+
+
 def _narrowed(df, keys, specs, extra):
     """Percentiles of very large groups: slice the value range, keep only the slice with the rank."""
     if extra:
@@ -50,7 +62,7 @@ def _narrowed(df, keys, specs, extra):
     else:
         result = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_unused")).drop("_unused")
     for name, (column, share) in specs.items():
-        part = _one_percentile(df.select(*keys, F.col(column).cast("double").alias("_v"))
+        part = _one_percentile(df.select(*keys, _finite(column).alias("_v"))
                                .where(F.col("_v").isNotNull()), keys, float(share), name)
         result = result.join(part, keys, "left") if keys else result.crossJoin(part)
     return result
@@ -71,15 +83,17 @@ def _one_percentile(vals: DataFrame, keys: list[str], share: float, name: str) -
     targets = cut_lineage(targets)
     while targets.where(F.col("_lo") < F.col("_hi")).take(1):
         targets = cut_lineage(_narrow_once(vals, targets, keys))
-    first = F.max(F.when(F.col("_first"), F.col("_lo")))
-    last = F.max(F.when(~F.col("_first"), F.col("_lo")))
-    return targets.groupBy(*keys).agg(
-        (first + (F.coalesce(last, first) - first) * F.max("_frac")).alias(name))
+    value = F.when(F.col("_lo") >= _MOST, float("inf")).when(F.col("_lo") <= -_MOST, float("-inf")).otherwise(F.col("_lo"))
+    first = F.max(F.when(F.col("_first"), value))
+    last = F.coalesce(F.max(F.when(~F.col("_first"), value)), first)
+    between = (F.max("_frac") > 0) & (first != last)
+    return targets.groupBy(*keys).agg(F.when(between, first + (last - first) * F.max("_frac")).otherwise(first).alias(name))
 
 
 def _narrow_once(vals, targets, keys):
     ranges = targets.where(F.col("_lo") < F.col("_hi")).select(*keys, "_lo", "_hi", "_below").distinct()
-    width = F.col("_hi") - F.col("_lo")
+    # halves: the distance of two doubles may be more than a double holds
+    width = F.col("_hi") / 2 - F.col("_lo") / 2
     inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
     # the ranges table has at most two rows per hot group, so it meets the rows by broadcast
     # when small and by a salted join otherwise
@@ -89,7 +103,7 @@ def _narrow_once(vals, targets, keys):
     else:
         joined = salted_join(vals, ranges, keys)
     slices = (joined.where(inside)
-              .withColumn("_slice", F.least(F.floor((F.col("_v") - F.col("_lo")) / width * SLICES),
+              .withColumn("_slice", F.least(F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / width * SLICES),
                                             F.lit(SLICES - 1)))
               .groupBy(*keys, "_lo", "_hi", "_below", "_slice")
               .agg(F.count("_v").alias("_c"), F.min("_v").alias("_smin"), F.max("_v").alias("_smax")))

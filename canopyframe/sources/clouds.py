@@ -307,7 +307,7 @@ class LasSource(DataSource):
         return LasReader(self.options)
 
     def writer(self, schema, overwrite):
-        return LasWriter(self.options)
+        return LasWriter(self.options | {"overwrite": overwrite})
 
 
 # ---- block binaries --------------------------------------------------------------------
@@ -399,7 +399,10 @@ class BlockWriter(PartWriter):
             blocks["xyz"].write(xyz.tobytes())
             blocks["rgb"].write(np.clip(np.stack([to_numpy(batch, c) for c in "rgb"], 1), 0, 255).astype(np.uint8).tobytes())
             if layout == "segmented":
-                blocks["seg"].write(np.clip(to_numpy(batch, "seg_id"), 0, 65535).astype("<u2").tobytes())
+                seg = to_numpy(batch, "seg_id")
+                if len(seg) and (seg.min() < 0 or seg.max() > 65535):
+                    raise ValueError("segment ids beyond 16 bit don't fit this layout")
+                blocks["seg"].write(seg.astype("<u2").tobytes())
             total += batch.num_rows
             boxes.append(box({a: xyz[:, k] for k, a in enumerate("xyz")}))
         if not total:
@@ -429,7 +432,7 @@ class BlockSource(DataSource):
         return BlockReader(self.options)
 
     def writer(self, schema, overwrite):
-        return BlockWriter(self.options)
+        return BlockWriter(self.options | {"overwrite": overwrite})
 
 
 # ---- PLY ----------------------------------------------------------------------------------
@@ -504,7 +507,7 @@ class PlySource(DataSource):
         return PlyReader(self.options)
 
     def writer(self, schema, overwrite):
-        return PlyWriter(self.options)
+        return PlyWriter(self.options | {"overwrite": overwrite})
 
 
 def register_sources(spark: SparkSession) -> None:

@@ -90,6 +90,7 @@ class PartWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict):
         self.options = dict(options)
+        self.overwrite = bool(self.options.pop("overwrite", False))
         self.folder = options["path"].rstrip("/")
 
     def encode(self, batches, spool) -> tuple[bytes, list, dict]:
@@ -119,9 +120,20 @@ class PartWriter(DataSourceArrowWriter):
         return PartMessage({"file": name, **facts})
 
     def commit(self, messages):
-        parts = [m.part for m in messages if m is not None and m.part is not None]
+        parts = self._earlier() + [m.part for m in messages if m is not None and m.part is not None]
         self._save({"parts": parts, "count": sum(p["count"] for p in parts), **self.summary(parts)})
 
+    def _earlier(self) -> list[dict]:
+        """Parts of earlier jobs in the folder; an append keeps them, an overwrite leaves them out."""
+        if self.overwrite:
+            return []
+        system, inner = resolve(self.folder)
+        listing = system.get_file_info(f"{inner}/{PARTS_FILE}")
+        if listing.type != fs.FileType.File:
+            return []
+        with system.open_input_file(listing.path) as f:
+            return json.loads(f.read())["parts"]
+
     def summary(self, parts: list[dict]) -> dict:
         return {}
 
