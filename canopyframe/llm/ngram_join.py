@@ -31,7 +31,7 @@ FRAGMENTS = 4
 #: Hashes below this are the first block of the order: more n-grams than the prefix of most sets.
 FIRST_BLOCK = np.uint64(int(0.22 * 2**64))
 #: Numbers of 64 bits in the short bitmap that takes part in the last join.
-FOLD = 8
+FOLD = 16
 #: Distances in a bucket, sorted by size, at which members are paired at first.
 LAGS = (1, 2, 5, 11)
 #: Most rounds that join components by single pairs before all remaining pairs are counted.
