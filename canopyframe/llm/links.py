@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyframe.runtime import cut_lineage
+from canopyframe.llm.common import release, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,20 +14,23 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star rounds in turn: each node hangs its neighbours on the
     smallest one it knows. The number of rounds grows with the logarithm of the
     nodes. A hub is met by aggregates with partial sums and by joins that Spark can
-    split.
+    split. Each round is a table, which Spark reads in as few tasks as its size asks for.
     """
-    edges = cut_lineage(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
-    while True:
-        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
-            break
-        seen = mark
+    edges = stored(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
+        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut_lineage(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        edges = stored(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        release(links.sparkSession)
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return leaves.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """If every node hangs on one root and no root hangs on another."""
+    ends = edges.unionByName(edges.select(F.col("v").alias("u"), "v"))
+    hung = ends.groupBy("u").agg((F.min("v") != F.max("v")).alias("apart"))
+    return not hung.agg(F.max("apart")).first()[0]

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from canopyframe.llm.common import binary_batches, release, stored
 from canopyframe.llm.links import components
 from canopyframe.llm.shingles import mix, shingle_sets
-from canopyframe.runtime import cut_lineage
 
 #: Counters of the frequency sketch; the order it gives affects speed only.
 COUNTERS = 1 << 21
@@ -329,22 +328,22 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     release(spark)
     sets = stored(_sets(texts.join(_readers(first, bitmaps), "doc_id").select("sid", "_text"), words, order))
     release(spark)
-    links = cut_lineage(_similar(first, sets, percent))
+    roots = components(stored(_similar(first, sets, percent)))
     members_of = buckets.select("tok", "sid", "n", "pos")
-    have = cut_lineage(sets.select("sid").distinct())
+    have = stored(sets.select("sid").distinct())
     met_before = first
+    placed = _place(members_of, roots)
     for k in range(ROUNDS):
-        placed = _place(members_of, links)
         tested = _bridges(placed.join(have, "sid", "left_semi"), k, percent).join(met_before, ["a", "b", "na", "nb"], "left_anti")
         tested = stored(_may_link(tested, bitmaps, percent))
-        new = cut_lineage(_similar(tested, sets, percent))
+        new = stored(_similar(tested, sets, percent))
         met_before = met_before.unionByName(tested)
         if not new.take(1):
             break
-        links = cut_lineage(links.unionByName(new))
+        roots = _more_links(roots, new)
+        placed = _place(members_of, roots)
     release(spark)
     # then all pairs of a bucket that lie in different components
-    placed = _place(members_of, links)
     mixed = placed.groupBy("tok").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("tok")
     open_rows = placed.join(mixed, "tok").join(bitmaps.select("sid", *[F.col("fold")[k].alias(f"f{k}") for k in range(FOLD)]), "sid")
     x = open_rows.select("tok", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"), *[F.col(f"f{k}").alias(f"a{k}") for k in range(FOLD)])
@@ -356,18 +355,21 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     release(spark)
     lacking = _readers(rest, bitmaps).join(sets.select("sid").distinct(), "sid", "left_anti")
     sets = sets.unionByName(stored(_sets(texts.join(lacking, "doc_id").select("sid", "_text"), words, order)))
-    more = cut_lineage(_similar(rest, sets, percent))
-    roots = cut_lineage(components(links.unionByName(more)))
+    roots = stored(_more_links(roots, stored(_similar(rest, sets, percent))))
     named = members.drop("bits", "fold").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
         "root", F.when(F.col("n") > 0, F.coalesce("root", "sid")))
     least = named.where(F.col("n") > 0).groupBy("root").agg(F.min("doc_id").alias("least"))
     return named.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def _place(buckets: DataFrame, links: DataFrame) -> DataFrame:
+def _more_links(roots: DataFrame, new: DataFrame) -> DataFrame:
+    """Components after ``new`` links; the ones so far enter as stars."""
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
+
+
+def _place(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     """``tok, sid, n, pos, root``: bucket members with their component so far."""
-    roots = components(links).withColumnRenamed("node", "sid")
-    return stored(buckets.join(roots, "sid", "left").select("tok", "sid", "n", "pos", F.coalesce("root", "sid").alias("root")))
+    return stored(buckets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("tok", "sid", "n", "pos", F.coalesce("root", "sid").alias("root")))
 
 
 def _bridges(placed: DataFrame, k: int, percent: int) -> DataFrame:
