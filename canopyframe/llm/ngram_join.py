@@ -328,7 +328,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     release(spark)
     sets = stored(_sets(texts.join(_readers(first, bitmaps), "doc_id").select("sid", "_text"), words, order))
     release(spark)
-    roots = components(stored(_similar(first, sets, percent)))
+    roots = stored(components(stored(_similar(first, sets, percent))))
     members_of = buckets.select("tok", "sid", "n", "pos")
     have = stored(sets.select("sid").distinct())
     met_before = first
@@ -340,8 +340,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
         met_before = met_before.unionByName(tested)
         if not new.take(1):
             break
-        roots = _more_links(roots, new)
-        placed = _place(members_of, roots)
+        roots, joined = _more_links(roots, new)
+        placed = stored(_follow(placed, joined))
     release(spark)
     # then all pairs of a bucket that lie in different components
     mixed = placed.groupBy("tok").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("tok")
@@ -355,16 +355,25 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     release(spark)
     lacking = _readers(rest, bitmaps).join(sets.select("sid").distinct(), "sid", "left_anti")
     sets = sets.unionByName(stored(_sets(texts.join(lacking, "doc_id").select("sid", "_text"), words, order)))
-    roots = stored(_more_links(roots, stored(_similar(rest, sets, percent))))
+    roots, _ = _more_links(roots, stored(_similar(rest, sets, percent)))
     named = members.drop("bits", "fold").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
         "root", F.when(F.col("n") > 0, F.coalesce("root", "sid")))
     least = named.where(F.col("n") > 0).groupBy("root").agg(F.min("doc_id").alias("least"))
     return named.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def _more_links(roots: DataFrame, new: DataFrame) -> DataFrame:
-    """Components after ``new`` links; the ones so far enter as stars."""
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
+def _more_links(roots: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components after ``new`` links, and ``node, root`` for those that have been joined; only these enter the search."""
+    left, right = (roots.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root")) for k in "ab")
+    between = new.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    joined = stored(components(stored(between)))
+    return stored(_follow(roots, joined).unionByName(joined.join(roots, "node", "left_anti"))), joined
+
+
+def _follow(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """``rows`` with the root that their root hangs on now."""
+    return rows.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn(
+        "root", F.coalesce("top", "root")).select(*rows.columns)
 
 
 def _place(buckets: DataFrame, roots: DataFrame) -> DataFrame:
