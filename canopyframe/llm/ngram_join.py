@@ -125,18 +125,20 @@ class _Order:
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, order) -> DataFrame:
-    """``tok, salt, sid, n, p, m``: the ``m`` n-grams from which the prefix of ``p`` of a set is chosen.
+    """``tok, salt, sid, n, p, m``: the n-grams from which the prefix of ``p`` of a set is chosen.
 
     These are all of the first block, whose exact frequencies are counted later, or if
-    there are fewer than ``p`` the first ``p`` in the order. Copies met by the same task
-    count once. The salt is -1, or the part of a bucket that is expected to be large.
+    there are fewer than ``p`` the first ``p`` in the order. ``m`` of an n-gram in the
+    first block is the number of the set's n-grams there; beyond the block it is the
+    place in the order, negated. Copies met by the same task count once. The salt is -1,
+    or the part of a bucket that is expected to be large.
     """
     names = ("tok", "salt", "sid", "n", "p", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, met = order.value, set()
         for _, data, ends in binary_batches(batches, "_text"):
-            out: list[tuple[np.ndarray, int, int, int]] = []
+            out: list[tuple[np.ndarray, int, int, int, np.ndarray]] = []
             for _, found in _groups(*shingle_sets(data, ends, words)):
                 sid, n = _signature(found), len(found)
                 if (sid, n) in met:
@@ -145,15 +147,16 @@ def _prefixes(docs: DataFrame, words: int, percent: int, order) -> DataFrame:
                 p = n - -(-percent * n // 100) + 1
                 level = known.levels(found)
                 block = found[(level == 0) & (found < FIRST_BLOCK)]
-                # hashes are sorted already: whole levels first, then the first of the last one
-                out.append((block if len(block) >= p else found[np.argsort(level, kind="stable")[:p]], sid, n, p))
+                # hashes are sorted already: whole levels first, so the block before all others, then the first of the last level
+                chosen = block if len(block) >= p else found[np.argsort(level, kind="stable")[:p]]
+                out.append((chosen, sid, n, p, np.where(np.arange(len(chosen)) < len(block), len(block), -1 - np.arange(len(chosen)))))
             if out:
                 tok = np.concatenate([o[0] for o in out])
                 size = [len(o[0]) for o in out]
                 sids, n, p = (np.repeat(np.array([o[k] for o in out], np.int64), size) for k in (1, 2, 3))
                 parts = np.where(known.levels(tok) > 0, known.salts[(tok % np.uint64(COUNTERS)).astype(np.int64)], 1).astype(np.uint64)
                 salt = np.where(parts > 1, (sids.view(np.uint64) % parts).astype(np.int64), -1)
-                columns = (tok.view(np.int64), salt.astype(np.int16), sids, n.astype(np.int32), p.astype(np.int32), np.repeat(size, size).astype(np.int32))
+                columns = (tok.view(np.int64), salt.astype(np.int16), sids, n.astype(np.int32), p.astype(np.int32), np.concatenate([o[4] for o in out]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     return docs.mapInArrow(run, "tok bigint, salt smallint, sid bigint, n int, p int, m int")
@@ -196,15 +199,15 @@ def _buckets(rows: DataFrame) -> DataFrame:
 
     In the first block n-grams are ordered by exact frequency. Those that a set has
     alone come first and take up its prefix without being here. Beyond the block
-    the place may be given too low, never too high.
+    frequencies count prefixes only, so the place is the one given by the order.
     """
     frequency = rows.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     per_set = Window.partitionBy("sid", "n")
-    ranked = rows.join(frequency, "tok").withColumn("met", F.count(F.lit(1)).over(per_set)).withColumn(
-        "place", F.row_number().over(per_set.orderBy("df", "tok")))
-    alone = F.col("m") - F.col("met")
-    pos = F.col("place") + F.when(F.col("m") > F.col("p"), alone).otherwise(0)
-    return ranked.where(F.col("place") <= F.col("p") - alone).select("tok", "salt", "sid", F.col("n").cast("long").alias("n"), pos.cast("long").alias("pos"))
+    in_block = F.col("m") > 0
+    ranked = rows.join(frequency, "tok").withColumn("met", F.count(F.when(in_block, 1)).over(per_set)).withColumn(
+        "place", F.row_number().over(per_set.orderBy(~in_block, "df", "tok")))
+    pos = F.when(in_block, F.col("place") + F.col("m") - F.col("met")).otherwise(-F.col("m"))
+    return ranked.withColumn("pos", pos.cast("long")).where(F.col("pos") <= F.col("p")).select("tok", "salt", "sid", F.col("n").cast("long").alias("n"), "pos")
 
 
 def _chain(rows: DataFrame, *keys: str) -> DataFrame:

@@ -158,6 +158,23 @@ def test_ngram_repeated_rows_and_nothing(make_docs):
     assert ngram_join.op3_ngram_jaccard(make_docs([])).count() == 0
 
 
+@pytest.mark.parametrize("words,percent", [(4, 85), (5, 80)])
+def test_ngram_subsets_and_supersets(make_docs, monkeypatch, words, percent):
+    """Places in prefixes beyond the first block: the position bound must keep every pair, also those no earlier round tests."""
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "LAGS", (1,))
+    rng = random.Random(percent)
+    texts = []
+    for _ in range(250):
+        whole = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(20, 101))]
+        for _ in range(rng.randrange(2, 6)):
+            part = whole[:]
+            cut = rng.randrange(0, len(whole) // 5 + 1)
+            texts.append(" ".join(part[cut:] if rng.random() < 0.5 else part[:len(part) - cut]) + (" " + prose(rng, rng.randrange(1, 8), 5000) if rng.random() < 0.5 else ""))
+    got = rows(ngram_join.jaccard_components(make_docs(texts), words, percent))
+    assert [r["component_id"] for r in got] == linked(list(range(len(texts))), sets_of(texts, words), percent)
+
+
 # --- personal data
 
 def test_pii_keeps_formats_and_links(make_docs):
