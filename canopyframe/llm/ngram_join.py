@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopyframe.llm.common import binary_batches, release, stored
@@ -61,8 +61,8 @@ def _groups(rows: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[int, np.ndar
 
 
 def _measure(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n, sid, bits, fold`` per document and, with null ids, the counters of the sketch in slices."""
-    names = ["doc_id", "n", "sid", "slice", "bits", "fold"]
+    """``doc_id, key, n, sid, bits, fold`` per document and, with null ids, the counters of the sketch in slices."""
+    names = ["doc_id", "key", "n", "sid", "slice", "bits", "fold"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
@@ -74,14 +74,14 @@ def _measure(docs: DataFrame, words: int) -> DataFrame:
             for r, found in _groups(rows, tokens):
                 sid[r], bits[r], fold[r] = _signature(found), _bitmap(found), np.frombuffer(_bitmap(found, 64 * FOLD), np.int64)
             columns = (pa.array(n), pa.array(sid), pa.nulls(batch.num_rows, pa.int32()), pa.array(bits, pa.binary()), pa.array(fold, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
         parts = np.minimum(counts, 255).astype(np.uint8).reshape(SLICES, -1)
         used = [i for i in range(SLICES) if parts[i].any()]
         nulls = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([nulls, nulls, nulls, pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary()),
+        yield pa.RecordBatch.from_arrays([nulls, nulls, nulls, nulls, pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary()),
                                           pa.nulls(len(used), pa.list_(pa.int64()))], names=names)
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, sid bigint, slice int, bits binary, fold array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, key bigint, n bigint, sid bigint, slice int, bits binary, fold array<bigint>")
 
 
 def _add_slices(table: pa.Table) -> pa.Table:
@@ -282,7 +282,7 @@ def _sets(docs: DataFrame, words: int, order) -> DataFrame:
             sids = batch.column(0).to_pylist()
             out_sid, out_frag, out = [], [], []
             for r, found in _groups(*shingle_sets(data, ends, words)):
-                if _signature(found) != sids[r]:  # another text with the same id
+                if _signature(found) != sids[r]:  # another text with the same key
                     continue
                 frag = known.fragments(found)
                 for f in range(FRAGMENTS):
@@ -305,13 +305,29 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     sequence if there are fewer. Two documents link when 100 * intersection >=
     ``percent`` * union. A null or empty text, or one of blanks, has no shingles and
     links with nothing. Equal sets, so also repeated rows, are linked. A row without an
-    id links with its equals only, and has their smallest id. No rows give none.
+    id links as any other; ids only name components, and one without any id has a null
+    name. No rows give none.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    texts = keyed(docs, id_col, text_col)
+    return keyed_components(texts, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, key, _text``: the key names a row by id and text, so only rows that are equal in both share it."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("_text"))
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """64-bit name of a row by its id, which may be null, and its text."""
+    return F.xxhash64(F.coalesce(doc_id.cast("long"), F.lit(-1)), doc_id.isNull(), text)
+
+
+def keyed_components(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """``doc_id, key, n_shingles, root, component_id`` for ``texts (doc_id, key, _text)``; the root, null without shingles, tells components apart that have no id."""
+    spark = texts.sparkSession
     measured = stored(_measure(texts, words))
     order = spark.sparkContext.broadcast(_Order(_frequencies(measured)))  # two numbers per counter
-    members = measured.where(F.col("slice").isNull()).select("doc_id", "n", "sid", "bits", "fold")
+    members = measured.where(F.col("slice").isNull()).select("doc_id", "key", "n", "sid", "bits", "fold")
     rows = _prefixes(texts.select("_text"), words, percent, order)
     keys = ["tok", "salt"]
     company = stored(_company(rows.repartition(*keys).sortWithinPartitions(*keys, "sid", "n")))
@@ -322,14 +338,14 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     pairs = _chain(buckets, "tok", "salt").unionByName(_chain(heads, "tok"))
     pairs = pairs.where((F.col("a") != F.col("b")) & _near("na", "nb", percent)).distinct()
     release(spark)
-    bitmaps = stored(members.where(F.col("n") > 0).groupBy("sid").agg(F.min_by("bits", "doc_id").alias("bits"), F.min_by("fold", "doc_id").alias("fold"), F.min("doc_id").alias("doc_id")))
+    bitmaps = stored(members.where(F.col("n") > 0).groupBy("sid").agg(F.min_by("bits", "key").alias("bits"), F.min_by("fold", "key").alias("fold"), F.min("key").alias("key")))
     likely = stored(_may_link(pairs.select("a", "b", "na", "nb"), bitmaps, percent))
     # first up to three partners of each set
     ends = likely.select(F.explode(F.array("a", "b")).alias("x"), F.struct(F.xxhash64("a", "b").alias("h"), "a", "b", "na", "nb").alias("p"))
     best = ends.groupBy("x").agg(F.min("p").alias("p1"), F.max("p").alias("p2"), F.min_by("p", F.struct(F.xxhash64("p.h"))).alias("p3"))
     first = stored(best.select(F.explode(F.array("p1", "p2", "p3")).alias("p")).select("p.a", "p.b", "p.na", "p.nb").distinct())
     release(spark)
-    sets = stored(_sets(texts.join(_readers(first, bitmaps), "doc_id").select("sid", "_text"), words, order))
+    sets = stored(_sets(_read(texts, _readers(first, bitmaps)), words, order))
     release(spark)
     roots = stored(components(stored(_similar(first, sets, percent))))
     members_of = buckets.select("tok", "sid", "n", "pos")
@@ -357,12 +373,12 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     rest = stored(_may_link(rest, bitmaps, percent))
     release(spark)
     lacking = _readers(rest, bitmaps).join(sets.select("sid").distinct(), "sid", "left_anti")
-    sets = sets.unionByName(stored(_sets(texts.join(lacking, "doc_id").select("sid", "_text"), words, order)))
+    sets = sets.unionByName(stored(_sets(_read(texts, lacking), words, order)))
     roots, _ = _more_links(roots, stored(_similar(rest, sets, percent)))
     named = members.drop("bits", "fold").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
         "root", F.when(F.col("n") > 0, F.coalesce("root", "sid")))
     least = named.where(F.col("n") > 0).groupBy("root").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return named.join(least, "root", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), "root", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def _more_links(roots: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -395,9 +411,16 @@ def _bridges(placed: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _readers(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``doc_id, sid``: for each set in ``pairs`` the document to read it from."""
+    """``key, sid``: for each set in ``pairs`` the row to read it from."""
     sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    return bitmaps.join(sids, "sid", "left_semi").select("doc_id", "sid")
+    return bitmaps.join(sids, "sid", "left_semi").select("key", "sid")
+
+
+def _read(texts: DataFrame, readers: DataFrame) -> DataFrame:
+    """``sid, _text`` of the rows in ``readers``; copies without an id, which share a key, are read once."""
+    named = texts.where(F.col("doc_id").isNotNull()).select("key", "_text")
+    nameless = texts.where(F.col("doc_id").isNull()).select("key", "_text").distinct()
+    return named.unionByName(nameless).join(readers, "key").select("sid", "_text")
 
 
 def op3_ngram_jaccard(docs: DataFrame) -> DataFrame:

@@ -24,13 +24,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group linked by five-word shingles at 0.8 or more.
 
-    Documents without words link with nothing and stay. Of repeated rows one stays;
-    rows without an id stay once per text.
+    Documents without words link with nothing and stay. Of repeated rows one stays.
+    Rows without an id give way to any linked one that has an id; of a group without
+    ids one row stays.
     """
-    groups = ngram_join.jaccard_components(docs, words=5, percent=80)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    rows = docs.withColumn("_text_hash", F.xxhash64("text")).join(gone, "doc_id", "left_anti")
-    return rows.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    groups = ngram_join.keyed_components(ngram_join.keyed(docs), words=5, percent=80)
+    nameless = groups.where(F.col("component_id").isNull() & F.col("root").isNotNull())
+    first = nameless.groupBy("root").agg(F.min("key").alias("first"))
+    others = nameless.join(first, "root").where(F.col("key") != F.col("first")).select("key")
+    late = groups.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("key")
+    gone = late.unionByName(others).distinct()
+    rows = docs.withColumn("_key", ngram_join.row_key(F.col("doc_id"), F.col("text"))).join(gone.withColumnRenamed("key", "_key"), "_key", "left_anti")
+    return rows.dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

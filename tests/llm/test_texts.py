@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
+import corpus_pipeline
 from canopyframe.llm import byte_bpe, ngram_join, pareto_mix, pii, quality, suffix_dedup
 from canopyframe.llm.kd_shards import kd_shards, op9_kd_shards
 
@@ -175,6 +176,19 @@ def test_ngram_subsets_and_supersets(make_docs, monkeypatch, words, percent):
     assert [r["component_id"] for r in got] == linked(list(range(len(texts))), sets_of(texts, words), percent)
 
 
+def test_ngram_rows_without_an_id_link(make_docs):
+    """Null-id texts near, not equal, to others; sets that only they have are read too."""
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 60, 5000) for _ in range(3))
+    docs = make_docs([(4, a, "s"), (None, a + " x1", "s"), (None, a + " x1", "s"), (None, b, "s"), (None, b + " x2", "s"), (9, c, "s"), (None, c, "s"), (None, "alone here", "s"), (None, None, "s")])
+    got = ngram_join.jaccard_components(docs).collect()
+    assert sorted((r["n_shingles"], r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [
+        (0, 0, 0), (1, 0, 0), (57, 0, 0), (57, 0, 9), (57, 4, 4), (57, 9, 9), (58, 0, 0), (58, 0, 4), (58, 0, 4)]
+    kept = corpus_pipeline.near_duplicates(docs.sparkSession, docs, "")
+    texts = [r["text"] for r in kept.collect()]
+    assert len(texts) == 5 and {a, c, "alone here", None} < set(texts) and len({b, b + " x2"} & set(texts)) == 1
+
+
 # --- personal data
 
 def test_pii_keeps_formats_and_links(make_docs):
