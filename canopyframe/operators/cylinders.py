@@ -80,12 +80,12 @@ def splat_clean(splats: DataFrame, keep: float = 0.96, max_scale: float = 0.6, m
         (F.col("_d") <= F.col("_edge")) & (size <= max_scale) & (colour.splat_opacity(F.col("opacity")) >= min_opacity)).drop("_d", "_edge")
 
 
-def points_to_splats(points: DataFrame, size: float = 0.03, logit: float = 8.0) -> DataFrame:
-    """Round opaque splats from coloured points."""
+def points_to_splats(points: DataFrame, size: float = 0.03, logit: float = 8.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Round opaque splats from coloured points, behind the columns to ``keep``."""
     fixed = {"nx": 0.0, "ny": 0.0, "nz": 0.0, "opacity": logit, "scale_0": float(np.log(size)), "scale_1": float(np.log(size)),
              "scale_2": float(np.log(size)), "rot_0": 1.0, "rot_1": 0.0, "rot_2": 0.0, "rot_3": 0.0}
     cols = {f"f_dc_{i}": colour.splat_coefficient(F.col(c)) for i, c in enumerate("rgb")}
-    return points.select("x", "y", "z", *[F.lit(fixed[n]).alias(n) for n in ("nx", "ny", "nz")],
+    return points.select(*keep, "x", "y", "z", *[F.lit(fixed[n]).alias(n) for n in ("nx", "ny", "nz")],
                          *[v.alias(k) for k, v in cols.items()],
                          *[F.lit(fixed[n]).alias(n) for n in list(fixed)[3:]])
 

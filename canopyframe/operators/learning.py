@@ -26,11 +26,11 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def train_species(df: DataFrame, features: list[str], label: str, trees: int = 300, seed: int = 7) -> PipelineModel:
-    """Class-balanced random forest."""
+    """Class-balanced random forest; its trees are as deep as Spark allows."""
     stages = [StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc"),
               VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip"),
               RandomForestClassifier(labelCol="_y", featuresCol="_x", weightCol="weight", numTrees=trees, seed=seed,
-                                     maxDepth=10, predictionCol="_p", probabilityCol="_prob", rawPredictionCol="_raw")]
+                                     maxDepth=30, predictionCol="_p", probabilityCol="_prob", rawPredictionCol="_raw")]
     indexer = stages[0].fit(df)
     back = IndexToString(inputCol="_p", outputCol="species", labels=indexer.labels)
     return Pipeline(stages=[indexer, *stages[1:], back]).fit(class_weights(df, label))
@@ -43,6 +43,19 @@ def score_species(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
     return df.select(key).join(done, key, "left")
 
 
+def cross_species(df: DataFrame, features: list[str], label: str, key: str, trees: int = 300) -> DataFrame:
+    """Every row scored by a forest of the other folds (column ``fold``); nulls if these have no complete row."""
+    out = df.select(key, F.lit(None).cast("string").alias("species"), F.lit(None).cast("double").alias("species_conf")).limit(0)
+    for fold in [r["fold"] for r in df.select("fold").distinct().collect()]:
+        train, held = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
+        if train.dropna(subset=[*features, label]).take(1):
+            done = score_species(train_species(train, features, label, trees), held, key)
+        else:
+            done = held.select(key, F.lit(None).cast("string").alias("species"), F.lit(None).cast("double").alias("species_conf"))
+        out = out.unionByName(done)
+    return out
+
+
 def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """Counts per pair of actual and predicted class."""
     return df.groupBy(actual, predicted).agg(F.count(F.lit(1)).alias("n"))
@@ -62,11 +75,21 @@ def class_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def habitat_types(metrics: DataFrame, features: list[str], k: int = 4, seed: int = 1, key: str = "seg_id") -> DataFrame:
-    """Cluster segments into ``k`` types by standardised figures; null with fewer than ``k`` segments."""
-    if len(metrics.select(key).take(k)) < k:
-        return metrics.select(key, F.lit(None).cast("int").alias("habitat_type"))
-    stages = [VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip"),
+    """Cluster segments into ``k`` types by standardised figures.
+
+    Every segment is kept: the type is null where a figure is missing, and for all with
+    fewer than ``k`` complete segments.
+    """
+    whole = F.lit(True)
+    for name in features:
+        whole = whole & F.col(name).isNotNull() & ~F.isnan(name)
+    known = metrics.where(whole)
+    untyped = F.lit(None).cast("int").alias("habitat_type")
+    if len(known.select(key).take(k)) < k:
+        return metrics.select(key, untyped)
+    stages = [VectorAssembler(inputCols=features, outputCol="_x"),
               StandardScaler(inputCol="_x", outputCol="_z", withMean=True),
               KMeans(k=k, seed=seed, featuresCol="_z", predictionCol="_c")]
-    fitted = Pipeline(stages=stages).fit(metrics)
-    return fitted.transform(metrics).select(key, (F.col("_c") + 1).alias("habitat_type"))
+    fitted = Pipeline(stages=stages).fit(known)
+    typed = fitted.transform(known).select(key, (F.col("_c") + 1).alias("habitat_type"))
+    return typed.unionByName(metrics.where(~whole).select(key, untyped))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from canopyframe import dims
-from canopyframe.functions import colour, geometry, species
+from canopyframe.functions import geometry, species
 from canopyframe.operators import cylinders as cyl
 from canopyframe.operators import growth, jobs, learning, scenes
 from canopyframe.operators import pixels as px
@@ -553,10 +553,7 @@ def _(src):
 @register("splat_encode", "splat_id:i f_dc_0:8 scale_0:8",
           "select point_idx as splat_id, (r/255e0 - 0.5e0)/0.28209479177387814e0 as f_dc_0, ln(0.03e0) as scale_0 from points", "points")
 def _(src):
-    pts = src("points")
-    encoded = pts.select("point_idx", colour.splat_coefficient(F.col("r")).alias("f_dc_0"))
-    scale = cyl.points_to_splats(pts).select("scale_0").limit(1)
-    return encoded.crossJoin(F.broadcast(scale)).withColumnRenamed("point_idx", "splat_id")
+    return cyl.points_to_splats(src("points"), keep=("point_idx",)).select(F.col("point_idx").alias("splat_id"), "f_dc_0", "scale_0")
 
 
 @register("splat_frame", "lo_x:5 hi_x:5 focus_x:5 lo_y:5 hi_y:5 focus_y:5 lo_z:5 hi_z:5 focus_z:5",
@@ -611,8 +608,7 @@ def _(src):
     rows = learning.group_split(feats.withColumn("label", bright), "image_id")
     from canopyframe.runtime import cut_lineage
     rows = cut_lineage(rows)
-    model = learning.train_species(rows.where("fold > 0"), px.FEATURE_NAMES, "label", trees=20)
-    return learning.score_species(model, rows.where("fold = 0"), "image_id")
+    return learning.cross_species(rows, px.FEATURE_NAMES, "label", "image_id")
 
 
 @register("habitat_types", "seg_id:i habitat_type:i")

@@ -72,3 +72,27 @@ def test_distance_join_is_an_equi_join(spark):
     b = spark.range(50).selectExpr("id as j", "id / 3.0D as u", "id / 5.0D as v")
     plan = range_join(a, b, 1.0, ("x", "y"), ("u", "v"))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_habitat_types_keep_every_segment(spark):
+    from canopyframe.operators.learning import habitat_types
+    rows = [(i, float(i % 2) * 10 + i / 100, 1.0 + i) for i in range(8)] + [(8, None, 1.0), (9, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "seg_id int, a double, b double")
+    got = {r["seg_id"]: r["habitat_type"] for r in habitat_types(df, ["a", "b"], k=2).collect()}
+    assert sorted(got) == list(range(10)) and got[8] is None and got[9] is None and all(got[i] in (1, 2) for i in range(8))
+    few = habitat_types(df.where("seg_id > 6"), ["a", "b"], k=2).collect()
+    assert len(few) == 3 and all(r["habitat_type"] is None for r in few)
+
+
+def test_species_of_every_fold(spark):
+    from canopyframe.operators.learning import cross_species
+    rows = [(i, i % 4, float(i % 3), "abc"[i % 3]) for i in range(24)]
+    df = spark.createDataFrame(rows, "image_id int, fold int, x double, label string")
+    got = {r["image_id"]: r["species"] for r in cross_species(df, ["x"], "label", "image_id", trees=5).collect()}
+    assert got == {i: "abc"[i % 3] for i in range(24)}
+
+
+def test_splats_keep_the_point(spark):
+    from canopyframe.operators.cylinders import points_to_splats
+    got = points_to_splats(spark.createDataFrame([(7, 1.0, 2.0, 3.0, 0, 255, 128)], "point_idx int, x double, y double, z double, r int, g int, b int"), keep=("point_idx",))
+    assert got.first()["point_idx"] == 7 and got.columns[:4] == ["point_idx", "x", "y", "z"]
