@@ -8,6 +8,8 @@ and distrust flows backwards from hosts that rules mostly block.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,9 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING = 0.85
-ROUNDS = 20
+#: Rounds end when no host's score moves by this share of itself; scores below SMALLEST have no digits left to compare.
 EPSILON = 1e-6
+SMALLEST = 1e-300
 #: A host is blocked when its distrust is at least this share of trust and distrust together.
 BLOCK_SHARE = 0.5
 
@@ -56,12 +59,12 @@ def host_links(pages: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """Personalised PageRank: ``host, score`` for ``links (src, dst, n)`` and ``seeds (host, seed)``.
 
     A host shares its score over its links by their number; what a host without
-    links would pass on returns to the seeds. Rounds end when scores move by less
-    than EPSILON in all, or after ``rounds``.
+    links would pass on returns to the seeds. Rounds end when no host is reached anew and
+    every score moves by less than EPSILON of itself, or after ``rounds`` if given.
     """
     total = seeds.agg(F.sum("seed")).first()[0]
     if not total:
@@ -70,7 +73,9 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     out = links.groupBy("src").agg(F.sum("n").alias("_all"))
     shares = cut_lineage(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("_all")).alias("share")))
     score = start.select("host", F.col("seed").alias("score"))
-    for _ in range(rounds):
+    now, old = F.coalesce("score", F.lit(0.0)), F.coalesce("old", F.lit(0.0))
+    larger = F.greatest(now, old)
+    for _ in itertools.count() if rounds is None else range(rounds):
         flow = (score.join(shares, score["host"] == shares["src"]).groupBy(F.col("dst").alias("host"))
                 .agg(F.sum(F.col("score") * F.col("share")).alias("got")))
         moved = flow.agg(F.sum("got")).first()[0] or 0.0
@@ -79,7 +84,7 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
             "host", (F.coalesce("seed", F.lit(0.0)) * back + F.coalesce("got", F.lit(0.0)) * damping).alias("score"))
         new = cut_lineage(new)
         gone = new.join(score.withColumnRenamed("score", "old"), "host", "full").agg(
-            F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
+            F.max(F.when(larger > SMALLEST, F.abs(now - old) / larger))).first()[0] or 0.0
         score = new
         if gone < EPSILON:
             break

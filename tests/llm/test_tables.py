@@ -98,6 +98,13 @@ def test_pagerank_against_power_iteration(spark):
     assert all(abs(got.get(k, 0.0) - x[k]) < 1e-9 for k in range(20))
 
 
+def test_distrust_reaches_the_end_of_a_chain(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "EPSILON", 0.01)
+    pages = [(0, "http://bad.net/1", "")] + [(i, f"http://h{i}.com/1", f'<a href="https://{"bad.net" if i == 1 else f"h{i - 1}.com"}/p">x</a>') for i in range(1, 24)]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(pages, PAGES)).collect()}
+    assert got == {i: "block" for i in range(24)}
+
+
 CHAT = "conv_id bigint, turn bigint, role string, text string"
 TOOLS = json.dumps({"tools": [{"name": "add", "parameters": {"type": "object", "properties": {"a": {"type": "integer"}, "u": {"type": "string", "enum": ["m", "s"]}},
                                                             "required": ["a"], "additionalProperties": False}}]})
