@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from canopyframe.llm import byte_bpe, chat, kd_shards, ngram_join, pareto_mix, pii, pivot_index, quality, suffix_dedup, url_filter
+from canopyframe.llm import bag_search, byte_bpe, chat, fm_index, kd_shards, ngram_join, pareto_mix, pii, pivot_index, quality, spelling, suffix_dedup, url_filter
 from canopyframe.llm.common import table
 
 
@@ -29,6 +29,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_kd_shards": lambda spark, d: kd_shards.op9_kd_shards(table(spark, d, "documents")),
     "pipeline": corpus_pipeline.run,
     "op10_pareto_mix": lambda spark, d: pareto_mix.mixed_sizes(table(spark, d, "documents")),
+    "op11_fm_decontamination": lambda spark, d: fm_index.op11_fm_decontamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op12_spelling_variants": lambda spark, d: spelling.op12_spelling_variants(table(spark, d, "documents")),
+    "op13_bag_search": lambda spark, d: bag_search.op13_bag_search(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
 
 ORACLES: dict[str, str] = {}
