@@ -12,7 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopyframe.runtime import cut_lineage
+from canopyframe.ranking import running_total
+from canopyframe.runtime import BROADCAST_LIMIT, cut_lineage, fits_one_task, salted_join
 
 #: Bits of a dimension's value and of the tie-breaking number below it.
 BITS = 30
@@ -22,12 +23,17 @@ BINS = 1024
 TOLERANCE = 0.0005
 #: Rows numbered by one task.
 SLOT_ROWS = 50_000
+#: Equal rows that one row stands for.
+REPEATS = 10_000
 
 
-def _ordinal(c: Column) -> Column:
-    """Number of the first seven bytes, in the order of the strings."""
-    code = F.rpad(F.hex(F.substring(F.encode(F.coalesce(c, F.lit("")), "utf-8"), 1, 7)), 14, "0")
-    return F.conv(code, 16, 10).cast("double")
+def _numbered(meta: DataFrame, column: str) -> DataFrame:
+    """``meta`` with the place of each text among the distinct texts of the column instead of the text; null is lowest."""
+    values = meta.where(F.col(column).isNotNull()).select(column).distinct()
+    places = cut_lineage(running_total(values, [], [F.col(column)], None, "_place"))
+    joined = (meta.join(F.broadcast(places), column, "left") if fits_one_task(places, [], BROADCAST_LIMIT)
+              else salted_join(meta, places, [column], "left"))
+    return joined.withColumn(column, F.coalesce("_place", F.lit(0)).cast("double")).drop("_place")
 
 
 def _key(dims: int) -> Column:
@@ -90,27 +96,33 @@ def kd_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_co
     """Shard and gapless slot of each row: ``doc_id, size, text_crc32, shard, slot``.
 
     Size is the UTF-8 bytes of the text (null: none) plus 8. Dimensions are columns
-    of ``docs`` (numbers by value, other types by the first seven bytes of their
-    text, null lowest) or ``size`` by its logarithm; names that ``docs`` lacks are
-    left out. Rows equal in a dimension are ordered by text checksum and id, so
-    equal texts lie side by side but a hot value or copy still divides. Repeated
+    of ``docs`` (numbers by value, other types by the place of their text among the
+    distinct texts, null lowest) or ``size`` by its logarithm; names that ``docs`` lacks are
+    left out. Rows equal in a dimension are ordered by text checksum, id and, if equal in all that,
+    a running number, so equal texts lie side by side but a hot value or copy still divides. Repeated
     rows are rows of their own. No rows: no result. Other columns are ignored.
+    The result depends on the rows only, not on their order or files.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     kinds = dict(docs.dtypes)
     named = [d for d in dims if d == "size" or d in kinds]
-    raw = {}
+    raw, texts = {}, []
     for i, d in enumerate(named):
         if d == "size":
             raw[f"_r{i}"] = F.log2(F.octet_length(text).cast("double") + 8)
         elif kinds[d] in ("tinyint", "smallint", "int", "bigint", "float", "double") or kinds[d].startswith("decimal"):
             raw[f"_r{i}"] = F.col(d).cast("double")
         else:
-            raw[f"_r{i}"] = _ordinal(F.col(d).cast("string"))
+            raw[f"_r{i}"] = F.col(d).cast("string")
+            texts.append(f"_r{i}")
+            continue
         raw[f"_r{i}"] = F.when(F.isnan(raw[f"_r{i}"]), None).otherwise(raw[f"_r{i}"])
     size = (F.octet_length(text).cast("long") + 8).alias("size")
     meta = docs.select(F.col(id_col).alias("doc_id"), size, F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
                        *[c.alias(n) for n, c in raw.items()])
+    meta = _told_apart(cut_lineage(meta))
+    for name in texts:
+        meta = _numbered(meta, name)
     meta = cut_lineage(meta)
     ends = meta.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"),
                     *[f(n).alias(f"{n}{k}") for n in raw for k, f in (("lo", F.min), ("hi", F.max))]).first()
@@ -122,8 +134,8 @@ def kd_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_co
         value = F.floor((F.col(n) - low) / (high - low) * (top - 1)).cast("long") + 1 if wide else F.lit(0)
         scaled[f"_d{i}"] = F.coalesce(value.cast("long"), F.lit(0).cast("long"))
     tie = F.shiftleft(F.pmod(F.xxhash64("text_crc32"), F.lit(1 << 14)), 16) + F.pmod(
-        F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1 << 16))
-    meta = meta.select("doc_id", "size", "text_crc32", tie.cast("long").alias("_tie"), F.lit(0).cast("long").alias("_node"),
+        F.xxhash64("doc_id", "_again", "size", *raw), F.lit(1 << 16))
+    meta = meta.select("doc_id", "size", "text_crc32", "_again", tie.cast("long").alias("_tie"), F.lit(0).cast("long").alias("_node"),
                        *[c.alias(n) for n, c in scaled.items()])
     if not scaled:
         meta = meta.withColumn("_d0", F.lit(0).cast("long"))
@@ -152,15 +164,25 @@ def kd_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_co
                 grown[node * 2] = (first, k)
         nodes = grown
     names = _values(meta.sparkSession, [(node, first) for node, (first, _) in nodes.items()], "_node, shard")
-    placed = meta.join(F.broadcast(names), "_node").select("doc_id", "size", "text_crc32", F.col("shard").cast("int"))
+    placed = meta.join(F.broadcast(names), "_node").select("doc_id", "size", "text_crc32", "_again", F.col("shard").cast("int"))
     return _slots(placed, ends["n"] or 0, shards)
 
 
+def _told_apart(meta: DataFrame) -> DataFrame:
+    """Rows with ``_again``, a running number of equal rows; which of them has which number makes no difference."""
+    counted = meta.groupBy(*meta.columns).agg(F.count(F.lit(1)).alias("_n"))
+    once = counted.where(F.col("_n") == 1).withColumn("_again", F.lit(0).cast("long")).drop("_n")
+    blocks = counted.where(F.col("_n") > 1).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / REPEATS) - 1)))
+    low = F.col("_block") * REPEATS
+    again = F.explode(F.sequence(low, F.least(low + REPEATS, F.col("_n")) - 1)).alias("_again")
+    return once.unionByName(blocks.repartition(*meta.columns, "_block").select(*meta.columns, again))
+
+
 def _slots(placed: DataFrame, rows: int, shards: int) -> DataFrame:
     """Gapless numbers per shard: rows of a bounded bucket are numbered in a task, buckets get offsets."""
     buckets = max(1, math.ceil(rows / shards / SLOT_ROWS)) * 8
-    placed = placed.withColumn("_b", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)))
-    order = F.row_number().over(Window.partitionBy("shard", "_b").orderBy("doc_id", "text_crc32", "size"))
+    placed = placed.withColumn("_b", F.pmod(F.xxhash64("doc_id", "text_crc32", "_again"), F.lit(buckets)))
+    order = F.row_number().over(Window.partitionBy("shard", "_b").orderBy("doc_id", "text_crc32", "size", "_again"))
     sizes = placed.groupBy("shard", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("shard", "_b", F.coalesce(before, F.lit(0)).alias("_start"))

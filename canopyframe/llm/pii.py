@@ -32,11 +32,15 @@ PATTERNS = {
               r"|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])"),
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
-#: Kinds with a check digit: where a value may start, as much as may belong to it, what may stand around it, and all lengths to try.
+#: Kinds with a check digit: where a value may start and as much as may belong to it, what may stand around it, and all lengths to try.
+#: Cards: undivided digits; the usual groups, unless they belong to a row of six or more groups of four digits; anything behind a label.
 RUNS = {
-    "iban": (r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){8,31}))", "[A-Za-z0-9]",
+    "iban": ([r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){8,31}))"], "[A-Za-z0-9]",
              [rf"^[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "") for n in range(2, 8) for rest in range(4)]),
-    "card": (r"(?<![0-9])(?=([0-9](?:[ -]?[0-9]){12,18}))", "[0-9]", [rf"^[0-9](?:[ -]?[0-9]){{{n - 1}}}" for n in range(13, 20)]),
+    "card": ([r"(?<![0-9])([0-9]{13,19})(?![0-9])",
+              r"(?<![0-9])(?<![0-9]{4}[ -][0-9]{4}[ -])(?!(?:[0-9]{4}[ -]){5}[0-9]{4}(?![0-9]))(?=([0-9]{4}[ -](?:[0-9]{4}[ -][0-9]{4}|[0-9]{6})[ -][0-9]{1,5}(?:[ -][0-9]{1,3})?))",
+              r"(?<=(?i:card|visa|amex|karte|carte|tarjeta)[^0-9]{0,20})(?=([0-9](?:[ -]?[0-9]){12,18}))"],
+             "[0-9]", [rf"^[0-9](?:[ -]?[0-9]){{{n - 1}}}" for n in range(13, 20)]),
 }
 #: Lengths of IBANs by country. Of several lengths that pass the check this one is taken; others hold where no such length is known.
 IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
@@ -139,10 +143,17 @@ def _iban_usual(m: Column) -> Column:
 
 def _valid_values(text: Column, kind: str) -> Column:
     """Every stretch of ``text`` that may be a value of the kind and passes its check; the usual lengths come first, then the longest."""
-    start, _, lengths = RUNS[kind]
+    starts, _, lengths = RUNS[kind]
     passes, usual = (_iban_valid, _iban_usual) if kind == "iban" else (_card_valid, lambda m: m.rlike(CARD_SHAPE))
-    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(start), 1))
-    tried = F.flatten(F.transform(runs, lambda run: F.transform(F.array(*[F.lit(p) for p in lengths]), lambda p: F.regexp_substr(run, p))))
+
+    def stretches(start: str) -> Column:
+        runs = F.array_distinct(F.regexp_extract_all(text, F.lit(start), 1))
+        return F.flatten(F.transform(runs, lambda run: F.transform(F.array(*[F.lit(p) for p in lengths]), lambda p: F.regexp_substr(run, p))))
+
+    tried = [stretches(start) for start in starts]
+    if kind == "card":  # only a label lets digits be a card in any grouping
+        tried = [F.filter(t, lambda m: m.rlike(CARD_SHAPE)) for t in tried[:-1]] + tried[-1:]
+    tried = F.concat(*tried)
     good = F.filter(tried, lambda m: m.isNotNull() & passes(m))
     ranked = F.transform(good, lambda m: F.struct(usual(m).alias("usual"), F.length(m).alias("size"), m.alias("m")))
     return F.array_distinct(F.transform(F.sort_array(ranked, False), lambda r: r["m"]))
@@ -246,8 +257,23 @@ def _secret(m: Column, key: str) -> Column:
     return F.concat(head, permute_text(value, key, "secret"), tail)
 
 
+#: Steps of a walk to the next valid number; fewer than one number in 10 ** 30 is still invalid then.
+WALK = 32
+
+
+def _ssn(m: Column, key: str) -> Column:
+    """Permuted again until the number is one that could be given out, which is a permutation of those."""
+    def step(acc: Column, _: Column) -> Column:
+        valid = F.regexp_like(acc["d"], F.lit("^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$"))
+        done = acc["moved"] & valid
+        return F.struct(F.when(done, acc["d"]).otherwise(permute_text(acc["d"], key, "ssn")).alias("d"), F.lit(True).alias("moved"))
+
+    start = F.struct(_digits(m).alias("d"), F.lit(False).alias("moved"))
+    return _relay(m, F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, step, lambda acc: acc["d"]))
+
+
 _MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ipv4": _ipv4,
-           "ssn": lambda m, key: _relay(m, permute_text(_digits(m), key, "ssn")), "phone": _phone, "card": _card}
+           "ssn": _ssn, "phone": _phone, "card": _card}
 
 
 def _replace(m: Column, key: str) -> Column:
@@ -263,8 +289,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """Columns of ``docs`` with the text rewritten, and ``pii``: kind and pseudonym of each value in order.
 
     Values that fail their check (card or IBAN check digits, calendar) stay as they
-    are; every start and length of a run is tried, so what stands before or after a
-    value doesn't hide it. A null text stays null and an empty one empty, both with no values. The key
+    are. An IBAN is found at every start and length of a run, a card as undivided digits or in
+    its usual groups whatever stands before or after, in other groups behind a label. Rows of
+    six or more groups of four digits are ordinary numbers. A number that passes its check by chance is replaced. A null text stays null and an empty one empty, both with no values. The key
     is part of every permutation; without it pseudonyms can't be traced back. Equal
     rows give equal rows. A column of ``docs`` called ``pii`` is replaced.
     """

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from canopyframe.llm.common import release, stored
 from canopyframe.llm.links import components
-from canopyframe.runtime import cut_lineage
+from canopyframe.runtime import cut_lineage, salted_join
 
 #: Vectors sampled for the pivots, and pivots kept: no two of them nearer than APART (cosine).
 SAMPLE, PIVOTS, APART = 4096, 768, 0.75
@@ -36,7 +36,7 @@ def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
 
 def _pivots(distinct: DataFrame, dim: int) -> np.ndarray:
     """A bounded sample in hash order, thinned so that a crowd of near copies gives one pivot."""
-    rows = distinct.orderBy(F.xxhash64("rep", F.lit("pivot")), "rep").select("vec").limit(SAMPLE).collect()
+    rows = distinct.orderBy(F.xxhash64("h1", "h2", F.lit("pivot")), "h1", "h2").select("vec").limit(SAMPLE).collect()
     x = _unit(np.array([r["vec"] for r in rows], np.float64).reshape(-1, dim), dim) if rows else np.zeros((0, dim))
     kept: list[int] = []
     for i in range(len(x)):
@@ -148,12 +148,16 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``.
 
     Vectors that are null, empty, zero or hold a null or a non-finite component
-    link with nothing, nor do those whose length isn't that of most vectors. Equal
-    vectors, so also repeated rows, are one entry of the index with a count and link
-    with each other. Every vector is indexed; only the pivots come from a sample.
+    link with nothing. Vectors of different lengths have no cosine; each length has an
+    index of its own. Equal vectors, so also repeated rows, are one entry of the index with a
+    count and link with each other. Every vector is indexed; only the pivots come from a sample.
     A pair is found if the two share two of their nearest pivots, and pairs found are
     verified in double precision. Lists of any length are compared in blocks.
     No rows give none.
+
+    Vectors are named by numbers of their own inside, so ids may be null or repeated: rows
+    of one id are vectors of their own, the component is named by its smallest id, and
+    where no member has an id by null. A row without id is kept if its component has no id.
     """
     vec = F.col(vec_col)
     sound = vec.isNotNull() & F.coalesce(F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
@@ -161,12 +165,30 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.when(sound, vec).alias("vec"))
     # equal vectors are known by 128 bits of hash
     rows = rows.withColumns({"h1": F.when(F.col("vec").isNotNull(), F.xxhash64("vec")), "h2": F.when(F.col("vec").isNotNull(), F.xxhash64(F.lit("second"), "vec"))})
-    dims = rows.where(F.col("vec").isNotNull()).groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if dims is None:
+    usable = rows.where(F.col("vec").isNotNull())
+    merged = usable.groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("mult"), F.first("vec").alias("vec"))
+    distinct = stored(merged.select(F.monotonically_increasing_id().alias("rep"), "*", F.size("vec").alias("dim")))
+    lengths = sorted(r["dim"] for r in distinct.select("dim").distinct().collect())
+    links = [_links(distinct.where(F.col("dim") == dim), dim, cosine) for dim in lengths]
+    if not links:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = dims["dim"]
-    usable = rows.where(F.size("vec") == dim)
-    distinct = stored(usable.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("vec").alias("vec")))
+    found = links[0]
+    for more in links[1:]:
+        found = found.unionByName(more)
+    roots = stored(components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep"))
+    counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
+    placed = distinct.select("h1", "h2", "rep", "least", "mult").join(counts, "rep", "left").join(roots, "rep", "left")
+    placed = stored(placed.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "least", F.coalesce("root", "rep").alias("root")))
+    # sums of tasks first, so a component of any size is a few rows when it is named
+    names = placed.groupBy("root").agg(F.min("least").alias("component"))
+    named = cut_lineage(salted_join(placed, names, ["root"]).select("h1", "h2", "n_links", "component", F.lit(True).alias("sound")))
+    own = F.when(F.col("sound"), F.col("component")).otherwise(F.col("vec_id"))
+    return rows.drop("vec").join(named, ["h1", "h2"], "left").select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
+
+
+def _links(distinct: DataFrame, dim: int, cosine: float) -> DataFrame:
+    """``rep, root, n``: linked vectors of one length, the smallest of their part of a block and the number of rows they link with there."""
     pivots = _pivots(distinct, dim)
     described = stored(_describe(distinct, pivots, dim))
     size = min(NEAREST, len(pivots))
@@ -183,15 +205,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     body = distinct.join(described, "rep").select("rep", "mult", "vec", "near")
     full = blocks.join(body, "rep").repartition("p", "q", "i", "j").sortWithinPartitions("p", "q", "i", "j")
     found = stored(_blocks(full.select("p", "q", "i", "j", "rep", "chunk", "mult", "vec", "near"), dim, cosine))
-    release(vectors.sparkSession)
-    roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    named = (distinct.select("h1", "h2", "rep", "mult").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-             .select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")))
-    named = cut_lineage(named)
-    return rows.drop("vec").join(named, ["h1", "h2"], "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"),
-        F.coalesce(F.col("vec_id") == F.coalesce("root", "vec_id"), F.lit(True)).alias("kept"))
+    release(distinct.sparkSession)
+    return found
 
 
 def op8_pivot_index(vectors: DataFrame) -> DataFrame:

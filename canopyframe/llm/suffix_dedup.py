@@ -85,7 +85,10 @@ def _surroundings(hashes: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.
 
 
 def _find_anchors(texts: DataFrame, length: int) -> DataFrame:
-    """``h, c, doc_id, crc, at, before, after`` of each anchor: hashes of its gram and of its surroundings."""
+    """``h, c, k1, k2, place`` of each anchor: hashes of its gram and of its surroundings, its text's key, and where it is.
+
+    ``place`` is the position, the bytes before and the bytes after that matter, in 32, 16 and 16 bits.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch, data, ends in binary_batches(batches, "_text", 96):
@@ -100,10 +103,13 @@ def _find_anchors(texts: DataFrame, length: int) -> DataFrame:
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hashes[at].view(np.int64)), pa.array(c.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take),
-                     pa.array((at - ends[row]).astype(np.int64)), pa.array(before.astype(np.int16)), pa.array(after.astype(np.int16))],
-                    names=["h", "c", "doc_id", "crc", "at", "before", "after"])
+                     pa.array((at - ends[row]) << 32 | before.astype(np.int64) << 16 | after.astype(np.int64))],
+                    names=["h", "c", "k1", "k2", "place"])
+
+    return texts.mapInArrow(run, "h bigint, c bigint, k1 bigint, k2 bigint, place bigint")
 
-    return texts.mapInArrow(run, "h bigint, c bigint, doc_id bigint, crc bigint, at bigint, before smallint, after smallint")
+
+_AT, _BEFORE, _AFTER = "shiftright(place, 32)", "shiftright(place, 16) & 65535", "place & 65535"
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -217,7 +223,7 @@ def _sort_buckets(rows: DataFrame, length: int) -> DataFrame:
         held: list[tuple] = []
         out: list[tuple] = []
 
-        def solve() -> None:
+        def solve() -> None:  # different surroundings only
             for row, (a, b) in zip(held, reaches([r[2] for r in held], [r[3] for r in held], [r[4] for r in held], length)):
                 if a >= 0:
                     out.append((row[0], row[1], a, b))
@@ -231,7 +237,8 @@ def _sort_buckets(rows: DataFrame, length: int) -> DataFrame:
                 if held and held[0][0] != row[0]:
                     solve()
                     held.clear()
-                held.append(row)
+                if not held or held[-1][1] != row[1]:  # rows with equal id and text each bring their cut
+                    held.append(row)
             if len(out) > 5000:
                 yield batch_of(out)
                 out.clear()
@@ -258,7 +265,8 @@ def _split_buckets(rows: DataFrame, length: int) -> DataFrame:
 
 def _cut_texts(texts: DataFrame, at: DataFrame) -> DataFrame:
     """``h, c, left, right, times``: the bytes around one anchor for each of its surroundings."""
-    per_doc = at.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("h", "c", "at", "before", "after", "times")).alias("spots"))
+    spot = F.struct("h", "c", F.expr(_AT).alias("at"), F.expr(_BEFORE).alias("before"), F.expr(_AFTER).alias("after"), "times")
+    per_doc = at.groupBy("k1", "k2").agg(F.collect_list(spot).alias("spots"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, ends in binary_batches(batches, "_text", 128):
@@ -271,12 +279,12 @@ def _cut_texts(texts: DataFrame, at: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=["h", "c", "left", "right", "times"])
 
-    return (texts.join(per_doc, ["doc_id", "crc"]).select("spots", "_text")
+    return (texts.join(per_doc, ["k1", "k2"]).select("spots", "_text")
             .mapInArrow(run, "h bigint, c bigint, left binary, right binary, times bigint"))
 
 
 def _repeated(texts: DataFrame, length: int) -> DataFrame:
-    """``h, c, doc_id, crc, at, before, after`` of the anchors whose gram occurs twice or more."""
+    """``h, c, k1, k2, place`` of the anchors whose gram occurs twice or more."""
     # the anchors are found twice rather than kept: reading texts costs less than a table of all anchors
     anchors = _find_anchors(texts, length)
     twice = stored(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("h"))
@@ -288,31 +296,31 @@ def _repeated(texts: DataFrame, length: int) -> DataFrame:
 def _reaches(texts: DataFrame, spots: DataFrame, length: int, bucket: int) -> DataFrame:
     """``h, c, reach_back, reach`` of the surroundings that hold repeated strings."""
     around = stored(spots.groupBy("h", "c").agg(
-        F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "crc", "at", "before", "after")).alias("one")))
+        F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "place")).alias("one")))
     sizes = around.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
     # one kind of surroundings, met often: its suffixes are equal throughout
-    alone = around.join(sizes.where(F.col("kinds") == 1).select("h"), "h", "left_semi").where(
-        (F.col("times") > 1) & (F.col("one.before") + F.col("one.after") >= length)).select(
-        "h", "c", F.col("one.before").cast("int").alias("reach_back"), F.col("one.after").cast("int").alias("reach"))
+    alone = around.join(sizes.where(F.col("kinds") == 1).select("h"), "h", "left_semi").select("h", "c", "times", "one.place").selectExpr(
+        "h", "c", "times", f"cast({_BEFORE} as int) as reach_back", f"cast({_AFTER} as int) as reach").where(
+        (F.col("times") > 1) & (F.col("reach_back") + F.col("reach") >= length)).drop("times")
     sortable = around.join(sizes.where(F.col("kinds") > 1), "h").select("h", "c", "times", "one.*")
     large = stored(sizes.where(F.col("kinds") > bucket).select("h"))
-    small = _cut_texts(texts, sortable.join(large, "h", "left_anti")).repartition("h").sortWithinPartitions("h")
+    small = _cut_texts(texts, sortable.join(large, "h", "left_anti")).repartition("h").sortWithinPartitions("h", "c")
     found = alone.unionByName(_sort_buckets(small.select("h", "c", "left", "right", "times"), length))
     if large.take(1):
-        found = found.unionByName(_split_buckets(_cut_texts(texts, sortable.join(large, "h", "left_semi")), length))
+        found = found.unionByName(_split_buckets(_cut_texts(texts, sortable.join(large, "h", "left_semi")).dropDuplicates(["h", "c"]), length))
     return stored(found)
 
 
 def _spans(docs: DataFrame, length: int, bucket: int) -> DataFrame:
-    """``doc_id, crc, spans``: pieces (start, end) of each text to remove, in no order, not yet joined."""
-    texts = docs.select("doc_id", "crc", "_text")
+    """``k1, k2, spans``: pieces (start, end) of each text to remove, in no order, not yet joined."""
+    texts = docs.select("k1", "k2", "_text")
     spots = _repeated(texts.where(F.octet_length("_text") >= length), length)
     release(docs.sparkSession)
     reach = _reaches(texts, spots, length, bucket)
     release(docs.sparkSession)
-    return spots.join(reach, ["h", "c"]).select(
-        "doc_id", "crc", F.struct((F.col("at") - F.col("reach_back")).alias("a"), (F.col("at") + F.col("reach")).alias("b")).alias("s")).groupBy(
-        "doc_id", "crc").agg(F.collect_set("s").alias("spans"))
+    at = F.expr(_AT)
+    return spots.join(reach, ["h", "c"]).select("k1", "k2", F.struct((at - F.col("reach_back")).alias("a"), (at + F.col("reach")).alias("b")).alias("s")).groupBy(
+        "k1", "k2").agg(F.collect_set("s").alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text",
@@ -322,14 +330,16 @@ def remove_repeats(docs: DataFrame, length: int = 200, bucket: int = BUCKET, id_
     Removes every byte covered by a string of ``length`` bytes that also starts
     anywhere else, in the same text or another, overlaps included; judged on the
     input. A null text counts as empty. Texts shorter than ``length`` stay whole.
-    Repeated rows are copies of each other. Rows of one id with different texts are
-    kept apart by a checksum. No rows give none.
+    Repeated rows are copies of each other. No rows give none.
+
+    Inside, a row is known by its id and 64 bits of hash of its text, one without id by
+    128 bits of hash; rows that agree in that have the same text and share their result.
     """
+    if not GRAM < length < 1 << 15:
+        raise ValueError(f"length must be above {GRAM} and below {1 << 15}")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.crc32(F.encode(text, "utf-8")).alias("crc"), text.alias("_text"))
-    # a null id is an id of its own in the joins
-    keyed = named.withColumns({"_id": F.col("doc_id"), "crc": F.when(F.col("doc_id").isNull(), -F.col("crc") - 1).otherwise(F.col("crc")),
-                               "doc_id": F.coalesce("doc_id", F.lit(0).cast("long"))})
+    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), text.alias("_text"))
+    keyed = keyed.withColumns({"k1": F.coalesce("_id", F.xxhash64(F.lit("second"), "_text")), "k2": F.xxhash64("_text")})
     spans = _spans(keyed, length, bucket)
     kept_kind = "string" if digest_only else "binary"
 
@@ -350,7 +360,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, bucket: int = BUCKET, id_
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds))],
                                              names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return keyed.join(spans, ["doc_id", "crc"], "left").select(F.col("_id").alias("doc_id"), "spans", "_text").mapInArrow(
+    return keyed.join(spans, ["k1", "k2"], "left").select(F.col("_id").alias("doc_id"), "spans", "_text").mapInArrow(
         run, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept {kept_kind}")
 
 

@@ -46,6 +46,17 @@ def test_pivot_index_odd_vectors(spark):
     assert pivot_index.op8_pivot_index(spark.createDataFrame([], VEC)).count() == 0
 
 
+def test_pivot_index_lengths_and_ids(spark):
+    rows = [(1, [1.0, 2.0, 3.0], 0), (2, [3.0, 1.0, 2.0], 0), (3, [0.0, 0.0, 1.0], 0), (4, [1.0, 0.0], 0), (5, [1.0, 0.0], 0), (6, [1.0, 0.0, 0.0, 0.0], 0)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pivot_index.op8_pivot_index(spark.createDataFrame(rows, VEC)).collect()}
+    assert got == {1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+    near = [[1.0, 0.0, 0.01], [1.0, 0.01, 0.0], [1.0, 0.02, 0.0]]
+    rows = [(None, near[0], 0), (None, near[1], 0), (7, near[2], 0), (8, [0.0, 1.0, 0.0], 0), (8, [0.0, 0.0, 1.0], 0), (9, [0.0, 0.01, 1.0], 0),
+            (None, [0.0, -1.0, 0.0], 0), (None, [0.01, -1.0, 0.0], 0)]
+    got = [tuple(r) for r in pivot_index.op8_pivot_index(spark.createDataFrame(rows, VEC)).collect()]
+    assert sorted(got, key=str) == sorted([(None, 2, 7, False)] * 2 + [(7, 2, 7, True), (8, 0, 8, True), (8, 1, 8, True), (9, 1, 8, False)] + [(None, 1, None, True)] * 2, key=str)
+
+
 def test_components_of_a_long_path(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1000)], "a bigint, b bigint")
     got = {r["node"]: r["root"] for r in links.components(pairs).collect()}
@@ -169,6 +180,9 @@ def test_near_duplicates_leave_one_of_repeated_rows(spark, make_docs, sf_dir):
     text = " ".join(f"w{i}" for i in range(40))
     docs = make_docs([(2, text, "a"), (2, text, "a"), (1, text + " more", "b"), (5, None, None), (6, "", "c")])
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()) == [1, 5, 6]
+    packed = docs.selectExpr("doc_id", "text", "lang", "doc_id as _key", "monotonically_increasing_id() as doc", "'a' as place", "'b' as key", "'c' as second")
+    got = corpus_pipeline.near_duplicates(spark, packed, sf_dir)
+    assert got.columns == packed.columns and sorted((r["doc_id"], r["_key"], r["place"]) for r in got.collect()) == [(1, 1, "a"), (5, 5, "a"), (6, 6, "a")]
     empty = make_docs([])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
@@ -176,4 +190,4 @@ def test_near_duplicates_leave_one_of_repeated_rows(spark, make_docs, sf_dir):
 
 def test_every_query_is_registered():
     names = [m[1] for m in (re.match(r"op(\d+)_", k) for k in queries()) if m]
-    assert sorted(map(int, names)) == list(range(1, 11)) and "pipeline" in queries()
+    assert sorted(map(int, names)) == list(range(1, 14)) and "pipeline" in queries()

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -66,6 +67,37 @@ def test_suffix_dedup_repeated_rows_and_nothing(make_docs):
     assert suffix_dedup.op1_suffix_dedup(make_docs([])).count() == 0
 
 
+def test_suffix_dedup_tells_rows_without_id_apart(make_docs):
+    # the first pair of texts has equal CRC-32 sums; ids are null or repeated
+    rng = random.Random(2)
+    passage = prose(rng, 60)
+    texts = [passage[:230] + prose(rng, 30), prose(rng, 50) + passage[:230], prose(rng, 80), passage[:100]]
+    texts += same_checksum(texts[2] + passage[:215])
+    for key in (None, 7):
+        got = suffix_dedup.remove_repeats(make_docs([(key, t, "s") for t in texts]), digest_only=True)
+        assert sorted(tuple(r)[1:] for r in got.collect()) == sorted(repeats([t.encode() for t in texts], 200))
+
+
+def same_checksum(text):
+    """Two endings of the text with the same CRC-32."""
+    seen, start = {}, zlib.crc32(text.encode())
+    for n in range(1 << 20):
+        ending = f" {n * 2654435761 % (1 << 32):x} {n}"
+        other = seen.setdefault(zlib.crc32(ending.encode(), start), ending)
+        if other != ending:
+            return [text + other, text + ending]
+    raise AssertionError("no such endings")
+
+
+def test_suffix_dedup_many_repeated_rows(make_docs):
+    rng = random.Random(4)
+    text = prose(rng, 300)
+    docs = [(3, text, "s")] * 5000 + [(4, text[100:700] + prose(rng, 40), "s")]
+    got = collections.Counter(tuple(r) for r in suffix_dedup.remove_repeats(make_docs(docs), digest_only=True).collect())
+    want = repeats([text.encode()] * 2 + [docs[-1][1].encode()], 200)
+    assert got == {(3, *want[0]): 5000, (4, *want[2]): 1}
+
+
 def test_deep_shallow_orders_like_sorted():
     rng = random.Random(3)
     for _ in range(200):
@@ -244,6 +276,26 @@ def test_pii_values_beside_similar_text(make_docs):
     assert len(set(new)) == len(days) and all(13 <= int(t[:2]) <= 31 and 1 <= int(t[3:5]) <= 12 for t in new)
 
 
+def test_pii_leaves_ordinary_numbers_and_knows_its_own_values(make_docs):
+    rng = random.Random(3)
+    plain = [" ".join(f"{rng.randrange(10000):04d}" for _ in range(12)) for _ in range(150)] + [" ".join(f"{rng.randrange(100):02d}" for _ in range(30)) for _ in range(50)]
+    assert [r["text"] for r in rows(pii.pseudonymise(make_docs(plain), "k"))] == plain
+    odd_groups = ["my card: 49293 48385 146306", "49293 48385 146306"]
+    assert [len(r["pii"]) for r in rows(pii.pseudonymise(make_docs(odd_groups), "k"))] == [1, 0]
+    numbers = [f"{a:03d}-{b:02d}-{c:04d}" for a, b, c in ((rng.choice([1, 665, 667, 899, rng.randrange(1, 666)]), rng.randrange(1, 100), rng.randrange(1, 10000)) for _ in range(600))]
+    phones = [f"({rng.randrange(1000):03d}) {rng.randrange(1000):03d}-{rng.randrange(10000):04d}" for _ in range(50)] + [f"+49 {rng.randrange(1000):03d} {rng.randrange(10000):04d}" for _ in range(50)]
+    first = rows(pii.pseudonymise(make_docs(numbers + phones), "k").drop("pii"))
+    again = rows(pii.pseudonymise(make_docs([r["text"] for r in first]), "k"))
+    assert [[v["kind"] for v in r["pii"]] for r in again] == [["ssn"]] * 600 + [["phone"]] * 100
+    assert len({r["text"] for r in first[:600]}) == len(set(numbers))
+
+
+def test_pii_long_text_of_numbers(make_docs):
+    rng = random.Random(5)
+    got = rows(pii.pseudonymise(make_docs([" ".join(f"{rng.randrange(100):02d}" for _ in range(340_000))]), "k"))
+    assert got[0]["pii"] == []
+
+
 def test_pii_long_text_without_blanks(make_docs):
     got = rows(pii.op5_feistel_pii(make_docs(["a" * 300_000, "1" * 100_000, "+1 " * 30_000, "a@" * 50_000])))
     assert [r["n_values"] for r in got] == [0, 0, 0, 0]
@@ -308,6 +360,18 @@ def test_shards(make_docs, odd):
     assert by_id[5005]["size"] == 8 + len(odd[5].encode())
 
 
+def test_shards_do_not_depend_on_files_and_use_whole_names(make_docs):
+    rng = random.Random(6)
+    texts = [(i, prose(rng, 20), f"https://www.a-long-common-prefix.example/site{i % 24:02d}") for i in range(2400)] + [(1, "same", "x")] * 600 + [(None, "same", None)] * 300
+    one = make_docs(texts)
+    a, b = (sorted((r["doc_id"] or -1, r["size"], r["shard"]) for r in op9_kd_shards(d).collect()) for d in (one.coalesce(1), one.repartition(7, "text", "doc_id")))
+    assert a == b
+    held = collections.defaultdict(set)
+    for r in kd_shards(make_docs(texts[:2400]), 24, dims=("source",)).collect():
+        held[r["shard"]].add(r["doc_id"] % 24)
+    assert max(len(s) for s in held.values()) <= 3
+
+
 def test_shards_of_little(make_docs):
     assert kd_shards(make_docs([])).count() == 0
     assert [(r["shard"], r["slot"]) for r in kd_shards(make_docs(["one"]), 1).collect()] == [(0, 0)]
