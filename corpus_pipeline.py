@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canopyframe.llm import byte_bpe, ngram_join, pareto_mix, pii, quality
@@ -26,7 +26,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without words link with nothing and stay. Of repeated rows one stays.
     Rows without an id give way to any linked one that has an id; of a group without
-    ids one row stays.
+    ids one row stays. Rows that agree in id and text but not in other columns are
+    repeated rows; the same one of them stays in each run.
     """
     groups = ngram_join.keyed_components(ngram_join.keyed(docs), words=5, percent=80)
     nameless = groups.where(F.col("component_id").isNull() & F.col("root").isNotNull())
@@ -34,8 +35,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     others = nameless.join(first, "root").where(F.col("key") != F.col("first")).select("key")
     late = groups.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("key")
     gone = late.unionByName(others).distinct()
-    rows = docs.withColumn("_key", ngram_join.row_key(F.col("doc_id"), F.col("text"))).join(gone.withColumnRenamed("key", "_key"), "_key", "left_anti")
-    return rows.dropDuplicates(["_key"]).select(*docs.columns)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+                         ngram_join.row_key(F.col("doc_id"), F.col("text")).alias("key"), F.xxhash64(F.lit("second"), "doc_id", "text").alias("second"))
+    rows = packed.join(gone, "key", "left_anti")
+    place = F.row_number().over(Window.partitionBy("key", "second").orderBy(F.xxhash64("doc")))
+    return rows.withColumn("place", place).where(F.col("place") == 1).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
