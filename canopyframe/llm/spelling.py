@@ -214,7 +214,7 @@ def _depths(words: DataFrame, part: int) -> DataFrame:
     A state is expanded while more than ``part`` words lie behind it. States between
     which the path doesn't branch are passed at once.
     """
-    open_words = words.select("word", F.lit("").alias("state"), F.array().cast("array<int>").alias("cuts"))
+    open_words = words.select("word", F.expr("substring(word, 1, 0)").alias("state"), F.array().cast("array<int>").alias("cuts"))
     done = None
     while True:
         # the longest prefix common to all words behind a state is that of the first and the last
