@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyframe.functions import geometry
-from canopyframe.runtime import broadcast_if_small, cut_lineage, salted_join
+from canopyframe.runtime import BROADCAST_LIMIT, broadcast_if_small, cut_lineage, salted_join
 
-#: Side of the coarse grid laid over the points for visibility culling.
-GRID = 32
+#: Points that a cell of the visibility hierarchy holds on average.
+CELL_POINTS = 64
+#: Levels of the hierarchy at most; each halves the cells along the three axes.
+DEPTH = 16
 
 
 def pose_to_extrinsics(cameras: DataFrame) -> DataFrame:
@@ -32,39 +34,81 @@ def _camera_view(point: list[Column]):
 def visible(points: DataFrame, cameras: DataFrame, min_depth: float = 1e-3, margin: float = 0.0) -> DataFrame:
     """Projections of points into the cameras that see them: adds ``u, v, depth``.
 
-    ``cameras`` has extrinsics, ``fx, fy, cx, cy, width, height``. Cameras are
-    first matched with the cells of a coarse grid in front of them, so points
-    and cameras meet by an equi-join on the cell.
+    ``cameras`` has extrinsics, ``fx, fy, cx, cy, width, height``. Cameras descend a
+    hierarchy of the occupied cells and leave a cell whose box lies beyond a plane
+    of their frustum, so they meet the points of cells that the frustum reaches only.
+    Points without finite coordinates are seen by none.
     """
     # few rows; cut so that filters on the view do not inline the pose formulas
     cameras = cut_lineage(cameras)
-    ends = points.agg(*[f(a).alias(f"_{n}{a}") for a in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))])
-    ends = F.broadcast(ends)  # one row
-
-    def step(a):
-        return F.greatest((F.col(f"_hi{a}") - F.col(f"_lo{a}")) / GRID, F.lit(1e-9))
-
-    def index(a):
-        return F.least(F.floor((F.col(a) - F.col(f"_lo{a}")) / step(a)), F.lit(GRID - 1)).cast("int")
-
-    keyed = points.crossJoin(ends).withColumn("_gi", index("x")).withColumn("_gj", index("y")).drop(
-        *[f"_{n}{a}" for a in "xyz" for n in ("lo", "hi")])
-    cells = (cameras.crossJoin(ends).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(GRID * GRID - 1))))
-             .withColumn("_gi", (F.col("_c") % GRID).cast("int")).withColumn("_gj", F.floor(F.col("_c") / GRID).cast("int")))
-    mid = [F.col("_lox") + (F.col("_gi") + 0.5) * step("x"), F.col("_loy") + (F.col("_gj") + 0.5) * step("y"),
-           (F.col("_loz") + F.col("_hiz")) / 2]
-    reach = F.sqrt(step("x") * step("x") + step("y") * step("y")
-                   + (F.col("_hiz") - F.col("_loz")) * (F.col("_hiz") - F.col("_loz"))) / 2
-    _, _, depth = _camera_view(mid)
-    covered = cells.where(depth + reach * 1.000001 > min_depth).drop(
-        "_c", *[f"_{n}{a}" for a in "xyz" for n in ("lo", "hi")])
-    joined = salted_join(keyed, covered, ["_gi", "_gj"])
+    keyed, reached = cells_in_view(points, cameras, min_depth, margin)
+    joined = salted_join(keyed, reached, ["_gx", "_gy", "_gz"])
     u, v, z = _camera_view([F.col(a) for a in "xyz"])
-    out = joined.withColumns({"u": u, "v": v, "depth": z}).drop("_gi", "_gj")
+    out = joined.withColumns({"u": u, "v": v, "depth": z}).drop("_gx", "_gy", "_gz")
     return out.where((F.col("depth") > min_depth) & (F.col("u") >= margin) & (F.col("u") < F.col("width") - margin)
                      & (F.col("v") >= margin) & (F.col("v") < F.col("height") - margin))
 
 
+def cells_in_view(points: DataFrame, cameras: DataFrame, min_depth: float = 1e-3, margin: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """The points with their cell ``_gx, _gy, _gz``, and each camera with the cells that its frustum reaches.
+
+    A cell carries the bounds of its points, on every level. The number of levels
+    follows the number of points. A level has at most eight times the cells of the one above
+    it, so the upper levels are small enough to go to every task; cells that are empty don't exist.
+    """
+    ends = points.where(_finite_point()).agg(F.count(F.lit(1)).alias("n"), *[f(a).alias(f"{n}{a}") for a in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
+    cells = max(1.0, (ends["n"] or 0) / CELL_POINTS)
+    side = max([1e-9, *((ends[f"hi{a}"] - ends[f"lo{a}"]) for a in "xyz" if ends["n"])])
+    # flat clouds fill fewer cells than cubes do, so levels are counted as if for a surface
+    levels = min(DEPTH, math.ceil(math.log(cells, 4)))
+    step = side / (1 << levels)
+    index = {f"_g{a}": F.least(F.floor((F.col(a) - (ends[f"lo{a}"] or 0.0)) / step), F.lit((1 << levels) - 1)).cast("int") for a in "xyz"}
+    keyed = points.where(_finite_point()).withColumns(index)
+    bounds = [f"_{n}{a}" for a in "xyz" for n in ("lo", "hi")]
+    level = cut_lineage(keyed.groupBy(*index).agg(*[f(a).alias(f"_{n}{a}") for a in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))]))
+    tree = [level]
+    for _ in range(levels):
+        level = level.withColumns({g: F.shiftright(g, 1) for g in index}).groupBy(*index).agg(
+            *[(F.min if b[1:3] == "lo" else F.max)(b).alias(b) for b in bounds])
+        tree.append(level)
+    reached = cameras.withColumns({g: F.lit(0).cast("int") for g in index})
+    parents = [f"{g}p" for g in index]
+    for depth, level in enumerate(reversed(tree)):
+        down = level.withColumns({p: F.shiftright(g, 1) if depth else F.col(g) for p, g in zip(parents, index)})
+        above = reached.withColumnsRenamed(dict(zip(index, parents)))
+        small = 8 ** depth <= BROADCAST_LIMIT
+        reached = above.join(F.broadcast(down), parents) if small else salted_join(above, down, parents)
+        reached = reached.where(_reaches_frustum(min_depth, margin)).drop(*bounds, *parents)
+    return keyed, reached
+
+
+def _finite_point() -> Column:
+    limit = F.lit(float("inf"))
+    checks = [F.abs(F.col(a)) < limit for a in "xyz"]
+    return checks[0] & checks[1] & checks[2]
+
+
+def _reaches_frustum(min_depth: float, margin: float) -> Column:
+    """If the box ``_lox.._hiz`` isn't wholly beyond one of the five planes of the camera's frustum."""
+    rot = geometry.rotation(*[F.col(c) for c in ("ew", "ex", "ey", "ez")])
+    t = [F.col(c) for c in ("px", "py", "pz")]
+    left, top = F.col("cx") - margin, F.col("cy") - margin
+    right, bottom = F.col("width") - margin - F.col("cx"), F.col("height") - margin - F.col("cy")
+    none = F.lit(0.0)
+    # weights of the camera's own axes: a point inside has a sum of at least the limit
+    planes = [(none, none, F.lit(1.0), F.lit(float(min_depth))), (F.col("fx"), none, left, none), (-F.col("fx"), none, right, none),
+              (none, F.col("fy"), top, none), (none, -F.col("fy"), bottom, none)]
+    out = F.lit(True)
+    for wx, wy, wz, limit in planes:
+        normal = [wx * rot[0][k] + wy * rot[1][k] + wz * rot[2][k] for k in range(3)]
+        most, size = wx * t[0] + wy * t[1] + wz * t[2], F.abs(wx * t[0]) + F.abs(wy * t[1]) + F.abs(wz * t[2])
+        for n, a in zip(normal, "xyz"):
+            low, high = n * F.col(f"_lo{a}"), n * F.col(f"_hi{a}")
+            most, size = most + F.greatest(low, high), size + F.greatest(F.abs(low), F.abs(high))
+        out = out & (most + size * 1e-9 >= limit)
+    return out
+
+
 def best_view(trees: DataFrame, cameras: DataFrame, key: str = "tree_id", margin: float = 40.0,
               min_depth: float = 0.5) -> DataFrame:
     """Nearest camera that shows the tree well inside its frame; ties go to the lowest camera."""
