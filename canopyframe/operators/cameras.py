@@ -39,8 +39,6 @@ def visible(points: DataFrame, cameras: DataFrame, min_depth: float = 1e-3, marg
     of their frustum, so they meet the points of cells that the frustum reaches only.
     Points without finite coordinates are seen by none.
     """
-    # few rows; cut so that filters on the view do not inline the pose formulas
-    cameras = cut_lineage(cameras)
     keyed, reached = cells_in_view(points, cameras, min_depth, margin)
     joined = salted_join(keyed, reached, ["_gx", "_gy", "_gz"])
     u, v, z = _camera_view([F.col(a) for a in "xyz"])
@@ -71,15 +69,19 @@ def cells_in_view(points: DataFrame, cameras: DataFrame, min_depth: float = 1e-3
         level = level.withColumns({g: F.shiftright(g, 1) for g in index}).groupBy(*index).agg(
             *[(F.min if b[1:3] == "lo" else F.max)(b).alias(b) for b in bounds])
         tree.append(level)
-    reached = cameras.withColumns({g: F.lit(0).cast("int") for g in index})
+    # one row per camera; cut so that no later filter repeats the pose formulas
+    rot = geometry.rotation(*[F.col(c) for c in ("ew", "ex", "ey", "ez")])
+    posed = cameras.withColumns({f"_r{i}{k}": rot[i][k] for i in range(3) for k in range(3)})
+    posed = cut_lineage(posed.withColumn("_planes", _frustum_planes(min_depth, margin)).drop(*[f"_r{i}{k}" for i in range(3) for k in range(3)]))
+    reached = posed.withColumns({g: F.lit(0).cast("int") for g in index})
     parents = [f"{g}p" for g in index]
     for depth, level in enumerate(reversed(tree)):
         down = level.withColumns({p: F.shiftright(g, 1) if depth else F.col(g) for p, g in zip(parents, index)})
         above = reached.withColumnsRenamed(dict(zip(index, parents)))
         small = 8 ** depth <= BROADCAST_LIMIT
         reached = above.join(F.broadcast(down), parents) if small else salted_join(above, down, parents)
-        reached = reached.where(_reaches_frustum(min_depth, margin)).drop(*bounds, *parents)
-    return keyed, reached
+        reached = reached.where(_reaches_frustum()).drop(*bounds, *parents)
+    return keyed, reached.drop("_planes")
 
 
 def _finite_point() -> Column:
@@ -88,25 +90,32 @@ def _finite_point() -> Column:
     return checks[0] & checks[1] & checks[2]
 
 
-def _reaches_frustum(min_depth: float, margin: float) -> Column:
-    """If the box ``_lox.._hiz`` isn't wholly beyond one of the five planes of the camera's frustum."""
-    rot = geometry.rotation(*[F.col(c) for c in ("ew", "ex", "ey", "ez")])
+def _frustum_planes(min_depth: float, margin: float) -> Column:
+    """The planes around what a camera sees: a point inside has ``x, y, z`` times its place plus ``d`` of at least ``limit``."""
+    rot = [[F.col(f"_r{i}{k}") for k in range(3)] for i in range(3)]
     t = [F.col(c) for c in ("px", "py", "pz")]
     left, top = F.col("cx") - margin, F.col("cy") - margin
     right, bottom = F.col("width") - margin - F.col("cx"), F.col("height") - margin - F.col("cy")
     none = F.lit(0.0)
-    # weights of the camera's own axes: a point inside has a sum of at least the limit
-    planes = [(none, none, F.lit(1.0), F.lit(float(min_depth))), (F.col("fx"), none, left, none), (-F.col("fx"), none, right, none),
-              (none, F.col("fy"), top, none), (none, -F.col("fy"), bottom, none)]
-    out = F.lit(True)
-    for wx, wy, wz, limit in planes:
-        normal = [wx * rot[0][k] + wy * rot[1][k] + wz * rot[2][k] for k in range(3)]
-        most, size = wx * t[0] + wy * t[1] + wz * t[2], F.abs(wx * t[0]) + F.abs(wy * t[1]) + F.abs(wz * t[2])
-        for n, a in zip(normal, "xyz"):
-            low, high = n * F.col(f"_lo{a}"), n * F.col(f"_hi{a}")
-            most, size = most + F.greatest(low, high), size + F.greatest(F.abs(low), F.abs(high))
-        out = out & (most + size * 1e-9 >= limit)
-    return out
+    weights = [(none, none, F.lit(1.0), min_depth), (F.col("fx"), none, left, 0.0), (-F.col("fx"), none, right, 0.0),
+               (none, F.col("fy"), top, 0.0), (none, -F.col("fy"), bottom, 0.0)]
+    planes = []
+    for w in weights:
+        dot = lambda v: w[0] * v[0] + w[1] * v[1] + w[2] * v[2]  # noqa: E731, B023
+        planes.append(F.struct(*[dot([rot[i][k] for i in range(3)]).alias(n) for k, n in enumerate("xyz")], dot(t).alias("d"),
+                               (F.abs(w[0] * t[0]) + F.abs(w[1] * t[1]) + F.abs(w[2] * t[2])).alias("size"), F.lit(float(w[3])).alias("limit")))
+    return F.array(*planes)
+
+
+def _reaches_frustum() -> Column:
+    """If the box ``_lox.._hiz`` isn't wholly beyond one of the camera's planes; rounding never loses a box."""
+    def inside(p: Column) -> Column:
+        low, high = ([p[a] * F.col(f"_{n}{a}") for a in "xyz"] for n in ("lo", "hi"))
+        most = sum((F.greatest(x, y) for x, y in zip(low, high)), p["d"])
+        size = sum((F.greatest(F.abs(x), F.abs(y)) for x, y in zip(low, high)), p["size"])
+        return most + size * 1e-9 >= p["limit"]
+
+    return F.forall("_planes", inside)
 
 
 def best_view(trees: DataFrame, cameras: DataFrame, key: str = "tree_id", margin: float = 40.0,
