@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyframe.functions import geometry
+from canopyframe.operators import rasters
 from canopyframe.runtime import BROADCAST_LIMIT, broadcast_if_small, cut_lineage, salted_join
 
 #: Points that a cell of the visibility hierarchy holds on average.
@@ -148,85 +150,95 @@ def box_pixels(boxes: DataFrame, pixels: DataFrame, key: str = "tree_id") -> Dat
     return cells.join(pixels, ["image_id", "row", "col"])
 
 
-def crown_crop(markers: DataFrame, pixels: DataFrame, size: int, width: int, height: int) -> DataFrame:
+def crown_crop(markers: DataFrame, tiles: DataFrame, size: int, width: int, height: int, side: int = rasters.SIZE) -> DataFrame:
     """Perspective crop around each marker from its panorama, nearest pixel.
 
-    ``markers``: ``marker_id, image_id, yaw, pitch, hfov, vfov`` in degrees.
-    Output ``marker_id, image_id, crop_row, crop_col, r, g, b``.
+    ``markers``: ``marker_id, image_id, yaw, pitch, hfov, vfov`` in degrees; ``tiles`` of ``side``
+    pixels (see ``rasters``). Output ``marker_id, image_id, crop_row, crop_col, r, g, b``.
     """
-    c = geometry.direction(F.col("yaw"), F.col("pitch"))
-    flat = F.sqrt(c[0] * c[0] + c[1] * c[1])
-    steep = flat < 1e-6
-    right = [F.when(steep, 1.0).otherwise(-c[1] / flat), F.when(steep, 0.0).otherwise(c[0] / flat), F.lit(0.0)]
-    up = [c[1] * right[2] - c[2] * right[1], c[2] * right[0] - c[0] * right[2], c[0] * right[1] - c[1] * right[0]]
-    named = {f"_{n}{i}": v[i] for n, v in (("c", c), ("r", right), ("u", up)) for i in range(3)}
-    rays = (markers.withColumns(named).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))))
-            .withColumn("crop_row", F.floor(F.col("_i") / size).cast("int")).withColumn("crop_col", (F.col("_i") % size).cast("int")))
-    a = ((F.col("crop_col") + 0.5) / size * 2 - 1) * F.tan(F.radians("hfov") / 2)
-    b = (1 - (F.col("crop_row") + 0.5) / size * 2) * F.tan(F.radians("vfov") / 2)
-    d = [F.col(f"_c{i}") + a * F.col(f"_r{i}") + b * F.col(f"_u{i}") for i in range(3)]
-    rays = rays.withColumns({"_dx": d[0], "_dy": d[1], "_dz": d[2]})
-    norm = F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy") + F.col("_dz") * F.col("_dz"))
-    row, col = geometry.equirect_pixel(F.col("_dx"), F.col("_dy"), F.col("_dz") / norm, width, height)
-    rays = rays.select("marker_id", "image_id", "crop_row", "crop_col", row.alias("row"), col.alias("col"))
-    return salted_join(rays, pixels, ["image_id", "row", "col"]).drop("row", "col")
-
-
-def zenith_fisheye(images: DataFrame, pixels: DataFrame, size: int, width: int, height: int,
-                   max_vza: float = 90.0, north: float = 0.0) -> DataFrame:
+    def locate(o: dict, row: np.ndarray, col: np.ndarray) -> dict[str, np.ndarray]:
+        yaw, pitch = np.radians(o["yaw"]), np.radians(o["pitch"])
+        ahead = np.array([np.cos(pitch) * np.cos(yaw), np.cos(pitch) * np.sin(yaw), np.sin(pitch)])
+        flat = np.sqrt(ahead[0] * ahead[0] + ahead[1] * ahead[1])
+        right = np.array([1.0, 0.0, 0.0]) if flat < 1e-6 else np.array([-ahead[1] / flat, ahead[0] / flat, 0.0])
+        up = np.cross(ahead, right)
+        a = ((col + 0.5) / size * 2 - 1) * np.tan(np.radians(o["hfov"]) / 2)
+        b = (1 - (row + 0.5) / size * 2) * np.tan(np.radians(o["vfov"]) / 2)
+        d = [ahead[k] + a * right[k] + b * up[k] for k in range(3)]
+        lat = np.arcsin(np.clip(d[2] / np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]), -1.0, 1.0))
+        x = np.rint((np.arctan2(d[1], d[0]) + np.pi) / (2 * np.pi) * width - 0.5)
+        y = np.rint((np.pi / 2 - lat) / np.pi * height - 0.5)
+        return {"out_row": row, "out_col": col, "row": np.clip(y, 0, height - 1), "col": np.mod(x, width)}
+
+    asked = markers.select("marker_id", "image_id", *[F.col(c).cast("double") for c in ("yaw", "pitch", "hfov", "vfov")])
+    asked = asked.withColumn("_image", F.col("image_id"))
+    out = rasters.resample(asked, tiles, ["marker_id", "_image"], size, size, height, width, locate, rasters.nearest, "r int, g int, b int", size=side)
+    return out.select("marker_id", F.col("_image").alias("image_id"), F.col("out_row").alias("crop_row"), F.col("out_col").alias("crop_col"), "r", "g", "b")
+
+
+def zenith_fisheye(images: DataFrame, tiles: DataFrame, size: int, width: int, height: int,
+                   max_vza: float = 90.0, north: float = 0.0, side: int = rasters.SIZE) -> DataFrame:
     """Equidistant upward fisheye of each panorama, bilinear; outside the circle nothing is returned."""
-    rays = images.select("image_id").withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))))
-    rays = rays.select("image_id", F.floor(F.col("_i") / size).cast("int").alias("out_row"), (F.col("_i") % size).cast("int").alias("out_col"))
-    dx, dy = (F.col("out_col") + 0.5) / size * 2 - 1, (F.col("out_row") + 0.5) / size * 2 - 1
-    rays = rays.withColumn("_r", F.hypot(dx, dy)).where(F.col("_r") <= 1.0)
-    phi = F.atan2(dy, dx) + math.radians(north)
-    turn = phi / (2 * math.pi) + 0.5
-    col = (turn - F.floor(turn)) * width
-    row = F.col("_r") * math.radians(max_vza) / math.pi * height
-    rays = rays.withColumn("_x", col - 0.5).withColumn("_y", row - 0.5)
-    x0 = F.floor("_x")
-    y0 = F.least(F.greatest(F.floor("_y"), F.lit(0)), F.lit(height - 2))
-    rays = rays.withColumns({"_x0": x0, "_y0": y0, "_fx": F.col("_x") - x0, "_fy": F.col("_y") - y0})
-    corners = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
-    taps = rays.withColumn("_k", F.explode(corners)).select(
-        "image_id", "out_row", "out_col", F.pmod(F.col("_x0") + F.col("_k.j"), F.lit(width)).cast("int").alias("col"),
-        (F.col("_y0") + F.col("_k.i")).cast("int").alias("row"),
-        (F.when(F.col("_k.j") == 1, F.col("_fx")).otherwise(1 - F.col("_fx"))
-         * F.when(F.col("_k.i") == 1, F.col("_fy")).otherwise(1 - F.col("_fy"))).alias("w"))
-    joined = salted_join(taps, pixels, ["image_id", "row", "col"])
-    return joined.groupBy("image_id", "out_row", "out_col").agg(
-        *[F.least(F.greatest(F.sum(F.col("w") * F.col(c)), F.lit(0.0)), F.lit(255.0)).alias(c) for c in ("r", "g", "b")])
-
-
-def pano_blend(cameras: DataFrame, pixels: DataFrame, width: int, sx: int = 1, sy: int = -1,
-               forward: float = -1.0) -> DataFrame:
-    """Weighted panorama from the posed images of each scan.
-
-    ``cameras``: ``pano_id, image_id, qw..qz, fpx, cx, cy, width, height``. Every
-    camera lists the output rays it sees, so no camera meets foreign pixels.
-    Dark samples (mean 8 or less) do not count; uncovered pixels are absent.
+    def locate(o: dict, row: np.ndarray, col: np.ndarray) -> dict[str, np.ndarray]:
+        dx, dy = (col + 0.5) / size * 2 - 1, (row + 0.5) / size * 2 - 1
+        r = np.hypot(dx, dy)
+        row, col, dx, dy, r = (v[r <= 1.0] for v in (row, col, dx, dy, r))
+        turn = (np.arctan2(dy, dx) + math.radians(north)) / (2 * math.pi) + 0.5
+        x = (turn - np.floor(turn)) * width - 0.5
+        y = r * math.radians(max_vza) / math.pi * height - 0.5
+        x0, y0 = np.floor(x), np.clip(np.floor(y), 0, height - 2)
+        return {"out_row": row, "out_col": col, "row": y0, "col": np.mod(x0, width), "fx": x - x0, "fy": y - y0}
+
+    asked = images.select("image_id").withColumn("_image", F.col("image_id"))
+    out = rasters.resample(asked, tiles, ["_image"], size, size, height, width, locate, rasters.bilinear, "r double, g double, b double", size=side)
+    return out.withColumnRenamed("_image", "image_id")
+
+
+def pano_blend(cameras: DataFrame, tiles: DataFrame, width: int, src_width: int, src_height: int, sx: int = 1, sy: int = -1,
+               forward: float = -1.0, side: int = rasters.SIZE) -> DataFrame:
+    """Weighted panorama from the posed images of each scan, all ``src_width`` x ``src_height``.
+
+    ``cameras``: ``pano_id, image_id, qw..qz, fpx, cx, cy``. A camera works on the output blocks
+    near its view only, and meets the tiles that they touch. Dark samples (mean 8 or
+    less) do not count; uncovered pixels are absent.
     """
     height = width // 2
-    rot = geometry.rotation(*[F.col(c) for c in ("qw", "qx", "qy", "qz")])
-    basis = {f"_{n}{i}": rot[i][k] * s for n, k, s in (("r", 0, 1.0), ("u", 1, 1.0), ("f", 2, forward)) for i in range(3)}
-    rays = cameras.withColumns(basis).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(width * height - 1))))
-    rays = rays.withColumn("out_row", F.floor(F.col("_i") / width).cast("int")).withColumn("out_col", (F.col("_i") % width).cast("int"))
-    lon = (F.col("out_col") + 0.5) / width * 2 * math.pi - math.pi
-    lat = F.lit(math.pi / 2) - (F.col("out_row") + 0.5) / height * math.pi
-    d = [F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)]
-    rays = rays.withColumns({f"_d{i}": d[i] for i in range(3)})
-    dot = {n: sum((F.col(f"_d{i}") * F.col(f"_{n}{i}") for i in (1, 2)), F.col("_d0") * F.col(f"_{n}0")) for n in "ruf"}
-    rays = rays.withColumns({"_along": dot["f"], "_a": dot["r"], "_b": dot["u"]}).where(F.col("_along") > 1e-6)
-    col = F.col("cx") + sx * F.col("fpx") * (F.col("_a") / F.col("_along"))
-    row = F.col("cy") + sy * F.col("fpx") * (F.col("_b") / F.col("_along"))
-    rays = rays.withColumns({"_u": col, "_v": row}).where(
-        (F.col("_u") >= 0) & (F.col("_u") < F.col("width")) & (F.col("_v") >= 0) & (F.col("_v") < F.col("height")))
-    weight = F.pow(F.least(F.col("_along"), F.lit(1.0)), F.lit(3.0))
-    taps = rays.select("pano_id", "image_id", "out_row", "out_col", F.floor("_v").cast("int").alias("row"),
-                       F.floor("_u").cast("int").alias("col"), weight.alias("w"))
-    joined = salted_join(taps, pixels, ["image_id", "row", "col"]).where((F.col("r") + F.col("g") + F.col("b")) / 3.0 > 8)
-    return joined.groupBy("pano_id", "out_row", "out_col").agg(
-        *[(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in ("r", "g", "b")])
+
+    def axes(o: dict) -> list[np.ndarray]:
+        w, x, y, z = (o[k] for k in ("qw", "qx", "qy", "qz"))
+        r = np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)],
+                      [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)],
+                      [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]])
+        return [r[:, 0], r[:, 1], forward * r[:, 2]]
+
+    def rays(row: np.ndarray, col: np.ndarray) -> list[np.ndarray]:
+        lon = col / width * 2 * math.pi - math.pi
+        lat = math.pi / 2 - row / height * math.pi
+        return [np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)]
+
+    def locate(o: dict, row: np.ndarray, col: np.ndarray) -> dict[str, np.ndarray]:
+        d = rays(row + 0.5, col + 0.5)
+        a, b, along = (d[0] * v[0] + d[1] * v[1] + d[2] * v[2] for v in axes(o))
+        front = along > 1e-6
+        row, col, a, b, along = (v[front] for v in (row, col, a, b, along))
+        u, v = o["cx"] + sx * o["fpx"] * (a / along), o["cy"] + sy * o["fpx"] * (b / along)
+        return {"out_row": row, "out_col": col, "row": np.floor(v), "col": np.floor(u), "w": np.minimum(along, 1.0) ** 3}
+
+    def skip(o: dict, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        """Blocks whose centre is farther from the view axis than the image corner plus their own reach."""
+        d = rays(row, col)
+        off = np.arccos(np.clip(sum(x * y for x, y in zip(d, axes(o)[2])), -1.0, 1.0))
+        corner = math.atan(math.hypot(max(o["cx"], src_width - o["cx"]), max(o["cy"], src_height - o["cy"])) / o["fpx"])
+        return off > corner + (rasters.BLOCK + 1) * math.pi / height
+
+    def weighted(s: dict[str, np.ndarray], at) -> dict[str, np.ndarray]:
+        p = at(0, 0).astype(np.float64)
+        return {**{c: s["w"] * p[:, k] for k, c in enumerate("rgb")}, "w": s["w"], "keep": (p >= 0).all(axis=1) & (p.sum(axis=1) / 3.0 > 8)}
+
+    asked = cameras.select("pano_id", "image_id", *[F.col(c).cast("double") for c in ("qw", "qx", "qy", "qz", "fpx", "cx", "cy")])
+    out = rasters.resample(asked, tiles, ["pano_id"], height, width, src_height, src_width, locate, weighted,
+                           "r double, g double, b double, w double", skip, side)
+    return out.groupBy("pano_id", "out_row", "out_col").agg(*[(F.sum(c) / F.sum("w")).alias(c) for c in ("r", "g", "b")])
 
 
 def coverage(image: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:

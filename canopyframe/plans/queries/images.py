@@ -8,6 +8,7 @@ from canopyframe.functions import colour, geometry
 from canopyframe.operators import cameras as cam
 from canopyframe.operators import colour as colours
 from canopyframe.operators import pixels as px
+from canopyframe.operators import rasters
 from canopyframe.plans.catalog import register
 
 CROWN = "not (((r+g+b)/3e0 >= 140 and b-r > 6 and b-g > 6) or (r+g+b)/3e0 <= 18)"
@@ -318,7 +319,15 @@ def _crop_markers(src):
               select h.marker_id, crop_row, crop_col, p.r, p.g, p.b from h join pixels p on p.image_id = h.image_id
                 and p.col = cast((col0 + 8) % 8 as int) and p.row = cast(least(greatest(row0, 0), 7) as int)""", "pixels")
 def _(src):
-    return cam.crown_crop(_crop_markers(src), src("pixels"), 6, 8, 8)
+    return cam.crown_crop(_crop_markers(src), _tiles(src, True), 6, 8, 8, _SIDE)
+
+
+#: Images of the carrier are 8 x 8; smaller tiles let samples cross from one to the next.
+_SIDE = 4
+
+
+def _tiles(src, wrap):
+    return rasters.pixel_tiles(src("pixels"), 8, 8, wrap, _SIDE)
 
 
 @register("zenith_fisheye", "image_id:i out_row:i out_col:i r:4 g:4 b:4",
@@ -335,7 +344,7 @@ def _(src):
              from tap t join pixels p on p.image_id = t.image_id and p.row = t.row and p.col = t.col group by 1, 2, 3""", "pixels")
 def _(src):
     p = src("pixels")
-    return cam.zenith_fisheye(p.where("row = 0 and col = 0"), p, 8, 8, 8)
+    return cam.zenith_fisheye(p.where("row = 0 and col = 0"), _tiles(src, True), 8, 8, 8, side=_SIDE)
 
 
 BLEND = """k as (select camera_id // 5 as pano_id, camera_id as image_id, qw*qw - qz*qz as c, 2*qw*qz as s from cameras),
@@ -352,12 +361,12 @@ BLEND = """k as (select camera_id // 5 as pano_id, camera_id as image_id, qw*qw
              from tap t join pixels p on p.image_id = t.image_id and p.row = floor(v) and p.col = floor(u)
              where (r + g + b)/3e0 > 8 group by 1, 2, 3""", "pixels cameras")
 def _(src):
-    return cam.pano_blend(_blend_cameras(src), src("pixels"), 32)
+    return cam.pano_blend(_blend_cameras(src), _tiles(src, False), 32, 8, 8, side=_SIDE)
 
 
 def _blend_cameras(src):
     return _cameras(src).select(F.floor(F.col("camera_id") / 5).alias("pano_id"), F.col("camera_id").alias("image_id"), "qw", "qx", "qy", "qz",
-                                F.lit(5.0).alias("fpx"), F.lit(4.0).alias("cx"), F.lit(4.0).alias("cy"), F.lit(8).alias("width"), F.lit(8).alias("height"))
+                                F.lit(5.0).alias("fpx"), F.lit(4.0).alias("cx"), F.lit(4.0).alias("cy"))
 
 
 @register("pano_coverage", "pano_id:i coverage_pct:4",
@@ -365,7 +374,7 @@ def _blend_cameras(src):
              from tap t join pixels p on p.image_id = t.image_id and p.row = floor(v) and p.col = floor(u)
              where (r + g + b)/3e0 > 8 group by 1""", "pixels cameras")
 def _(src):
-    return cam.coverage(cam.pano_blend(_blend_cameras(src), src("pixels"), 32), ["pano_id"], 32, 16)
+    return cam.coverage(cam.pano_blend(_blend_cameras(src), _tiles(src, False), 32, 8, 8, side=_SIDE), ["pano_id"], 32, 16)
 
 
 @register("zbuffer_render", "camera_id:i row:i col:i r:i g:i b:i",
