@@ -56,14 +56,16 @@ def recolour_segments(points: DataFrame, values: DataFrame, ramp: str = "hvi", l
                       hi: float | None = None) -> DataFrame:
     """Colour points by the value of their segment; points without one keep ``r, g, b``.
 
-    ``values`` has ``seg_id, value``; without ``lo``/``hi`` its own range is used.
+    ``values`` has ``seg_id, value`` and, where segments are numbered per tile, ``tile_id``; without
+    ``lo``/``hi`` its own range is used.
     """
+    by = [k for k in ("tile_id",) if k in values.columns] + ["seg_id"]
     if lo is None or hi is None:
         ends = values.agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
         values = values.crossJoin(F.broadcast(ends))
     else:
         values = values.withColumns({"_lo": F.lit(float(lo)), "_hi": F.lit(float(hi))})
-    out = salted_join(points, broadcast_if_small(values), ["seg_id"], "left")
+    out = salted_join(points, broadcast_if_small(values), by, "left")
     t = (F.col("value") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-6))
     hit = F.col("value").isNotNull() & (F.col("seg_id") > 0)
     rgb = colour.ramp(t, RAMPS[ramp])

@@ -77,19 +77,20 @@ def class_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 def habitat_types(metrics: DataFrame, features: list[str], k: int = 4, seed: int = 1, key: str = "seg_id") -> DataFrame:
     """Cluster segments into ``k`` types by standardised figures.
 
-    Every segment is kept: the type is null where a figure is missing, and for all with
+    Segments are named by ``key`` and, where it is there, ``tile_id``. Every segment is kept: the type is null where a figure is missing, and for all with
     fewer than ``k`` complete segments.
     """
+    by = [k for k in ("tile_id",) if k in metrics.columns] + [key]
     whole = F.lit(True)
     for name in features:
         whole = whole & F.col(name).isNotNull() & ~F.isnan(name)
     known = metrics.where(whole)
     untyped = F.lit(None).cast("int").alias("habitat_type")
-    if len(known.select(key).take(k)) < k:
-        return metrics.select(key, untyped)
+    if len(known.select(*by).take(k)) < k:
+        return metrics.select(*by, untyped)
     stages = [VectorAssembler(inputCols=features, outputCol="_x"),
               StandardScaler(inputCol="_x", outputCol="_z", withMean=True),
               KMeans(k=k, seed=seed, featuresCol="_z", predictionCol="_c")]
     fitted = Pipeline(stages=stages).fit(known)
-    typed = fitted.transform(known).select(key, (F.col("_c") + 1).alias("habitat_type"))
-    return typed.unionByName(metrics.where(~whole).select(key, untyped))
+    typed = fitted.transform(known).select(*by, (F.col("_c") + 1).alias("habitat_type"))
+    return typed.unionByName(metrics.where(~whole).select(*by, untyped))

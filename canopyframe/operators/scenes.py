@@ -30,14 +30,15 @@ def media_url(path: Column, base: str = "/media/") -> Column:
 
 
 def scene_listing(scenes: DataFrame, marker_counts: DataFrame, base: str = "/media/") -> DataFrame:
-    """Catalogue entry per scene: urls, number of markers, 3D flag, kind.
+    """Catalogue entry per scene: title, description (empty where there is none), urls, number of markers, 3D flag, kind.
 
     ``marker_counts`` has ``id, n_markers``.
     """
     kind = F.coalesce("kind", F.when(F.col("video").isNotNull(), "walk").otherwise("scene"))
     joined = scenes.join(marker_counts, "id", "left")
     return joined.select(
-        "id", "title", "created", media_url(F.col("thumb"), base).alias("thumb_url"), media_url(F.col("pano"), base).alias("pano_url"),
+        "id", "title", F.coalesce(F.col("description"), F.lit("")).alias("description") if "description" in scenes.columns else F.lit("").alias("description"),
+        "created", media_url(F.col("thumb"), base).alias("thumb_url"), media_url(F.col("pano"), base).alias("pano_url"),
         F.coalesce("n_markers", F.lit(0)).cast("bigint").alias("markers"), "source_type",
         (F.col("cloud").isNotNull() | F.coalesce(F.col("kind") == "tour", F.lit(False))).alias("has_3d"), kind.alias("kind"))
 
@@ -179,18 +180,50 @@ def marker_documents(markers: DataFrame, keys: list[str], pos: str = "pos", part
     """Markers of a scene as ordered arrays, at most ``part_rows`` per part: ``keys, part, markers``."""
     fields = [c for c in markers.columns if c not in (*keys, pos)]
     parted = markers.withColumn("part", F.floor(F.col(pos) / part_rows).cast("int"))
-    return parted.groupBy(*keys, "part").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col(pos), F.struct(*fields).alias("m")))), lambda e: e["m"]).alias("markers"))
+    rows = F.collect_list(F.struct(F.col(pos).alias("pos"), F.struct(*fields).alias("m")))
+    # by position alone: maps and variants have no order
+    ordered = F.array_sort(rows, lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0))
+    return parted.groupBy(*keys, "part").agg(F.transform(ordered, lambda e: e["m"]).alias("markers"))
 
 
-def scene_manifest(scenes: DataFrame, markers: DataFrame, levels: DataFrame | None = None) -> DataFrame:
+def typed_attributes(attributes: Column) -> Column:
+    """A map of texts as one ``variant`` object: plain decimal numbers become numbers, other values stay text."""
+    def quoted(text: Column) -> Column:
+        listed = F.to_json(F.array(text))
+        return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+    def entry(e: Column) -> Column:
+        number = numeric(e["value"])
+        shown = F.when(F.abs(number) < float("inf"), number.cast("string")).otherwise(quoted(e["value"]))
+        return F.concat(quoted(e["key"]), F.lit(":"), shown)
+
+    filled = F.map_filter(attributes, lambda _, v: v.isNotNull() & (v != ""))
+    return F.parse_json(F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(filled), entry), ","), F.lit("}")))
+
+
+#: Blocks that a manifest may have besides its head, in their order in the document.
+BLOCKS = ("width", "height", "description", "variants", "canopy", "qsm", "splat", "validation", "hedge_colorings", "metadata", "standpoints", "stand", "trees")
+
+
+def scene_manifest(scenes: DataFrame, markers: DataFrame, levels: DataFrame | None = None, blocks: dict[str, DataFrame] | None = None,
+                   part_rows: int = PART_ROWS) -> DataFrame:
     """Manifest documents as JSON with nulls kept: ``id, part, manifest``.
 
-    ``markers`` has ``id, pos, ...``; ``levels`` has ``id, level_no, level, bin,
-    count``. Scenes with more than ``PART_ROWS`` markers span several parts
-    that repeat the scene head.
+    ``markers`` has ``id, pos, ...``, an ``attributes`` map of texts becomes an object with
+    numbers as numbers; ``levels`` has ``id, level_no, level, bin, count``. ``blocks`` names
+    optional blocks (see BLOCKS), each with ``id`` and ``value``, a number, text, struct, array or
+    variant per scene; a scene without a row has null there. Scenes with more than ``part_rows``
+    markers span several parts that repeat the scene head; only part 0 holds the blocks.
     """
-    docs = marker_documents(markers, ["id"])
+    blocks = blocks or {}
+    unknown = set(blocks) - set(BLOCKS)
+    if unknown:
+        raise ValueError(f"unknown manifest blocks {sorted(unknown)}")
+    docs = marker_documents(markers, ["id"], part_rows=part_rows)
+    kind = docs.schema["markers"].dataType
+    if "attributes" in kind.elementType.names:
+        docs = docs.withColumn("markers", F.transform("markers", lambda m: F.struct(*[
+            (typed_attributes(m[n]) if n == "attributes" else m[n]).alias(n) for n in kind.elementType.names])))
     out = scenes.join(docs, "id", "left").withColumn("part", F.coalesce("part", F.lit(0)))
     if levels is not None:
         # a scene has a handful of density levels
@@ -200,10 +233,14 @@ def scene_manifest(scenes: DataFrame, markers: DataFrame, levels: DataFrame | No
         cloud = F.when(first.isNotNull(), F.struct(first["bin"].alias("bin"), first["count"].alias("count"), F.col("levels")))
     else:
         cloud = F.when(F.col("cloud").isNotNull(), F.struct(F.col("cloud").alias("bin")))
-    empty = F.array().cast(docs.schema["markers"].dataType)
-    doc = F.struct("id", "title", F.col("created").cast("string").alias("created"), "pano", "thumb", "video",
+    extra = []
+    for name in (n for n in BLOCKS if n in blocks):
+        out = out.join(blocks[name].select("id", F.col("value").alias(f"_b_{name}")), "id", "left")
+        extra.append(F.when(F.col("part") == 0, F.col(f"_b_{name}")).alias(name))
+    listed = F.coalesce("markers", F.array().cast(docs.schema["markers"].dataType))
+    doc = F.struct("id", "title", F.col("created").cast("string").alias("created"), "pano", "thumb", "video", *extra,
                    F.struct(F.col("source_type").alias("type"), F.struct(F.col("gps_lat").alias("lat"), F.col("gps_lon").alias("lon")).alias("gps")).alias("source"),
-                   cloud.alias("pointcloud"), F.coalesce("markers", empty).alias("markers"))
+                   cloud.alias("pointcloud"), listed.alias("markers"))
     return out.select("id", "part", F.to_json(doc, {"ignoreNullFields": "false"}).alias("manifest"))
 
 

@@ -84,33 +84,43 @@ def greedy_match(pairs: DataFrame) -> DataFrame:
 PAIRS_PER_ROW = 200
 
 
-def match_within(refs: DataFrame, dets: DataFrame, max_dist: float, pairs_per_row: float = PAIRS_PER_ROW) -> DataFrame:
+def match_within(refs: DataFrame, dets: DataFrame, max_dist: float, pairs_per_row: float = PAIRS_PER_ROW, on: list[str] | None = None) -> DataFrame:
     """Greedy one-to-one matches of ``ref_id, ref_x, ref_y`` and ``det_id, x, y`` within ``max_dist``.
 
-    The number of pairs is estimated from cell counts first. Crowded data goes
+    ``on`` names columns of both sides, such as the plot, that must agree; ids and coordinates
+    may repeat from plot to plot, and the matches carry these columns. The number of pairs is estimated from cell counts first. Crowded data goes
     through ``_match_crowded``, which gives the same matches.
     """
+    if on:
+        # an id with its plot is one value that orders like the id inside the plot
+        refs, dets = (df.withColumn(k, F.struct(*on, F.col(k).alias("id"))) for df, k in ((refs, "ref_id"), (dets, "det_id")))
+        found = _match(refs, dets, max_dist, pairs_per_row, on)
+        return found.select(*[F.col(f"ref_id.{c}").alias(c) for c in on], "distance_m", F.col("ref_id.id").alias("ref_id"), F.col("det_id.id").alias("det_id"))
+    return _match(refs, dets, max_dist, pairs_per_row, [])
+
+
+def _match(refs: DataFrame, dets: DataFrame, max_dist: float, pairs_per_row: float, on: list[str]) -> DataFrame:
     cells = ("_gx", "_gy")
-    few = with_cells(refs, max_dist, "ref_x", "ref_y", cells).groupBy(*cells).agg(F.count(F.lit(1)).alias("_r"))
-    many = with_cells(dets, max_dist, "x", "y", cells).groupBy(*cells).agg(F.count(F.lit(1)).alias("_d"))
-    meet = spread(few, cells).groupBy(*cells).agg(F.sum("_r").alias("_r")).join(many, list(cells))
+    few = with_cells(refs, max_dist, "ref_x", "ref_y", cells).groupBy(*on, *cells).agg(F.count(F.lit(1)).alias("_r"))
+    many = with_cells(dets, max_dist, "x", "y", cells).groupBy(*on, *cells).agg(F.count(F.lit(1)).alias("_d"))
+    meet = spread(few, cells).groupBy(*on, *cells).agg(F.sum("_r").alias("_r")).join(many, [*on, *cells])
     load = meet.agg(F.sum(F.col("_r").cast("double") * F.col("_d")).alias("p"), F.sum("_r").alias("r"), F.sum("_d").alias("d")).first()
     if (load.p or 0) <= pairs_per_row * ((load.r or 0) + (load.d or 0)):
-        return greedy_match(candidate_pairs(refs, dets, max_dist))
-    return _match_crowded(refs, dets, max_dist)
+        return greedy_match(candidate_pairs(refs, dets, max_dist, on))
+    return _match_crowded(refs, dets, max_dist, on)
 
 
-def _places(df: DataFrame, key: str, x: str, y: str, side: str) -> tuple[DataFrame, DataFrame]:
+def _places(df: DataFrame, key: str, x: str, y: str, side: str, on: list[str]) -> tuple[DataFrame, DataFrame]:
     """Copies numbered within their exact position, and one row per position."""
-    copies = cut_lineage(running_total(df.select(key, x, y), [x, y], [F.col(key)], None, "k"))
-    spots = copies.groupBy(x, y).agg(F.min(key).alias(f"{side}_place"), F.count(F.lit(1)).alias(f"{side}_n"))
-    named = salted_join(copies, spots.select(x, y, f"{side}_place"), [x, y]).select(
+    copies = cut_lineage(running_total(df.select(*on, key, x, y), [*on, x, y], [F.col(key)], None, "k"))
+    spots = copies.groupBy(*on, x, y).agg(F.min(key).alias(f"{side}_place"), F.count(F.lit(1)).alias(f"{side}_n"))
+    named = salted_join(copies, spots.select(*on, x, y, f"{side}_place"), [*on, x, y]).select(
         F.col(f"{side}_place"), F.col("k").alias(f"{side}_k"), key)
-    state = spots.select(f"{side}_place", x, y, f"{side}_n", F.lit(0).cast("bigint").alias(f"{side}_used"))
+    state = spots.select(f"{side}_place", *on, x, y, f"{side}_n", F.lit(0).cast("bigint").alias(f"{side}_used"))
     return cut_lineage(named), cut_lineage(state)
 
 
-def _match_crowded(refs: DataFrame, dets: DataFrame, max_dist: float, steps: int = 6) -> DataFrame:
+def _match_crowded(refs: DataFrame, dets: DataFrame, max_dist: float, on: list[str] | None = None, steps: int = 6) -> DataFrame:
     """Matching for crowded data: growing radii over distinct positions.
 
     Greedy matching up to a small radius is a prefix of the whole run, and
@@ -119,13 +129,14 @@ def _match_crowded(refs: DataFrame, dets: DataFrame, max_dist: float, steps: int
     closest pair of positions matches as many copies as both hold, in id order,
     or a single one when another pair is exactly as close.
     """
-    r_ids, r = _places(refs, "ref_id", "ref_x", "ref_y", "r")
-    d_ids, d = _places(dets, "det_id", "x", "y", "d")
+    on = on or []
+    r_ids, r = _places(refs, "ref_id", "ref_x", "ref_y", "r", on)
+    d_ids, d = _places(dets, "det_id", "x", "y", "d", on)
     blocks = None
     for k in range(steps - 1, -1, -1):
         radius = max_dist / 2 ** k
         free_r, free_d = r.where("r_used < r_n"), d.where("d_used < d_n")
-        pairs = cut_lineage(range_join(free_d, free_r, radius, ("x", "y"), ("ref_x", "ref_y")).select(
+        pairs = cut_lineage(range_join(free_d, free_r, radius, ("x", "y"), ("ref_x", "ref_y"), on=on).select(
             "r_place", "d_place", "distance_m"))
         while True:
             front_r = r.where("r_used < r_n").select("r_place", "r_n", "r_used", (F.col("r_used") + 1).alias("r_k")).join(r_ids, ["r_place", "r_k"])
@@ -153,7 +164,7 @@ def _match_crowded(refs: DataFrame, dets: DataFrame, max_dist: float, steps: int
             blocks = block if blocks is None else blocks.unionByName(block)
             pairs = live.select("r_place", "d_place", "distance_m")
     if blocks is None:
-        return greedy_match(candidate_pairs(refs, dets, max_dist))
+        return greedy_match(candidate_pairs(refs, dets, max_dist, on))
     rows = blocks.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m")))).select(
         "r_place", "d_place", "distance_m", (F.col("r_used") + F.col("_i")).alias("r_k"), (F.col("d_used") + F.col("_i")).alias("d_k"))
     return rows.join(r_ids, ["r_place", "r_k"]).join(d_ids, ["d_place", "d_k"]).select("distance_m", "ref_id", "det_id")

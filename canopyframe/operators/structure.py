@@ -119,6 +119,40 @@ def segment_structure(points: DataFrame, seg: str = "seg_id", layer_m: float = 0
                     "understory_openness", (F.lit(1.0) - F.col("n_layers") / n_slots).alias("vertical_gap")))
 
 
+def zonal_mean(zones: DataFrame, raster: DataFrame, name: str, zone_size: float, raster_size: float,
+               origin: tuple[float, float] = (0.0, 0.0), seg: str = "seg_id") -> DataFrame:
+    """Mean raster value per segment, every raster cell weighted by the area that it shares with the segment.
+
+    ``zones`` has the distinct square cells ``ix, iy`` of side ``zone_size`` of each segment; ``raster`` has
+    ``ix, iy, value`` on cells of side ``raster_size`` that begin at ``origin``. Both may have a ``tile_id``, and
+    if both do it is part of the key. Cells without value count neither in the mean nor in
+    ``covered``, the share of the segment's area that has values. A segment that meets none has a null mean.
+    """
+    by = _segment_keys(zones, seg)
+    cell_keys = [k for k in ("tile_id",) if k in zones.columns and k in raster.columns]
+    out = zones
+    for axis, start in zip("xy", origin):
+        low = F.col(f"i{axis}") * F.lit(float(zone_size))
+        first = F.floor((low - start) / raster_size).cast("bigint")
+        last = F.floor((low + zone_size - start) / raster_size).cast("bigint")
+        out = out.withColumn(f"_low{axis}", low).withColumn(f"_c{axis}", F.explode(F.sequence(first, last)))
+        edge = F.col(f"_c{axis}") * F.lit(float(raster_size)) + F.lit(float(start))
+        shared = F.least(F.col(f"_low{axis}") + zone_size, edge + raster_size) - F.greatest(F.col(f"_low{axis}"), edge)
+        out = out.withColumn(f"_w{axis}", F.greatest(shared, F.lit(0.0)))
+    # cells of a segment in the same raster cell are one row before anything is joined
+    shares = out.groupBy(*by, F.col("_cx").alias("ix"), F.col("_cy").alias("iy")).agg(F.sum(F.col("_wx") * F.col("_wy")).alias("_w"))
+    joined = shares.join(raster.where(F.col("value").isNotNull() & ~F.isnan("value")).select(*cell_keys, "ix", "iy", "value"), [*cell_keys, "ix", "iy"], "left")
+    known = F.when(F.col("value").isNotNull(), F.col("_w"))
+    return joined.groupBy(*by).agg(F.try_divide(F.sum(F.col("_w") * F.col("value")), F.sum(known)).alias(name),
+                                   (F.coalesce(F.sum(known), F.lit(0.0)) / F.sum("_w")).alias("covered"))
+
+
+def with_zonal(metrics: DataFrame, zonal: DataFrame, name: str, seg: str = "seg_id") -> DataFrame:
+    """Metrics with one more figure per segment, null where it is unknown."""
+    by = _segment_keys(metrics, seg)
+    return metrics.join(zonal.select(*by, name), by, "left")
+
+
 #: Metrics that make up each sub-index; a leading minus turns the scale around.
 SUB_INDICES = {
     "vertical_complexity": ("fhd", "vci", "n_layers", "strata_evenness"),

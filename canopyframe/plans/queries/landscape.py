@@ -123,6 +123,33 @@ def _(src):
     return structure.composite_index(_metrics(src))
 
 
+NDVI_SQL = """ndvi as (select cx, cy, value/12e0 - 0.2e0 as v from cells where value is not null),
+  zone as (select distinct cast(floor(x/12e0) + 10*floor(y/12e0) + 1 as bigint) as seg_id, floor(x/0.5e0)*0.5e0 as zx, floor(y/0.5e0)*0.5e0 as zy from als where hag >= 0),
+  zx as (select *, unnest(range(cast(floor((zx + 0.35e0)/1.3e0) as bigint), cast(floor((zx + 0.85e0)/1.3e0) as bigint) + 1)) as cx from zone),
+  zxy as (select *, unnest(range(cast(floor((zy + 0.2e0)/1.3e0) as bigint), cast(floor((zy + 0.7e0)/1.3e0) as bigint) + 1)) as cy from zx),
+  share as (select seg_id, cx, cy, (least(zx + 0.5e0, (cx + 1)*1.3e0 - 0.35e0) - greatest(zx, cx*1.3e0 - 0.35e0))
+    *(least(zy + 0.5e0, (cy + 1)*1.3e0 - 0.2e0) - greatest(zy, cy*1.3e0 - 0.2e0)) as w from zxy),
+  zonal as (select seg_id, sum(w*v)/sum(w) filter (where v is not null) as ndvi, coalesce(sum(w) filter (where v is not null), 0)/(select count(*)*0.25e0 from zone z where z.seg_id = s.seg_id) as covered
+    from share s left join ndvi using (cx, cy) group by 1)"""
+
+
+def _ndvi(src):
+    """A raster with cells of 1.3 m that begin at (-0.35, -0.2), over the segments' cells of 0.5 m."""
+    raster = src("cells").select(F.lit("a0").alias("tile_id"), F.col("cx").alias("ix"), F.col("cy").alias("iy"), (F.col("value") / 12.0 - 0.2).alias("value"))
+    seg = (F.floor(F.col("x") / 12.0) + 10 * F.floor(F.col("y") / 12.0) + 1).cast("bigint")
+    zone = src("als").where("hag >= 0").select("tile_id", F.floor(F.col("x") / 0.5).alias("ix"), F.floor(F.col("y") / 0.5).alias("iy"), seg.alias("seg_id")).distinct()
+    return structure.zonal_mean(zone, raster, "ndvi", 0.5, 1.3, (-0.35, -0.2))
+
+
+@register("segment_ndvi", "seg_id:i ndvi:8 covered:6", f"with {NDVI_SQL} select seg_id, ndvi, covered from zonal", "als cells")
+def _(src):
+    return _ndvi(src)
+
+
+def _metrics_with_ndvi(src):
+    return structure.with_zonal(_metrics(src), _ndvi(src), "ndvi")
+
+
 def _values_sql() -> str:
     rows = []
     for sp, m, curve, p1, p2, p3, p4, w in dims.SPECIES_REQUIREMENTS:
@@ -131,9 +158,12 @@ def _values_sql() -> str:
     return ", ".join(rows)
 
 
-SUIT_SQL = METRICS_SQL + f""", req as (select * from (values {_values_sql()}) as t(species, metric, curve, p1, p2, p3, p4, weight)),
-  long as (unpivot (select seg_id, fhd, h_p95, h_max, cover_frac, canopy_sd, understory_openness, vertical_gap from met)
-    on fhd, h_p95, h_max, cover_frac, canopy_sd, understory_openness, vertical_gap into name metric value value),
+_SUIT_METRICS = ("fhd", "h_p95", "h_max", "cover_frac", "canopy_sd", "understory_openness", "vertical_gap")
+
+
+def _suit_ctes(table: str, names: tuple[str, ...]) -> str:
+    return f"""req as (select * from (values {_values_sql()}) as t(species, metric, curve, p1, p2, p3, p4, weight)),
+  long as (unpivot (select seg_id, {', '.join(names)} from {table}) on {', '.join(names)} into name metric value value),
   mem as (select seg_id, species, weight as w, case curve when 'rising' then least(greatest((value-p1)/(p2-p1), 0), 1)
       when 'falling' then 1 - least(greatest((value-p1)/(p2-p1), 0), 1)
       else least(least(greatest((value-p1)/(p2-p1), 0), 1), least(greatest((p4-value)/(p4-p3), 0), 1)) end as m
@@ -141,11 +171,37 @@ SUIT_SQL = METRICS_SQL + f""", req as (select * from (values {_values_sql()}) as
   suit as (select seg_id, species, exp(sum(w*ln(greatest(m, 1e-6)))/sum(w)) as strict, sum(w*m)/sum(w) as tolerant from mem group by 1, 2)"""
 
 
+SUIT_SQL = METRICS_SQL + ", " + _suit_ctes("met", _SUIT_METRICS)
+
+
 def _suit(src):
     m = _metrics(src)
     return structure.suitability(m, dims.species_requirements(m.sparkSession))
 
 
+_PLAIN_ENDS = "quantile_cont(ndvi, 0.02e0) as lo_ndvi, quantile_cont(ndvi, 0.98e0) as hi_ndvi"
+
+
+@register("index_with_condition", "seg_id:i condition:6 hvi:6",
+          f"""with {INDEX_SQL}, {NDVI_SQL}, ne as (select {_PLAIN_ENDS} from met left join zonal using (seg_id)),
+              c as (select idx.*, case when ndvi is not null then case when hi_ndvi > lo_ndvi then least(greatest((ndvi - lo_ndvi)/(hi_ndvi - lo_ndvi), 0), 1) else 0.5e0 end end as condition
+                from idx left join zonal using (seg_id) cross join ne)
+              select seg_id, condition, (0.5e0*vertical_complexity + 0.15e0*volume_size + 0.25e0*heterogeneity + coalesce(0.1e0*condition, 0))
+                /(0.9e0 + case when condition is null then 0 else 0.1e0 end) as hvi from c""", "als cells")
+def _(src):
+    return structure.composite_index(_metrics_with_ndvi(src))
+
+
+_WITH_NDVI = f", {NDVI_SQL}, met2 as (select met.*, ndvi from met left join zonal using (seg_id))"
+
+
+@register("suitability_with_ndvi", "seg_id:i species strict:6 tolerant:6",
+          f"with {METRICS_SQL}{_WITH_NDVI}, {_suit_ctes('met2', ('ndvi', *_SUIT_METRICS))} select * from suit", "als cells")
+def _(src):
+    m = _metrics_with_ndvi(src)
+    return structure.suitability(m, dims.species_requirements(m.sparkSession))
+
+
 @register("fuzzy_membership", "seg_id:i species metric membership:6",
           f"""with {SUIT_SQL.replace('mem as (select seg_id, species, weight as w', 'mem as (select seg_id, species, metric, weight as w')}
               select seg_id, species, metric, m as membership from mem""", "als")
@@ -173,10 +229,10 @@ def _(src):
 
 @register("coloring_options", "option chunk:i n_values:i lo:6 hi:6 first_value:6",
           f"""with {SUIT_SQL}, o as (select species as option, seg_id, round(strict, 6) as v from suit)
-              select option, 0 as chunk, count(*) as n_values, min(v) as lo, max(v) as hi, arg_min(v, cast(seg_id as varchar)) as first_value from o group by 1""", "als")
+              select option, seg_id // 20 as chunk, count(*) as n_values, min(v) as lo, max(v) as hi, arg_min(v, cast(seg_id as varchar)) as first_value from o group by 1, 2""", "als")
 def _(src):
     values = _suit(src).select(F.col("species").alias("option"), "seg_id", F.round("strict", 6).alias("value"))
-    maps = structure.colouring_options(values)
+    maps = structure.colouring_options(values, chunk=20)
     return maps.select("option", "chunk", F.size("values").alias("n_values"), "lo", "hi",
                        F.element_at(F.map_values("values"), 1).alias("first_value"))
 

@@ -179,12 +179,13 @@ def _(src):
 
 
 @register("growth_request", "stand_id:i part:i n_trees:i sum_dbh:4",
-          "select stand_id, 0 as part, count(*) as n_trees, sum(dbh_cm) as sum_dbh from trees where height_m is not null group by 1", "trees")
+          """with n as (select *, row_number() over (partition by stand_id order by tree_id) - 1 as pos from trees)
+             select stand_id, pos // 20 as part, count(*) as n_trees, sum(dbh_cm) as sum_dbh from n where height_m is not null group by 1, 2""", "trees")
 def _(src):
     listed = _tree_list(src).join(src("trees").select("tree_id", "stand_id"), "tree_id")
     listed = running_total(listed, ["stand_id"], [F.col("tree_id")], None, "no").withColumn("pos", F.col("no") - 1).drop("no")
     stands = src("trees").select("stand_id").distinct().withColumn("area_ha", F.lit(0.25))
-    req = growth.growth_request(stands, listed, 20)
+    req = growth.growth_request(stands, listed, 20, part_rows=20)
     body = F.from_json("request", "trees array<struct<dbh_cm:double>>")
     return req.select("stand_id", "part", F.size(body["trees"]).alias("n_trees"),
                       F.aggregate(body["trees"], F.lit(0.0), lambda a, t: a + t["dbh_cm"]).alias("sum_dbh"))
@@ -270,8 +271,8 @@ def _listing(src):
     return scenes.scene_listing(src("scenes"), counts)
 
 
-@register("scene_listing", "id title thumb_url pano_url markers:i source_type has_3d:b kind",
-          f"""with {LISTING_SQL} select id, title, case when thumb is not null then thumb_url end as thumb_url,
+@register("scene_listing", "id title description thumb_url pano_url markers:i source_type has_3d:b kind",
+          f"""with {LISTING_SQL} select id, title, '' as description, case when thumb is not null then thumb_url end as thumb_url,
                 case when pano is not null then pano_url end as pano_url, markers, source_type, has_3d, kind from ls""", "markers scenes")
 def _(src):
     return _listing(src)
@@ -359,16 +360,31 @@ def _(src):
     return scenes.explode_markers(scenes.marker_documents(rows, ["id"]))
 
 
-@register("scene_manifest", "id part:i n_markers:i title cloud_bin lat:4 first_dbh:2",
-          """with m as (select scene_id as id, count(*) as n, arg_min(dbh_cm, marker_key) as first_dbh from markers group by 1)
-             select id, 0 as part, coalesce(n, 0) as n_markers, title, cloud as cloud_bin, gps_lat as lat, first_dbh from scenes left join m using (id)""", "markers scenes")
+@register("scene_manifest", "id part:i n_markers:i title cloud_bin lat:4 sum_dbh:3 height:4 text_height:b variants:i stand:4",
+          """with m as (select *, row_number() over (partition by scene_id order by marker_key) - 1 as no from markers),
+             d as (select scene_id as id, no // 3 as part, count(*) as n, sum(dbh_cm) as sum_dbh, arg_min(height_m, no) filter (where height_m is not null) as height from m group by 1, 2)
+             select id, coalesce(part, 0) as part, coalesce(n, 0) as n_markers, title, cloud as cloud_bin, gps_lat as lat, coalesce(sum_dbh, 0) as sum_dbh, height, false as text_height,
+               case when coalesce(part, 0) = 0 and scene_key % 3 = 0 then 2 end as variants, case when coalesce(part, 0) = 0 and scene_key % 5 = 0 then 0.25e0 * (scene_key % 9) end as stand
+             from scenes left join d using (id)""", "markers scenes")
 def _(src):
-    markers = src("markers").select(F.col("scene_id").alias("id"), (F.col("marker_key")).alias("key"), "dbh_cm", "height_m")
-    docs = scenes.scene_manifest(src("scenes"), running_total(markers, ["id"], [F.col("key")], None, "pos").withColumn("pos", F.col("pos") - 1).drop("key"))
-    body = F.from_json("manifest", "title string, source struct<gps:struct<lat:double>>, pointcloud struct<bin:string>, markers array<struct<dbh_cm:double>>")
+    markers = src("markers").select(F.col("scene_id").alias("id"), F.col("marker_key").alias("key"), F.map_from_arrays(
+        F.array(F.lit("dbh_cm"), F.lit("height_m")), F.array(F.col("dbh_cm").cast("string"), F.col("height_m").cast("string"))).alias("attributes"))
+    numbered = running_total(markers, ["id"], [F.col("key")], None, "pos").withColumn("pos", F.col("pos") - 1).drop("key")
+    s = src("scenes")
+    name = F.struct(F.lit("summer").alias("name")), F.struct(F.lit("winter").alias("name"))
+    blocks = {"variants": s.where("scene_key % 3 = 0").select("id", F.array(*name).alias("value")),
+              "stand": s.where("scene_key % 5 = 0").select("id", F.struct((F.col("scene_key") % 9 * 0.25).alias("area_ha")).alias("value"))}
+    docs = scenes.scene_manifest(s, numbered, blocks=blocks, part_rows=3)
+    body = F.from_json("manifest", "title string, source struct<gps:struct<lat:double>>, pointcloud struct<bin:string>, variants array<struct<name:string>>, "
+                                   "stand struct<area_ha:double>, markers array<struct<attributes:variant>>")
+    attribute = lambda m, n, t: F.try_variant_get(m["attributes"], f"$.{n}", t)
+    known = F.filter(F.transform("d.markers", lambda m: attribute(m, "height_m", "double")), lambda v: v.isNotNull())
     return docs.select("id", "part", body.alias("d")).select(
         "id", "part", F.size("d.markers").alias("n_markers"), "d.title", F.col("d.pointcloud.bin").alias("cloud_bin"), "d.source.gps.lat",
-        F.try_element_at("d.markers", F.lit(1))["dbh_cm"].alias("first_dbh"))
+        F.aggregate("d.markers", F.lit(0.0), lambda t, m: t + attribute(m, "dbh_cm", "double")).alias("sum_dbh"),
+        F.try_element_at(known, F.lit(1)).alias("height"),
+        F.exists("d.markers", lambda m: F.schema_of_variant(m["attributes"]).contains("STRING")).alias("text_height"),
+        F.when(F.col("d.variants").isNotNull(), F.size("d.variants")).alias("variants"), F.col("d.stand.area_ha").alias("stand"))
 
 
 @register("to_markers", "scene_id marker_id label yaw:3 pitch:3 distance_m:2 n_attributes:i rejected:b",

@@ -1,11 +1,17 @@
 """Results don't depend on group sizes, appends keep rows, tiles stay apart."""
 
+import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from canopyframe.operators import sampling, selection, structure
+from canopyframe.operators.colour import recolour_segments
+from canopyframe.operators.learning import habitat_types
+from canopyframe.operators.scenes import typed_attributes
+from canopyframe.operators.selection import match_within
+from canopyframe.operators.structure import zonal_mean
 from canopyframe.ranking import percentiles_by
 from canopyframe.sources.clouds import register_sources
 
@@ -52,3 +58,50 @@ def test_segment_ids_above_16_bit(spark):
     points = spark.createDataFrame([("t", 0.1, 0.1)], "tile_id string, x double, y double")
     cells = spark.createDataFrame([("t", 0, 0, 70_000)], "tile_id string, ix bigint, iy bigint, hedge_id bigint")
     assert [r["seg_id"] for r in structure.point_segments(points, cells).collect()] == [70_000]
+
+
+def test_matches_stay_inside_their_plot(spark):
+    refs = spark.createDataFrame([(p, i, float(i), 0.0) for p in ("a", "b") for i in range(30)], "plot string, ref_id bigint, ref_x double, ref_y double")
+    dets = spark.createDataFrame([("a", i, i + 0.1, 0.0) for i in range(30)] + [("b", i, i + 0.2, 0.0) for i in range(5)] + [("c", 1, 1.0, 0.0)],
+                                 "plot string, det_id bigint, x double, y double")
+    for load in (1e9, 0.0):  # all pairs at once, and growing radii
+        got = {(m.plot, m.ref_id, m.det_id, round(m.distance_m, 6)) for m in match_within(refs, dets, 0.5, load, on=["plot"]).collect()}
+        assert got == {("a", i, i, 0.1) for i in range(30)} | {("b", i, i, 0.2) for i in range(5)}
+
+
+def test_segments_of_two_tiles_keep_their_own_values(spark):
+    points = spark.createDataFrame([(t, 1, 10, 10, 10) for t in ("a", "b")], "tile_id string, seg_id bigint, r int, g int, b int")
+    values = spark.createDataFrame([("a", 1, 0.0), ("b", 1, 1.0)], "tile_id string, seg_id bigint, value double")
+    got = {r.tile_id: (r.r, r.g, r.b) for r in recolour_segments(points, values).collect()}
+    assert len(got) == 2 and got["a"] != got["b"] and recolour_segments(points, values).count() == 2
+    rows = [(t, i, float(i % 2), float(i % 3)) for t in ("a", "b") for i in range(8)] + [("a", 99, None, 1.0)]
+    typed = habitat_types(spark.createDataFrame(rows, "tile_id string, seg_id bigint, p double, q double"), ["p", "q"], 2)
+    assert sorted((r.tile_id, r.seg_id) for r in typed.collect()) == sorted(r[:2] for r in rows)
+
+
+def test_zonal_mean_weighs_shared_area(spark):
+    zones = spark.createDataFrame([(t, x, y, 1 if x < 3 else 2) for t in ("a", "b") for x in range(5) for y in range(4)] + [("a", 500, 500, 3)],
+                                  "tile_id string, ix bigint, iy bigint, seg_id bigint")
+    cells = [(t, x, y, None if (x, y) == (1, 1) else (x * 10.0 + y) * (1 if t == "a" else -1)) for t in ("a", "b") for x in range(-3, 6) for y in range(-3, 6)]
+    raster = spark.createDataFrame(cells, "tile_id string, ix bigint, iy bigint, value double")
+    for size, cell, origin in ((0.5, 0.7, (-0.3, 0.1)), (1.0, 0.3, (0.05, -0.2)), (0.5, 0.5, (0.0, 0.0))):
+        got = {(r.tile_id, r.seg_id): (r.ndvi, r.covered) for r in zonal_mean(zones, raster, "ndvi", size, cell, origin).collect()}
+        assert got.pop(("a", 3)) == (None, 0.0)
+        for (t, s), (mean, covered) in got.items():
+            total = weight = area = 0.0
+            for x in range(5):
+                for y in range(4):
+                    if (1 if x < 3 else 2) == s:
+                        area += size * size
+                        for tile, i, j, v in cells:
+                            w = max(0.0, min((x + 1) * size, origin[0] + (i + 1) * cell) - max(x * size, origin[0] + i * cell))
+                            h = max(0.0, min((y + 1) * size, origin[1] + (j + 1) * cell) - max(y * size, origin[1] + j * cell))
+                            if tile == t and v is not None:
+                                total, weight = total + w * h * v, weight + w * h
+            assert abs(covered - weight / area) < 1e-9 and (mean is None if not weight else abs(mean - total / weight) < 1e-9)
+
+
+def test_attributes_keep_their_kind(spark):
+    row = spark.createDataFrame([({"n": "12.50", "t": 'a "b"\n', "inf": "inf", "nan": "nan", "none": "", "e": "1e3"},)], "a map<string,string>")
+    got = json.loads(row.select(F.to_json(F.struct(typed_attributes(F.col("a")).alias("a")))).first()[0])["a"]
+    assert got == {"n": 12.5, "t": 'a "b"\n', "inf": "inf", "nan": "nan", "e": 1000.0}
