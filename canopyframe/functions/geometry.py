@@ -113,3 +113,47 @@ def slope_aspect(north: Column, south: Column, east: Column, west: Column, step:
     ref = F.pmod(F.degrees(F.atan2(dzdy, -dzdx)) + 360.0, F.lit(360.0))
     compass = F.pmod(F.degrees(F.atan2(-dzdx, -dzdy)) + 360.0, F.lit(360.0))
     return slope, F.when(tilted, ref), F.when(tilted, compass)
+
+
+#: Rotations of the eigenvector search: twelve sweeps over the three planes, far beyond what doubles need.
+JACOBI_STEPS = 36
+
+
+def smallest_axis(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column) -> Column:
+    """Unit eigenvector, as an array, of the smallest eigenvalue of a symmetric 3x3 matrix.
+
+    Jacobi rotations folded over a column: each step clears the first off-diagonal
+    entry and then renames the axes in a circle, so the next step has the next one
+    in its place. The matrix of zeros gives the first axis.
+    """
+    one, zero = F.lit(1.0), F.lit(0.0)
+    start = F.struct(*[c.cast("double").alias(n) for n, c in zip(("a", "b", "c", "ab", "ac", "bc"), (xx, yy, zz, xy, xz, yz))],
+                     *[F.array(*[one if i == k else zero for i in range(3)]).alias(n) for k, n in enumerate(("va", "vb", "vc"))])
+
+    def let(value: Column, use) -> Column:
+        """``use`` of a value that is computed once."""
+        return F.transform(F.array(value), use)[0]
+
+    def step(m: Column, _: Column) -> Column:
+        theta = (m["b"] - m["a"]) / (2 * m["ab"])
+        tangent = F.when(m["ab"] == 0, zero).otherwise(F.when(theta < 0, -one).otherwise(one) / (F.abs(theta) + F.sqrt(theta * theta + 1)))
+
+        def rotated(t: Column) -> Column:
+            def with_cosine(c: Column) -> Column:
+                s = t * c
+                turn = lambda p, q: (c * p - s * q, s * p + c * q)
+                ac, bc = turn(m["ac"], m["bc"])
+                va = F.zip_with(m["va"], m["vb"], lambda p, q: turn(p, q)[0])
+                vb = F.zip_with(m["va"], m["vb"], lambda p, q: turn(p, q)[1])
+                # the axes b, c, a take the names a, b, c
+                return F.struct((m["b"] + t * m["ab"]).alias("a"), m["c"].alias("b"), (m["a"] - t * m["ab"]).alias("c"), bc.alias("ab"), zero.alias("ac"), ac.alias("bc"),
+                                vb.alias("va"), m["vc"].alias("vb"), va.alias("vc"))
+
+            return let(1 / F.sqrt(t * t + 1), with_cosine)
+
+        return let(tangent, rotated)
+
+    def least(m: Column) -> Column:
+        return F.when((m["a"] <= m["b"]) & (m["a"] <= m["c"]), m["va"]).when(m["b"] <= m["c"], m["vb"]).otherwise(m["vc"])
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(JACOBI_STEPS)), start, step, least)

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopyframe.functions import colour, geometry
 from canopyframe.ranking import percentiles_by
-from canopyframe.runtime import salted_join
+from canopyframe.runtime import broadcast_if_small, cut_lineage, salted_join
 
 
 def cylinder_geometry(cyl: DataFrame) -> DataFrame:
@@ -98,16 +98,17 @@ def splat_frame(splats: DataFrame) -> DataFrame:
     return percentiles_by(splats, [], specs)
 
 
-def up_axis(splats: DataFrame) -> DataFrame:
-    """Normal of the dominant plane; its sign follows the longer tail of the projections.
-
-    Only the 3x3 covariance reaches the driver.
-    """
+def up_axis(splats: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Normal of the dominant plane per group; its sign follows the longer tail of the projections."""
+    keys = keys or []
     pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
-    row = splats.agg(*[F.avg(a).alias(f"m{a}") for a in "xyz"], *[F.covar_samp(a, b).alias(a + b) for a, b in pairs]).first()
-    cov = np.array([[row["".join(sorted((a, b)))] for b in "xyz"] for a in "xyz"])
-    axis = np.linalg.eigh(cov)[1][:, 0]
-    dot: Column = sum(((F.col(a) - row[f"m{a}"]) * float(axis[i]) for i, a in enumerate("xyz")), F.lit(0.0))
-    tail = percentiles_by(splats.withColumn("_p", dot), [], {"_med": ("_p", 0.5)}, [F.avg("_p").alias("_mean")])
+    moments = splats.groupBy(*keys).agg(*[F.avg(a).alias(f"_m{a}") for a in "xyz"], *[F.covar_samp(a, b).alias(f"_{a}{b}") for a, b in pairs])
+    axis = geometry.smallest_axis(*[F.col(f"_{a}{b}") for a, b in pairs])
+    axes = cut_lineage(moments.where(F.col("_xx").isNotNull()).select(*keys, "_mx", "_my", "_mz", axis.alias("_axis")))
+    # a row per group
+    joined = salted_join(splats, broadcast_if_small(axes), keys) if keys else splats.crossJoin(F.broadcast(axes))
+    dot = sum(((F.col(a) - F.col(f"_m{a}")) * F.col("_axis")[i] for i, a in enumerate("xyz")), F.lit(0.0))
+    tail = percentiles_by(joined.select(*keys, dot.alias("_p")), keys, {"_med": ("_p", 0.5)}, [F.avg("_p").alias("_mean")])
     sign = F.when(F.col("_mean") < F.col("_med"), -1.0).otherwise(1.0)
-    return tail.select(*[(sign * float(axis[i])).alias(f"up_{a}") for i, a in enumerate("xyz")])
+    placed = axes.join(tail, keys) if keys else axes.crossJoin(F.broadcast(tail))
+    return placed.select(*keys, *[(sign * F.col("_axis")[i]).alias(f"up_{a}") for i, a in enumerate("xyz")])

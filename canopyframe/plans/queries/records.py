@@ -578,11 +578,31 @@ def _(src):
     return cyl.splat_frame(src("splats"))
 
 
-@register("up_axis", "up_x:6 up_y:6 up_z:6")
+_AXIS_SQL = """cv as (select {keys} avg(x) as mx, avg(y) as my, avg(z) as mz, covar_samp(x, x) as xx, covar_samp(x, y) as xy, covar_samp(x, z) as xz,
+    covar_samp(y, y) as yy, covar_samp(y, z) as yz, covar_samp(z, z) as zz from splats {by}),
+  sh as (select *, (xx + yy + zz)/3 as q, sqrt(((xx - (xx+yy+zz)/3)**2 + (yy - (xx+yy+zz)/3)**2 + (zz - (xx+yy+zz)/3)**2 + 2*(xy*xy + xz*xz + yz*yz))/6) as p from cv),
+  ev as (select *, q + 2*p*cos(acos(least(greatest(((xx-q)*((yy-q)*(zz-q) - yz*yz) - xy*(xy*(zz-q) - yz*xz) + xz*(xy*yz - (yy-q)*xz))/(p*p*p)/2, -1), 1))/3 + 2*pi()/3) as e from sh),
+  cr as (select *, unnest([[xy*yz - xz*(yy-e), xz*xy - (xx-e)*yz, (xx-e)*(yy-e) - xy*xy], [xy*(zz-e) - xz*yz, xz*xz - (xx-e)*(zz-e), (xx-e)*yz - xy*xz],
+    [(yy-e)*(zz-e) - yz*yz, yz*xz - xy*(zz-e), xy*yz - (yy-e)*xz]]) as v from ev),
+  ax as (select * from (select *, sqrt(v[1]*v[1] + v[2]*v[2] + v[3]*v[3]) as len, row_number() over ({part} order by v[1]*v[1] + v[2]*v[2] + v[3]*v[3] desc) as rn from cr) where rn = 1),
+  pr as (select {skeys} ((x-mx)*v[1] + (y-my)*v[2] + (z-mz)*v[3])/len as t from splats s join ax on {on}),
+  sg as (select {keys} case when avg(t) < median(t) then -1e0 else 1e0 end as s from pr {by})
+  select {okeys} s*v[1]/len as up_x, s*v[2]/len as up_y, s*v[3]/len as up_z from ax join sg on {son}"""
+
+
+@register("up_axis", "up_x:6 up_y:6 up_z:6", "with " + _AXIS_SQL.format(keys="", by="", part="", skeys="", on="true", okeys="", son="true"), "splats")
 def _(src):
     return cyl.up_axis(src("splats"))
 
 
+@register("up_axis_by_group", "block:i up_x:6 up_y:6 up_z:6",
+          "with " + _AXIS_SQL.replace("from splats", "from (select *, splat_id % 7 as block from splats)").format(
+              keys="block, ", by="group by block", part="partition by block", skeys="s.block, ", on="ax.block = s.block", okeys="ax.block, ", son="sg.block = ax.block"),
+          "splats")
+def _(src):
+    return cyl.up_axis(src("splats").withColumn("block", F.col("splat_id") % 7), ["block"])
+
+
 # ---- learning -----------------------------------------------------------------------------------
 
 

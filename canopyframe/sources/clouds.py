@@ -289,9 +289,6 @@ class LasWriter(PartWriter):
                              2, self.record.itemsize, total, total, 0, 0, 0, 0, 0.001, 0.001, 0.001, *offset, *ends)
         return header, [body], {"count": total, "bbox_min": low, "bbox_max": high}
 
-    def summary(self, parts):
-        return merge_boxes(parts)
-
 
 class LasSource(DataSource):
     """Uncompressed LAS 1.2-1.4. A window, height range or class list in the options skips files and rows early."""
@@ -411,9 +408,6 @@ class BlockWriter(PartWriter):
         order = [blocks["xyz"], blocks["rgb"]] + ([blocks["seg"]] if layout == "segmented" else [])
         return header, order, {"count": total, "origin_xyz": origin, **merge_boxes(boxes)}
 
-    def summary(self, parts):
-        return merge_boxes(parts)
-
 
 class BlockSource(DataSource):
     """Block binaries; option ``layout`` is blocks, segmented, pcb1, cylinders or cylinders_u8."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -15,8 +16,8 @@ from pyspark.sql.datasource import DataSourceArrowWriter, InputPartition, Writer
 SPLIT_BYTES = 64 * 1024 * 1024
 #: Rows per Arrow batch.
 BATCH_ROWS = 65_536
-#: Name of the list of committed parts in an output folder.
-PARTS_FILE = "_parts.json"
+#: Folder of the commits inside an output folder.
+COMMITS = "_commits"
 
 
 def resolve(path: str) -> tuple[fs.FileSystem, str]:
@@ -35,11 +36,9 @@ def list_files(path: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
     info = system.get_file_info(inner)
     if info.type == fs.FileType.File:
         return [(path, info.size)]
-    listing = system.get_file_info(f"{inner}/{PARTS_FILE}")
-    if listing.type == fs.FileType.File:
-        with system.open_input_file(listing.path) as f:
-            names = [p["file"] for p in json.loads(f.read())["parts"]]
-        infos = system.get_file_info([f"{inner}/{n}" for n in names])
+    commits = _commits(system, inner)
+    if commits is not None:
+        infos = system.get_file_info([f"{inner}/{p['file']}" for p in _live(commits)])
     else:
         infos = system.get_file_info(fs.FileSelector(inner, recursive=True))
     found = [(prefix + i.path, i.size) for i in infos if i.type == fs.FileType.File and i.path.lower().endswith(suffixes)]
@@ -48,6 +47,31 @@ def list_files(path: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
     return sorted(found)
 
 
+def _commits(system: fs.FileSystem, inner: str) -> list[tuple[str, dict]] | None:
+    """Commits of a folder in their order, None if it has no log."""
+    if system.get_file_info(f"{inner}/{COMMITS}").type != fs.FileType.Directory:
+        return None
+    found = []
+    for info in system.get_file_info(fs.FileSelector(f"{inner}/{COMMITS}")):
+        if info.base_name.endswith(".json"):
+            with system.open_input_file(info.path) as f:
+                found.append((info.base_name, json.loads(f.read())))
+    return sorted(found, key=lambda c: c[0])
+
+
+def _live(commits: list[tuple[str, dict]]) -> list[dict]:
+    """Parts from the last overwrite on."""
+    first = max((i for i, (_, doc) in enumerate(commits) if doc["overwrite"]), default=0)
+    return [p for _, doc in commits[first:] for p in doc["parts"]]
+
+
+def folder_facts(path: str) -> dict:
+    """What a written folder holds: ``parts``, ``count`` and, where the format knows it, the bounding box."""
+    system, inner = resolve(path)
+    parts = _live(_commits(system, inner) or [])
+    return {"parts": parts, "count": sum(p["count"] for p in parts), **merge_boxes(parts)}
+
+
 def tile_name(path: str) -> str:
     """Tile id of a file: its name without extension."""
     return path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
@@ -80,7 +104,7 @@ class PartMessage(WriterCommitMessage):
 
 
 class PartWriter(DataSourceArrowWriter):
-    """Writes one file per task; only committed parts enter the folder's list.
+    """Writes one file per task; readers see the parts of the folder's commits.
 
     Subclasses turn batches into a header and body. File names are unique per
     attempt, so retried or speculative tasks leave no duplicates behind.
@@ -120,22 +144,24 @@ class PartWriter(DataSourceArrowWriter):
         return PartMessage({"file": name, **facts})
 
     def commit(self, messages):
-        parts = self._earlier() + [m.part for m in messages if m is not None and m.part is not None]
-        self._save({"parts": parts, "count": sum(p["count"] for p in parts), **self.summary(parts)})
+        """Add a commit of this job's parts; no earlier file is changed, so writers at the same time lose nothing.
 
-    def _earlier(self) -> list[dict]:
-        """Parts of earlier jobs in the folder; an append keeps them, an overwrite leaves them out."""
-        if self.overwrite:
-            return []
+        Commits are ordered by time. An overwrite hides those before it and then deletes
+        their parts; one that comes later, even by a job that began earlier, stays.
+        """
         system, inner = resolve(self.folder)
-        listing = system.get_file_info(f"{inner}/{PARTS_FILE}")
-        if listing.type != fs.FileType.File:
-            return []
-        with system.open_input_file(listing.path) as f:
-            return json.loads(f.read())["parts"]
-
-    def summary(self, parts: list[dict]) -> dict:
-        return {}
+        system.create_dir(f"{inner}/{COMMITS}", recursive=True)
+        name = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+        doc = {"overwrite": self.overwrite, "parts": [m.part for m in messages if m is not None and m.part is not None]}
+        with system.open_output_stream(f"{inner}/{COMMITS}/{name}.tmp") as out:
+            out.write(json.dumps(doc).encode())
+        system.move(f"{inner}/{COMMITS}/{name}.tmp", f"{inner}/{COMMITS}/{name}.json")  # readers see a whole commit or none
+        if self.overwrite:
+            for other, old in _commits(system, inner) or []:
+                if other < f"{name}.json":
+                    for part in old["parts"]:
+                        _delete(system, f"{inner}/{part['file']}")
+                    _delete(system, f"{inner}/{COMMITS}/{other}")
 
     def abort(self, messages):
         system, inner = resolve(self.folder)
@@ -143,11 +169,13 @@ class PartWriter(DataSourceArrowWriter):
             if m is not None and m.part is not None:
                 system.delete_file(f"{inner}/{m.part['file']}")
 
-    def _save(self, doc: dict):
-        system, inner = resolve(self.folder)
-        system.create_dir(inner, recursive=True)
-        with system.open_output_stream(f"{inner}/{PARTS_FILE}") as out:
-            out.write(json.dumps(doc).encode())
+
+def _delete(system: fs.FileSystem, path: str) -> None:
+    """Delete a file that another overwrite may have deleted already."""
+    try:
+        system.delete_file(path)
+    except FileNotFoundError:
+        pass
 
 
 def box(columns: dict) -> dict:

@@ -4,6 +4,7 @@ import io
 import json
 import struct
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -98,10 +99,47 @@ def test_block_binary(spark, points, tmp_path, layout, monkeypatch):
     moved = points.withColumns({"x": F.col("x") - 1, "y": F.col("y") - 2, "z": F.col("z") - 0.5, "seg_id": F.col("label")})
     cols = ["x", "y", "z", "r", "g", "b"] + (["seg_id"] if layout == "segmented" else [])
     same_rows(back, moved, cols)
-    meta = json.loads((tmp_path / layout / files.PARTS_FILE).read_text())
+    meta = files.folder_facts(path)
     assert meta["count"] == points.count() and len(meta["parts"]) == 3 and len(meta["bbox_min"]) == 3
 
 
+class _Plain(files.PartWriter):
+    suffix = ".txt"
+
+    def encode(self, batches, spool):
+        block = spool()
+        block.write(b"".join(batches))
+        return b"", [block], {"count": len(batches)}
+
+
+def test_writers_at_the_same_time_lose_nothing(tmp_path):
+    folder = str(tmp_path / "shared")
+    with ThreadPoolExecutor(8) as pool:
+        def job(k):
+            writer = _Plain({"path": folder})
+            writer.commit([writer.write([b"%d\n" % k]), writer.write([]), None])
+        list(pool.map(job, range(24)))
+    read = lambda: sorted(open(f).read() for f, _ in files.list_files(folder, (".txt",)))
+    assert read() == sorted(f"{k}\n" for k in range(24)) and files.folder_facts(folder)["count"] == 24
+    early, late = _Plain({"path": folder, "overwrite": True}), _Plain({"path": folder})
+    first, second = early.write([b"new\n"]), late.write([b"more\n"])
+    late.commit([second])
+    early.commit([first])
+    assert read() == ["new\n"] and len(list((tmp_path / "shared").glob("part-*"))) == 1
+    late.commit([late.write([b"last\n"])])
+    assert read() == ["last\n", "new\n"]
+    lost = late.write([b"aborted\n"])
+    late.abort([lost])
+    assert read() == ["last\n", "new\n"] and len(list((tmp_path / "shared").glob("part-*"))) == 2
+
+
+def test_overwrite_replaces_and_append_adds(spark, points, tmp_path):
+    path = str(tmp_path / "cloud")
+    for mode, n, want in (("append", 9, 9), ("overwrite", 5, 5), ("append", 3, 8)):
+        points.limit(n).write.format("cloudbin").mode(mode).option("layout", "pcb1").save(path)
+        assert spark.read.format("cloudbin").option("layout", "pcb1").load(path).count() == want == files.folder_facts(path)["count"]
+
+
 def test_cylinders(spark, tmp_path):
     start, end = np.arange(12, dtype="<f4").reshape(4, 3), np.arange(12, 24, dtype="<f4").reshape(4, 3)
     radius, order = np.array([.1, .2, .3, .4], "<f4"), np.array([1, 1, 2, 3], "<f4")
