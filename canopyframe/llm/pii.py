@@ -32,16 +32,18 @@ PATTERNS = {
               r"|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])"),
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
-#: Kinds with a check digit: where a value may start and as much as may belong to it, what may stand around it, and all lengths to try.
-#: Cards: undivided digits; the usual groups, unless they belong to a row of six or more groups of four digits; anything behind a label.
+#: Kinds with a check digit: what may stand around a value, and all lengths to try at a start.
 RUNS = {
-    "iban": ([r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){8,31}))"], "[A-Za-z0-9]",
-             [rf"^[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "") for n in range(2, 8) for rest in range(4)]),
-    "card": ([r"(?<![0-9])([0-9]{13,19})(?![0-9])",
-              r"(?<![0-9])(?<![0-9]{4}[ -][0-9]{4}[ -])(?!(?:[0-9]{4}[ -]){5}[0-9]{4}(?![0-9]))(?=([0-9]{4}[ -](?:[0-9]{4}[ -][0-9]{4}|[0-9]{6})[ -][0-9]{1,5}(?:[ -][0-9]{1,3})?))",
-              r"(?<=(?i:card|visa|amex|karte|carte|tarjeta)[^0-9]{0,20})(?=([0-9](?:[ -]?[0-9]){12,18}))"],
-             "[0-9]", [rf"^[0-9](?:[ -]?[0-9]){{{n - 1}}}" for n in range(13, 20)]),
+    "iban": ("[A-Za-z0-9]", [rf"^[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "") for n in range(2, 8) for rest in range(4)]),
+    "card": ("[0-9]", [rf"^[0-9](?:[ -]?[0-9]){{{n - 1}}}" for n in range(13, 20)]),
 }
+#: Where an IBAN may start, and as much as may belong to it.
+IBAN_START = r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){8,31}))"
+#: Cards: undivided digits; the usual groups, unless they belong to a row of six or more groups of four digits; anything behind a label.
+CARD_DIGITS = "[0-9]{13,}+"
+CARD_GROUPS = (r"(?<![0-9])(?=([0-9]{4}[ -](?:[0-9]{4}[ -][0-9]{4}|[0-9]{6})[ -][0-9]{1,5}(?:[ -][0-9]{1,3})?))"
+               r"(?<![0-9]{4}[ -][0-9]{4}[ -])(?!(?:[0-9]{4}[ -]){5}[0-9]{4}(?![0-9]))")
+CARD_LABELLED = r"(?i:card|visa|amex|karte|carte|tarjeta)[^0-9]{0,20}([0-9](?:[ -]?[0-9]){12,18})"
 #: Lengths of IBANs by country. Of several lengths that pass the check this one is taken; others hold where no such length is known.
 IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
                 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM MR",
@@ -143,17 +145,20 @@ def _iban_usual(m: Column) -> Column:
 
 def _valid_values(text: Column, kind: str) -> Column:
     """Every stretch of ``text`` that may be a value of the kind and passes its check; the usual lengths come first, then the longest."""
-    starts, _, lengths = RUNS[kind]
+    lengths = RUNS[kind][1]
     passes, usual = (_iban_valid, _iban_usual) if kind == "iban" else (_card_valid, lambda m: m.rlike(CARD_SHAPE))
 
     def stretches(start: str) -> Column:
         runs = F.array_distinct(F.regexp_extract_all(text, F.lit(start), 1))
         return F.flatten(F.transform(runs, lambda run: F.transform(F.array(*[F.lit(p) for p in lengths]), lambda p: F.regexp_substr(run, p))))
 
-    tried = [stretches(start) for start in starts]
-    if kind == "card":  # only a label lets digits be a card in any grouping
-        tried = [F.filter(t, lambda m: m.rlike(CARD_SHAPE)) for t in tried[:-1]] + tried[-1:]
-    tried = F.concat(*tried)
+    if kind == "iban":
+        tried = stretches(IBAN_START)
+    else:
+        whole = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(CARD_DIGITS), 0)), lambda m: F.length(m) <= 19)
+        parted = F.concat(F.filter(stretches(CARD_GROUPS), lambda m: m.rlike(CARD_SHAPE)), stretches(CARD_LABELLED))
+        # most texts have no digits beside digits, so they are looked at once
+        tried = F.when(text.rlike("[0-9][ -][0-9]"), F.concat(whole, parted)).otherwise(whole)
     good = F.filter(tried, lambda m: m.isNotNull() & passes(m))
     ranked = F.transform(good, lambda m: F.struct(usual(m).alias("usual"), F.length(m).alias("size"), m.alias("m")))
     return F.array_distinct(F.transform(F.sort_array(ranked, False), lambda r: r["m"]))
@@ -164,7 +169,7 @@ def _pattern(values: dict[str, Column]) -> Column:
     parts = []
     for kind, p in PATTERNS.items():
         if kind in values:
-            around = RUNS[kind][1]
+            around = RUNS[kind][0]
             parts.append(F.when(F.size(values[kind]) > 0, F.concat(F.lit(f"(?:(?<!{around})(?:"), F.array_join(values[kind], "|"), F.lit(f")(?!{around}))"))))
         else:
             parts.append(F.lit(f"(?:{p})"))

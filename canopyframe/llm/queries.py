@@ -28,7 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pivot_index": lambda spark, d: pivot_index.op8_pivot_index(table(spark, d, "embeddings")),
     "op9_kd_shards": lambda spark, d: kd_shards.op9_kd_shards(table(spark, d, "documents")),
     "pipeline": corpus_pipeline.run,
-    "op10_pareto_mix": lambda spark, d: pareto_mix.mixed_sizes(table(spark, d, "documents")),
+    "op10_pareto_mix": lambda spark, d: pareto_mix.mixed_sizes(table(spark, d, "documents"), odds=pareto_mix.by_length),
     "op11_fm_decontamination": lambda spark, d: fm_index.op11_fm_decontamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op12_spelling_variants": lambda spark, d: spelling.op12_spelling_variants(table(spark, d, "documents")),
     "op13_bag_search": lambda spark, d: bag_search.op13_bag_search(table(spark, d, "documents"), table(spark, d, "benchmark")),

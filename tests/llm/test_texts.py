@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -427,3 +428,54 @@ def test_mix_unequal_odds(make_docs):
     got = pareto_mix._taken(measured, decided, "mix").where("source = 's'").collect()
     even, uneven = (sum(r["_copies"] for r in got if r["doc_id"] % 2 == k) for k in (0, 1))
     assert 2.5 < even / uneven < 5.5
+
+
+def order_value(doc, text, share):
+    bits = int(hashlib.md5(f"mix|{'' if doc is None else doc}|{zlib.crc32(text.encode())}".encode()).hexdigest()[:13], 16)
+    u, p = (bits + 0.5) / 2 ** 52, min(max(share, 1e-12), 1 - 1e-9)
+    return (math.log(u / (1 - u)) - math.log(p / (1 - p)) + 64) / 128
+
+
+def pareto_sample(docs, target, weigh, cap=3):
+    """Copies of each document of one source: certain ones, then a fixed number of words in Pareto order."""
+    size = [len(t.split()) for _, t in docs]
+    w = [weigh(n) for n in size]
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(n * min(cap, mid * x) for n, x in zip(size, w)) < target else (low, mid)
+    e = [min(cap, high * x) for x in w]
+    out = [math.floor(x + 1e-9) if x > cap - 1e-6 else math.floor(x) for x in e]
+    want = target - sum(k * n for k, n in zip(out, size))
+    rest = sorted((order_value(*docs[i], e[i] - out[i]), i) for i in range(len(docs)) if e[i] - out[i] > 1e-7)
+    limit = -1.0
+    for step in range(3):
+        rest = [(p, i) for p, i in rest if p > limit and (step == 0 or size[i] <= want)]
+        total, limit, left = 0, -1.0, want
+        for p, i in rest:
+            over = total + size[i] - want
+            if over > 0 and not (step == 2 and over <= want - total):
+                break
+            total, limit, left = total + size[i], p, -over
+        for p, i in rest:
+            out[i] += p <= limit
+        want = left
+        if want < 1:
+            break
+    return out
+
+
+def test_mix_against_brute_force(make_docs):
+    rng = random.Random(12)
+    texts = [(i, prose(rng, rng.choice([1, 2, 3, 5, 20, 80, 200])), f"s{i % 4}") for i in range(600)] + [(1000 + i, prose(rng, 4 + i % 50), "s4") for i in range(60)]
+    got = {r["doc_id"]: r for r in pareto_mix.mixed_sizes(make_docs(texts), odds=pareto_mix.by_length).collect()}
+    seen = set()
+    for s in {t[2] for t in texts}:
+        docs = [(i, t) for i, t, x in texts if x == s]
+        want = pareto_sample(docs, got[docs[0][0]]["target"], lambda n: (n + 1) / (n + 51))
+        assert [got[i]["taken"] for i, _ in docs] == [k * len(t.split()) for k, (_, t) in zip(want, docs)]
+        assert abs(sum(got[i]["taken"] for i, _ in docs) - got[docs[0][0]]["target"]) <= 3
+        seen |= {k for k in want}
+    assert seen == {0, 1, 2, 3}
+    many = pareto_mix.mix(make_docs(texts), odds=pareto_mix.by_length).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] * got[r["doc_id"]]["size"] for r in many} == {i: r["taken"] for i, r in got.items() if r["taken"]}
