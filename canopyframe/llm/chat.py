@@ -17,7 +17,6 @@ from canopyframe.runtime import cut_lineage
 _CALL = "struct<id:string,name:string,arguments:string,function:struct<name:string,arguments:string>>"
 _SHAPE = (f"struct<content:string,tool_call_id:string,tool_calls:array<{_CALL}>,"
           "tools:array<struct<name:string,parameters:string,function:struct<name:string,parameters:string>>>>")
-_SCHEMA = "struct<properties:map<string,struct<type:string,enum:array<string>>>,required:array<string>,additionalProperties:string>"
 #: Text in arguments that quotes the result of another call.
 _QUOTE = r'"\$ref"\s*:\s*"([^"]+)"'
 #: JSON schema types and the types of parsed values that fit them. Fixed values.
@@ -30,28 +29,93 @@ def canonical(json: Column) -> Column:
     return F.to_json(F.try_parse_json(json))
 
 
-def _problems(arguments: Column, schema: Column, known: Column) -> Column:
-    """What is wrong with the arguments of a call."""
-    given = F.try_parse_json(arguments)
-    fields = F.when(F.schema_of_variant(given).startswith("OBJECT"), given.cast("map<string,variant>"))
-    wanted = F.coalesce(schema["properties"], F.create_map().cast("map<string,struct<type:string,enum:array<string>>>"))
-    missing = F.transform(F.array_except(F.coalesce(schema["required"], F.array().cast("array<string>")), F.coalesce(F.map_keys(fields), F.array().cast("array<string>"))),
-                          lambda k: F.concat(F.lit("missing:"), k))
+#: Keywords that are checked, and those that only describe. Fixed values of the JSON schema format.
+CHECKED = ("type", "enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "minItems", "maxItems",
+           "required", "properties", "additionalProperties", "items")
+DESCRIBING = ("title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly", "$schema", "$id", "$comment")
+_MAP, _LIST, _NODE = "map<string,variant>", "array<variant>", "array<struct<path:string,value:variant,schema:variant>>"
+
+
+def _kind(v: Column) -> Column:
+    return F.schema_of_variant(v)
 
-    def wrong(entry: Column) -> Column:
-        rule = F.try_element_at(wanted, entry["key"])
-        kind, shape = rule["type"], F.schema_of_variant(entry["value"])
-        fits = F.lit(True)
-        for name, pattern in _FITS.items():
-            fits = F.when(kind == name, shape.rlike(pattern)).otherwise(fits)
-        text = entry["value"].cast("string")
-        return (F.when(rule.isNull() & (schema["additionalProperties"] == "false"), F.concat(F.lit("unknown:"), entry["key"]))
-                .when(rule.isNotNull() & ~fits, F.concat(F.lit("type:"), entry["key"]))
-                .when(rule["enum"].isNotNull() & ~F.coalesce(F.array_contains(rule["enum"], text), F.lit(False)), F.concat(F.lit("enum:"), entry["key"])))
 
-    bad = F.filter(F.transform(F.map_entries(fields), wrong), lambda p: p.isNotNull())
-    return (F.when(~known, F.array(F.lit("unknown_tool"))).when(fields.isNull(), F.array(F.lit("not_an_object")))
-            .otherwise(F.concat(missing, bad)))
+def _as(v: Column, kind: str, to: str) -> Column:
+    """A variant of a kind as a Spark type, else null."""
+    return F.when(_kind(v).startswith(kind), v.cast(to))
+
+
+def _node_problems(path: Column, value: Column, schema: Column) -> Column:
+    """What is wrong with one value under the keywords of its own schema node."""
+    rules, shape = _as(schema, "OBJECT", _MAP), _kind(value)
+    rule = lambda name: F.try_element_at(rules, F.lit(name))
+    fields, items = _as(value, "OBJECT", _MAP), _as(value, "ARRAY", _LIST)
+    said = lambda name, bad: F.when(F.coalesce(bad, F.lit(False)), F.concat(F.lit(name + ":"), path))
+    number = F.when(shape.rlike(_FITS["number"]), value.cast("double"))
+    length, count = F.char_length(_as(value, "STRING", "string")), F.size(items)
+    limit = lambda name: F.when(_kind(rule(name)).rlike(_FITS["number"]), rule(name).cast("double"))
+    named = F.coalesce(F.when(_kind(rule("type")) == "STRING", F.array(rule("type").cast("string"))),
+                       F.transform(_as(rule("type"), "ARRAY", _LIST), lambda t: t.cast("string")))
+
+    def fits(t: Column) -> Column:
+        out = F.lit(False)
+        for name, pattern in _FITS.items():
+            out = F.when(t == name, shape.rlike(pattern)).otherwise(out)
+        return out
+
+    odd_types = F.array_except(F.coalesce(named, F.array().cast("array<string>")), F.array(*[F.lit(t) for t in _FITS]))
+    text = F.to_json(value)
+    wanted = F.transform(_as(rule("required"), "ARRAY", _LIST), lambda k: k.cast("string"))
+    inner = lambda k: F.concat(F.when(path == "", "").otherwise(F.concat(path, F.lit("."))), k)
+    none = F.array().cast("array<string>")
+    missing = F.transform(F.when(fields.isNotNull(), F.array_except(wanted, F.map_keys(fields))), lambda k: F.concat(F.lit("missing:"), inner(k)))
+    known = F.coalesce(F.map_keys(_as(rule("properties"), "OBJECT", _MAP)), none)
+    closed = F.when(_kind(rule("additionalProperties")) == "BOOLEAN", ~rule("additionalProperties").cast("boolean"))
+    unknown = F.transform(F.when(closed & fields.isNotNull(), F.array_except(F.map_keys(fields), known)), lambda k: F.concat(F.lit("unknown:"), inner(k)))
+    unread = F.transform(F.array_except(F.coalesce(F.map_keys(rules), none), F.array(*[F.lit(k) for k in (*CHECKED, *DESCRIBING)])),
+                         lambda k: F.concat(F.lit("unsupported:"), inner(k)))
+    single = F.array(
+        said("not_allowed", (_kind(schema) == "BOOLEAN") & ~schema.cast("boolean")),
+        said("type", named.isNotNull() & (F.size(odd_types) == 0) & ~F.exists(named, fits)), said("unsupported_type", F.size(odd_types) > 0),
+        said("enum", ~F.exists(_as(rule("enum"), "ARRAY", _LIST), lambda e: F.to_json(e) == text)), said("const", rule("const").isNotNull() & (F.to_json(rule("const")) != text)),
+        said("minimum", number < limit("minimum")), said("maximum", number > limit("maximum")),
+        said("exclusiveMinimum", number <= limit("exclusiveMinimum")), said("exclusiveMaximum", number >= limit("exclusiveMaximum")),
+        said("minLength", length < limit("minLength")), said("maxLength", length > limit("maxLength")),
+        said("minItems", count < limit("minItems")), said("maxItems", count > limit("maxItems")))
+    return F.concat(F.coalesce(missing, none), F.coalesce(unknown, none), F.filter(single, lambda p: p.isNotNull()), unread)
+
+
+def _children(path: Column, value: Column, schema: Column) -> Column:
+    """The values inside one value, each with its own schema node; those without a schema are left out."""
+    rules = _as(schema, "OBJECT", _MAP)
+    rule = lambda name: F.try_element_at(rules, F.lit(name))
+    named, other = _as(rule("properties"), "OBJECT", _MAP), F.when(_kind(rule("additionalProperties")).startswith("OBJECT"), rule("additionalProperties"))
+    inside = F.transform(F.map_entries(_as(value, "OBJECT", _MAP)), lambda e: F.struct(
+        F.concat(F.when(path == "", "").otherwise(F.concat(path, F.lit("."))), e["key"]).alias("path"), e["value"].alias("value"),
+        F.coalesce(F.try_element_at(named, e["key"]), other).alias("schema")))
+    listed = F.transform(_as(value, "ARRAY", _LIST), lambda v, i: F.struct(
+        F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), v.alias("value"), rule("items").alias("schema")))
+    none = F.array().cast(_NODE)
+    return F.filter(F.concat(F.coalesce(inside, none), F.coalesce(listed, none)), lambda n: n["schema"].isNotNull())
+
+
+def _argument_problems(calls: DataFrame) -> DataFrame:
+    """``conv_id, turn, at, bad``: what is wrong with the arguments of calls of declared tools.
+
+    Arguments and schema are walked together, one level of nesting a round; each value is a row.
+    """
+    keys = ["conv_id", "turn", "at"]
+    given = F.try_parse_json("arguments")
+    rows = calls.where("known").select(*keys, given.alias("value"), F.try_parse_json("schema").alias("schema"))
+    objects = F.coalesce(_kind(F.col("value")).startswith("OBJECT"), F.lit(False))
+    found = rows.where(~objects).select(*keys, F.lit("not_an_object").alias("bad"))
+    nodes = cut_lineage(rows.where(objects & F.col("schema").isNotNull()).select(*keys, F.lit("").alias("path"), "value", "schema"))
+    while nodes.take(1):
+        node = (F.col("path"), F.col("value"), F.col("schema"))
+        found = found.unionByName(nodes.select(*keys, F.explode(_node_problems(*node)).alias("bad")))
+        nodes = cut_lineage(nodes.select(*keys, F.explode(_children(*node)).alias("n")).select(*keys, "n.*"))
+    found = found.unionByName(calls.where(~F.coalesce("known", F.lit(False))).select(*keys, F.lit("unknown_tool").alias("bad")))
+    return found.groupBy(*keys).agg(F.sort_array(F.collect_list("bad")).alias("bad"))
 
 
 def _levels(calls: DataFrame) -> DataFrame:
@@ -87,6 +151,11 @@ def format_chat(messages: DataFrame) -> DataFrame:
     quotes in a circle are reported, never dropped. Null text is empty content, null
     role is ``user``, null conv_id or turn are values of their own. Text that only looks
     like JSON is content. No rows give none.
+
+    Arguments are checked against the declared schema on every level: the keywords in CHECKED,
+    with types as names or lists. A keyword that is neither among them nor describes
+    only is reported as ``unsupported`` (a ``pattern`` too: one that isn't a regular
+    expression would end the job).
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     parsed = F.when(text.startswith("{"), F.from_json(text, _SHAPE))
@@ -109,9 +178,9 @@ def format_chat(messages: DataFrame) -> DataFrame:
     first = cut_lineage(first.join(level, ["conv_id", "id"], "left").select("conv_id", "id", F.col("f.turn").alias("c_turn"), F.col("f.at").alias("c_at"), "level"))
     results = tool_rows.where(F.col("doc.tool_call_id").isNotNull()).select("conv_id", F.col("doc.tool_call_id").alias("id"))
     answered = results.distinct().withColumn("answered", F.lit(True))
-    schema = F.from_json(F.col("schema"), _SCHEMA)
     checked = (calls.join(first, ["conv_id", "id"]).join(answered, ["conv_id", "id"], "left")
-               .withColumn("bad", _problems(F.col("arguments"), schema, F.coalesce("known", F.lit(False))))
+               .join(_argument_problems(calls), ["conv_id", "turn", "at"], "left")
+               .withColumn("bad", F.coalesce("bad", F.array().cast("array<string>")))
                .withColumn("bad", F.concat(
                    "bad", F.when((F.col("turn") != F.col("c_turn")) | (F.col("at") != F.col("c_at")), F.array(F.lit("repeated_id"))).otherwise(F.array().cast("array<string>")),
                    F.when(F.col("answered").isNull(), F.array(F.lit("no_result"))).otherwise(F.array().cast("array<string>")),

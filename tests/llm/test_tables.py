@@ -156,6 +156,86 @@ def test_chat_links_orders_and_validates(spark):
     assert chat.op4_chat_format(spark.createDataFrame([], CHAT)).count() == 0
 
 
+KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
+
+
+def plain_check(value, schema, path=""):
+    """Schema problems of a value by plain recursion."""
+    inner = lambda k: f"{path}.{k}" if path else k
+    if isinstance(schema, bool):
+        return [] if schema else [f"not_allowed:{path}"]
+    out = []
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    kinds = schema.get("type", [])
+    kinds = kinds if isinstance(kinds, list) else [kinds]
+    if kinds and not any(isinstance(value, KINDS[k]) and (k not in ("integer", "number") or number) for k in kinds):
+        out.append(f"type:{path}")
+    same = lambda a, b: json.dumps(a, sort_keys=True) == json.dumps(b, sort_keys=True)
+    if "enum" in schema and not any(same(e, value) for e in schema["enum"]):
+        out.append(f"enum:{path}")
+    if "const" in schema and not same(schema["const"], value):
+        out.append(f"const:{path}")
+    bounds = [("minimum", number, lambda a, b: a < b), ("maximum", number, lambda a, b: a > b), ("exclusiveMinimum", number, lambda a, b: a <= b),
+              ("exclusiveMaximum", number, lambda a, b: a >= b), ("minLength", isinstance(value, str), lambda a, b: len(a) < b),
+              ("maxLength", isinstance(value, str), lambda a, b: len(a) > b), ("minItems", isinstance(value, list), lambda a, b: len(a) < b),
+              ("maxItems", isinstance(value, list), lambda a, b: len(a) > b)]
+    out += [f"{k}:{path}" for k, fits, bad in bounds if k in schema and fits and bad(value, schema[k])]
+    out += [f"unsupported:{inner(k)}" for k in schema if k not in (*chat.CHECKED, *chat.DESCRIBING)]
+    if isinstance(value, dict):
+        out += [f"missing:{inner(k)}" for k in schema.get("required", []) if k not in value]
+        for k, v in value.items():
+            other = schema.get("additionalProperties")
+            if k in schema.get("properties", {}):
+                out += plain_check(v, schema["properties"][k], inner(k))
+            elif other is False:
+                out.append(f"unknown:{inner(k)}")
+            elif isinstance(other, dict):
+                out += plain_check(v, other, inner(k))
+    if isinstance(value, list) and "items" in schema:
+        for i, v in enumerate(value):
+            out += plain_check(v, schema["items"], f"{path}[{i}]")
+    return out
+
+
+def random_schema(rng, depth):
+    kind = rng.choice(["string", "integer", "number", "boolean", "array", "object", ["string", "null"], ["integer", "array"]] if depth else ["string", "integer", ["number", "null"]])
+    out = {"type": kind, "description": "x"}
+    more = {"enum": ["a", 1, None, [1], {"b": 2}], "const": "a", "minimum": 2, "maximum": 3.5, "exclusiveMinimum": 1, "exclusiveMaximum": 4, "minLength": 2, "maxLength": 2,
+            "minItems": 1, "maxItems": 2, "pattern": "^a", "anyOf": []}
+    for k in rng.sample(sorted(more), rng.choice([0, 0, 1, 2])):
+        out[k] = more[k]
+    if depth and ("object" in kind or rng.random() < 0.2):
+        out["properties"] = {k: random_schema(rng, depth - 1) if rng.random() < 0.9 else rng.random() < 0.5 for k in rng.sample("abcd", rng.randrange(4))}
+        out["required"] = rng.sample("abcd", rng.randrange(3))
+        if rng.random() < 0.6:
+            out["additionalProperties"] = rng.choice([True, False, random_schema(rng, depth - 1)])
+    if depth and ("array" in kind or rng.random() < 0.2):
+        out["items"] = random_schema(rng, depth - 1)
+    return out
+
+
+def random_value(rng, depth):
+    plain = [None, True, False, "", "a", "abc", 0, 1, 2, 3, 7, 2.5, -1.25]
+    if depth and rng.random() < 0.6:
+        return {k: random_value(rng, depth - 1) for k in rng.sample("abcde", rng.randrange(4))} if rng.random() < 0.6 else [random_value(rng, depth - 1) for _ in range(rng.randrange(4))]
+    return rng.choice(plain)
+
+
+def test_chat_arguments_against_plain_recursion(spark):
+    rng = random.Random(21)
+    rows, want = [], {}
+    for conv in range(120):
+        schema = {**random_schema(rng, 3), "type": "object", "properties": {k: random_schema(rng, 2) for k in "abc"}}
+        given = {k: random_value(rng, 3) for k in rng.sample("abcd", 3)}
+        rows.append((conv, 0, "system", json.dumps({"tools": [{"name": "f", "parameters": json.dumps(schema) if conv % 2 else schema}]})))
+        rows.append((conv, 1, "assistant", json.dumps({"tool_calls": [{"id": "c", "name": "f", "arguments": json.dumps(given) if conv % 3 else given}]})))
+        rows.append((conv, 2, "tool", json.dumps({"tool_call_id": "c", "content": "done"})))
+        want[conv] = sorted(plain_check(given, schema))
+    got = {r["conv_id"]: sorted(p.split(":", 1)[1] for p in r["problems"]) for r in chat.format_chat(spark.createDataFrame(rows, CHAT)).where("turn = 1").collect()}
+    assert got == want and sum(map(len, want.values())) > 200
+    assert any("." in p or "[" in p for ps in want.values() for p in ps)
+
+
 def test_pipeline_stages(spark, make_docs, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
