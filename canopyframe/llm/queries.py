@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from canopyframe.llm import bag_search, byte_bpe, chat, fm_index, kd_shards, ngram_join, pareto_mix, pii, pivot_index, quality, spelling, suffix_dedup, url_filter
+from canopyframe.llm import bag_search, byte_bpe, chat, fm_index, kd_shards, ngram_join, oracles, pareto_mix, pii, pivot_index, quality, spelling, suffix_dedup, url_filter
 from canopyframe.llm.common import table
 
 
@@ -34,4 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_bag_search": lambda spark, d: bag_search.op13_bag_search(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_quality_rules": oracles.quality_sql(quality.BASE.hard, quality.DEFAULT.hard, quality.DEFAULT.soft, quality.DEFAULT.votes),
+    "op11_fm_decontamination": oracles.DECONTAMINATION,
+    "op13_bag_search": oracles.RANKED_SEARCH,
+}
