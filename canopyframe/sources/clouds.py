@@ -12,6 +12,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from canopyframe.sources.files import (BATCH_ROWS, PartWriter, RowRange, box, list_files, merge_boxes, open_read,
@@ -126,7 +127,7 @@ def _line_batches(f):
 
 
 class PcdSource(DataSource):
-    """``spark.read.format("pcd").load(path)``: x, y, z in single precision, optional colour."""
+    """``spark.read.format("pcd").load(path)``: x, y, z in single precision, optional colour; a text file is one task (see ``lines.read_pcd_text``)."""
 
     @classmethod
     def name(cls):
@@ -158,7 +159,7 @@ class LabelReader(DataSourceReader):
 
 
 class LabelSource(DataSource):
-    """One integer per line, aligned with the rows of the cloud of the same name."""
+    """One integer per line, aligned with the rows of the cloud of the same name; a file is one task (see ``lines.read_point_labels``)."""
 
     @classmethod
     def name(cls):
@@ -173,8 +174,9 @@ class LabelSource(DataSource):
 
 def attach_labels(points, labels):
     """Points with their label; raises if a tile has points without label or the reverse."""
-    both = points.join(labels, ["tile_id", "point_idx"], "full_outer")
-    odd = both.where("x is null or label is null").take(1)
+    # both number their rows without gaps, so equal numbers of rows are equal rows
+    ours, theirs = (df.groupBy("tile_id").agg(F.count(F.lit(1)).alias(n)) for df, n in ((points, "_p"), (labels, "_l")))
+    odd = ours.join(theirs, "tile_id", "full_outer").where("_p is null or _l is null or _p <> _l").take(1)
     if odd:
         raise ValueError(f"points and labels differ in number in tile {odd[0]['tile_id']}")
     return points.join(labels, ["tile_id", "point_idx"])

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopyframe.ranking import running_total
+from canopyframe.runtime import broadcast_if_small
+from canopyframe.sources.lines import HEADER_LINES, numbered_lines, stem_of, words_of
 
 INVENTORY_COLUMNS = ("x", "y", "z", "label", "dbh_cm", "basal_area_m2", "height_m", "volume_m3", "observed_height_m",
                      "fit_rms_cm", "arc_deg", "n_points")
@@ -109,10 +111,9 @@ def read_colmap(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
     cam = rows("cameras").select(at(1, "int").alias("camera_id"), F.col("p")[1].alias("model"), at(3, "int").alias("width"),
                                  at(4, "int").alias("height"), *[at(k).alias(n) for k, n in zip(range(5, 9), ("fx", "fy", "cx", "cy"))])
-    whole = spark.read.text(f"{folder}/images.txt", wholetext=True)
-    body = F.filter(F.split("value", "\n"), lambda ln: ~ln.startswith("#"))
-    lines = whole.select(F.posexplode(body).alias("pos", "line")).where("pos % 2 = 0")
-    images = lines.select(F.split(F.trim("line"), r"\s+").alias("p")).where(F.size("p") >= 10).select(
+    # an image has two lines, the second of which may be empty
+    lines = numbered_lines(spark, f"{folder}/images.txt", ~F.col("value").startswith("#")).where("line_no % 2 = 0")
+    images = lines.select(words_of(F.col("value")).alias("p")).where(F.size("p") >= 10).select(
         at(1, "int").alias("image_id"), *[at(k).alias(n) for k, n in zip(range(2, 9), ("ew", "ex", "ey", "ez", "px", "py", "pz"))],
         at(9, "int").alias("camera_id"), F.col("p")[9].alias("name"))
     points = rows("points3D").select(at(1, "bigint").alias("point_idx"), *[at(k).alias(n) for k, n in zip(range(2, 5), "xyz")],
@@ -137,18 +138,18 @@ def write_colmap(folder: str, cameras: DataFrame, images: DataFrame, points: Dat
 
 
 def read_ascii_grid(spark: SparkSession, path: str, nodata_below: float = -9990.0) -> DataFrame:
-    """Raster text files to ``grid_id, row, col, x, y, value``; x and y are cell centres, nodata is null."""
-    doc = spark.read.text(path, wholetext=True).select(
-        file_key(r"^(.*?)(?:\.[^.]*)?$").alias("grid_id"), F.filter(F.split("value", r"\r?\n"), lambda ln: F.trim(ln) != "").alias("lines"))
-
-    def head(name):
-        hit = F.filter("lines", lambda ln: F.lower(ln).startswith(name))
-        return F.try_element_at(F.split(F.trim(F.try_element_at(hit, F.lit(1))), r"\s+"), F.lit(2)).try_cast("double")
-
-    doc = doc.select("grid_id", "lines", *[head(n).alias(f"_{n}") for n in ("nrows", "xllcorner", "yllcorner", "cellsize")])
-    body = F.filter("lines", lambda ln: ~F.lower(ln).rlike("^[a-z]"))
-    rows = doc.select("*", F.posexplode(body).alias("row", "line")).drop("lines")
-    cells = rows.select("*", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "text"))
+    """Raster text files to ``grid_id, row, col, x, y, value``; x and y are cell centres, nodata is null.
+
+    Lines are split over tasks; a raster has one line per row behind its header.
+    """
+    lines = numbered_lines(spark, path, F.trim("value") != "")
+    named = F.lower("value").rlike("^[a-z]")
+    top = lines.where((F.col("line_no") < HEADER_LINES) & named).withColumn("p", words_of(F.lower("value")))
+    heads = top.groupBy("file").agg((F.max("line_no") + 1).alias("_body"), *[
+        F.max(F.when(F.col("p")[0] == n, F.col("p")[1].try_cast("double"))).alias(f"_{n}") for n in ("nrows", "xllcorner", "yllcorner", "cellsize")])
+    rows = lines.where(~named).join(broadcast_if_small(heads), "file").select(
+        stem_of(F.col("file")).alias("grid_id"), (F.col("line_no") - F.col("_body")).cast("int").alias("row"), "value", "_nrows", "_xllcorner", "_yllcorner", "_cellsize")
+    cells = rows.select("*", F.posexplode(words_of(F.col("value"))).alias("col", "text"))
     value = F.col("text").try_cast("double")
     return cells.select("grid_id", "row", "col", (F.col("_xllcorner") + (F.col("col") + 0.5) * F.col("_cellsize")).alias("x"),
                         (F.col("_yllcorner") + (F.col("_nrows") - F.col("row") - 0.5) * F.col("_cellsize")).alias("y"),
