@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyframe.ranking import percentiles_by
-from canopyframe.runtime import BROADCAST_LIMIT, cut_lineage, fits_one_task, salted_join
+from canopyframe.runtime import BROADCAST_LIMIT, broadcast_if_small, cut_lineage, fits_one_task, salted_join
 from canopyframe.spatial import cell, range_join, spread, with_cells
 
 GROUND_KEYS = ["tile_id", "gx", "gy"]
@@ -95,27 +95,71 @@ def tree_height(points: DataFrame, stems: DataFrame, radius: float = 1.5,
     return stems.join(tops, "stem_id", "left")
 
 
+#: Stems that a cell and its neighbours may hold to travel in one row.
+PACK = 256
+
+
 def nearest_stem(points: DataFrame, stems: DataFrame, max_radius: float = 4.0,
-                 min_hag: float = 0.4) -> DataFrame:
+                 min_hag: float = 0.4, pack: int = PACK) -> DataFrame:
     """Label each point above ground with its nearest stem if that lies within its crown.
 
     The nearest stem is chosen first and tested against ``min(crown_radius_m,
     max_radius)`` afterwards; ties go to the lowest stem. Output ``label`` is
     null for ground points and points out of reach.
+
+    The stems in reach of a cell are packed into one row, so a point meets one row and is
+    never regrouped. Only points of cells with more than ``pack`` of them meet stem rows one by one.
     """
-    names = ("_gx", "_gy")
-    side = spread(with_cells(stems.select("tile_id", F.col("x").alias("_sx"), F.col("y").alias("_sy"),
-                                          "stem_id", "crown_radius_m"),
-                             max_radius, "_sx", "_sy", names), names)
-    keyed = with_cells(points, max_radius, names=names)
+    columns = points.columns
+    live = F.col("hag") > min_hag
+    side = stems.select("tile_id", F.col("x").alias("_sx"), F.col("y").alias("_sy"), "stem_id", "crown_radius_m")
+    packed, crowded = _packed_cells(side, max_radius, pack)
+    keyed = with_cells(points, max_radius, names=("_gx", "_gy"))
     # ground points stay in the result but match no cell
-    keyed = keyed.withColumn("_gx", F.when(F.col("hag") > min_hag, F.col("_gx")))
-    joined = salted_join(keyed, side, ["tile_id", *names], "left")
-    dist = F.hypot(F.col("x") - F.col("_sx"), F.col("y") - F.col("_sy"))
-    best = joined.groupBy("tile_id", "point_idx", "x", "y", "z", "hag").agg(
-        F.min(F.when(dist.isNotNull(), F.struct(dist.alias("d"), F.col("stem_id").alias("s"),
-                                                F.col("crown_radius_m").alias("c")))).alias("_near"))
+    keyed = keyed.withColumn("_gx", F.when(live, F.col("_gx")))
+    out = _attach_stems(keyed, packed, ["tile_id", "_gx", "_gy"])
+    best = F.array_min(_distances())
+    out = out.withColumn("_near", best)
+    if crowded is not None:
+        out = _nearest_in_crowds(out, crowded)
     ok = F.col("_near.d") <= F.least(F.col("_near.c"), F.lit(float(max_radius)))
-    return best.withColumn("label", F.when(ok, F.col("_near.s"))).drop("_near")
+    return out.select(*[c for c in columns if c in ("tile_id", "point_idx", "x", "y", "z", "hag")], F.when(ok, F.col("_near.s")).alias("label"))
+
+
+def _packed_cells(side: DataFrame, size: float, pack: int) -> tuple[DataFrame, DataFrame | None]:
+    """``tile_id, _gx, _gy, _stems`` of cells whose neighbourhood holds at most ``pack`` stems, and the stems around all others."""
+    names = ("_gx", "_gy")
+    near = spread(with_cells(side, size, "_sx", "_sy", names), names)
+    keys = ["tile_id", *names]
+    sizes = cut_lineage(near.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > pack).select(*keys))
+    if not sizes.take(1):
+        return _pack(near, keys), None
+    return _pack(salted_join(near, sizes, keys, "left_anti"), keys), cut_lineage(salted_join(near, sizes, keys, "left_semi"))
 
 
+def _pack(near: DataFrame, keys: list[str]) -> DataFrame:
+    return near.groupBy(*keys).agg(F.collect_list(F.struct("_sx", "_sy", "stem_id", "crown_radius_m")).alias("_stems"))
+
+
+def _attach_stems(keyed: DataFrame, packed: DataFrame, keys: list[str]) -> DataFrame:
+    packed = cut_lineage(packed)
+    # a row is at most PACK stems, so the number of stems bounds what is sent
+    held = packed.agg(F.sum(F.size("_stems")).alias("n")).first()["n"] or 0
+    return keyed.join(F.broadcast(packed), keys, "left") if held <= BROADCAST_LIMIT else salted_join(keyed, packed, keys, "left")
+
+
+def _distances() -> Column:
+    return F.transform("_stems", lambda s: F.struct(F.hypot(F.col("x") - s["_sx"], F.col("y") - s["_sy"]).alias("d"), s["stem_id"].alias("s"), s["crown_radius_m"].alias("c")))
+
+
+def _nearest_in_crowds(out: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Nearest stems of the points in crowded cells: every stem and point meet, grouped by point; other rows stay as they are."""
+    keys = ["tile_id", "_gx", "_gy"]
+    cells = crowded.select(*keys).distinct().withColumn("_crowd", F.lit(True))
+    marked = salted_join(out, broadcast_if_small(cells), keys, "left")
+    dist = F.hypot(F.col("x") - F.col("_sx"), F.col("y") - F.col("_sy"))
+    inside = marked.where("_crowd").select("tile_id", "point_idx", "x", "y", "z", "hag", "_gx", "_gy")
+    met = salted_join(inside, crowded, keys)
+    best = met.groupBy("tile_id", "point_idx", "x", "y", "z", "hag").agg(
+        F.min(F.struct(dist.alias("d"), F.col("stem_id").alias("s"), F.col("crown_radius_m").alias("c"))).alias("_near"))
+    return marked.where(F.col("_crowd").isNull()).select(*best.columns).unionByName(best)

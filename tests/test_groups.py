@@ -2,11 +2,12 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from canopyframe.operators import sampling, selection, structure
+from canopyframe.operators import ground, sampling, selection, structure
 from canopyframe.operators.colour import recolour_segments
 from canopyframe.operators.learning import habitat_types
 from canopyframe.operators.scenes import typed_attributes
@@ -105,3 +106,18 @@ def test_attributes_keep_their_kind(spark):
     row = spark.createDataFrame([({"n": "12.50", "t": 'a "b"\n', "inf": "inf", "nan": "nan", "none": "", "e": "1e3"},)], "a map<string,string>")
     got = json.loads(row.select(F.to_json(F.struct(typed_attributes(F.col("a")).alias("a")))).first()[0])["a"]
     assert got == {"n": 12.5, "t": 'a "b"\n', "inf": "inf", "nan": "nan", "e": 1000.0}
+
+
+@pytest.mark.parametrize("pack", [256, 3])
+def test_nearest_stem_in_crowds(spark, pack):
+    rng = random.Random(5)
+    stems = [(t, i, round(rng.gauss(5, 1 if i % 2 else 6), 2), round(rng.gauss(5, 1 if i % 2 else 6), 2), rng.uniform(0.5, 5)) for t in ("a", "b") for i in range(40)]
+    stems += [("a", 900 + i, 5.0, 5.0, 1.0) for i in range(8)]  # at one place: ties go to the lowest
+    points = [(t, i, round(rng.uniform(-8, 18), 2), round(rng.uniform(-8, 18), 2), 1.0, rng.choice([0.2, 0.4, 0.5, 3.0])) for t in ("a", "b", "c") for i in range(300)]
+    got = ground.nearest_stem(spark.createDataFrame(points, "tile_id string, point_idx bigint, x double, y double, z double, hag double"),
+                              spark.createDataFrame(stems, "tile_id string, stem_id bigint, x double, y double, crown_radius_m double"), pack=pack).collect()
+    want = {}
+    for t, i, x, y, _, hag in points:
+        best = min(((math.hypot(x - sx, y - sy), s, c) for tile, s, sx, sy, c in stems if tile == t), default=None)
+        want[(t, i)] = best[1] if hag > 0.4 and best and best[0] <= min(best[2], 4.0) else None
+    assert {(r.tile_id, r.point_idx): r.label for r in got} == want and len(got) == 900
