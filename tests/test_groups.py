@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from canopyframe.operators import ground, sampling, selection, structure
 from canopyframe.operators.colour import recolour_segments
+from canopyframe.operators.hulls import max_pair_distance
 from canopyframe.operators.learning import habitat_types
 from canopyframe.operators.scenes import typed_attributes
 from canopyframe.operators.selection import match_within
@@ -121,3 +122,15 @@ def test_nearest_stem_in_crowds(spark, pack):
         best = min(((math.hypot(x - sx, y - sy), s, c) for tile, s, sx, sy, c in stems if tile == t), default=None)
         want[(t, i)] = best[1] if hag > 0.4 and best and best[0] <= min(best[2], 4.0) else None
     assert {(r.tile_id, r.point_idx): r.label for r in got} == want and len(got) == 900
+
+
+def test_farthest_pair_of_awkward_groups(spark):
+    rng = random.Random(7)
+    groups = {"cloud": [(rng.gauss(0, 5), rng.gauss(9, 1)) for _ in range(800)], "circle": [(1e4 + math.cos(i / 50 * math.pi), math.sin(i / 50 * math.pi)) for i in range(101)],
+              "line": [(i * 0.1, i * 0.3) for i in range(60)], "one": [(3.0, 4.0)] * 5, "two": [(0.0, 0.0), (0.0, 1e-9)], "square": [(i % 10, i // 10) for i in range(100)],
+              "far": [(1e7 + rng.random(), -1e7 + rng.random()) for _ in range(200)], "none": [(None, 1.0), (math.nan, 2.0), (math.inf, 0.0)]}
+    rows = [(g, x, y) for g, places in groups.items() for x, y in [(None if x is None else float(x), float(y)) for x, y in places]]
+    got = {r.g: r.span_m for r in max_pair_distance(spark.createDataFrame(rows, "g string, x double, y double"), ["g"]).collect()}
+    assert got.pop("none") is None and got.keys() == groups.keys() - {"none"}
+    for g, span in got.items():
+        assert span == pytest.approx(max(math.hypot(a[0] - b[0], a[1] - b[1]) for a in groups[g] for b in groups[g]), rel=1e-12)
