@@ -246,6 +246,13 @@ def coverage(image: DataFrame, keys: list[str], width: int, height: int) -> Data
     return image.groupBy(*keys).agg((F.count(F.lit(1)) * 100.0 / (width * height)).alias("coverage_pct"))
 
 
+def assignment_share(points: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
+    """Per group the points, those with a tree, their share in percent and the number of different trees hit."""
+    hit = F.coalesce(F.col(label) > 0, F.lit(False))
+    return points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"), F.count_if(hit).alias("n_assigned"), (F.avg(hit.cast("double")) * 100).alias("share_pct"),
+                                     F.countDistinct(F.when(hit, F.col(label))).alias("trees_hit"))
+
+
 def zbuffer_render(points: DataFrame, cameras: DataFrame, splat: int = 5) -> DataFrame:
     """Rendered image per camera: each point covers splat x splat pixels, the nearest wins."""
     rad = splat // 2

@@ -43,6 +43,8 @@ CARRIERS = {
           cast(floor(abs({elt7})*1000) as int) % 256 as g,
           cast(floor(abs({elt13})*1000) as int) % 256 as b
         from embeddings cross join range(64) as t(i)""",
+    "image_labels": """
+        select vec_id as image_id, label % 3 as class_no from embeddings""",
     "trees": """
         select c_custkey as tree_id, c_nationkey as stand_id, c_mktsegment as species_name,
           2.0e0*(c_custkey % 40) as x, 2.0e0*floor(c_custkey/40.0e0) as y,

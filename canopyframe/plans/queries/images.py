@@ -181,9 +181,10 @@ SEG_SQL = """seg as (select *, floor((0.299e0*r + 0.587e0*g + 0.114e0*b) + 0.5e0
   hsv as (select *, case when mx = mn then 0e0 else (case when mx = r then ((g-b)*60e0/(mx-mn) + case when g < b then 360 else 0 end)
       when mx = g then (b-r)*60e0/(mx-mn) + 120 else (r-g)*60e0/(mx-mn) + 240 end)/2 end as hue,
     case when mx = 0 then 0e0 else (mx-mn)*255e0/mx end as sat, (r+g+b)/3e0 as bright, r + g + b + 1e-6 as s from ins),
-  st as (select image_id, avg(r) as r_mean, stddev_pop(r) as r_std, avg(hue) as hue_mean, stddev_pop(hue) as hue_std, avg(sat) as sat_mean,
-    avg(mx) as val_mean, quantile_cont(bright, 0.1e0) as bright_p10, quantile_cont(bright, 0.9e0) as bright_p90, avg(g/s) as g_share,
-    avg(r/(g+1e-6)) as rg_ratio, count(*) as n_pixels, min(row) as y0, max(row) as y1, min(col) as x0, max(col) as x1
+  st as (select image_id, avg(r) as r_mean, stddev_pop(r) as r_std, avg(g) as g_mean, stddev_pop(g) as g_std, avg(b) as b_mean, stddev_pop(b) as b_std,
+    avg(hue) as hue_mean, stddev_pop(hue) as hue_std, avg(sat) as sat_mean, stddev_pop(sat) as sat_std, avg(mx) as val_mean, stddev_pop(mx) as val_std,
+    quantile_cont(bright, 0.1e0) as bright_p10, quantile_cont(bright, 0.5e0) as bright_p50, quantile_cont(bright, 0.9e0) as bright_p90,
+    avg(r/s) as r_share, avg(g/s) as g_share, avg(b/s) as b_share, avg(r/(g+1e-6)) as rg_ratio, avg(b/(g+1e-6)) as bg_ratio, count(*) as n_pixels, min(row) as y0, max(row) as y1, min(col) as x0, max(col) as x1
     from hsv group by 1 having count(*) >= 20),
   k as (select * from (values (-1,-1,-1,-1), (-1,0,0,-2), (-1,1,1,-1), (0,-1,-2,0), (0,1,2,0), (1,-1,-1,1), (1,0,0,2), (1,1,1,1)) as t(dy,dx,wx,wy)),
   w as (select i.image_id, i.row as r0, i.col as c0, wx, wy, y0, y1, x0, x1,
@@ -196,8 +197,11 @@ SEG_SQL = """seg as (select *, floor((0.299e0*r + 0.587e0*g + 0.114e0*b) + 0.5e0
     avg(case when mag > gm then 1e0 else 0e0 end) as edge_share from m group by 1)"""
 
 
-@register("segment_features", "image_id:i r_mean:5 r_std:5 hue_mean:5 hue_std:5 sat_mean:5 val_mean:5 bright_p10:5 bright_p90:5 g_share:6 "
-          "rg_ratio:3 n_pixels:i grad_mean:5 grad_std:5 grad_xy_ratio:5 edge_share:6",
+#: Ratios of channels may be near a million where the other channel is 0.
+_DIGITS = {"rg_ratio": 2, "bg_ratio": 2}
+
+
+@register("segment_features", "image_id:i n_pixels:i " + " ".join(f"{n}:{_DIGITS.get(n, 5)}" for n in px.FEATURE_NAMES),
           f"with {SEG_SQL} select st.*, e.grad_mean, e.grad_std, e.grad_xy_ratio, e.edge_share from st join e using (image_id)", "pixels")
 def _(src):
     return px.segment_features(src("pixels"), ["image_id"], (F.col("r") + F.col("g")) % 5 > 0)
@@ -377,6 +381,14 @@ def _(src):
     return cam.coverage(cam.pano_blend(_blend_cameras(src), _tiles(src, False), 32, 8, 8, side=_SIDE), ["pano_id"], 32, 16)
 
 
+@register("assignment_share", "class:i n_points:i n_assigned:i share_pct:6 trees_hit:i",
+          """with l as (select class, case when point_idx % 3 > 0 then label end as label from points)
+             select class, count(*) as n_points, count(label) as n_assigned, 100*avg(case when label is null then 0e0 else 1e0 end) as share_pct,
+               count(distinct label) as trees_hit from l group by 1""", "points")
+def _(src):
+    return cam.assignment_share(src("points").withColumn("label", F.when(F.col("point_idx") % 3 > 0, F.col("label"))), ["class"])
+
+
 @register("zbuffer_render", "camera_id:i row:i col:i r:i g:i b:i",
           "with t as (select tree_id as point_idx, tree_id % 256 as r, tree_id % 251 as g, tree_id % 241 as b, x*0.2e0 + 0.0137e0 as x, y*0.2e0 + 0.0071e0 as y, 1.3e0 as z from trees), "
           + VIEW.format(points="t", depth="1e-3", margin="0e0")

@@ -566,10 +566,15 @@ def _(src):
     return top_n(cyl.splat_clean(src("splats")), "opacity", 500, "splat_id")
 
 
-@register("splat_encode", "splat_id:i f_dc_0:8 scale_0:8",
-          "select point_idx as splat_id, (r/255e0 - 0.5e0)/0.28209479177387814e0 as f_dc_0, ln(0.03e0) as scale_0 from points", "points")
+_ENCODED = ("x", "y", "z", "nx", "ny", "nz", "f_dc_0", "f_dc_1", "f_dc_2", "opacity", "scale_0", "scale_1", "scale_2", "rot_0", "rot_1", "rot_2", "rot_3")
+
+
+@register("splat_encode", "splat_id:i " + " ".join(f"{c}:8" for c in _ENCODED),
+          """select point_idx as splat_id, x, y, z, 0e0 as nx, 0e0 as ny, 0e0 as nz, (r/255e0 - 0.5e0)/0.28209479177387814e0 as f_dc_0,
+               (g/255e0 - 0.5e0)/0.28209479177387814e0 as f_dc_1, (b/255e0 - 0.5e0)/0.28209479177387814e0 as f_dc_2, 8e0 as opacity,
+               ln(0.03e0) as scale_0, ln(0.03e0) as scale_1, ln(0.03e0) as scale_2, 1e0 as rot_0, 0e0 as rot_1, 0e0 as rot_2, 0e0 as rot_3 from points""", "points")
 def _(src):
-    return cyl.points_to_splats(src("points"), keep=("point_idx",)).select(F.col("point_idx").alias("splat_id"), "f_dc_0", "scale_0")
+    return cyl.points_to_splats(src("points"), keep=("point_idx",)).withColumnRenamed("point_idx", "splat_id")
 
 
 @register("splat_frame", "lo_x:5 hi_x:5 focus_x:5 lo_y:5 hi_y:5 focus_y:5 lo_z:5 hi_z:5 focus_z:5",
@@ -639,12 +644,16 @@ def _(src):
 
 @register("species_forest", "image_id:i species species_conf:6")
 def _(src):
-    feats = px.segment_features(src("pixels"), ["image_id"])
-    bright = F.when(F.col("r_mean") > F.col("g_mean"), "spruce").when(F.col("g_mean") > F.col("b_mean"), "pine").otherwise("birch")
-    rows = learning.group_split(feats.withColumn("label", bright), "image_id")
+    return learning.cross_species(_labelled_images(src), px.FEATURE_NAMES, "label", "image_id")
+
+
+def _labelled_images(src):
+    """Figures of each image with a label that comes from another column than the pixels, and its fold."""
     from canopyframe.runtime import cut_lineage
-    rows = cut_lineage(rows)
-    return learning.cross_species(rows, px.FEATURE_NAMES, "label", "image_id")
+    feats = px.segment_features(src("pixels"), ["image_id"])
+    names = F.array(F.lit("spruce"), F.lit("pine"), F.lit("birch"))
+    labels = src("image_labels").select("image_id", F.element_at(names, F.col("class_no") + 1).alias("label"))
+    return cut_lineage(learning.group_split(feats.join(labels, "image_id"), "image_id"))
 
 
 @register("habitat_types", "seg_id:i habitat_type:i")
