@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 
 from canopyframe.llm.common import binary_batches
 
-#: Pieces whose ids a worker remembers; older ones are encoded again.
-REMEMBERED = 400_000
+#: Pieces whose ids a worker remembers at most, in two generations, and characters of the longest of them.
+REMEMBERED, LONGEST = 800_000, 64
+#: Pairs of tokens of which a worker remembers whether they may meet.
+PAIRS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -87,9 +91,17 @@ class Vocabulary:
         return out[::-1]
 
     def edit(self, piece: bytes, last: list[int], start: int, end: int, new: bytes) -> tuple[bytes, list[int]]:
-        """Replace ``piece[start:end]``: prefixes before ``start`` keep their tokens."""
-        changed = piece[:start] + new + piece[end:]
-        return changed, self.extend(changed, last[:start])
+        """Replace ``piece[start:end]``: prefixes before ``start`` keep their tokens, and so do those behind
+        the edit once as many neighbours as a token can span have their old ones again."""
+        changed, shift = piece[:start] + new + piece[end:], start + len(new) - end
+        out, agree = last[:start], 0
+        while len(out) < len(changed):
+            self.extend(changed[:len(out) + 1], out)
+            old = len(out) - 1 - shift
+            agree = agree + 1 if old >= end and out[-1] == last[old] else 0
+            if agree == self.longest:
+                out += last[old + 1:]
+        return changed, out
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -123,22 +135,62 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Texts to ids and back; remembers the ids of pieces it has seen."""
+    """Texts to ids and back; remembers the ids of pieces it has seen.
+
+    Pieces live in two generations: a full young one becomes the old one, and a
+    piece found there is young again, so frequent pieces are never forgotten.
+    """
 
     def __init__(self, known: Vocabulary, pattern: str):
-        self.known, self.pattern, self.seen = known, regex.compile(pattern), {}
+        self.known, self.pattern, self.young, self.old, self.met = known, regex.compile(pattern), {}, {}, {}
+        # finds the tokens that end at each place, longest first; a byte is the character of its number
+        self.endings = ahocorasick.Automaton()
+        for token, rank in known.ranks.items():
+            self.endings.add_word(token.decode("latin-1"), (rank, len(token)))
+        self.endings.make_automaton()
+
+    def _find(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            if len(self.met) > PAIRS:
+                self.met.clear()
+            found = array("I", self._encode_piece(piece.encode())).tobytes()
+        if len(piece) <= LONGEST:
+            if len(self.young) >= REMEMBERED // 2:
+                self.young, self.old = {}, self.young
+            self.young[piece] = found
+        return found
+
+    def _encode_piece(self, piece: bytes) -> list[int]:
+        """As ``Vocabulary.encode_piece``, with the tokens that end at a place from the automaton."""
+        known, met = self.known, self.met
+        whole = known.ranks.get(piece)
+        if whole is not None:
+            return [whole]
+        last: list[int] = []
+        done = 0
+        for end, (token, size) in self.endings.iter(piece.decode("latin-1")):
+            if end < done:
+                continue
+            if end + 1 > size:
+                before = last[end - size]
+                fits = met.get(before << 24 | token)
+                if fits is None:
+                    fits = met[before << 24 | token] = known.may_meet(before, token)
+                if not fits:
+                    continue
+            last.append(token)
+            done += 1
+        return known.ids(last)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        out, seen = [], self.seen
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        for piece in self.pattern.findall(text):
-            found = seen.get(piece)
-            if found is None:
-                found = np.array(self.known.encode_piece(piece.encode()), "<u4").tobytes()
-                seen[piece] = found
-            out.append(found)
+        pieces = self.pattern.findall(text)
+        out = list(map(self.young.get, pieces))
+        if None in out:
+            for i, (piece, found) in enumerate(zip(pieces, out)):
+                if found is None:
+                    out[i] = self.young.get(piece) or self._find(piece)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:

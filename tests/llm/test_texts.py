@@ -135,6 +135,31 @@ def test_bpe_appends_and_edits():
         at = rng.randrange(len(piece))
         changed, new = known.edit(piece, list(last), at, at + 1, b"ing")
         assert new == known.extend(changed, [])
+    long = bytes(rng.choice(b"theinrgs o") for _ in range(3000))
+    last = known.extend(long, [])
+    for at, end, new in ((0, 0, b"x"), (1500, 1510, b""), (700, 701, b"ing the"), (2990, 3000, b"s"), (10, 2990, b"")):
+        changed, got = known.edit(long, list(last), at, end, new)
+        assert got == known.extend(changed, [])
+
+
+def test_bpe_edit_ends_where_tokens_agree(monkeypatch):
+    known = byte_bpe.vocabulary(byte_bpe.read_ranks(RANKS))
+    rng = random.Random(3)
+    long = bytes(rng.choice(b"theinrgs o") for _ in range(5000))
+    last, steps = known.extend(long, []), []
+    plain = byte_bpe.Vocabulary.extend
+    monkeypatch.setattr(byte_bpe.Vocabulary, "extend", lambda self, piece, last: steps.append(1) or plain(self, piece, last))
+    assert known.edit(long, list(last), 100, 101, b"q")[1] == plain(known, long[:100] + b"q" + long[101:], [])
+    assert len(steps) < 1000
+
+
+def test_bpe_of_pieces_equals_plain_prefixes():
+    known = byte_bpe.vocabulary(byte_bpe.read_ranks(RANKS))
+    coder = byte_bpe.Encoder(known, public_tokenizers.PATTERN)
+    rng = random.Random(4)
+    for _ in range(2000):
+        piece = bytes(rng.choice(b"abcdetheinrgs \xc3\xa9\x00\xff") for _ in range(rng.randrange(1, 40)))
+        assert coder._encode_piece(piece) == known.encode_piece(piece)
 
 
 # --- n-gram join
