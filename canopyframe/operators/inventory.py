@@ -39,6 +39,8 @@ class InventoryParams:
     ground_fallback: bool = True
     suppress_dist: float = 0.6
     form_factor: float = 0.5
+    #: Publish rounded values, and compare places and residuals as published when stems are suppressed.
+    rounded: bool = False
 
 
 #: One stationary scan.
@@ -122,6 +124,15 @@ def label_trees(trees: DataFrame, keys: list[str], order: list[Column], prefix:
     return numbered.withColumn(name, F.concat(F.lit(prefix), padded)).drop("_no")
 
 
+#: Decimal places of published tree values.
+PLACES = {"x": 3, "y": 3, "z": 3, "dbh_cm": 1, "basal_area_m2": 4, "height_m": 1, "observed_height_m": 1, "volume_m3": 3, "slenderness": 1, "fit_rms_cm": 1}
+
+
+def round_tree_values(trees: DataFrame) -> DataFrame:
+    """Tree values as they are published; stand figures of the result are those of the published list."""
+    return trees.withColumns({c: F.round(c, n) for c, n in PLACES.items() if c in trees.columns})
+
+
 def detect_stems(points: DataFrame, p: InventoryParams = SINGLE_SCAN) -> DataFrame:
     """Stems of a cloud with attributes, before labelling.
 
@@ -135,6 +146,8 @@ def detect_stems(points: DataFrame, p: InventoryParams = SINGLE_SCAN) -> DataFra
     stems = stems.withColumnRenamed("fit_x", "x").withColumnRenamed("fit_y", "y")
     stems = stem_ground(stems, ground, p.ground_cell, "cluster_ground" if p.ground_fallback else None)
     stems = cut_lineage(stems.withColumn("stem_id", F.struct("tile_id", "comp_x", "comp_y")))
+    if p.rounded:
+        stems = cut_lineage(stems.withColumns({"x": F.round("x", 3), "y": F.round("y", 3), "fit_rms_m": F.round("fit_rms_m", 3)}))
     kept = suppress_near(stems, p.suppress_dist,
                          [-F.col("n_points"), F.col("fit_rms_m"), F.col("comp_x"), F.col("comp_y")], ("tile_id",))
     return tree_attributes(tree_height(points, cut_lineage(kept)), p)
@@ -144,11 +157,14 @@ def stem_inventory(points: DataFrame, p: InventoryParams = SINGLE_SCAN, prefix:
                    digits: int = 2) -> DataFrame:
     """Raw points to the labelled stem table of each tile, thickest stem first."""
     stems = detect_stems(points, p)
+    if p.rounded:
+        stems = round_tree_values(stems)
     labelled = label_trees(stems, ["tile_id"], [F.col("dbh_cm").desc(), F.col("comp_x"), F.col("comp_y")],
                            prefix, digits)
-    return labelled.select("tile_id", "label", "x", "y", (F.col("ground") + 1.3).alias("z"), "dbh_cm",
-                           "basal_area_m2", "height_m", "volume_m3", "observed_height_m", "slenderness",
-                           (F.col("fit_rms_m") * 100).alias("fit_rms_cm"), "arc_deg", "n_points")
+    out = labelled.select("tile_id", "label", "x", "y", (F.col("ground") + 1.3).alias("z"), "dbh_cm",
+                          "basal_area_m2", "height_m", "volume_m3", "observed_height_m", "slenderness",
+                          (F.col("fit_rms_m") * 100).alias("fit_rms_cm"), "arc_deg", "n_points")
+    return round_tree_values(out) if p.rounded else out
 
 
 def stand_summary(trees: DataFrame, area_ha: float, keys: list[str]) -> DataFrame:

@@ -15,7 +15,9 @@ from canopyframe.plans.catalog import register
 
 
 def _chm(src):
-    return src("cells").select(F.lit("c0").alias("tile_id"), F.col("cx").alias("ix"), F.col("cy").alias("iy"), F.col("value").alias("height"))
+    cells = src("cells")
+    tile = F.col("tile_id") if "tile_id" in cells.columns else F.lit("c0").alias("tile_id")
+    return cells.select(tile, F.col("cx").alias("ix"), F.col("cy").alias("iy"), F.col("value").alias("height"))
 
 
 def components_sql(name: str, nodes: str) -> str:

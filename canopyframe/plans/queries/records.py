@@ -398,6 +398,19 @@ def _(src):
     return out.withColumn("distance_m", F.col("attributes")["distance_m"].cast("double")).withColumn("n_attributes", F.size("attributes"))
 
 
+@register("typed_attributes", "scene_id marker_id dbh_cm:3 height_m:4 note grade n_numbers:i",
+          """select scene_id, concat('t', lpad(cast(pos as varchar), 3, '0')) as marker_id, dbh_cm, height_m, case when pos % 2 = 0 then 'ok "x"' end as note,
+               '1e' as grade, 2 + case when height_m is null then 0 else 1 end as n_numbers from markers""", "markers")
+def _(src):
+    rows = src("markers").select("scene_id", F.col("pos").alias("row_no"), (F.col("dx") + 10).alias("x"), (F.col("dy") + 20).alias("y"),
+                                 (F.col("dz") + 30).alias("z"), "dbh_cm", "height_m", F.when(F.col("pos") % 2 == 0, 'ok "x"').alias("note"), F.lit("1e").alias("grade"))
+    typed = scenes.to_markers(rows, (F.lit(10.0), F.lit(20.0), F.lit(30.0)), ["scene_id"]).withColumn("a", scenes.typed_attributes(F.col("attributes")))
+    kinds = F.transform(F.map_values(F.col("a").cast("map<string,variant>")), lambda v: F.schema_of_variant(v))
+    return typed.select("scene_id", "marker_id", *[F.try_variant_get("a", f"$.{n}", "double").alias(n) for n in ("dbh_cm", "height_m")],
+                        *[F.try_variant_get("a", f"$.{n}", "string").alias(n) for n in ("note", "grade")],
+                        F.size(F.filter(kinds, lambda k: k != "STRING")).alias("n_numbers"))
+
+
 @register("check_markers", "scene_id n_valid:i n_rejected:i",
           """select scene_id, count(height_m) as n_valid, count(*) - count(height_m) as n_rejected from markers group by 1""", "markers")
 def _(src):

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 from canopyframe.operators import ground, sampling, selection, structure
 from canopyframe.operators.colour import recolour_segments
 from canopyframe.operators.hulls import max_pair_distance
+from canopyframe.operators.inventory import PLACES, SINGLE_SCAN, stand_summary, stem_inventory
 from canopyframe.operators.learning import habitat_types
 from canopyframe.operators.scenes import typed_attributes
 from canopyframe.operators.selection import match_within
 from canopyframe.operators.structure import zonal_mean
+from canopyframe.plans.carriers import carrier
 from canopyframe.ranking import percentiles_by
 from canopyframe.sources.clouds import register_sources
 
@@ -134,3 +137,18 @@ def test_farthest_pair_of_awkward_groups(spark):
     assert got.pop("none") is None and got.keys() == groups.keys() - {"none"}
     for g, span in got.items():
         assert span == pytest.approx(max(math.hypot(a[0] - b[0], a[1] - b[1]) for a in groups[g] for b in groups[g]), rel=1e-12)
+
+
+def test_published_values_are_rounded(spark, sf_dir):
+    points = carrier(spark, sf_dir, "points")
+    plain = stem_inventory(points, SINGLE_SCAN).collect()
+    got = stem_inventory(points, replace(SINGLE_SCAN, rounded=True))
+    rows = {r.label: r for r in got.collect()}
+    assert len(rows) == len(plain) == 10
+    for r in plain:
+        near = min(rows.values(), key=lambda o: math.hypot(o.x - r.x, o.y - r.y))
+        for name, digits in PLACES.items():
+            value = getattr(near, name)
+            assert value is None or (value == round(value, digits) and abs(value - getattr(r, name)) <= 0.5001 * 10 ** -digits)
+    stand = stand_summary(got.withColumn("stand", F.lit(1)), 0.25, ["stand"]).first()
+    assert stand.basal_area_m2 == pytest.approx(sum(r.basal_area_m2 for r in rows.values()), abs=1e-12)
