@@ -1,7 +1,9 @@
 """Carrier views: the driver tables shaped like clouds, rasters, images and manifests.
 
-One SQL text per carrier serves Spark and the DuckDB oracle. ``{elt(e,i)}`` is
-the zero-based list access, the only place where the two dialects differ.
+One SQL text per carrier serves Spark and the DuckDB oracle. The dialects differ in
+two places: ``{elt}`` is the zero-based list access, and ``{mille}`` is 1000 in the
+single precision of the list (Spark takes a float times an integer as a double, which
+puts a value next to a step on another level).
 """
 
 from __future__ import annotations
@@ -39,9 +41,9 @@ CARRIERS = {
         from orders""",
     "pixels": """
         select vec_id as image_id, cast(floor(i/8.0e0) as int) as row, cast(i % 8 as int) as col,
-          cast(floor(abs({elt})*1000) as int) % 256 as r,
-          cast(floor(abs({elt7})*1000) as int) % 256 as g,
-          cast(floor(abs({elt13})*1000) as int) % 256 as b
+          cast(floor(abs({elt})*{mille}) as int) % 256 as r,
+          cast(floor(abs({elt7})*{mille}) as int) % 256 as g,
+          cast(floor(abs({elt13})*{mille}) as int) % 256 as b
         from embeddings cross join range(64) as t(i)""",
     "image_labels": """
         select vec_id as image_id, label % 3 as class_no from embeddings""",
@@ -130,12 +132,12 @@ CARRIERS = {
 
 def oracle_carrier(name: str) -> str:
     """Carrier text for DuckDB."""
-    return _fill(CARRIERS[name], "embedding[{i} + 1]")
+    return _fill(CARRIERS[name], "embedding[{i} + 1]", "1000")
 
 
 def carrier(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Carrier as a DataFrame over the parquet tables in ``sf_dir``."""
-    text = _fill(CARRIERS[name], "embedding[{i}]")
+    text = _fill(CARRIERS[name], "embedding[{i}]", "cast(1000 as float)")
     used = {t: table(spark, sf_dir, t) for t in TABLES if f"from {t}" in text}
     for t in used:
         text = text.replace(f"from {t}", "from {" + t + "}")
@@ -178,7 +180,7 @@ def with_carriers(body: str, *names: str) -> str:
     return f"with {ctes} {body}"
 
 
-def _fill(text: str, access: str) -> str:
-    return (text.replace("{elt}", access.format(i="cast(i as int)"))
+def _fill(text: str, access: str, mille: str) -> str:
+    return (text.replace("{mille}", mille).replace("{elt}", access.format(i="cast(i as int)"))
             .replace("{elt7}", access.format(i="cast((i+7) % 64 as int)"))
             .replace("{elt13}", access.format(i="cast((i+13) % 64 as int)")))
