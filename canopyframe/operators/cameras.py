@@ -147,7 +147,8 @@ def box_pixels(boxes: DataFrame, pixels: DataFrame, key: str = "tree_id") -> Dat
     cells = (boxes.withColumn("row", F.explode(F.sequence("y0", F.col("y1") - 1)))
              .withColumn("col", F.explode(F.sequence("x0", F.col("x1") - 1))))
     cells = cells.select(key, F.col("camera_id").alias("image_id"), F.col("row").cast("int"), F.col("col").cast("int"))
-    return cells.join(pixels, ["image_id", "row", "col"])
+    # the plan doesn't see how many addresses a box has, so it must not broadcast them
+    return cells.hint("merge").join(pixels, ["image_id", "row", "col"])
 
 
 def crown_crop(markers: DataFrame, tiles: DataFrame, size: int, width: int, height: int, side: int = rasters.SIZE) -> DataFrame:
