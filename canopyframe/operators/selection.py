@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyframe.ranking import percentiles_by, running_total
-from canopyframe.runtime import SALTS, cut_lineage, fits_one_task, salted_join
+from canopyframe.runtime import BROADCAST_LIMIT, SALTS, cut_lineage, fits_one_task, salted_join
 from canopyframe.spatial import range_join, spread, with_cells
 
 
@@ -99,33 +99,52 @@ def match_within(refs: DataFrame, dets: DataFrame, max_dist: float, pairs_per_ro
     return _match(refs, dets, max_dist, pairs_per_row, [])
 
 
-def _match(refs: DataFrame, dets: DataFrame, max_dist: float, pairs_per_row: float, on: list[str]) -> DataFrame:
+def _crowded(refs: DataFrame, dets: DataFrame, radius: float, pairs_per_row: float, on: list[str]) -> bool:
+    """Whether the pairs within ``radius``, estimated from cell counts, are more than ``pairs_per_row`` for each row."""
     cells = ("_gx", "_gy")
-    few = with_cells(refs, max_dist, "ref_x", "ref_y", cells).groupBy(*on, *cells).agg(F.count(F.lit(1)).alias("_r"))
-    many = with_cells(dets, max_dist, "x", "y", cells).groupBy(*on, *cells).agg(F.count(F.lit(1)).alias("_d"))
+    few = with_cells(refs, radius, "ref_x", "ref_y", cells).groupBy(*on, *cells).agg(F.count(F.lit(1)).alias("_r"))
+    many = with_cells(dets, radius, "x", "y", cells).groupBy(*on, *cells).agg(F.count(F.lit(1)).alias("_d"))
     meet = spread(few, cells).groupBy(*on, *cells).agg(F.sum("_r").alias("_r")).join(many, [*on, *cells])
     load = meet.agg(F.sum(F.col("_r").cast("double") * F.col("_d")).alias("p"), F.sum("_r").alias("r"), F.sum("_d").alias("d")).first()
-    if (load.p or 0) <= pairs_per_row * ((load.r or 0) + (load.d or 0)):
-        return greedy_match(candidate_pairs(refs, dets, max_dist, on))
-    return _match_crowded(refs, dets, max_dist, on)
+    return (load.p or 0) > pairs_per_row * ((load.r or 0) + (load.d or 0))
+
+
+def _match(refs: DataFrame, dets: DataFrame, max_dist: float, pairs_per_row: float, on: list[str]) -> DataFrame:
+    if _crowded(refs, dets, max_dist, pairs_per_row, on):
+        return _match_crowded(refs, dets, max_dist, on, pairs_per_row=pairs_per_row)
+    return greedy_match(candidate_pairs(refs, dets, max_dist, on))
 
 
 def _places(df: DataFrame, key: str, x: str, y: str, side: str, on: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Copies numbered within their exact position, and one row per position."""
+    """Copies numbered within their exact position, and one row per position, known by its smallest id."""
     copies = cut_lineage(running_total(df.select(*on, key, x, y), [*on, x, y], [F.col(key)], None, "k"))
     spots = copies.groupBy(*on, x, y).agg(F.min(key).alias(f"{side}_place"), F.count(F.lit(1)).alias(f"{side}_n"))
     named = salted_join(copies, spots.select(*on, x, y, f"{side}_place"), [*on, x, y]).select(
         F.col(f"{side}_place"), F.col("k").alias(f"{side}_k"), key)
-    state = spots.select(f"{side}_place", *on, x, y, f"{side}_n", F.lit(0).cast("bigint").alias(f"{side}_used"))
+    state = spots.select(f"{side}_place", *on, x, y, f"{side}_n", F.lit(0).cast("bigint").alias(f"{side}_used"), F.col(f"{side}_place").alias(key))
     return cut_lineage(named), cut_lineage(state)
 
 
-def _match_crowded(refs: DataFrame, dets: DataFrame, max_dist: float, on: list[str] | None = None, steps: int = 6) -> DataFrame:
+def _moved(state: DataFrame, taken: DataFrame, ids: DataFrame, side: str, key: str, small: bool) -> DataFrame:
+    """``state`` after ``taken`` (place and copies): copies in use and the first free id; places that are used up are left out."""
+    hint = F.broadcast if small else (lambda df: df)
+    after = state.select(f"{side}_place", f"{side}_used").distinct().join(hint(taken), f"{side}_place").select(
+        f"{side}_place", (F.col(f"{side}_used") + F.col("m")).alias("_used"), (F.col(f"{side}_used") + F.col("m") + 1).alias(f"{side}_k"))
+    first = ids.join(hint(after), [f"{side}_place", f"{side}_k"]).select(f"{side}_place", F.col(key).alias("_id"))
+    after = after.join(first, f"{side}_place", "left").select(f"{side}_place", "_used", "_id")
+    joined = state.join(F.broadcast(after), f"{side}_place", "left") if small else salted_join(state, after, [f"{side}_place"], "left")
+    return (joined.withColumn(key, F.when(F.col("_used").isNull(), F.col(key)).otherwise(F.col("_id")))
+            .withColumn(f"{side}_used", F.coalesce("_used", f"{side}_used")).drop("_used", "_id").where(F.col(f"{side}_used") < F.col(f"{side}_n")))
+
+
+def _match_crowded(refs: DataFrame, dets: DataFrame, max_dist: float, on: list[str] | None = None, steps: int = 6,
+                   pairs_per_row: float = PAIRS_PER_ROW) -> DataFrame:
     """Matching for crowded data: growing radii over distinct positions.
 
     Greedy matching up to a small radius is a prefix of the whole run, and
     afterwards no free pair is left within that radius; so each step only meets
-    what the smaller ones left over. Copies at one position act as a stack: the
+    what the smaller ones left over. The first radius is the largest at which the
+    positions are not crowded. Copies at one position act as a stack: the
     closest pair of positions matches as many copies as both hold, in id order,
     or a single one when another pair is exactly as close.
     """
@@ -133,41 +152,45 @@ def _match_crowded(refs: DataFrame, dets: DataFrame, max_dist: float, on: list[s
     r_ids, r = _places(refs, "ref_id", "ref_x", "ref_y", "r", on)
     d_ids, d = _places(dets, "det_id", "x", "y", "d", on)
     blocks = None
-    for k in range(steps - 1, -1, -1):
-        radius = max_dist / 2 ** k
-        free_r, free_d = r.where("r_used < r_n"), d.where("d_used < d_n")
-        pairs = cut_lineage(range_join(free_d, free_r, radius, ("x", "y"), ("ref_x", "ref_y"), on=on).select(
-            "r_place", "d_place", "distance_m"))
+    first = 0
+    while first < steps - 1 and _crowded(r, d, max_dist / 2 ** first, pairs_per_row, on):
+        first += 1
+    for k in range(first, -1, -1):
+        own = None
+        live = range_join(d, r, max_dist / 2 ** k, ("x", "y"), ("ref_x", "ref_y"), on=on).select(
+            "r_place", "d_place", "distance_m", "r_n", "r_used", "ref_id", "d_n", "d_used", "det_id")
         while True:
-            front_r = r.where("r_used < r_n").select("r_place", "r_n", "r_used", (F.col("r_used") + 1).alias("r_k")).join(r_ids, ["r_place", "r_k"])
-            front_d = d.where("d_used < d_n").select("d_place", "d_n", "d_used", (F.col("d_used") + 1).alias("d_k")).join(d_ids, ["d_place", "d_k"])
-            live = cut_lineage(salted_join(salted_join(pairs, front_r, ["r_place"]), front_d, ["d_place"]))
-            if not live.take(1):
-                break
-            order = F.struct("distance_m", "ref_id", "det_id")
+            live = cut_lineage(live)
 
             def best(side):
-                # the closest pair of each position and whether it is the only one at that distance
-                two = live.groupBy(f"{side}_place").agg(F.min(order).alias(f"{side}_best"), F.min("distance_m").alias("_d"))
-                ties = salted_join(live, two.select(f"{side}_place", "_d"), [f"{side}_place"]).where("distance_m = _d")
-                return two.drop("_d").join(ties.groupBy(f"{side}_place").agg(F.count(F.lit(1)).alias(f"{side}_ties")), f"{side}_place")
+                # the closest pair of each position and how many are exactly as close
+                pair = F.struct("distance_m", "ref_id", "det_id", *[c for c in live.columns if c not in ("distance_m", "ref_id", "det_id")])
+                near = live.groupBy(f"{side}_place", "distance_m").agg(F.min(pair).alias("pair"), F.count(F.lit(1)).alias("ties"))
+                return near.groupBy(f"{side}_place").agg(F.min(F.struct("distance_m", "pair", "ties")).alias("b")).select(
+                    F.col("b.pair").alias("pair"), F.col("b.ties").alias(f"{side}_ties"))
 
-            both = salted_join(salted_join(live, best("r"), ["r_place"]), best("d"), ["d_place"])
-            chosen = both.where((order == F.col("r_best")) & (order == F.col("d_best")))
+            chosen = best("r").join(best("d"), "pair").select("pair.*", "r_ties", "d_ties")
             room = F.least(F.col("r_n") - F.col("r_used"), F.col("d_n") - F.col("d_used"))
             take = F.when((F.col("r_ties") == 1) & (F.col("d_ties") == 1), room).otherwise(F.lit(1).cast("bigint"))
             block = cut_lineage(chosen.select("r_place", "d_place", "distance_m", "r_used", "d_used", take.alias("m")))
-            r = cut_lineage(r.join(block.select("r_place", F.col("m").alias("_m")), "r_place", "left").withColumn(
-                "r_used", F.col("r_used") + F.coalesce("_m", F.lit(0))).drop("_m"))
-            d = cut_lineage(d.join(block.select("d_place", F.col("m").alias("_m")), "d_place", "left").withColumn(
-                "d_used", F.col("d_used") + F.coalesce("_m", F.lit(0))).drop("_m"))
-            blocks = block if blocks is None else blocks.unionByName(block)
-            pairs = live.select("r_place", "d_place", "distance_m")
+            n = block.count()
+            if not n:  # the closest live pair is always the best of both its ends
+                break
+            own = block if own is None else own.unionByName(block)
+            live = _moved(live, block.select("r_place", "m"), r_ids, "r", "ref_id", n <= BROADCAST_LIMIT)
+            live = _moved(live, block.select("d_place", "m"), d_ids, "d", "det_id", n <= BROADCAST_LIMIT)
+        if own is not None:
+            blocks = own if blocks is None else blocks.unionByName(own)
+            if k:
+                r = cut_lineage(_moved(r, own.groupBy("r_place").agg(F.sum("m").alias("m")), r_ids, "r", "ref_id", False))
+                d = cut_lineage(_moved(d, own.groupBy("d_place").agg(F.sum("m").alias("m")), d_ids, "d", "det_id", False))
     if blocks is None:
         return greedy_match(candidate_pairs(refs, dets, max_dist, on))
     rows = blocks.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m")))).select(
         "r_place", "d_place", "distance_m", (F.col("r_used") + F.col("_i")).alias("r_k"), (F.col("d_used") + F.col("_i")).alias("d_k"))
-    return rows.join(r_ids, ["r_place", "r_k"]).join(d_ids, ["d_place", "d_k"]).select("distance_m", "ref_id", "det_id")
+    # the stacks unfold to many more rows than the plan expects of them
+    rows = rows.hint("merge").join(r_ids, ["r_place", "r_k"])
+    return rows.hint("merge").join(d_ids, ["d_place", "d_k"]).select("distance_m", "ref_id", "det_id")
 
 
 def match_by_position(left: DataFrame, right: DataFrame, max_dist: float) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopyframe.runtime import salted_join
+from canopyframe.runtime import BROADCAST_LIMIT, fits_one_task, salted_join
 
 
 def cell(value: Column | str, size: float) -> Column:
@@ -37,7 +37,8 @@ def range_join(many: DataFrame, few: DataFrame, radius: float, many_xy: tuple[st
                distance: str = "distance_m", salts: int | None = None) -> DataFrame:
     """All row pairs at most ``radius`` apart in the plane.
 
-    ``few`` is repeated nine times, ``many`` not at all. ``on`` holds further
+    ``few`` is repeated nine times, ``many`` not at all; ``few`` is broadcast only if its
+    repeated rows, which are counted unless ``salts`` is given, are few enough. ``on`` holds further
     equality keys. Column names of both sides must differ except for ``on``.
     """
     on = on or []
@@ -45,5 +46,12 @@ def range_join(many: DataFrame, few: DataFrame, radius: float, many_xy: tuple[st
     left = with_cells(many, radius, *many_xy, names=names)
     right = spread(with_cells(few, radius, *few_xy, names=names), names)
     dist = F.hypot(F.col(many_xy[0]) - F.col(few_xy[0]), F.col(many_xy[1]) - F.col(few_xy[1]))
-    joined = salted_join(left, right, [*on, *names], "inner", salts).withColumn(distance, dist)
+    if salts is not None:  # the caller has measured
+        joined = salted_join(left, right, [*on, *names], "inner", salts)
+    elif fits_one_task(right, [], BROADCAST_LIMIT):
+        joined = left.join(F.broadcast(right), [*on, *names])
+    else:
+        # the plan doesn't know how often the side is repeated, so it must not decide on a broadcast
+        joined = salted_join(left, right.hint("merge"), [*on, *names])
+    joined = joined.withColumn(distance, dist)
     return joined.where(F.col(distance) <= F.lit(float(radius))).drop(*names)
