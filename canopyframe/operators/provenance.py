@@ -64,10 +64,14 @@ def map_context(places: DataFrame, elements: DataFrame, radius: float) -> DataFr
                            F.coalesce(tag("landuse"), F.when(tag("natural").isNotNull(), "wood")).alias("landuse"),
                            tag("leaf_type").alias("leaf_type"), tag("name").alias("name"),
                            F.coalesce(tag("name"), tag("protection_title"), F.lit("yes")).alias("area"))
-    near = range_join(slim.where("is_protected or is_forest"), places.select("place_id", "x", "y"), radius, ("ex", "ey"), ("x", "y"))
-    found = near.groupBy("place_id").agg(
+    # of the elements at one position only the first of each kind counts, and places at one position have the same context
+    spots = slim.where("is_protected or is_forest").groupBy("ex", "ey").agg(
         F.min(F.when(F.col("is_forest"), F.struct("pos", "landuse", "leaf_type", "name"))).alias("f"),
         F.min(F.when(F.col("is_protected"), F.struct("pos", "area"))).alias("p"))
+    near = range_join(spots, places.select("x", "y").distinct(), radius, ("ex", "ey"), ("x", "y"))
+    by_spot = near.groupBy("x", "y").agg(F.min("f").alias("f"), F.min("p").alias("p"))
+    found = salted_join(places.select("place_id", "x", "y"), by_spot, ["x", "y"]).groupBy("place_id").agg(
+        F.min("f").alias("f"), F.min("p").alias("p"))
     return places.select("place_id").join(found, "place_id", "left").select(
         "place_id", F.col("f.landuse").alias("landuse"), F.col("f.leaf_type").alias("leaf_type"), F.col("f.name").alias("name"),
         F.col("p.area").alias("protected_area"))
