@@ -170,6 +170,8 @@ def copies(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHT
               .select("_s", "size", "_want", _rank(seed, share).alias("_p")))
     gaps = targets.select("_s", F.lit(float("inf")).alias("gap"))
     for k in range(ROUNDS):
+        # a cut reads these rows several times: without this each reading repeats all broadcasts before it
+        chosen = cut_lineage(chosen)
         cut = cut_lineage(_cut(chosen, k == ROUNDS - 1).join(gaps, "_s"))
         # a source whose documents all fit into its gap has no boundary: it takes them all
         all_in = gaps.join(cut, "_s", "left_anti").select("_s", F.lit(2.0).alias("limit"), F.lit(True).alias("closed"), "gap")
