@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -10,6 +14,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopyframe.runtime import cut_lineage, ensure_checkpoint_dir
+
+#: Rows of a training frame in one task. Each task keeps figures of all open nodes, so small frames aren't divided further.
+FIT_ROWS = 50_000
+#: Rows times trees of one fit, which bounds the nodes that the driver holds for it.
+FIT_NODES = 150_000
+#: Fits at the same time: one over few tasks leaves cores idle.
+FITS = 8
+
 
 def group_split(df: DataFrame, group: str, folds: int = 4) -> DataFrame:
     """Fold number from the group, so that no group is on both sides of a split."""
@@ -25,12 +38,16 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(weights, label)
 
 
+def _forest(trees: int, seed: int) -> RandomForestClassifier:
+    """Trees as deep as Spark allows; the rows keep their nodes, so rounds send no trees to the tasks."""
+    return RandomForestClassifier(labelCol="_y", featuresCol="_x", weightCol="weight", numTrees=trees, seed=seed, maxDepth=30,
+                                  cacheNodeIds=True, predictionCol="_p", probabilityCol="_prob", rawPredictionCol="_raw")
+
+
 def train_species(df: DataFrame, features: list[str], label: str, trees: int = 300, seed: int = 7) -> PipelineModel:
     """Class-balanced random forest; its trees are as deep as Spark allows."""
     stages = [StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc"),
-              VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip"),
-              RandomForestClassifier(labelCol="_y", featuresCol="_x", weightCol="weight", numTrees=trees, seed=seed,
-                                     maxDepth=30, predictionCol="_p", probabilityCol="_prob", rawPredictionCol="_raw")]
+              VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip"), _forest(trees, seed)]
     indexer = stages[0].fit(df)
     back = IndexToString(inputCol="_p", outputCol="species", labels=indexer.labels)
     return Pipeline(stages=[indexer, *stages[1:], back]).fit(class_weights(df, label))
@@ -43,17 +60,53 @@ def score_species(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
     return df.select(key).join(done, key, "left")
 
 
-def cross_species(df: DataFrame, features: list[str], label: str, key: str, trees: int = 300) -> DataFrame:
-    """Every row scored by a forest of the other folds (column ``fold``); nulls if these have no complete row."""
-    out = df.select(key, F.lit(None).cast("string").alias("species"), F.lit(None).cast("double").alias("species_conf")).limit(0)
-    for fold in [r["fold"] for r in df.select("fold").distinct().collect()]:
-        train, held = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
-        if train.dropna(subset=[*features, label]).take(1):
-            done = score_species(train_species(train, features, label, trees), held, key)
-        else:
-            done = held.select(key, F.lit(None).cast("string").alias("species"), F.lit(None).cast("double").alias("species_conf"))
-        out = out.unionByName(done)
-    return out
+def cross_species(df: DataFrame, features: list[str], label: str, key: str, trees: int = 300, seed: int = 7,
+                  fit_nodes: int = FIT_NODES) -> DataFrame:
+    """Every row scored by a forest of the other folds (column ``fold``); nulls if these have no complete row.
+
+    A forest grows in parts of a few trees, several at a time. A part votes on the fold's rows and is
+    given up; the votes of all parts add up to those of the whole forest.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    vectors = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip")
+    jobs, names = [], []
+    for fold in [r["fold"] for r in df.select("fold").distinct().orderBy("fold").collect()]:
+        train = df.where(F.col("fold") != fold)
+        if not train.dropna(subset=[*features, label]).take(1):
+            continue
+        indexer = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(train)
+        ready = vectors.transform(indexer.transform(class_weights(train, label))).select(key, "_x", "_y", "weight")
+        rows = ready.count()
+        ready = cut_lineage(ready.repartition(math.ceil(rows / FIT_ROWS)).sortWithinPartitions(key))
+        held = cut_lineage(vectors.transform(df.where(F.col("fold") == fold)).select(key, "_x"))
+        size = max(1, min(trees, fit_nodes // rows))
+        jobs += [(ready, held, fold, first, min(size, trees - first)) for first in range(0, trees, size)]
+        names.append((fold, indexer.labels))
+
+    def votes(job: tuple) -> DataFrame:
+        ready, held, fold, first, count = job
+        model = _forest(count, seed + 1000 * first).fit(ready)
+        return cut_lineage(model.transform(held).select(
+            key, F.lit(fold).alias("fold"), F.lit(first).alias("_first"), vector_to_array("_raw").alias("_votes")))
+
+    blank = df.select(key, F.lit(None).cast("string").alias("species"), F.lit(None).cast("double").alias("species_conf"))
+    if not jobs:
+        return blank
+    with ThreadPoolExecutor(FITS) as pool:
+        parts = list(pool.map(inheritable_thread_target(spark)(votes), jobs))
+    cast = parts[0]
+    for part in parts[1:]:
+        cast = cast.unionByName(part)
+    # added in the order of the parts, so that reruns agree to the last bit
+    listed = cast.groupBy(key, "fold").agg(F.array_sort(F.collect_list(F.struct("_first", "_votes"))).alias("_parts"))
+    summed = F.aggregate(F.col("_parts"), F.transform(F.element_at("_parts", 1)["_votes"], lambda v: F.lit(0.0)),
+                         lambda s, p: F.zip_with(s, p["_votes"], lambda a, b: a + b))
+    known = spark.createDataFrame(names, "fold int, _names array<string>")
+    top = F.array_max("_sum")
+    done = listed.withColumn("_sum", summed).join(F.broadcast(known), "fold").select(
+        key, "fold", F.element_at("_names", F.array_position("_sum", top).cast("int")).alias("species"), (top / trees).alias("species_conf"))
+    return df.select(key, "fold").join(done, [key, "fold"], "left").select(key, "species", "species_conf")
 
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:

@@ -23,6 +23,17 @@ def test_forest_finds_planted_species(spark):
     assert learning.class_report(guessed, "label", "species").first()["accuracy"] <= 0.55  # labels that say nothing can't be learned
 
 
+def test_parts_of_a_forest_vote_as_one(spark, monkeypatch):
+    rows = [(i, i % 2, float(i % 3), "abc"[i % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "image_id int, fold int, x double, label string")
+    grown, fit = [], learning.RandomForestClassifier.fit
+    monkeypatch.setattr(learning.RandomForestClassifier, "fit", lambda self, frame: grown.append(self.getNumTrees()) or fit(self, frame))
+    first = learning.cross_species(df, ["x"], "label", "image_id", trees=7, fit_nodes=60).orderBy("image_id").collect()
+    assert sorted(grown) == [1, 1, 2, 2, 2, 2, 2, 2]  # the driver holds two trees of 30 rows for each fit
+    assert [r["species"] for r in first] == ["abc"[i % 3] for i in range(60)] and all(0.5 < r["species_conf"] <= 1 for r in first)
+    assert first == learning.cross_species(df, ["x"], "label", "image_id", trees=7, fit_nodes=60).orderBy("image_id").collect()
+
+
 def test_every_segment_is_nearest_to_the_centre_of_its_type(spark):
     rng = random.Random(4)
     rows = [(f"t{i % 2}", i, rng.gauss(i % 4 * 5, 1), rng.gauss(i % 3 * 4, 1)) for i in range(160)] + [("t0", 999, None, 1.0)]
