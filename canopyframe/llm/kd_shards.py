@@ -154,8 +154,9 @@ def kd_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_co
         cuts = _values(meta.sparkSession, [(n, w["dim"], w["cut"]) for n, w in work.items()], "_node, _dim, _cut")
         stay = F.col("_cut").isNull()
         side = F.when(_key(count) >= F.col("_cut"), 1).otherwise(0).cast("long")
-        meta = (meta.join(F.broadcast(cuts), "_node", "left")
-                .withColumn("_node", F.when(stay, F.col("_node") * 2).otherwise(F.col("_node") * 2 + side)).drop("_dim", "_cut"))
+        # every round below reads the nodes again, so they are kept instead of the joins of all levels above
+        meta = cut_lineage(meta.join(F.broadcast(cuts), "_node", "left")
+                           .withColumn("_node", F.when(stay, F.col("_node") * 2).otherwise(F.col("_node") * 2 + side)).drop("_dim", "_cut"))
         grown = {}
         for node, (first, k) in nodes.items():
             if node in work:
