@@ -31,18 +31,26 @@ def normalize_height(points: DataFrame, ground: DataFrame, size: float = 0.5,
     if default_ground:
         ground = cut_lineage(ground)  # cells are read for the join and for the median
     keyed = with_cells(points, size, names=("gx", "gy"))
-    out = salted_join(keyed, ground.select(*GROUND_KEYS, "ground"), GROUND_KEYS, "left")
+    cells = ground.select(*GROUND_KEYS, "ground")
+    out = _meet(keyed, cells, GROUND_KEYS) if default_ground else salted_join(keyed, cells, GROUND_KEYS, "left")
     level = F.col("ground")
     if default_ground:
         median = percentiles_by(ground, ["tile_id"], {"_median": ("ground", 0.5)})
         lowest = points.groupBy("tile_id").agg(F.min("z").alias("_lowest"))
         base = lowest.join(median, "tile_id", "left").select(
             "tile_id", F.coalesce("_median", "_lowest").alias("_base"))
-        out = salted_join(out, base, ["tile_id"], "left")
+        out = _meet(out, cut_lineage(base), ["tile_id"])
         level = F.coalesce("ground", "_base")
     return out.withColumn("hag", F.col("z") - level).drop("gx", "gy", "ground", "_base")
 
 
+def _meet(points: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join that moves the points only if the counted rows of the other side are too many to broadcast."""
+    if fits_one_task(few, [], BROADCAST_LIMIT):
+        return points.join(F.broadcast(few), keys, "left")
+    return salted_join(points, few, keys, "left")
+
+
 def height_band(points: DataFrame, low: float, high: float) -> DataFrame:
     """Points whose height above ground lies in the closed band."""
     return points.where(F.col("hag").between(float(low), float(high)))

@@ -152,3 +152,12 @@ def test_published_values_are_rounded(spark, sf_dir):
             assert value is None or (value == round(value, digits) and abs(value - getattr(r, name)) <= 0.5001 * 10 ** -digits)
     stand = stand_summary(got.withColumn("stand", F.lit(1)), 0.25, ["stand"]).first()
     assert stand.basal_area_m2 == pytest.approx(sum(r.basal_area_m2 for r in rows.values()), abs=1e-12)
+
+
+def test_default_ground_does_not_move_the_points(spark):
+    from canopyframe.operators.ground import ground_model, normalize_height
+    pts = spark.range(400).selectExpr("concat('t', id % 2) as tile_id", "id as point_idx", "id % 7 / 2 as x", "id % 5 / 2 as y", "id % 11 / 10 as z").localCheckpoint()
+    out = normalize_height(pts, ground_model(pts, 2.0, 0.05, 5), 2.0, default_ground=True)
+    # one tile's points would otherwise go to as many tasks as there are salts
+    assert out._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 0
+    assert out.count() == 400 and out.where("hag is null").count() == 0
