@@ -51,8 +51,34 @@ def suppress_near(df: DataFrame, min_dist: float, order: list[Column], keys: tup
 
 
 def candidate_pairs(refs: DataFrame, dets: DataFrame, max_dist: float, on: list[str] | None = None) -> DataFrame:
-    """All reference/detection pairs within ``max_dist``: ``ref_id, det_id, distance_m``."""
+    """All reference/detection pairs within ``max_dist``: ``ref_id, det_id, distance_m``.
+
+    Where most rows share their exact position with others, distances are computed between
+    positions, and only pairs of positions in reach meet the rows that stand there.
+    """
     on = on or []
+    spots = {side: cut_lineage(df.select(*on, *xy).distinct()) for side, df, xy in (("d", dets, ("x", "y")), ("r", refs, ("ref_x", "ref_y")))}
+    if refs.count() + dets.count() <= COPIES * (spots["r"].count() + spots["d"].count()):
+        return _pairs_by_row(refs, dets, max_dist, on)
+    near = cut_lineage(range_join(spots["d"], spots["r"], max_dist, ("x", "y"), ("ref_x", "ref_y"), on=on))
+    half = _unstacked(near, dets.select(*on, "x", "y", "det_id"), [*on, "x", "y"]).drop("x", "y")
+    return _unstacked(half, refs.select(*on, "ref_x", "ref_y", "ref_id"), [*on, "ref_x", "ref_y"]).select(
+        *on, "ref_id", "det_id", "distance_m")
+
+
+#: Rows per distinct position from which pairs are found between positions.
+COPIES = 2
+
+
+def _unstacked(pairs: DataFrame, rows: DataFrame, place: list[str]) -> DataFrame:
+    """``pairs`` of positions joined with the ``rows`` at ``place``, of which many may share one."""
+    if fits_one_task(rows, [], BROADCAST_LIMIT):
+        return pairs.join(F.broadcast(rows), place)
+    # the plan doesn't know how many rows a position holds, so it must not decide on a broadcast
+    return salted_join(pairs, rows.hint("merge"), place)
+
+
+def _pairs_by_row(refs: DataFrame, dets: DataFrame, max_dist: float, on: list[str]) -> DataFrame:
     many = dets.select(*on, "det_id", "x", "y")
     few = refs.select(*on, "ref_id", "ref_x", "ref_y")
     return range_join(many, few, max_dist, ("x", "y"), ("ref_x", "ref_y"), on=on).select(
@@ -112,7 +138,7 @@ def _crowded(refs: DataFrame, dets: DataFrame, radius: float, pairs_per_row: flo
 def _match(refs: DataFrame, dets: DataFrame, max_dist: float, pairs_per_row: float, on: list[str]) -> DataFrame:
     if _crowded(refs, dets, max_dist, pairs_per_row, on):
         return _match_crowded(refs, dets, max_dist, on, pairs_per_row=pairs_per_row)
-    return greedy_match(candidate_pairs(refs, dets, max_dist, on))
+    return greedy_match(_pairs_by_row(refs, dets, max_dist, on))
 
 
 def _places(df: DataFrame, key: str, x: str, y: str, side: str, on: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -185,7 +211,7 @@ def _match_crowded(refs: DataFrame, dets: DataFrame, max_dist: float, on: list[s
                 r = cut_lineage(_moved(r, own.groupBy("r_place").agg(F.sum("m").alias("m")), r_ids, "r", "ref_id", False))
                 d = cut_lineage(_moved(d, own.groupBy("d_place").agg(F.sum("m").alias("m")), d_ids, "d", "det_id", False))
     if blocks is None:
-        return greedy_match(candidate_pairs(refs, dets, max_dist, on))
+        return greedy_match(_pairs_by_row(refs, dets, max_dist, on))
     rows = blocks.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m")))).select(
         "r_place", "d_place", "distance_m", (F.col("r_used") + F.col("_i")).alias("r_k"), (F.col("d_used") + F.col("_i")).alias("d_k"))
     # the stacks unfold to many more rows than the plan expects of them

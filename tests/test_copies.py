@@ -63,3 +63,15 @@ def test_context_meets_places_once(spark, monkeypatch):
     got = {r.place_id: (r.landuse, r.name, r.protected_area) for r in provenance.map_context(places, elements, 1.5).collect()}
     assert got == {i: ("forest", "E0", "E1") if i % 2 == 0 else (None, None, None) for i in range(30)}
     assert met[0].count() == 1
+
+
+def test_pairs_of_stacked_positions_come_from_position_pairs(spark):
+    from canopyframe.operators import selection
+
+    refs = spark.createDataFrame([(i, float(i % 3), 0.0) for i in range(30)], "ref_id bigint, ref_x double, ref_y double")
+    dets = spark.createDataFrame([(i, 0.5 * (i % 4), 0.0) for i in range(40)] + [(99, None, 0.0)], "det_id bigint, x double, y double")
+    pairs = selection.candidate_pairs(refs, dets, 0.6)
+    want = sorted((r, d, abs(r % 3 - 0.5 * (d % 4))) for r in range(30) for d in range(40) if abs(r % 3 - 0.5 * (d % 4)) <= 0.6)
+    assert sorted((p.ref_id, p.det_id, p.distance_m) for p in pairs.collect()) == want
+    # no distance is computed per pair of rows
+    assert "HYPOT" not in pairs._jdf.queryExecution().optimizedPlan().toString().upper()
