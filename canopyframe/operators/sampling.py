@@ -78,13 +78,27 @@ def top_n(df: DataFrame, column: str, n: int, tie: str) -> DataFrame:
 
 
 def lod_levels(points: DataFrame, levels: dict[str, tuple[float, int]], seed: int = 0) -> DataFrame:
-    """Density levels ``{name: (voxel, cap)}`` of each tile in one frame with a ``level`` column."""
-    out = None
-    for name, (voxel, cap) in levels.items():
-        part = sample_cap(voxel_thin(points, voxel), cap, ["tile_id", "point_idx"], ["tile_id"], seed)
-        part = part.withColumn("level", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Density levels ``{name: (voxel, cap)}`` of each tile in one frame with a ``level`` column.
+
+    Voxels and samples of all levels are found from the point numbers alone; only the sampled numbers fetch the other columns.
+    """
+    keep = [c for c in points.columns if c not in ("tile_id", "point_idx")]
+    sizes = F.array(*[F.struct(F.lit(n).alias("level"), F.lit(float(v)).alias("_size"), F.lit(cap).cast("bigint").alias("_most"))
+                      for n, (v, cap) in levels.items()])
+    voxels = [F.floor(F.col(a) / F.col("_l._size")).alias(f"_v{a}") for a in ("x", "y", "z")]
+    place = ["level", "tile_id", "_vx", "_vy", "_vz"]
+    first = (points.select("tile_id", "point_idx", "x", "y", "z", F.explode(sizes).alias("_l"))
+             .select("tile_id", "point_idx", "_l.level", "_l._most", *voxels)
+             .groupBy(*place, "_most").agg(F.min("point_idx").alias("point_idx")))
+    picked = cut_lineage(sample_cap(cut_lineage(first), F.col("_most"), ["tile_id", "point_idx"], ["level", "tile_id", "_most"], seed).drop("_most"))
+    sides = F.array(*[F.struct(F.lit(n).alias("level"), *[F.floor(F.col(a) / F.lit(float(v))).alias(f"_v{a}") for a in ("x", "y", "z")])
+                      for n, (v, _) in levels.items()])
+    # a number names its points; those that share it are told apart by their voxels
+    numbers = picked.groupBy("tile_id", "point_idx").agg(F.collect_list(F.struct("level", "_vx", "_vy", "_vz")).alias("_in"))
+    met = points.join(broadcast_if_small(cut_lineage(numbers)), ["tile_id", "point_idx"])
+    met = met.withColumn("_at", F.explode(F.array_intersect(sides, "_in"))).select("_at.*", "tile_id", "point_idx", *keep)
+    best = met.groupBy(*place).agg(F.min_by(F.struct("point_idx", *keep), F.col("point_idx")).alias("p"))
+    return best.select("tile_id", "p.*", "level")
 
 
 def bounding_boxes(points: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import io
 import json
+import math
 import struct
 import zipfile
 from concurrent.futures import ThreadPoolExecutor
@@ -300,3 +301,19 @@ def test_density_levels(spark, points, tmp_path):
     assert [r.level for r in rows] == ["lite", "full"] and rows[0]["count"] == 300
     back = spark.read.format("cloudbin").load(str(tmp_path / "lite"))
     assert back.count() == 300
+
+
+def test_density_levels_read_the_points_once_for_their_columns(spark):
+    cloud = spark.range(4000).selectExpr("concat('t', id % 2) as tile_id", "id div 4 as point_idx", "(id * 37 % 1000) / 100.0D as x", "(id * 91 % 1000) / 100.0D as y",
+                                         "(id % 7) / 2.0D as z", "cast(id as int) as r")
+    levels = lod_levels(cloud, {"lite": (1.0, 50), "full": (0.1, 10**6)})
+    assert levels._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    rows = [r.asDict() for r in cloud.collect()]
+    got = {n: {(r.tile_id, r.point_idx, r.x, r.y, r.z) for r in levels.where(f"level = '{n}'").collect()} for n in ("lite", "full")}
+    for name, size in (("lite", 1.0), ("full", 0.1)):
+        first = {}
+        for r in rows:
+            key = (r["tile_id"], *(math.floor(r[a] / size) for a in "xyz"))
+            first[key] = min(first.get(key, r["point_idx"]), r["point_idx"])
+        assert levels.where(f"level = '{name}'").count() == (100 if name == "lite" else len(first))
+        assert {(t, i, *(math.floor(v / size) for v in p)) for t, i, *p in got[name]} <= {(k[0], i, *k[1:]) for k, i in first.items()}
