@@ -56,6 +56,18 @@ def height_band(points: DataFrame, low: float, high: float) -> DataFrame:
     return points.where(F.col("hag").between(float(low), float(high)))
 
 
+def band_above(points: DataFrame, ground: DataFrame, low: float, high: float, size: float = 0.5) -> DataFrame:
+    """``height_band`` of ``normalize_height``: points that no ground of their tile lifts into the band aren't moved to their cell.
+
+    ``ground`` is read twice and should be checkpointed.
+    """
+    # the margin is far above the rounding of z minus ground
+    ends = ground.groupBy("tile_id").agg((F.min("ground") + F.lit(float(low)) - 1e-3).alias("_low"), (F.max("ground") + F.lit(float(high)) + 1e-3).alias("_high"))
+    near = salted_join(points, broadcast_if_small(cut_lineage(ends)), ["tile_id"], salts=1)
+    near = near.where(F.col("z").between(F.col("_low"), F.col("_high"))).select(*points.columns)
+    return height_band(normalize_height(near, ground, size), low, high)
+
+
 def stem_ground(stems: DataFrame, ground: DataFrame, size: float = 0.5,
                 fallback: str | None = "cluster_ground") -> DataFrame:
     """Ground under the stem centre; the fallback column is used where the cell has none.

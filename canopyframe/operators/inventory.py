@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from canopyframe.operators.circles import moments, residuals, solve
 from canopyframe.operators.components import connected_components
-from canopyframe.operators.ground import (ground_model, height_band, merge_scans, normalize_height,
-                                          stem_ground, tree_height)
+from canopyframe.operators.ground import band_above, ground_model, merge_scans, stem_ground, tree_height
 from canopyframe.operators.selection import suppress_near
 from canopyframe.ranking import percentiles_by, running_total
 from canopyframe.runtime import cut_lineage, salted_join
@@ -74,10 +73,13 @@ def fit_clusters(band: DataFrame, clusters: DataFrame, p: InventoryParams, size:
     keyed = band.withColumn("ix", cell("x", size)).withColumn("iy", cell("y", size))
     keys = ["tile_id", "comp_x", "comp_y"]
     pts = salted_join(keyed, clusters.select("tile_id", "ix", "iy", "comp_x", "comp_y"), ["tile_id", "ix", "iy"])
-    pts = pts.select(*keys, "x", "y", "hag", (F.col("z") - F.col("hag")).alias("_ground"),
-                     F.col("hag").between(*p.measure_band).alias("_narrow"))
-    info = pts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"), F.count_if("_narrow").alias("_n_narrow"),
-                                  F.percentile("_ground", F.lit(0.5)).alias("cluster_ground"))
+    # read for the figures and for the fit
+    pts = cut_lineage(pts.select(*keys, "x", "y", (F.col("z") - F.col("hag")).alias("_ground"),
+                                 F.col("hag").between(*p.measure_band).alias("_narrow")))
+    # points of a cluster stand on few grounds, so equal ones are counted first
+    grounds = pts.groupBy(*keys, "_ground").agg(F.count(F.lit(1)).alias("_n"), F.count_if("_narrow").alias("_k"))
+    info = grounds.groupBy(*keys).agg(F.sum("_n").alias("n_points"), F.sum("_k").alias("_n_narrow"),
+                                      F.percentile("_ground", F.lit(0.5), F.col("_n")).alias("cluster_ground"))
     info = info.withColumn("narrow_fit", F.col("_n_narrow") >= p.measure_min_points).drop("_n_narrow")
     used = cut_lineage(salted_join(pts, info, keys).where(~F.col("narrow_fit") | F.col("_narrow")))
     group = [*keys, "n_points", "cluster_ground"]
@@ -139,7 +141,7 @@ def detect_stems(points: DataFrame, p: InventoryParams = SINGLE_SCAN) -> DataFra
     Input ``tile_id, point_idx, x, y, z``. Tiles are independent clouds.
     """
     ground = cut_lineage(ground_model(points, p.ground_cell, p.ground_share, p.ground_min_points))
-    band = height_band(normalize_height(points, ground, p.ground_cell), *p.band)
+    band = band_above(points.select("tile_id", "point_idx", "x", "y", "z"), ground, *p.band, size=p.ground_cell)
     band = cut_lineage(band.select("tile_id", "point_idx", "x", "y", "z", "hag"))
     clusters = stem_clusters(band, p.min_points)
     stems = plausible(fit_clusters(band, clusters, p), p)

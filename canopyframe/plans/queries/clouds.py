@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from canopyframe.operators import circles, ground, hulls, inventory, selection
 from canopyframe.operators.inventory import SINGLE_SCAN
 from canopyframe.plans.catalog import register
+from canopyframe.runtime import cut_lineage
 
 # ---- shared oracle fragments ------------------------------------------------
 
@@ -134,7 +135,7 @@ def _(src):
               from comps where cluster_points >= 40""", "points")
 def _(src):
     pts = src("points")
-    band = ground.height_band(ground.normalize_height(pts, ground.ground_model(pts)), *SINGLE_SCAN.band)
+    band = ground.band_above(pts, cut_lineage(ground.ground_model(pts)), *SINGLE_SCAN.band)
     return inventory.stem_clusters(band)
 
 

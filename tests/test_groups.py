@@ -173,3 +173,14 @@ def test_default_ground_does_not_move_the_points(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert out.count() == 400 and out.where("hag is null").count() == 0
+
+
+def test_band_above_moves_only_points_near_the_band(spark):
+    rows = [(t, i, 0.1 * (i % 50), 0.0, round((i % 50) * 0.02 + (i * 7 % 90) / 10, 4)) for t in ("a", "b") for i in range(3000)] + [("c", 1, 0.0, 0.0, 1.2)]
+    pts = spark.createDataFrame(rows, "tile_id string, point_idx bigint, x double, y double, z double")
+    model = ground.ground_model(pts).localCheckpoint()
+    want = ground.height_band(ground.normalize_height(pts, model), 1.0, 1.6)
+    got = ground.band_above(pts, model, 1.0, 1.6)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_low" in plan and "_high" in plan
