@@ -134,13 +134,17 @@ def habitat_types(metrics: DataFrame, features: list[str], k: int = 4, seed: int
     fewer than ``k`` complete segments.
     """
     by = [k for k in ("tile_id",) if k in metrics.columns] + [key]
+    metrics = cut_lineage(metrics.select(*by, *features))  # one row per segment, read by each stage of the fit and by the scoring
     whole = F.lit(True)
     for name in features:
         whole = whole & F.col(name).isNotNull() & ~F.isnan(name)
     known = metrics.where(whole)
     untyped = F.lit(None).cast("int").alias("habitat_type")
-    if len(known.select(*by).take(k)) < k:
+    rows = known.count()
+    if rows < k:
         return metrics.select(*by, untyped)
+    # the first centres depend on the place of the rows, so rows are dealt out by their key
+    known = cut_lineage(known.repartition(math.ceil(rows / FIT_ROWS), *by).sortWithinPartitions(*by))
     stages = [VectorAssembler(inputCols=features, outputCol="_x"),
               StandardScaler(inputCol="_x", outputCol="_z", withMean=True),
               KMeans(k=k, seed=seed, featuresCol="_z", predictionCol="_c")]

@@ -99,17 +99,21 @@ def segment_structure(points: DataFrame, seg: str = "seg_id", layer_m: float = 0
     """
     by = _segment_keys(points, seg)
     inside = points.where((F.col(seg) > 0) & (F.col("hag") >= 0))
-    layers = inside.groupBy(*by, F.floor(F.col("hag") / F.lit(layer_m)).cast("int").alias("layer")).agg(
-        F.count(F.lit(1)).alias("n"))
-    totals = layers.groupBy(*by).agg(F.sum("n").alias("total"), F.max("layer").alias("top"))
+    # layers and raster cells are counted in one pass over the points, only the percentile needs another
+    keyed = inside.select(*by, "hag", F.floor(F.col("hag") / F.lit(layer_m)).cast("int").alias("layer"),
+                          cell("x", size).alias("ix"), cell("y", size).alias("iy"))
+    counts = cut_lineage(keyed.groupingSets([[*by, "layer"], [*by, "ix", "iy"]], *by, "layer", "ix", "iy").agg(
+        F.grouping("layer").alias("_is_cell"), F.count(F.lit(1)).alias("n"), F.max("hag").alias("h"),
+        F.count_if(F.col("hag") < 0.5).alias("_low")))
+    layers = counts.where(F.col("_is_cell") == 0)
+    totals = layers.groupBy(*by).agg(F.sum("n").alias("total"), F.max("layer").alias("top"), F.max("h").alias("h_max"),
+                                     (F.sum("_low") / F.sum("n")).alias("understory_openness"))
     p = F.col("n") / F.col("total")
-    entropy = layers.join(totals, by).groupBy(*by, "total", "top").agg(
+    entropy = layers.join(totals, by).groupBy(*by, "total", "top", "h_max", "understory_openness").agg(
         (-F.sum(p * F.log(p))).alias("fhd"), F.count(F.lit(1)).alias("n_layers"))
-    heights = percentiles_by(inside, by, {"h_p95": ("hag", 0.95)},
-                             [F.max("hag").alias("h_max"), F.avg((F.col("hag") < 0.5).cast("double")).alias("understory_openness")])
-    crowns = (inside.groupBy(*by, cell("x", size).alias("ix"), cell("y", size).alias("iy"))
-              .agg(F.max("hag").alias("h")).groupBy(*by)
-              .agg(F.stddev_samp("h").alias("canopy_sd"), F.avg((F.col("h") > canopy_min).cast("double")).alias("cover_frac")))
+    heights = percentiles_by(inside, by, {"h_p95": ("hag", 0.95)}, sizes=totals.select(*by, F.col("total").alias("_n")))
+    crowns = counts.where(F.col("_is_cell") == 1).groupBy(*by).agg(
+        F.stddev_samp("h").alias("canopy_sd"), F.avg((F.col("h") > canopy_min).cast("double")).alias("cover_frac"))
     n_slots = F.col("top") + 1
     return (entropy.join(heights, by).join(crowns, by)
             .select(*by, "fhd", F.coalesce(F.try_divide(F.col("fhd"), F.log(n_slots.cast("double"))), F.lit(0.0)).alias("vci"),

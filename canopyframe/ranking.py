@@ -20,15 +20,17 @@ _MOST = 1.7976931348623157e308
 
 
 def percentiles_by(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, float]],
-                   extra: list[Column] | None = None, limit: int | None = None) -> DataFrame:
+                   extra: list[Column] | None = None, limit: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Linear-interpolated percentiles ``{output: (column, share)}`` per group.
 
     ``extra`` are further aggregate columns computed in the same pass. Missing
     values and NaN are ignored, infinite ones count as the ends of the order.
+    ``sizes`` are the rows ``_n`` of each group, if the caller has counted them.
     """
     limit = GROUP_LIMIT if limit is None else limit
     extra = extra or []
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if sizes is None else sizes
+    sizes = sizes.where(F.col("_n") > limit)
     if not sizes.take(1):
         return _plain(df, keys, specs, extra)
     if not keys:

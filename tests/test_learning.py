@@ -49,3 +49,21 @@ def test_every_segment_is_nearest_to_the_centre_of_its_type(spark):
         centre[t] = tuple(sum(p[d] for p in own) / len(own) for d in (0, 1))
     off = sum(min(centre, key=lambda t: sum((a - b) ** 2 for a, b in zip(p, centre[t]))) != typed[k] for k, p in point.items())
     assert off <= 2  # the search stops within a tolerance
+
+
+def test_types_do_not_depend_on_the_place_of_rows_and_read_them_once(spark):
+    rng = random.Random(5)
+    rows = [(f"t{i % 2}", i, rng.random(), rng.random()) for i in range(120)] + [("t0", 999, None, 1.0)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def figure(p):
+        seen.add(1)
+        return p
+
+    got = []
+    for parts in (2, 7):
+        df = spark.createDataFrame(rows, "tile_id string, seg_id bigint, p double, q double").repartition(parts)
+        df = df.withColumn("p", F.udf(figure, "double").asNondeterministic()("p"))
+        got.append(sorted(tuple(r) for r in learning.habitat_types(df, ["p", "q"], 4).select("tile_id", "seg_id", F.coalesce("habitat_type", F.lit(0))).collect()))
+    assert got[0] == got[1] and len(got[0]) == 121
+    assert seen.value == 2 * 121
