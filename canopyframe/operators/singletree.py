@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopyframe.operators.circles import fit_circles, moments, residuals, solve
-from canopyframe.ranking import percentiles_by
-from canopyframe.runtime import broadcast_if_small, cut_lineage, salted_join
+from canopyframe.ranking import percentiles_by, plain_percentiles
+from canopyframe.runtime import GROUP_LIMIT, broadcast_if_small, cut_lineage, salted_join
 from canopyframe.spatial import cell
 
 WOOD = 0
 LEAF = 1
 
 
-def with_base(points: DataFrame, key: str, share: float = 0.01) -> DataFrame:
+def with_base(points: DataFrame, key: str, share: float = 0.01, limit: int | None = None) -> DataFrame:
     """Add ``base_z``, the low z percentile of each tree, and ``rel_z`` above it."""
-    base = percentiles_by(points, [key], {"base_z": ("z", share)})
+    base = percentiles_by(points, [key], {"base_z": ("z", share)}, limit=limit)
     return salted_join(points, base, [key]).withColumn("rel_z", F.col("z") - F.col("base_z"))
 
 
@@ -117,16 +117,39 @@ def classified_tree_metrics(points: DataFrame, key: str = "label") -> DataFrame:
 
 
 def reference_positions(points: DataFrame, key: str = "label", ignore: tuple[int, ...] = (-100, 0),
-                        min_points: int = 40, band: tuple[float, float] = (0.3, 1.8)) -> DataFrame:
-    """Ground-truth stem positions: median of the foot band, or of all points if it holds under three."""
-    wanted = points.where(~F.col(key).isin(*ignore))
-    sizes = wanted.groupBy(key).agg(F.count(F.lit(1)).alias("n_points")).where(F.col("n_points") >= min_points)
-    rel = with_base(salted_join(wanted, sizes, [key]), key, 0.02)
+                        min_points: int = 40, band: tuple[float, float] = (0.3, 1.8), limit: int | None = None) -> DataFrame:
+    """Ground-truth stem positions: median of the foot band, or of all points if it holds under three.
+
+    Trees above ``limit`` points are answered without holding one in a task.
+    """
+    limit = GROUP_LIMIT if limit is None else limit
+    wanted = points.where(~F.col(key).isin(*ignore)).select(key, "x", "y", "z")
+    sizes = wanted.groupBy(key).agg(F.count(F.lit(1)).alias("n_points")).where(F.col("n_points") > limit)
+    if not sizes.take(1):
+        return _positions(_window_base(wanted, key), key, min_points, band)
+    hot = broadcast_if_small(cut_lineage(sizes))
+    cold = _positions(_window_base(salted_join(wanted, hot.select(key), [key], "left_anti"), key), key, min_points, band)
+    large = with_base(salted_join(wanted, hot, [key]), key, 0.02, limit)
+    return cold.unionByName(_positions(large, key, min_points, band, limit))
+
+
+def _window_base(points: DataFrame, key: str) -> DataFrame:
+    """Points with ``n_points`` and ``rel_z`` of their tree; they move once, as the later groups have the same key."""
+    tree = Window.partitionBy(key)
+    z = F.col("z").cast("double")
+    return (points.withColumn("n_points", F.count(F.lit(1)).over(tree))
+            .withColumn("base_z", F.percentile(F.when(~F.isnan(z), z), F.lit(0.02)).over(tree))
+            .withColumn("rel_z", F.col("z") - F.col("base_z")))
+
+
+def _positions(rel: DataFrame, key: str, min_points: int, band: tuple[float, float], limit: int | None = None) -> DataFrame:
+    """Medians of trees whose rows have ``n_points`` and ``rel_z``; without ``limit`` each tree fits one task."""
+    rel = rel.where(F.col("n_points") >= min_points)
     in_band = F.col("rel_z").between(*band)
     rel = rel.withColumn("_bx", F.when(in_band, F.col("x"))).withColumn("_by", F.when(in_band, F.col("y")))
-    med = percentiles_by(rel, [key], {"band_x": ("_bx", 0.5), "band_y": ("_by", 0.5), "all_x": ("x", 0.5),
-                                      "all_y": ("y", 0.5)},
-                         [F.count("_bx").alias("_n_band"), F.max("n_points").alias("n_points")])
+    specs = {"band_x": ("_bx", 0.5), "band_y": ("_by", 0.5), "all_x": ("x", 0.5), "all_y": ("y", 0.5)}
+    extra = [F.count("_bx").alias("_n_band"), F.max("n_points").alias("n_points")]
+    med = plain_percentiles(rel, [key], specs, extra) if limit is None else percentiles_by(rel, [key], specs, extra, limit)
     use = F.col("_n_band") >= 3
     return med.select(key, F.when(use, F.col("band_x")).otherwise(F.col("all_x")).alias("x"),
                       F.when(use, F.col("band_y")).otherwise(F.col("all_y")).alias("y"), "n_points")

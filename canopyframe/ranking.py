@@ -32,17 +32,18 @@ def percentiles_by(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, f
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if sizes is None else sizes
     sizes = sizes.where(F.col("_n") > limit)
     if not sizes.take(1):
-        return _plain(df, keys, specs, extra)
+        return plain_percentiles(df, keys, specs, extra)
     if not keys:
         return _narrowed(df, keys, specs, extra)
     hot = cut_lineage(sizes.select(*keys))
     if hot.count() <= BROADCAST_LIMIT:
         hot = F.broadcast(hot)
-    cold = _plain(salted_join(df, hot, keys, "left_anti"), keys, specs, extra)
+    cold = plain_percentiles(salted_join(df, hot, keys, "left_anti"), keys, specs, extra)
     return cold.unionByName(_narrowed(salted_join(df, hot, keys, "left_semi"), keys, specs, extra))
 
 
-def _plain(df, keys, specs, extra):
+def plain_percentiles(df, keys, specs, extra):
+    """The same for groups that are known to fit one task."""
     aggs = [F.percentile(_numbers(c), F.lit(float(p))).alias(name) for name, (c, p) in specs.items()]
     return df.groupBy(*keys).agg(*aggs, *extra)
 
