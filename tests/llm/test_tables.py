@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from __spark_entry__ import queries
@@ -57,6 +58,57 @@ def test_pivot_index_lengths_and_ids(spark):
     assert sorted(got, key=str) == sorted([(None, 2, 7, False)] * 2 + [(7, 2, 7, True), (8, 0, 8, True), (8, 1, 8, True), (9, 1, 8, False)] + [(None, 1, None, True)] * 2, key=str)
 
 
+def test_pivot_sample_reads_few_vectors(spark, monkeypatch):
+    monkeypatch.setattr(pivot_index, "SAMPLE", 40)
+    rng = np.random.default_rng(5)
+    rows = [(i, i * 7919 % 3001, [float(v) for v in e]) for i, e in enumerate(rng.normal(size=(3000, 4)))]
+    seen = spark.sparkContext.accumulator(0)
+
+    def vector(e):
+        seen.add(1)
+        return e
+
+    df = spark.createDataFrame(rows, "h1 bigint, h2 bigint, e array<double>").repartition(30)
+    hashed = df.select("*", F.xxhash64("h1", "h2", F.lit("pivot")).alias("order")).collect()
+    pivots = pivot_index._pivots(df.select("h1", "h2", F.udf(vector, "array<double>")("e").alias("vec")), 4)
+    assert seen.value < 400  # the smallest of each of 30 partitions would be 1200 of 3000
+    x = np.array([r["e"] for r in sorted(hashed, key=lambda r: (r["order"], r["h1"], r["h2"]))[:40]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = []
+    for e in x:
+        if not want or max(e @ w for w in want) < pivot_index.APART:
+            want.append(e)
+    assert np.allclose(pivots, want)
+
+
+def test_pivot_lists_in_blocks_and_groups_link_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(300, 16))
+    crowds = [base[k] + rng.normal(size=(size, 16)) * 0.05 for k, size in ((0, 400), (1, 150), (2, 90))]
+    x = np.concatenate([base, base[rng.integers(300, size=400)] + rng.normal(size=(400, 16)) * 0.2, *crowds]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in e], 0) for i, e in enumerate([*x, *x[:50]])], VEC)
+    whole = sorted(pivot_index.near_vectors(df).collect())
+    hits = cosines(np.concatenate([x, x[:50]]).astype(np.float64)) >= 0.9
+    np.fill_diagonal(hits, False)
+    found, want = np.array([r["n_links"] for r in whole]), hits.sum(axis=1)
+    assert (found <= want).all() and found.sum() >= 0.97 * want.sum()
+    monkeypatch.setattr(pivot_index, "BLOCK", 60)
+    monkeypatch.setattr(pivot_index, "TOGETHER", 16 * 100)
+    dealt, deal = [], pivot_index._deal
+    monkeypatch.setattr(pivot_index, "_deal", lambda *args: dealt.append(deal(*args)) or dealt[-1])
+    assert sorted(pivot_index.near_vectors(df).collect()) == whole
+    assert dealt[0].where("i < j").count() > 0  # long lists in several blocks
+
+
+def test_vectors_are_shipped_once_for_the_lists_of_a_pivot(spark, monkeypatch):
+    x = np.random.default_rng(7).normal(size=(2000, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in e], 0) for i, e in enumerate(x)], VEC)
+    shipped, compare = [], pivot_index._blocks
+    monkeypatch.setattr(pivot_index, "_blocks", lambda rows, *args: shipped.append(rows) or compare(rows, *args))
+    pivot_index.near_vectors(df)
+    assert shipped[0].count() <= 6 * 2000  # one of 21 lists each before
+
+
 def test_components_of_a_long_path(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1000)], "a bigint, b bigint")
     got = {r["node"]: r["root"] for r in links.components(pairs).collect()}
