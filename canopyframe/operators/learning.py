@@ -14,7 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyframe.runtime import cut_lineage, ensure_checkpoint_dir
+from canopyframe.operators import forest
+from canopyframe.runtime import GROUP_LIMIT, cut_lineage, ensure_checkpoint_dir
 
 #: Rows of a training frame in one task. Each task keeps figures of all open nodes, so small frames aren't divided further.
 FIT_ROWS = 50_000
@@ -22,6 +23,8 @@ FIT_ROWS = 50_000
 FIT_NODES = 150_000
 #: Fits at the same time: one over few tasks leaves cores idle.
 FITS = 8
+#: Rows up to which Spark fits the forests: more rows have so many nodes that a task grows whole trees faster.
+SPARK_ROWS = 1_000
 
 
 def group_split(df: DataFrame, group: str, folds: int = 4) -> DataFrame:
@@ -38,10 +41,10 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(weights, label)
 
 
-def _forest(trees: int, seed: int) -> RandomForestClassifier:
+def _forest(trees: int, seed: int, figures: str = "auto") -> RandomForestClassifier:
     """Trees as deep as Spark allows; the rows keep their nodes, so rounds send no trees to the tasks."""
     return RandomForestClassifier(labelCol="_y", featuresCol="_x", weightCol="weight", numTrees=trees, seed=seed, maxDepth=30,
-                                  cacheNodeIds=True, predictionCol="_p", probabilityCol="_prob", rawPredictionCol="_raw")
+                                  cacheNodeIds=True, featureSubsetStrategy=figures, predictionCol="_p", probabilityCol="_prob", rawPredictionCol="_raw")
 
 
 def train_species(df: DataFrame, features: list[str], label: str, trees: int = 300, seed: int = 7) -> PipelineModel:
@@ -64,12 +67,52 @@ def cross_species(df: DataFrame, features: list[str], label: str, key: str, tree
                   fit_nodes: int = FIT_NODES) -> DataFrame:
     """Every row scored by a forest of the other folds (column ``fold``); nulls if these have no complete row.
 
+    Tasks grow the trees, each on rows of their figures' bins, where ``SPARK_ROWS`` to ``GROUP_LIMIT`` rows are complete; then
+    trees have no largest depth. Other frames are fitted by Spark in parts of a few trees.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    blank = df.select(key, F.lit(None).cast("string").alias("species"), F.lit(None).cast("double").alias("species_conf"))
+    complete = df.where(F.col("fold").isNotNull()).dropna(subset=features).count()
+    in_tasks = SPARK_ROWS < complete <= GROUP_LIMIT
+    cast = _task_votes(df, features, label, key, trees, seed, complete) if in_tasks else _spark_votes(df, features, label, key, trees, seed, fit_nodes)
+    if cast is None:
+        return blank
+    summed, names = cast
+    known = spark.createDataFrame(names, "fold int, _names array<string>")
+    top = F.array_max("_sum")
+    done = summed.join(F.broadcast(known), "fold").select(
+        key, "fold", F.element_at("_names", F.array_position("_sum", top).cast("int")).alias("species"), (top / trees).alias("species_conf"))
+    return df.select(key, "fold").join(done, [key, "fold"], "left").select(key, "species", "species_conf")
+
+
+def _task_votes(df: DataFrame, features: list[str], label: str, key: str, trees: int, seed: int, complete: int) -> tuple[DataFrame, list] | None:
+    """``key, fold, _sum`` and the classes of each fold from trees grown by tasks."""
+    whole = df.where(F.col("fold").isNotNull()).dropna(subset=features).select(key, "fold", label, *[F.col(f).cast("double") for f in features])
+    # dealt by key and in order of the rows, so that a rerun draws the same samples
+    whole = cut_lineage(whole.repartition(math.ceil(complete / FIT_ROWS), key).sortWithinPartitions(key, *features, label))
+    sizes = whole.groupBy("fold", label).count().collect()
+    classes = sorted({r[label] for r in sizes if r[label] is not None}, key=str)
+    folds = [f for f in sorted({r["fold"] for r in sizes}) if any(r["fold"] != f and r[label] is not None for r in sizes)]
+    if not folds:
+        return None
+    number = F.create_map(*[F.lit(v) for k, name in enumerate(classes) for v in (name, k)])[F.col(label)].cast("int")
+    ready = whole.withColumn("_y", number).withColumn("_id", F.monotonically_increasing_id())
+    voted = cut_lineage(forest.votes(ready.select("_id", "fold", "_y", *features), features, folds, len(classes), trees, seed))
+    rows = ready.select("_id", key, "fold").join(voted, "_id").groupBy(key, "fold")
+    sums = F.array(*[F.sum(F.element_at("_votes", c + 1)).cast("double") / forest.UNIT for c in range(len(classes))])
+    return rows.agg(sums.alias("_sum")), [(f, [str(c) for c in classes]) for f in folds]
+
+
+def _spark_votes(df: DataFrame, features: list[str], label: str, key: str, trees: int, seed: int, fit_nodes: int) -> tuple[DataFrame, list] | None:
+    """The same from Spark's forest.
+
     A forest grows in parts of a few trees, several at a time. A part votes on the fold's rows and is
     given up; the votes of all parts add up to those of the whole forest.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     vectors = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip")
+    figures = "sqrt" if trees > 1 else "auto"  # a part of one tree is no tree by itself
     jobs, names = [], []
     for fold in [r["fold"] for r in df.select("fold").distinct().orderBy("fold").collect()]:
         train = df.where(F.col("fold") != fold)
@@ -86,13 +129,12 @@ def cross_species(df: DataFrame, features: list[str], label: str, key: str, tree
 
     def votes(job: tuple) -> DataFrame:
         ready, held, fold, first, count = job
-        model = _forest(count, seed + 1000 * first).fit(ready)
+        model = _forest(count, seed + 1000 * first, figures).fit(ready)
         return cut_lineage(model.transform(held).select(
             key, F.lit(fold).alias("fold"), F.lit(first).alias("_first"), vector_to_array("_raw").alias("_votes")))
 
-    blank = df.select(key, F.lit(None).cast("string").alias("species"), F.lit(None).cast("double").alias("species_conf"))
     if not jobs:
-        return blank
+        return None
     with ThreadPoolExecutor(FITS) as pool:
         parts = list(pool.map(inheritable_thread_target(spark)(votes), jobs))
     cast = parts[0]
@@ -102,11 +144,7 @@ def cross_species(df: DataFrame, features: list[str], label: str, key: str, tree
     listed = cast.groupBy(key, "fold").agg(F.array_sort(F.collect_list(F.struct("_first", "_votes"))).alias("_parts"))
     summed = F.aggregate(F.col("_parts"), F.transform(F.element_at("_parts", 1)["_votes"], lambda v: F.lit(0.0)),
                          lambda s, p: F.zip_with(s, p["_votes"], lambda a, b: a + b))
-    known = spark.createDataFrame(names, "fold int, _names array<string>")
-    top = F.array_max("_sum")
-    done = listed.withColumn("_sum", summed).join(F.broadcast(known), "fold").select(
-        key, "fold", F.element_at("_names", F.array_position("_sum", top).cast("int")).alias("species"), (top / trees).alias("species_conf"))
-    return df.select(key, "fold").join(done, [key, "fold"], "left").select(key, "species", "species_conf")
+    return listed.select(key, "fold", summed.alias("_sum")), names
 
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
