@@ -21,8 +21,8 @@ from canopyframe.runtime import GROUP_LIMIT, cut_lineage, ensure_checkpoint_dir
 FIT_ROWS = 50_000
 #: Rows times trees of one fit, which bounds the nodes that the driver holds for it.
 FIT_NODES = 150_000
-#: Fits at the same time: one over few tasks leaves cores idle.
-FITS = 8
+#: Fits at the same time: one over few tasks leaves cores idle, each holds its open nodes on the driver.
+FITS = 2
 #: Rows up to which Spark fits the forests: more rows have so many nodes that a task grows whole trees faster.
 SPARK_ROWS = 1_000
 
